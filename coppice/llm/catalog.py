@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from coppice.llm import simhash
+from coppice.llm import quality, simhash
 
 QUERIES = {
+    "op9_quality_rules": quality.op9_quality_rules,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_quality_rules": quality.OP9_SQL,
+}
