@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from coppice.llm import quality, simhash
+from coppice.llm import decontam, quality, simhash
 
 QUERIES = {
+    "op4_benchmark_decontamination": decontam.op4_benchmark_decontamination,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_benchmark_decontamination": decontam.OP4_SQL,
     "op9_quality_rules": quality.OP9_SQL,
 }
