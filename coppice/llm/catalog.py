@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from coppice.llm import decontam, quality, simhash
+from coppice.llm import decontam, quality, simhash, tokencount
 
 QUERIES = {
     "op4_benchmark_decontamination": decontam.op4_benchmark_decontamination,
+    "op8_token_counts": tokencount.op8_token_counts,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
