@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from coppice.llm import decontam, quality, simhash, tokencount
+from coppice.llm import decontam, quality, simhash, tokencount, tokenfiles
 
 QUERIES = {
+    "op1_token_files": tokenfiles.op1_token_files,
     "op4_benchmark_decontamination": decontam.op4_benchmark_decontamination,
     "op8_token_counts": tokencount.op8_token_counts,
     "op9_quality_rules": quality.op9_quality_rules,
