@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from coppice.llm import decontam, quality, simhash, tokencount, tokenfiles
+from coppice.llm import decontam, linededup, quality, simhash, tokencount, tokenfiles
 
 QUERIES = {
     "op1_token_files": tokenfiles.op1_token_files,
+    "op3_line_dedup": linededup.op3_line_dedup,
     "op4_benchmark_decontamination": decontam.op4_benchmark_decontamination,
     "op8_token_counts": tokencount.op8_token_counts,
     "op9_quality_rules": quality.op9_quality_rules,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_line_dedup": linededup.OP3_SQL,
     "op4_benchmark_decontamination": decontam.OP4_SQL,
     "op9_quality_rules": quality.OP9_SQL,
 }
