@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from coppice.llm import decontam, langid, linededup, quality, simhash, tokencount, tokenfiles
+from coppice.llm import decontam, langid, linededup, quality, simhash, tokencount, tokenfiles, urlfilter
 
 QUERIES = {
     "op1_token_files": tokenfiles.op1_token_files,
+    "op2_url_filter": urlfilter.op2_url_filter,
     "op3_line_dedup": linededup.op3_line_dedup,
     "op4_benchmark_decontamination": decontam.op4_benchmark_decontamination,
     "op5_language_id": langid.op5_language_id,
