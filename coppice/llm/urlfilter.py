@@ -48,6 +48,8 @@ LABELLED = [
     ("https://city-guide.example/en/16", 0), ("http://www.open-data.example/de/17", 0), ("https://sport-club.example/fr/18", 0), ("http://wood-craft.example/en/19", 0),
     ("https://m.inghand.example/en/20", 0), ("http://ererblent.example/es/21", 0), ("https://river-walks.example/de/22", 0), ("http://music.example/en/23", 0),
     ("https://health-office.example/en/24", 0), ("http://blog.oranthly.example/fr/25", 0), ("https://thesheat.example/en/26", 0), ("http://train-times.example/en/27", 0),
+    ("https://pills-shop.example/en/28", 1), ("http://bets-online.example/en/29", 1), ("https://loans-cheap.example/de/30", 1), ("http://win-casino.example/fr/31", 1),
+    ("https://shop.example/en/28", 0), ("http://online-courses.example/en/29", 0), ("https://gallery.example/de/30", 0), ("http://choir.example/fr/31", 0),
     ("", 0), ("http://example/", 0),
 ]
 
