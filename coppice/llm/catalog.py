@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from coppice.llm import decontam, langid, linededup, quality, simhash, tokencount, tokenfiles, urlfilter
+from coppice.llm import decontam, htmltext, langid, linededup, quality, simhash, tokencount, tokenfiles, urlfilter
 
 QUERIES = {
     "op1_token_files": tokenfiles.op1_token_files,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_line_dedup": linededup.op3_line_dedup,
     "op4_benchmark_decontamination": decontam.op4_benchmark_decontamination,
     "op5_language_id": langid.op5_language_id,
+    "op6_html_extraction": htmltext.op6_html_extraction,
     "op8_token_counts": tokencount.op8_token_counts,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
