@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from coppice.llm import decontam, htmltext, langid, linededup, quality, simhash, tokencount, tokenfiles, urlfilter
+import corpus_pipeline
+from coppice.llm import decontam, htmltext, langid, linededup, packing, quality, simhash, tokencount, tokenfiles, urlfilter
 
 QUERIES = {
     "op1_token_files": tokenfiles.op1_token_files,
@@ -11,9 +12,11 @@ QUERIES = {
     "op4_benchmark_decontamination": decontam.op4_benchmark_decontamination,
     "op5_language_id": langid.op5_language_id,
     "op6_html_extraction": htmltext.op6_html_extraction,
+    "op7_packing": packing.op7_packing,
     "op8_token_counts": tokencount.op8_token_counts,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -262,7 +262,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Rows of ``docs`` whose doc_id names its group, one row each; rows with a null doc_id stay."""
     firsts = near_groups(docs, id_col, text_col, **options).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
     named = docs.where(F.col(id_col).isNotNull())
-    kept = named.join(firsts, id_col, "left_semi").dropDuplicates([id_col])
+    # Rows are dealt out by doc_id at any size of the other side; dropping repeated rows needs that anyway.
+    kept = named.join(firsts.hint("shuffle_hash"), id_col, "left_semi").dropDuplicates([id_col])
     return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
 
 
