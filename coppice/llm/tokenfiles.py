@@ -22,6 +22,7 @@ document that brings it to ``BLOCK_IDS``.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -40,7 +41,8 @@ END_ID = 2
 STRIDE = 256
 BLOCK_IDS = 1 << 18
 LONGEST_CODE = 18
-REMEMBERED = 1 << 19
+#: Words, and chunks, whose ids a worker remembers.
+REMEMBERED = 3 << 18
 _MAGIC = b"CHB1"
 _HEAD = struct.Struct("<4sIIIIQ")
 
@@ -48,51 +50,75 @@ _HEAD = struct.Struct("<4sIIIIQ")
 # ---- tokenizer -----------------------------------------------------------------
 
 
+#: Letters, then signs that hold no letter or digit.
+_PLAIN = re.compile(rb"([A-Za-z\x80-\xff]+)([!-/:-@\[-`{-~]*)").fullmatch
+
+
+def _byte_characters() -> list[str]:
+    """The characters by which byte-level models write bytes: printable ones stand for themselves, the rest follow from 256 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = (c for c in range(256, 512))
+    return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
+
+
+class _Known(dict):
+    """Ids, as little-endian u32, of chunks met so far; a new one is asked of the library."""
+
+    def __init__(self, ask, limit: int):
+        super().__init__()
+        self.ask, self.limit = ask, limit
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        if len(self) >= self.limit:
+            self.clear()
+        ids = self[chunk] = self.ask(chunk)
+        return ids
+
+
 class Encoder:
     """Ids of texts from the tokenizers library, whose answers for chunks between spaces are remembered.
 
     The library drops white space before it looks for tokens, so the ids of a text
-    are those of its chunks one after the other.
+    are those of its chunks one after the other.  A chunk of letters and signs is
+    cut by the library between the two and lower-cased, so a word is asked for once,
+    however it is written and whatever follows it.  Where lower-casing or
+    normalisation could do more (letters beyond U+0250, marks, digits), the whole
+    chunk goes through the library.
     """
 
     def __init__(self, file: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
-        self.library, self.known, self.remembered = Tokenizer.from_file(file), {}, remembered
-
-    def _ask(self, chunks: list[str], group: int = 4096) -> list[bytes]:
-        out: list[bytes] = []
-        for i in range(0, len(chunks), group):
-            own = chunks[i : i + group]
-            ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1)
-            got = self.library.encode(" ".join(own), add_special_tokens=False)
-            begins = np.array([a for a, _ in got.offsets], np.int64)
-            raw = np.array(got.ids, "<u4").tobytes()
-            cut = [0, *(4 * np.searchsorted(begins, ends)).tolist()]
-            out += [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)]
-        return out
+        self.library = Tokenizer.from_file(file)
+        self.model, self.characters = self.library.model, dict(enumerate(_byte_characters()))
+        self.words, self.signs, self.known = _Known(self._word, remembered), _Known(self._whole, 1 << 16), _Known(self._chunk, remembered)
+
+    def _whole(self, chunk: bytes) -> bytes:
+        return np.array(self.library.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode("latin-1")
+        ids = [t.id for t in self.model.tokenize(text if word.isascii() else text.translate(self.characters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _chunk(self, chunk: bytes) -> bytes:
+        parts = _PLAIN(chunk)
+        if not parts:
+            return self._whole(chunk)
+        word, signs = parts.groups()
+        if word.isascii():
+            word = word.lower()
+        else:
+            text = word.decode()
+            if not text.isalpha() or max(text) >= "\u0250" or "\u0130" in text:
+                return self._whole(chunk)
+            word = text.lower().encode()
+        return self.words[word] + self.signs[signs] if signs else self.words[word]
 
     def __call__(self, rows: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian u32."""
-        parts = [x.decode().split(" ") for x in rows]
-        fresh: set[str] = set()
-        for p in parts:
-            fresh.update(p)
-        if len(self.known) + len(fresh) > self.remembered:
-            self.known = {}
-        fresh.difference_update(self.known)
-        if fresh:
-            # A word of plain letters with a full stop or comma is the word, then the sign; case doesn't matter.
-            plain = {w: (w.lower(), "") if w.isascii() and w.isalpha() else (w[:-1].lower(), w[-1]) if w.isascii() and w[-1:] in (".", ",") and w[:-1].isalpha() else (w, "") for w in fresh}
-            ask = {base for base, _ in plain.values()} | {".", ","}
-            ask = list(ask.difference(self.known))
-            self.known.update(zip(ask, self._ask(ask), strict=True))
-            known = self.known
-            for w, (base, sign) in plain.items():
-                if w not in known:
-                    known[w] = known[base] + known[sign] if sign else known[base]
         get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        return [b"".join(map(get, x.split())) for x in rows]
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -10,14 +10,14 @@ from coppice.llm import tokenfiles
 from coppice.llm.tokenfiles import TOKENIZER, Code, Encoder, code_lengths, pack, read_tokens, unpack, write_tokens
 
 PATH = public_tokenizers.path(TOKENIZER)
-VOCAB = ["straße", "The", "It's", "don't,", "3.14", "É", "naïve.", "<|endoftext|>", "<|startoftext|>x", "a.b,", "...", ",", ".", "İx.", "é", "東京", "😀,", "WORD.", "x y", "　", "ﬁ①", "ǅ.", "'s", "I'LL", "a" * 300, "́a"]
+VOCAB = ["straße", "The", "It's", "don't,", "3.14", "É", "naïve.", "<|endoftext|>", "<|startoftext|>x", "a.b,", "...", ",", ".", "İx.", "é", "東京", "😀,", "WORD.", "x y", "　", "ﬁ①", "ǅ.", "'s", "I'LL", "a" * 300, "́a", "STRASSE'", "it's'", "Ünü_", "don''t", "ÉCOLE!?", "ĳ", "ŉ,", "ſ.", "ª", "µm.", "w\x1cw", "\x1f", "\u00a0x", "x\u2028Y.", "ǰ.", "Å."]
 
 
 def samples():
     rng = random.Random(2)
     out = ["", " ", "\n\n", "a", "  a  b ", "\ta\x0bb\x1c c"]
     for n in (1, 5, 60, 900):
-        out += [rng.choice((" ", "  ", " \n", "\t")).join(rng.choice(VOCAB) for _ in range(n)) for _ in range(25)]
+        out += [rng.choice((" ", "  ", " \n", "\t", "\x85", "\u00a0")).join(rng.choice(VOCAB) for _ in range(n)) for _ in range(25)]
     return out
 
 
