@@ -162,7 +162,8 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, text_hash, runs: array of (begin, end) places of lines to delete) of documents that lose lines."""
     lines = stored(_lines(_keyed(docs, id_col, text_col)), "lines")
     prints = stored(_fingerprints(lines, min_words), "line-fingerprints")
-    repeated = prints.groupBy("fingerprint").agg(F.sum("n").alias("n")).where("n > 1").select("fingerprint")
+    # What is joined back is stored first, so the join deals out both sides itself and can split a frequent value.
+    repeated = stored(prints.groupBy("fingerprint").agg(F.sum("n").alias("n")).where("n > 1").select("fingerprint"), "repeated")
     # Rows that share doc_id and text name one document here: it is flagged, and its lines are taken, once.
     flagged = prints.drop("n").join(repeated, "fingerprint").groupBy("doc_id", "text_hash").agg(F.collect_set("fingerprint").alias("repeated"))
     flagged = flagged.withColumnsRenamed({"doc_id": "of_doc", "text_hash": "of_text"})
@@ -170,7 +171,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     candidates = lines.join(flagged, same).select("doc_id", "text_hash", "hashes", "words", "places", "repeated")
     place = (F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).cast("decimal(19,0)") * F.lit(10**9).cast("decimal(10,0)") + F.col("begin")).cast("decimal(38,0)")
     runs = stored(_extended(candidates, min_words).withColumn("place", place), "runs")
-    first = runs.groupBy("w1", "w2").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").drop("last")
+    first = stored(runs.groupBy("w1", "w2").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").drop("last"), "first-places")
     later = runs.join(first, ["w1", "w2"]).where("place > first")
     return later.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("begin", "end")).alias("runs"))
 
@@ -199,7 +200,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.col(f"`{text_col}`").cast("string")
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     own = docs.select(F.struct(*rest).alias("doc"), text.alias("text"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"))
-    both = own.join(runs, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_hash") == F.col("of_text")), "left").select("doc", "text", "runs")
+    # Texts are dealt out at any size of the other side, which has a row a document at most and needs no sort.
+    both = own.join(runs.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_hash") == F.col("of_text")), "left").select("doc", "text", "runs")
     fields = [T.StructField(c, T.LongType()) for c in ("n_lines", "n_removed_lines", "n_removed_words")]
     schema = T.StructType([both.schema["doc"], T.StructField("text", T.StringType()), *fields])
 
