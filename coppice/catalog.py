@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from coppice.plans.queries import ORACLE_SQL, QUERIES
+
 ENTRY = "optimal_tree_depth2"
+
+__all__ = ["ENTRY", "ORACLE_SQL", "QUERIES"]
