@@ -64,14 +64,11 @@ def problem(patterns: DataFrame, features: int, classes: int, config: FitConfig,
         raise ValueError(f"costs for {len(costs)} classes, the label has {classes}")
     cells = cell_counts(patterns, features, classes, depth, list(keys))
     if keys:
-        tops = cells.where("k = 0").select(*keys, total(classes).alias("rows_of_key"))
-        cells = cells.join(tops, list(keys))
-        unit = None
+        cells = cells.join(cells.where("k = 0").select(*keys, total(classes).alias("rows_of_key")), list(keys))
     else:
         cells = cells.withColumn("rows_of_key", F.lit(rows).cast("long"))
-        unit = 1.0 / max(rows, 1)
-    leaf = leaf_columns(classes, config.loss, costs, unit if unit is not None else 1.0)
-    if unit is None and config.loss == "misclassification" and costs is None:
+    leaf = leaf_columns(classes, config.loss, costs, 1.0)
+    if config.loss == "misclassification" and costs is None:
         leaf["loss"] = F.round(leaf["falses"] / F.col("rows_of_key"), 12)
     cells = cells.withColumn("n_total", total(classes)).withColumns(leaf).withColumn("leaf_objective", F.col("loss") + F.lit(config.regularization))
     return Problem(kept(cells, "cells"), features, classes, depth, rows, costs, config, list(keys))
@@ -164,7 +161,9 @@ def entries(p: Problem, reach: list[DataFrame], trees: bool = False) -> list[Dat
             below = below.join(p.cells.select(*p.keys, "care", "val", F.col("n_total").alias("n")), [*p.keys, "care", "val"])
             sides = [[*side, F.col("n").alias(f"n_{s}")] for side, s in zip(sides, "lr", strict=True)]
         pairs = _supported(p, split_pairs(p, reach[k], below, *sides, ["room", "rows_of_key"]))
-        pairs = pairs.withColumns({c: F.col(f"{c}_l") + F.col(f"{c}_r") for c in _SUMS}).withColumn("loss", F.round("loss", 12))
+        pairs = pairs.withColumns({c: F.col(f"{c}_l") + F.col(f"{c}_r") for c in _SUMS})
+        uniform = p.costs is None and p.config.loss == "misclassification"  # then the loss follows from the errors, without sums of rounded parts
+        pairs = pairs.withColumn("loss", F.round(F.col("falses") / F.col("rows_of_key") if uniform else F.col("loss"), 12))
         pairs = pairs.where(F.col("loss") + F.lit(p.config.regularization) * F.col("leaves") <= F.col("room") + TOLERANCE)
         if p.config.ignore_trivial:
             pairs = pairs.where(~F.coalesce(F.col("leaf_l") == F.col("leaf_r"), F.lit(False)))

@@ -201,7 +201,7 @@ def layout(nodes: DataFrame) -> DataFrame:
     from pyspark.sql.window import Window
 
     level = Window.partitionBy("tree_id", "depth")
-    placed = nodes.withColumn("x", F.row_number().over(level.orderBy("id")) - (F.count("*").over(level) + 1) / 2).withColumn("y", -2.0 * F.col("depth"))
+    placed = nodes.withColumn("x", F.row_number().over(level.orderBy("id")) - (F.count("*").over(level) + 1) / 2).withColumn("y", 0.0 - 2.0 * F.col("depth"))
     edges = edges_df(nodes)
     a = placed.select("tree_id", F.col("id").alias("from"), F.col("x").alias("x_from"), F.col("y").alias("y_from"))
     b = placed.select("tree_id", F.col("id").alias("to"), F.col("x").alias("x_to"), F.col("y").alias("y_to"))

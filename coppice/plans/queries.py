@@ -63,7 +63,7 @@ _LEAF = f"""cell AS (SELECT care, val, k, n_0, n_1, n_0 + n_1 AS n_total, CASE W
 def _sql_best(k: int) -> str:
     return f"""s{k} AS (SELECT a.care, a.val, feature, l.v + r.v AS objective FROM cell a, f JOIN v{k + 1} l ON l.care = a.care + (1 << feature) AND l.val = a.val JOIN v{k + 1} r ON r.care = a.care + (1 << feature) AND r.val = a.val + (1 << feature)
   WHERE a.k = {k} AND a.care & (1 << feature) = 0),
-v{k} AS (SELECT a.care, a.val, a.leaf_objective, least(a.leaf_objective, coalesce(min(objective), a.leaf_objective)) AS v FROM cell a LEFT JOIN s{k} s ON s.care = a.care AND s.val = a.val WHERE a.k = {k} GROUP BY ALL)"""
+v{k} AS (SELECT a.care, a.val, a.leaf_objective, least(a.leaf_objective, coalesce(min(objective), a.leaf_objective)) AS v FROM cell a LEFT JOIN s{k} s ON s.care = a.care AND s.val = a.val WHERE a.k = {k} GROUP BY a.care, a.val, a.leaf_objective)"""
 
 
 _SOLVED = f"{_C2}, {_LEAF}, v2 AS (SELECT care, val, leaf_objective, leaf_objective AS v FROM cell WHERE k = 2), {_sql_best(1)}, {_sql_best(0)}"
@@ -78,7 +78,7 @@ _E0 = f"""e0 AS (SELECT -1 AS feature, prediction AS leaf, falses, tp, tn, 1 AS
 t AS (SELECT e0.*, round(falses / n + {LAMBDA} * leaves, 9) AS objective FROM e0, one WHERE falses / n + {LAMBDA} * leaves <= {BOUND} + 1e-9)"""
 _NEAR = f"{_C2}, {_LEAF}, {_E1}, {_E0}"
 _BEST_TREE = f"{_NEAR}, best AS (SELECT tree, feature, falses, leaves, objective FROM t ORDER BY objective, leaves, length(tree), tree LIMIT 1)"
-_FOLDS = f"fb AS (SELECT *, ((row_number() OVER (PARTITION BY y ORDER BY l_orderkey, l_linenumber) - 1) % 3 + 1)::INT AS fold FROM b)"
+_FOLDS = f"fb AS (SELECT *, ((row_number() OVER (PARTITION BY y ORDER BY {', '.join(task.FOLD_ORDER)}) - 1) % 3 + 1)::INT AS fold FROM b)"
 
 
 # ---- encoding --------------------------------------------------------------------
@@ -242,10 +242,10 @@ def cell_counts(spark, sf):
     return search.cell_counts(patterns(spark, sf), P, 2, P)
 
 
-@query(f"""WITH {SQL_ROWS}, g AS (SELECT {', '.join(f'(bits >> {k}) & 1 AS f{k}' for k in range(3))}, y FROM b) SELECT {', '.join(f'f{k}::INT AS f{k}' for k in range(3))}, GROUPING(f0, f1, f2)::INT AS free, count(*) AS n, sum(y)::BIGINT AS n_1 FROM g GROUP BY CUBE (f0, f1, f2)""")
+@query(f"""WITH {SQL_ROWS}, g AS (SELECT {', '.join(f'(bits >> {k}) & 1 AS f{k}' for k in range(3))}, y FROM b) SELECT {', '.join(f'coalesce(f{k}, -1)::INT AS f{k}' for k in range(3))}, GROUPING(f0, f1, f2)::INT AS free, count(*) AS n, sum(y)::BIGINT AS n_1 FROM g GROUP BY CUBE (f0, f1, f2)""")
 def cell_counts_cube(spark, sf):
     bits = patterns(spark, sf).select(*[F.call_function("shiftright", F.col("bits"), F.lit(k)).bitwiseAND(F.lit(1)).cast("int").alias(f"f{k}") for k in range(3)], "n_0", "n_1")
-    return bits.cube("f0", "f1", "f2").agg(F.grouping_id().cast("int").alias("free"), F.sum(total(2)).alias("n"), F.sum("n_1").alias("n_1"))
+    return bits.cube("f0", "f1", "f2").agg(F.grouping_id().cast("int").alias("free"), F.sum(total(2)).alias("n"), F.sum("n_1").alias("n_1")).fillna(-1, ["f0", "f1", "f2"])
 
 
 @query(f"{_C2}, {_LEAF} SELECT care, val, prediction, falses::BIGINT AS falses, round(leaf_objective, 9) AS objective FROM cell")
@@ -415,9 +415,9 @@ def _two(spark):
 _NODES_SQL = """n AS (SELECT * FROM (VALUES (1, 1, NULL, 0, 'decision'), (1, 2, 1, 1, 'decision'), (1, 3, 1, 1, 'decision'), (1, 4, 2, 2, 'leaf'), (1, 5, 2, 2, 'leaf'), (1, 6, 3, 2, 'leaf'), (1, 7, 3, 2, 'leaf'), (2, 1, NULL, 0, 'decision'), (2, 2, 1, 1, 'leaf'), (2, 3, 1, 1, 'leaf')) AS v(tree_id, id, parent_id, depth, type))"""
 
 
-@query(f"WITH {_NODES_SQL} SELECT tree_id::BIGINT AS tree_id, id::BIGINT AS id, parent_id::BIGINT AS parent_id, depth, type FROM n")
+@query(f"WITH {_NODES_SQL} SELECT tree_id::BIGINT AS tree_id, id::BIGINT AS id, coalesce(parent_id, 0)::BIGINT AS parent_id, depth, type FROM n")
 def tree_nodes(spark, sf):
-    return _two(spark).select("tree_id", "id", "parent_id", "depth", "type")
+    return _two(spark).select("tree_id", "id", F.coalesce("parent_id", F.lit(0)).alias("parent_id"), "depth", "type")
 
 
 @query(f"WITH {_NODES_SQL}, x AS (SELECT *, row_number() OVER (PARTITION BY tree_id, depth ORDER BY id) - (count(*) OVER (PARTITION BY tree_id, depth) + 1) / 2 AS x, -2.0 * depth AS y FROM n) SELECT a.tree_id::BIGINT AS tree_id, a.id::BIGINT AS \"from\", b.id::BIGINT AS \"to\", a.x::DOUBLE AS x_from, a.y::DOUBLE AS y_from, b.x::DOUBLE AS x_to, b.y::DOUBLE AS y_to FROM x a JOIN x b ON a.tree_id = b.tree_id AND b.parent_id = a.id")
@@ -446,7 +446,7 @@ def tree_comparison(spark, sf):
 
 
 def _folded(spark, sf) -> DataFrame:
-    return crossfit.stratified_folds(task.binary(spark, sf, task.FOLD_KEY), "y", list(task.FOLD_KEY), 3)
+    return crossfit.stratified_folds(task.binary(spark, sf, task.FOLD_ORDER), "y", list(task.FOLD_ORDER), 3)
 
 
 def _train(spark, sf) -> DataFrame:

@@ -18,6 +18,8 @@ LABEL = "l_extendedprice * (1 - l_discount) >= 60000"
 NAMES = list(TESTS)
 P = len(TESTS)
 FOLD_KEY = ("l_orderkey", "l_linenumber")
+#: A total order of rows: the key above repeats in the synthetic table.
+FOLD_ORDER = (*FOLD_KEY, "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
 
 
 def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
