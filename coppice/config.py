@@ -63,3 +63,23 @@ class FitConfig:
         if self.bound_adder:
             return best + self.bound_adder
         return best * (1 + (self.bound_multiplier or 0.05))
+
+
+#: Option names of configuration files -> fields; search-only options are accepted and have no effect.
+OPTIONS = {
+    "loss_function": "loss", "regularization": "regularization", "rashomon_bound": "bound", "rashomon_bound_multiplier": "bound_multiplier", "rashomon_bound_adder": "bound_adder",
+    "rashomon_ignore_trivial_extensions": "ignore_trivial", "model_limit": "model_limit", "depth_budget": "max_depth", "minimum_captured_points": "min_support", "balance": "balance",
+    "precision_limit": "precision", "rule_list": "rule_list", "upperbound": "upper_bound",
+}
+WITHOUT_EFFECT = frozenset("look_ahead similar_support cancellation feature_exchange continuous_feature_exchange feature_transform worker_limit stack_limit uncertainty_tolerance time_limit verbose diagnostics rashomon".split())
+
+
+def from_options(options: dict) -> FitConfig:
+    """A configuration from the names that configuration files use; an unknown name is an error."""
+    unknown = set(options) - set(OPTIONS) - WITHOUT_EFFECT
+    if unknown:
+        raise ValueError(f"unknown options: {sorted(unknown)}")
+    values = {OPTIONS[k]: v for k, v in options.items() if k in OPTIONS}
+    if "loss" in values:
+        values["loss"] = values["loss"].replace("-", "_").replace("logloss", "log_loss")
+    return FitConfig(**values)

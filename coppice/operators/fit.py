@@ -134,28 +134,19 @@ def fit_patterns(patterns: DataFrame, rules: list[Rule], classes: list, label: s
     if config.upper_bound and best > config.upper_bound + search.TOLERANCE:
         raise ValueError(f"the optimum {best} is above the given upper bound")
     seconds["optimum"], began = time.time() - began, time.time()
-    tied = search.budgets(p, levels, best)
-    n_optimal = _count(search.entries(p, tied), p)
-    clusters = edges = None
-    bound, n_trees = best, n_optimal
-    reach = tied
-    if not single_tree:
-        bound = config.rashomon_bound(best)
-        reach = search.budgets(p, levels, bound)
-        clusters = kept(search.root_clusters(p, search.entries(p, reach)), "clusters")
-        n_trees = int(clusters.agg(F.sum("trees")).first()[0] or 0)
-        edges = search.dag_edges(p, levels, reach)
+    bound = best if single_tree else config.rashomon_bound(best)
+    reach = search.budgets(p, levels, bound)
+    clusters = kept(search.root_clusters(p, search.entries(p, reach)), "clusters")
+    outcomes = clusters.agg(F.sum("trees").alias("all"), F.sum(F.when(F.col("objective") <= best + search.TOLERANCE, F.col("trees"))).alias("tied")).first()
+    n_trees, n_optimal = int(outcomes["all"] or 0), int(outcomes.tied or 0)
+    edges = None if single_tree else search.dag_edges(p, levels, reach)
     if n_trees > config.model_limit:
         raise ValueError(f"{n_trees} trees are within the bound, over model_limit={config.model_limit}: lower the bound or raise the limit")
     found = search.entries(p, reach, trees=True)[0].select("tree", search.objective(p).alias("objective"), "leaves").orderBy("objective", "leaves", F.length("tree"), "tree")
     texts = [r.tree for r in found.limit(1 if single_tree else n_trees if max_trees is None else max_trees).collect()]
     kept_trees = [trees.parse(t) for t in texts]
     seconds["trees"] = time.time() - began
-    return TreeModel(config, rules, classes, label, best, bound, n_trees, n_optimal, p.rows, kept_trees, _leaf_stats(p, kept_trees), clusters, edges, seconds)
-
-
-def _count(found: list[DataFrame], p: search.Problem) -> int:
-    return int(found[0].agg(F.sum("cnt")).first()[0] or 0)
+    return TreeModel(config, rules, classes, label, best, bound, n_trees, n_optimal, p.rows, kept_trees, _leaf_stats(p, kept_trees), None if single_tree else clusters, edges, seconds)
 
 
 def fit_tree(df: DataFrame, label: str, features: list[str] | None = None, config: FitConfig = FitConfig()) -> TreeModel:

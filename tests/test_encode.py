@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from coppice.operators.encode import binarize, boundaries, codex, find_rule, profile, significant
 
@@ -38,5 +39,13 @@ def test_kinds_and_rules(df):
 
 def test_significant_figures(spark):
     values = [0.0, 1234.0, -1250.0, 0.0456, 99.6, 5.0]
-    got = spark.createDataFrame([(v,) for v in values], "v double").select(significant("v" and __import__("pyspark.sql.functions", fromlist=["col"]).col("v"), 2).alias("r")).collect()
+    got = spark.createDataFrame([(v,) for v in values], "v double").select(significant(F.col("v"), 2).alias("r")).collect()
     assert [round(r.r, 9) for r in got] == [0.0, 1200.0, -1300.0, 0.046, 100.0, 5.0]
+
+
+def test_options_by_name():
+    from coppice.config import FitConfig, from_options
+
+    assert from_options({"regularization": 0.2, "depth_budget": 3, "loss_function": "logloss", "worker_limit": 4}) == FitConfig(regularization=0.2, max_depth=3, loss="log_loss")
+    with pytest.raises(ValueError, match="nope"):
+        from_options({"nope": 1})

@@ -119,8 +119,8 @@ def test_metamorphic(spark):
     one = fit_tree(df, "y", ["a", "b", "c"], cfg)
     assert abs(fit_tree(df.unionAll(df), "y", ["a", "b", "c"], cfg).objective - one.objective) < 1e-12
     assert abs(fit_tree(df, "y", ["c", "a", "b"], cfg).objective - one.objective) < 1e-12
-    sizes = [fit_rashomon(df, "y", ["a", "b", "c"], cfg.with_(bound_multiplier=m)).n_trees for m in (0.01, 0.2, 0.4)]
-    assert sizes == sorted(sizes)
+    few, more = (fit_rashomon(df, "y", ["a", "b", "c"], cfg.with_(bound_multiplier=m, max_depth=3), max_trees=1000) for m in (0.01, 0.4))
+    assert few.n_trees <= more.n_trees and {t.text() for t in few.trees} <= {t.text() for t in more.trees}
 
 
 def test_odd_inputs(spark):
