@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coppice.llm.storage import stored
-from coppice.llm.textscan import LOWER_WORD, joined, passes, runs, texts
+from coppice.llm.storage import mapped, stored
+from coppice.llm.textscan import LOWER_WORD, column_of, joined, passes, runs, texts
 
 WINDOW = 13
 SHARE = 20  # contaminated from one hit word in so many
@@ -223,7 +223,8 @@ _FOUND = "n_words long, hit binary, items array<string>"
 def _searched(docs: DataFrame, ids: dict[bytes, list[str]], keep: list[str], text_col: str) -> DataFrame:
     """(doc: struct of ``keep``, n_words, hit: word indices, items) of each row for one block of patterns."""
     spark = docs.sparkSession
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    inside = text_col in keep and docs.schema[text_col].dataType == T.StringType()  # then the text travels once
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), *([] if inside else [F.col(text_col).cast("string").alias("text")]))
     sent = spark.sparkContext.broadcast(ids)  # at most block_bytes of patterns
     schema = T.StructType([own.schema["doc"], *T._parse_datatype_string(_FOUND).fields])
 
@@ -231,11 +232,11 @@ def _searched(docs: DataFrame, ids: dict[bytes, list[str]], keep: list[str], tex
         ids = sent.value
         classes = compile_patterns(list(ids))
         for b in batches:
-            count, hit, items = hits(texts(b.column(1)), classes, ids)
+            count, hit, items = hits(texts(column_of(b, text_col, own=None if inside else 1)), classes, ids)
             packed = pa.array([h.astype("<u4").tobytes() for h in hit], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count), packed, pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=schema.names)
 
-    return own.mapInArrow(scan, schema)
+    return mapped(own, scan, schema)
 
 
 def _merged(parts: list[DataFrame]) -> DataFrame:

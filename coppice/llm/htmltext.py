@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from coppice.llm.storage import mapped
+
 #: Characters of a short and of a long block, and shares of stop words and of text in links.
 SHORT, LONG = 70, 200
 STOP_LOW, STOP_HIGH = 0.20, 0.30
@@ -234,7 +236,7 @@ def extracted(pages: DataFrame, keep: list[str], html_col: str = "html") -> Data
             found = [main_text(x) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], names=schema.names)
 
-    return own.mapInArrow(scan, schema)
+    return mapped(own, scan, schema)
 
 
 def op6_html_extraction(spark, sf_dir: str) -> DataFrame:

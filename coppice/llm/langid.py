@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coppice.llm.storage import small_rows
+from coppice.llm.storage import mapped, small_rows
 from coppice.llm.textscan import passes, texts
 
 UNDETERMINED = "und"
@@ -186,7 +186,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mi
             met = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(met), pa.string()), pa.array(met.astype(np.int32)), pa.array(n[met])], names=["lang", "bucket", "n"])
 
-    counted = labelled.mapInArrow(scan, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counted = mapped(labelled, scan, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     counts = np.zeros((len(languages), 1 << bits))
     if languages:
         found = counted.toPandas()  # at most one row for each cell of the model
@@ -208,7 +208,7 @@ def predicted(docs: DataFrame, model: Mixture, keep: list[str], text_col: str =
             best, score = model(texts(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([names[i] for i in best.tolist()], pa.string()), pa.array(score)], names=schema.names)
 
-    return own.mapInArrow(scan, schema)
+    return mapped(own, scan, schema)
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:

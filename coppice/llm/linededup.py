@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coppice.llm.storage import stored
+from coppice.llm.storage import mapped, stored
 from coppice.llm.textscan import SpanHash, mix, texts
 
 MIN_WORDS = 50
@@ -102,7 +102,7 @@ def _lines(keyed: DataFrame) -> DataFrame:
                 out[2].append(np.array([i for i, _ in lines], "<i4").tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(x, pa.binary()) for x in out]], names=["doc_id", "text_hash", "hashes", "words", "places"])
 
-    return keyed.mapInArrow(scan, f"{_KEY}, hashes binary, words binary, places binary")
+    return mapped(keyed, scan, f"{_KEY}, hashes binary, words binary, places binary")
 
 
 def _fingerprints(lines: DataFrame, min_words: int) -> DataFrame:
@@ -122,7 +122,7 @@ def _fingerprints(lines: DataFrame, min_words: int) -> DataFrame:
                 at = pa.array(np.concatenate(row))
                 yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate(found)), pa.array(np.concatenate(often).astype(np.int64))], names=["doc_id", "text_hash", "fingerprint", "n"])
 
-    return lines.select("doc_id", "text_hash", "hashes", "words").mapInArrow(scan, f"{_KEY}, fingerprint long, n long")
+    return mapped(lines.select("doc_id", "text_hash", "hashes", "words"), scan, f"{_KEY}, fingerprint long, n long")
 
 
 def _extended(candidates: DataFrame, min_words: int) -> DataFrame:
@@ -155,7 +155,7 @@ def _extended(candidates: DataFrame, min_words: int) -> DataFrame:
                 at = pa.array(row)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *map(pa.array, values)], names=["doc_id", "text_hash", "w1", "w2", "begin", "end"])
 
-    return candidates.mapInArrow(scan, f"{_KEY}, w1 long, w2 long, begin long, end long")
+    return mapped(candidates, scan, f"{_KEY}, w1 long, w2 long, begin long, end long")
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -215,7 +215,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 texts_.append(x)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts_, pa.binary()).cast(pa.string()), *map(pa.array, counts)], names=schema.names)
 
-    return both.mapInArrow(scan, schema)
+    return mapped(both, scan, schema)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, min_words: int = MIN_WORDS) -> DataFrame:

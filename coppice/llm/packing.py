@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coppice.llm.storage import small_rows, stored
+from coppice.llm.storage import mapped, small_rows, stored
 from coppice.llm.tokencount import MODEL, token_counts
 
 BUCKETS = 16
@@ -106,7 +106,7 @@ def packed(lengths: DataFrame, length_col: str = "n_tokens", buckets: int = BUCK
                 seen[k] += len(place)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.full(len(own), shard)), pa.array(at)], names=schema.names)
 
-    numbered = stored(dealt.select("doc", "bucket").mapInArrow(number, schema), "numbered")
+    numbered = stored(mapped(dealt.select("doc", "bucket"), number, schema), "numbered")
     sums = sorted((r.bucket, r.shard, r.n) for r in numbered.groupBy("bucket", "shard").count().withColumnRenamed("count", "n").collect())  # a shard holds few buckets
     begins, batches, offsets = {}, 0, []
     for b in bounds:

@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from coppice.llm.storage import stored
-from coppice.llm.textscan import SPACE, SpanHash, joined, mix, passes, runs, texts
+from coppice.llm.storage import mapped, stored
+from coppice.llm.textscan import SPACE, SpanHash, column_of, joined, mix, passes, runs, texts
 
 WINDOW = 8
 LEAST_WORDS = 20
@@ -106,15 +106,16 @@ def text_counts(rows: list[bytes]) -> dict[str, np.ndarray]:
 
 def with_counts(docs: DataFrame, keep: list[str], text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(doc: struct of ``keep``, lang, source, then COUNTS) of each row."""
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
+    inside = text_col in keep and docs.schema[text_col].dataType == T.StringType()  # then the text travels once
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), *([] if inside else [F.col(text_col).cast("string").alias("text")]))
     schema = T.StructType([*own.schema.fields[:3], *[T.StructField(c, T.LongType(), False) for c in COUNTS]])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts = text_counts(texts(b.column(3)))
+            counts = text_counts(texts(column_of(b, text_col, own=None if inside else 3)))
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *[pa.array(counts[c]) for c in COUNTS]], names=schema.names)
 
-    return own.mapInArrow(scan, schema)
+    return mapped(own, scan, schema)
 
 
 def base_failed() -> Column:

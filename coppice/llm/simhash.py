@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coppice.llm.components import components
-from coppice.llm.storage import stored
+from coppice.llm.storage import mapped, stored
 from coppice.llm.textscan import texts
 
 SHINGLE_WORDS = 3
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(x, shingle, seed) for x in texts(b.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
-    return own.mapInArrow(scan, f"doc_id {kind.simpleString()}, fp long")
+    return mapped(own, scan, f"doc_id {kind.simpleString()}, fp long")
 
 
 def _labels(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
@@ -227,7 +227,7 @@ def near_links(fps: DataFrame, budget: int = BUDGET, split_rows: int = 1 << 18)
     else:
         spread = _subtrees(dealt, large, budget, width)
     ordered = spread.select("slice", "lead", "sub", "turned", "fp").repartition("slice", "lead", "sub").sortWithinPartitions("slice", "lead", "sub", "turned")
-    return ordered.mapInArrow(_join_tries(budget, width), "u long, v long")
+    return mapped(ordered, _join_tries(budget, width), "u long, v long")
 
 
 def _subtrees(dealt: DataFrame, large: DataFrame, budget: int, width: int) -> DataFrame:

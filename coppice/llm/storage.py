@@ -13,6 +13,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SET = "spark.checkpoint.dir"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of a batch that goes to a Python worker; texts vary too much in length for a number of rows.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's limit of bytes in an Arrow batch to BATCH_BYTES; a lower one stays."""
+    now = str(spark.conf.get(_BATCH, "64m")).lower().rstrip("b")
+    unit = {"k": 10, "m": 20, "g": 30}.get(now[-1:], 0)
+    size = int(now[: -1 if unit else None]) << unit
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -26,6 +38,12 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def mapped(df: DataFrame, scan, schema) -> DataFrame:
+    """``df`` through a function over its Arrow batches, which are of bounded size."""
+    bounded_batches(df.sparkSession)
+    return df.mapInArrow(scan, schema)
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
 

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one numpy pass holds; a longer text gets a pass of its own.
-PASS_BYTES = 4 << 20
+PASS_BYTES = 1 << 20
 
 #: The white space of ``[^\x20\x09-\x0D]+``; ``bytes.split()`` splits at the same six.
 SPACE = np.zeros(256, bool)
@@ -30,6 +30,11 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def column_of(batch: pa.RecordBatch, name: str, holder: int = 0, own: int | None = None) -> pa.Array:
+    """A text column: the field ``name`` of the struct at ``holder``, or the column at ``own`` where it travels alone."""
+    return batch.column(own) if own is not None else batch.column(holder).field(name)
+
+
 def passes(rows: list[bytes], limit: int = PASS_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts stay within ``limit`` bytes together."""
     begin = held = 0
@@ -87,6 +92,3 @@ class SpanHash:
         value = (self.sums[end] - self.sums[begin]) * self._inverse[begin]
         return mix(value + (end - begin).astype(np.uint64))
 
-
-def batches_of(schema_names: list[str], arrays: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(arrays, names=schema_names)

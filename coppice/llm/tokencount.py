@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from coppice.llm.storage import mapped
 from coppice.llm.textscan import passes, texts
 
 LIMIT = 4096
@@ -35,7 +36,7 @@ SIGN = "▁"
 #: Symbols of a sequence that is merged in arrays; longer ones go through the heap.
 LONGEST = 64
 #: Pre-tokens whose counts a worker remembers.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 _NONE = np.int32(1 << 30)
 
 
@@ -216,7 +217,7 @@ def token_counts(docs: DataFrame, model_file: str, keep: list[str], text_col: st
             sizes = np.fromiter(map(len, rows), np.int64, len(rows))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(count(rows))], names=schema.names)
 
-    return own.mapInArrow(scan, schema)
+    return mapped(own, scan, schema)
 
 
 def op8_token_counts(spark, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coppice.llm.storage import new_path
+from coppice.llm.storage import mapped, new_path
 from coppice.llm.textscan import texts
 
 TOKENIZER = "word_bpe_49k.json"
@@ -264,7 +264,7 @@ def _tokenized(docs: DataFrame, file: str, end_id: int, dtype: str, id_col: str,
                 small = [np.frombuffer(x, "<u4").astype(dtype).tobytes() for x in raw]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(raw), shard, np.int32)), pa.array(begins), part.column(0), pa.array(n), pa.array(small, pa.binary())], names=["shard", "at", "doc_id", "n", "ids"])
 
-    return dealt.mapInArrow(scan, "shard int, at long, doc_id long, n long, ids binary")
+    return mapped(dealt, scan, "shard int, at long, doc_id long, n long, ids binary")
 
 
 def _id_counts(tokens: DataFrame, vocab: int, dtype: str) -> np.ndarray:
@@ -278,7 +278,7 @@ def _id_counts(tokens: DataFrame, vocab: int, dtype: str) -> np.ndarray:
         met = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(sums[met])], names=["id", "n"])
 
-    counted = tokens.select("ids").mapInArrow(scan, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counted = mapped(tokens.select("ids"), scan, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
     out = np.zeros(vocab, np.int64)
     rows = counted.toPandas()  # at most one row for each id of the vocabulary
     out[rows["id"].to_numpy()] = rows["n"].to_numpy()
@@ -315,7 +315,7 @@ def _blocks(tokens: DataFrame, starts: dict[int, int], lengths: bytes, dtype: st
         if held:
             yield block()
 
-    return tokens.mapInArrow(scan, "shard int, start long, payload binary")
+    return mapped(tokens, scan, "shard int, start long, payload binary")
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", keep_tokens: bool = False) -> None:
@@ -360,7 +360,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                 none = (flags & 1) != 0
                 yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64), mask=none), pa.array(start + begins), pa.array(lengths.astype(np.int64)), pa.array([zlib.crc32(x) for x in cut], pa.int64()), pa.array(cut if with_ids else [None] * len(cut), pa.binary())], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
-    found = blocks.select("start", "payload").mapInArrow(scan, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    found = mapped(blocks.select("start", "payload"), scan, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
     return found if with_ids else found.drop("ids")
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from coppice.llm.storage import mapped
 from coppice.llm.textscan import mix, texts
 
 BUCKETS = 1 << 14
@@ -167,7 +168,7 @@ def judged(pages: DataFrame, keep: list[str], url_col: str = "url", rules: list[
             verdict = [v or ("block" if s >= threshold else "allow") for (_, v), s in zip(found, score.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r for r, _ in found], pa.string()), pa.array(verdict, pa.string()), pa.array(score)], names=schema.names)
 
-    return own.mapInArrow(scan, schema)
+    return mapped(own, scan, schema)
 
 
 def op2_url_filter(spark, sf_dir: str) -> DataFrame:
