@@ -98,7 +98,7 @@ def _supported(p: Problem, pairs: DataFrame) -> DataFrame:
 
 def optimum(p: Problem) -> list[DataFrame]:
     """For each number of literals, the cells with v, the best objective of a tree there."""
-    levels = {p.depth: kept(p.level(p.depth).withColumn("v", F.col("leaf_objective")), "best")}
+    levels = {p.depth: p.level(p.depth).withColumn("v", F.col("leaf_objective"))}
     for k in reversed(range(p.depth)):
         own = p.level(k)
         pairs = split_pairs(p, own, levels[k + 1], [F.col("v").alias("v_l"), F.col("n_total").alias("n_l"), F.col("leaf_objective").alias("leaf_l")], [F.col("v").alias("v_r"), F.col("n_total").alias("n_r"), F.col("leaf_objective").alias("leaf_r")], ["rows_of_key"])
@@ -120,7 +120,7 @@ def best_splits(p: Problem, level: DataFrame, below: DataFrame) -> DataFrame:
 def budgets(p: Problem, levels: list[DataFrame], bounds: DataFrame | float) -> list[DataFrame]:
     """The cells a tree within the bound can reach, with ``room``, the most its subtree there may cost."""
     top = levels[0].join(bounds, p.keys) if p.keys else levels[0].withColumn("bound", F.lit(float(bounds)))
-    out = [kept(top.withColumnRenamed("bound", "room").where(F.col("v") <= F.col("room") + TOLERANCE), "room")]
+    out = [top.withColumnRenamed("bound", "room").where(F.col("v") <= F.col("room") + TOLERANCE)]
     for k in range(p.depth):
         pairs = split_pairs(p, out[k], levels[k + 1], [F.col("v").alias("v_l"), F.col("n_total").alias("n_l")], [F.col("v").alias("v_r"), F.col("n_total").alias("n_r")], ["rows_of_key", "room"])
         pairs = _supported(p, pairs).where(F.col("v_l") + F.col("v_r") <= F.col("room") + TOLERANCE)
@@ -150,8 +150,7 @@ def entries(p: Problem, reach: list[DataFrame], trees: bool = False) -> list[Dat
     tn, leaves); with trees each has its text: a class for a leaf, else (feature true false).
     Leaves and splits stay apart, so a split into two leaves of one class is told exactly.
     """
-    own = _leaf_entries(p, reach[p.depth], trees)
-    out = {p.depth: kept(own, "entries")}
+    out = {p.depth: _leaf_entries(p, reach[p.depth], trees)}
     for k in reversed(range(p.depth)):
         below = out[k + 1]
         if not trees:  # the children's own feature doesn't matter above
@@ -175,7 +174,8 @@ def entries(p: Problem, reach: list[DataFrame], trees: bool = False) -> list[Dat
             splits = pairs.select(*p.keys, "care", "val", "feature", none, *_SUMS, F.lit(1).cast("decimal(38,0)").alias("cnt"), text.alias("tree"))
         else:
             splits = pairs.groupBy(*p.keys, "care", "val", "feature", *_SUMS).agg(F.sum(F.col("cnt_l") * F.col("cnt_r")).cast("decimal(38,0)").alias("cnt")).select(*p.keys, "care", "val", "feature", none, *_SUMS, "cnt")
-        out[k] = kept(_leaf_entries(p, reach[k], trees).unionByName(splits), "entries")
+        own = _leaf_entries(p, reach[k], trees).unionByName(splits)
+        out[k] = kept(own, "entries") if k else own  # what a level above reads twice is stored
     return [out[k] for k in range(p.depth + 1)]
 
 
