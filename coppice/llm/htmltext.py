@@ -2,8 +2,11 @@
 
 A page is cut into blocks at block-level tags.  Pass one decides by rules: blocks
 within menus, headers, footers, sidebars, forms, notices, adverts and comments (by
-element name, role, class or id) are bad; so are blocks mostly of links.  Within an
-article element the rest is good.  Elsewhere long blocks with enough stop words are
+element name, role, class or id) are bad; so are blocks mostly of links.  A class,
+id or role marks its element by the words of its tokens, but not by those behind
+*with*, *has* or *no*, and a mark doesn't count on main, on what holds main, or on
+what holds most of the page's text (see ``_resolved``).  Within an article element
+that isn't bad the rest is good.  Elsewhere long blocks with enough stop words are
 good, those with few are bad, and short or middling ones are left open.  Pass two
 gives an open block the label of its nearest decided neighbours: theirs if both
 agree, else that of the nearer one, else bad; a heading right before good text is
@@ -56,6 +59,12 @@ BAD_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navigation navbar menu menubar breadcrumb breadcrumbs header masthead footer sidebar side aside widget related recommended recommendations share sharing social comment comments commentlist reply replies respond disqus cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login search pagination pager toolbar toc complementary contentinfo".split()
 )
 
+#: Words that turn what follows in a token into a feature of the layout, and, on an article, into its subject.
+MODIFIERS = frozenset("has with without no not hide show".split())
+SUBJECTS = frozenset("tag category cat topic".split())
+#: The bad words of what can rightly be longer than the article.
+OUTGROWING = frozenset("comment comments commentlist reply replies respond disqus related recommended recommendations".split())
+
 _TAG = re.compile(r"""<!--(?:.*?-->|.*)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)""", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD_PARTS = re.compile(r"[a-z]+")
@@ -73,11 +82,69 @@ class Block:
     bad: bool  # within what isn't text
 
 
-def _marked(attributes: str) -> bool:
+@dataclass
+class Mark:
+    """An element whose class, id or role has a bad word."""
+
+    parent: int  # the marked element around it, -1 for none
+    whole: bool  # a token of bad words only
+    outgrowing: bool
+    article: bool = False  # is or holds an article
+    main: bool = False  # holds main
+
+
+def _mark(attributes: str, article: bool) -> tuple[bool, bool] | None:
+    """Whether a token is of bad words only and whether one is of OUTGROWING; None without a bad word."""
+    found, whole, outgrowing = False, False, False
     for _, a, b, c in _ATTRIBUTE.findall(attributes):
-        if not BAD_WORDS.isdisjoint(_WORD_PARTS.findall(_CAMEL.sub(r"\1 \2", a or b or c).lower())):
-            return True
-    return False
+        for token in (a or b or c).split():
+            words = _WORD_PARTS.findall(_CAMEL.sub(r"\1 \2", token).lower())
+            if BAD_WORDS.isdisjoint(words) or (article and words[0] in SUBJECTS):
+                continue
+            own = next((i for i, w in enumerate(words) if w in MODIFIERS), len(words))
+            bad = BAD_WORDS.intersection(words[:own])
+            found = found or bool(bad)
+            whole = whole or (bool(bad) and BAD_WORDS.issuperset(words))
+            outgrowing = outgrowing or not OUTGROWING.isdisjoint(bad)
+    return (whole, outgrowing) if found else None
+
+
+def _resolved(out: list[Block], inside: list[int], marks: list[Mark]) -> list[Block]:
+    """Blocks within marks that count become bad.
+
+    A mark doesn't count on what holds main.  Nor on what holds over half of the text
+    (that of elements bad by name, and of other marks that count for certain, is left
+    out), where the bad word is a part of a longer token, or where the element is or
+    holds an article and hardly a text stands outside of marks.
+    """
+    if not marks:
+        return out
+    for m in reversed(marks):  # what is held further in is held further out
+        if m.parent >= 0:
+            marks[m.parent].article |= m.article
+            marks[m.parent].main |= m.main
+    own, outside = [0] * len(marks), 0
+    for b, k in zip(out, inside, strict=True):
+        if not b.bad and k < 0:
+            outside += len(b.text) - b.linked
+        elif not b.bad:
+            own[k] += len(b.text) - b.linked
+    open_ = [m.main or (not m.outgrowing and (not m.whole or (m.article and outside < SHORT))) for m in marks]
+    reached = []
+    for k, m in enumerate(marks):
+        reached.append(open_[k] and (m.parent < 0 or reached[m.parent]))
+    total = outside + sum(n for n, yes in zip(own, reached, strict=True) if yes)
+    counts = [True] * len(marks)
+    for k in reversed(range(len(marks))):
+        m = marks[k]
+        counts[k] = not (m.main or (open_[k] and 2 * own[k] > total))
+        if not counts[k] and m.parent >= 0:
+            own[m.parent] += own[k]
+    for k, m in enumerate(marks):
+        counts[k] = counts[k] or (m.parent >= 0 and counts[m.parent])
+    for b, k in zip(out, inside, strict=True):
+        b.bad = b.bad or (k >= 0 and counts[k])
+    return out
 
 
 def blocks(page: str) -> list[Block]:
@@ -85,7 +152,10 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, whether it is bad, whether it is an article
+    stack: list[tuple[str, bool, bool, bool]] = []  # element, whether it is bad by name, whether it is an article, whether it is marked
+    marks: list[Mark] = []
+    inside: list[int] = []  # the innermost mark of each block
+    mark = -1
     open_: dict[str, int] = {}
     depth_bad = depth_good = links = 0
     heading = head_of_article = False
@@ -97,6 +167,7 @@ def blocks(page: str) -> list[Block]:
             if text:
                 size = len(_SPACE.sub(" ", unescape(" ".join(linked))).strip()) if linked else 0
                 out.append(Block(text, size, heading, depth_good > 0, depth_bad > 0 or (head_of_article and not heading)))
+                inside.append(mark)
         parts, linked = [], []
 
     at, lowered, breaks = 0, None, 0
@@ -140,7 +211,9 @@ def blocks(page: str) -> list[Block]:
             heading = name in HEADINGS and not closing
             while stack and stack[-1][0] == "p":  # a block ends an open paragraph
                 open_["p"] -= 1
-                depth_bad -= stack.pop()[1]
+                _, bad, _, marked = stack.pop()
+                depth_bad -= bad
+                mark = marks[mark].parent if marked else mark
         if name == "header" and depth_good:
             head_of_article = not closing
             continue
@@ -148,27 +221,34 @@ def blocks(page: str) -> list[Block]:
             if open_.get(name) and name not in BLOCK_TAGS:
                 close()
             while open_.get(name):  # what was opened within ends with it
-                inner, bad, good = stack.pop()
+                inner, bad, good, marked = stack.pop()
                 open_[inner] -= 1
                 depth_bad -= bad
                 depth_good -= good
+                mark = marks[mark].parent if marked else mark
                 if inner == name:
                     break
             head_of_article = head_of_article and depth_good > 0
             continue
         if name in VOID_TAGS:
             continue
-        bad = name in BAD_TAGS or name == "header" or (bool(attributes) and name not in ("html", "body") and _marked(attributes))
-        good = name in GOOD_TAGS
-        if bad and name not in BLOCK_TAGS:
+        bad, good = name in BAD_TAGS or name == "header", name in GOOD_TAGS
+        word = _mark(attributes, good) if attributes and not bad and name not in ("html", "body", "main") else None
+        if (bad or word) and name not in BLOCK_TAGS:
             close()
-        if bad or good or (name in BLOCK_TAGS and name not in HEADINGS and name not in ("p", "li", "td", "th", "tr", "dt", "dd", "option")):
-            stack.append((name, bad, good))
+        if word:
+            marks.append(Mark(mark, *word))
+            mark = len(marks) - 1
+        if good and mark >= 0 and not depth_bad:
+            marks[mark].article = True
+            marks[mark].main |= name == "main"
+        if bad or good or word or (name in BLOCK_TAGS and name not in HEADINGS and name not in ("p", "li", "td", "th", "tr", "dt", "dd", "option")):
+            stack.append((name, bad, good, bool(word)))
             open_[name] = open_.get(name, 0) + 1
             depth_bad += bad
             depth_good += good
     close()
-    return out
+    return _resolved(out, inside, marks)
 
 
 def labels(found: list[Block]) -> list[bool]:
@@ -178,7 +258,7 @@ def labels(found: list[Block]) -> list[bool]:
         words = [w.lower() for w in _WORDS.findall(b.text)]
         density.append(sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0)
     known = max((d for d, b in zip(density, found, strict=True) if len(b.text) >= SHORT and not b.bad), default=0.0) >= STOP_LOW / 2
-    has_article = any(b.good for b in found)
+    has_article = any(b.good and not b.bad for b in found)
     out: list[bool | None] = []
     for b, stops in zip(found, density, strict=True):
         size, links = len(b.text), b.linked / len(b.text)

@@ -31,6 +31,34 @@ def test_pages(body, want):
     assert main_text(page(body)) == "\n\n".join(want)
 
 
+LONG_TALK = "".join(f"<article class='comment'><p>{A}</p></article>" for _ in range(4))
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        (f"<div><p>{A}</p><p>{B}</p></div><article class='comment'><p>{A}</p></article>", [A, B]),
+        (f"<div><p>{A}</p><p>{B}</p></div><section class='comments-area'>{LONG_TALK}</section>", [A, B]),
+        (f"<div class='content with-sidebar'><p>{A}</p><div class='sidebar'>{B}</div></div>", [A]),
+        (f"<main class='has-header'><p>{A}</p></main>", [A]),
+        (f"<article class='post no-comments category-social'><p>{A}</p><div id=comments>{B}</div></article>", [A]),
+        (f"<div class='page withSidebar'><article><p>{A}</p></article><div class='side-bar'>{B}</div></div>", [A]),
+        (f"<div class='sidebar-layout'><div class='cookie-notice'>{B}</div><main><p>{A}</p></main></div>", [A]),
+        (f"<div class='layout sidebar-left'><p>{A}</p><p>{B}</p></div><div class='site-footer'>{B}</div>", [A, B]),
+        (f"<div class='overlay'><article><p>{A}</p></article></div><div class='related-posts'><article>{B}</article></div>", [A]),
+        (f"<article class='widget'><p>{A}</p></article><aside><article>{B}</article></aside>", [A]),
+        (f"<div class='cookie-notice'><p>{A}</p></div>", []),
+        (f"<article><p>{A}</p></article><div class='sidebar'><article><p>{A}</p><p>{B}</p></article></div>", [A]),
+    ],
+)
+def test_marks_leave_the_article(body, want):
+    assert main_text(page(body)) == "\n\n".join(want)
+
+
+def test_many_marks():
+    assert main_text("<div class='x-menu'>" * 20000 + A) == A
+
+
 def test_odd_pages(spark):
     odd = [(1, "u", None, "x"), (2, "u", "", "x"), (3, None, "just text", "x"), (4, "u", "<", "x"), (5, "u", "<p", "x"), (5, "u", "<p", "x"), (6, "u", "<script>never closed", "x"), (7, "u", "<!-- never closed", "x"), (None, "u", "<a href=\"open>x" * 2000, "x"), (8, "u", "<div>" * 20000 + A, "x"), (9, "u", "<p><p></p>" * 5, "x")]
     pages = spark.createDataFrame(odd, "page_id long, url string, html string, text string")
