@@ -246,25 +246,38 @@ def _subtrees(dealt: DataFrame, large: DataFrame, budget: int, width: int) -> Da
     return out
 
 
+def _tied(seen: DataFrame, budget: int, split_rows: int) -> DataFrame:
+    """``seen`` (distinct fingerprints ``fp`` and further columns, a table that can be read again) with root, the same for all linked ones."""
+    member = components(near_links(seen.select("fp"), budget, split_rows))
+    return seen.join(member.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, budget: int = BUDGET, seed: int = SEED, split_rows: int = 1 << 18) -> DataFrame:
     """(doc_id, fp, component_id) for each row; component_id is the least doc_id reachable over links."""
     rows = stored(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
     seen = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    seen = stored(seen, "distinct-fingerprints")
-    member = components(near_links(seen.select("fp"), budget, split_rows))
-    tied = seen.join(member.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    tied = _tied(stored(seen, "distinct-fingerprints"), budget, split_rows)
     names = tied.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_fp = stored(tied.join(names, "root").select("fp", "component_id"), "groups")
     return rows.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Rows of ``docs`` whose doc_id names its group, one row each; rows with a null doc_id stay."""
-    firsts = near_groups(docs, id_col, text_col, **options).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    named = docs.where(F.col(id_col).isNotNull())
-    # Rows are dealt out by doc_id at any size of the other side; dropping repeated rows needs that anyway.
-    kept = named.join(firsts.hint("shuffle_hash"), id_col, "left_semi").dropDuplicates([id_col])
-    return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, budget: int = BUDGET, seed: int = SEED, split_rows: int = 1 << 18) -> DataFrame:
+    """The first row of each group: that of the least doc_id, and among rows with that doc_id of the least row hash.
+
+    Rows with a null doc_id are held against each other only: of each group one stays.
+    """
+    cols = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]  # maps have no hash
+    # A hash skips nulls, so it is told where they are.  Both together name a row; rows with the same are copies in all columns.
+    row_hash = [F.xxhash64(F.lit(k), *cols, *[F.isnull(c) for c in cols]).alias(name) for k, name in enumerate(("high", "low"))]
+    own = docs.select(F.struct(F.col(f"`{id_col}`").alias("id"), *row_hash).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    named = F.col("doc_id.id").isNotNull()
+    seen = fingerprints(own, "row", "text", shingle, seed).groupBy("fp").agg(F.min(F.when(named, F.col("doc_id"))).alias("named"), F.min(F.when(~named, F.col("doc_id"))).alias("unnamed"))
+    tied = _tied(stored(seen, "distinct-fingerprints"), budget, split_rows)
+    firsts = tied.groupBy("root").agg(F.min("named").alias("named"), F.min("unnamed").alias("unnamed")).select(F.explode(F.array("named", "unnamed")).alias("row")).where("row is not null").select("row.high", "row.low")
+    # Rows are dealt out by their hash at any size of the other side; dropping repeated rows needs that anyway.
+    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *row_hash).join(firsts.hint("shuffle_hash"), ["high", "low"], "left_semi").dropDuplicates(["high", "low"])
+    return kept.select("doc.*")
 
 
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -78,6 +78,18 @@ def test_groups_over_a_table(spark):
     assert ids.count(None) == 2
 
 
+def test_first_row_of_each_group_where_ids_repeat(spark):
+    rng = np.random.default_rng(3)
+    one, two, three, four, five = (" ".join(f"w{i}" for i in rng.integers(400, size=120)) for _ in range(5))
+    rows = [(5, one, None), (5, two, "a"), (7, one, "b"), (3, three, "c"), (9, four, "d"), (9, three, None), (9, three, None), (None, five, "e"), (None, five, "e"), (None, five, "f"), (None, None, "g"), (8, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, high string").repartition(3)
+    kept = keep_first(docs)
+    assert kept.schema == docs.schema
+    got = kept.collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in got) == sorted((str(d), str(t)) for d, t in [(5, one), (5, two), (3, three), (9, four), (None, five), (None, None), (8, None)])
+    assert sorted(map(str, keep_first(docs.repartition(2)).collect())) == sorted(map(str, got))
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert near_groups(docs).count() == 0
