@@ -1,7 +1,6 @@
-"""The labelled tables that the queries work on, in Spark and in SQL.
+"""The labelled table that the queries work on, in Spark and in SQL.
 
-Two tasks: whether a line item brings 60 000 or more (eight predicates), and the
-documents' quality label (features from the documents table).
+The task: whether a line item brings 60 000 or more (eight predicates).
 """
 
 from __future__ import annotations
