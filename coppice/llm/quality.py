@@ -1,22 +1,28 @@
 """Quality rules with thresholds learned from quantile sketches.
 
-A document is judged by six measures, each a whole number.  Their distribution
-is sketched per (lang, source): a count for each bin, bins as wide as 1/64 of
-their value, so sketches merge by adding counts and a quantile is off by 1/64 of
-itself at most.  A document is rejected where a measure lies further from the
-group's median than ``WIDTH`` times the distance from median to first decile (the
-lower side, which junk at the upper end doesn't stretch), or than ``WIDTH`` times
-the measure's least spread where that distance is smaller.  Groups of fewer than
-``min_rows`` rows use the merged sketch of their language, and small languages
-that of all rows; with fewer than ``FEWEST`` rows in all nothing is rejected.
+A document is judged by six measures, each a count for so many words, letters or
+lines.  Their rates are sketched per (lang, source): a number of rows for each bin,
+bins as wide as 1/64 of their value, so sketches merge by adding and a quantile is off
+by 1/64 of itself at most.  The threshold of a measure is the group's upper quartile
+and ``REACH`` times its distance from the median above it (for ``word_length`` also as
+far below the lower quartile); nothing of it is fixed.  Up to a quarter of a group can
+be junk without moving it.
+
+A group's quartiles are drawn towards those of its language by ``PRIOR_ROWS`` rows, and
+the language's likewise towards those of all rows, so that small groups lean on large
+ones by degrees and verdicts don't change at a certain size.
+
+A short document's rate varies by chance: it is rejected where its count is more than
+``ERRORS`` standard errors above what the threshold gives for its own length (counts as
+those of a Poisson process; a repeat in 8-word windows comes in units of 16 words).
 
 Base rules come first and rejected rows don't enter the sketches: fewer than 20
 words, or over 30 % of the words in repeated 8-word windows.
 
 Defined results: null text counts as empty (and fails the base rules); null lang
-or source is a group of its own; repeated rows are judged alike; an empty table
-gives an empty result; further columns pass through untouched, whatever their
-names.
+or source is a group of its own; repeated rows are judged alike; ties at a threshold
+are kept; very long texts are counted in full; an empty table gives an empty result;
+further columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,18 +42,18 @@ from coppice.llm.textscan import SPACE, SpanHash, column_of, joined, mix, passes
 WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED = 30  # per cent of the words
-WIDTH = 8
-MIN_ROWS = 100
-FEWEST = 20
+REACH = 4
+ERRORS = 4
+PRIOR_ROWS = 100
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_echoes")
-#: Measure: numerator, denominator, scale, least spread, whether low values are odd too.
+#: Measure: count, what it is counted in, scale of the rate, what one event adds to the count, whether low values are odd too.
 MEASURES = {
-    "symbols": ("n_symbols", "n_words", 10_000, 100, False),
-    "upper": ("n_upper", "n_letters", 10_000, 100, False),
-    "same_lines": ("n_dup_lines", "n_lines", 10_000, 600, False),
-    "same_words": ("n_repeat_words", "n_words", 10_000, 375, False),
-    "echoes": ("n_echoes", "n_words", 10_000, 500, False),
-    "word_length": ("word_chars", "n_words", 1_000, 150, True),
+    "symbols": ("n_symbols", "n_words", 10_000, 1, False),
+    "upper": ("n_upper", "n_letters", 10_000, 1, False),
+    "same_lines": ("n_dup_lines", "n_lines", 10_000, 1, False),
+    "same_words": ("n_repeat_words", "n_words", 10_000, 2 * WINDOW, False),
+    "echoes": ("n_echoes", "n_words", 10_000, 1, False),
+    "word_length": ("word_chars", "n_words", 1_000, 1, True),
 }
 
 _SYMBOL = np.zeros(256, bool)
@@ -139,54 +145,56 @@ def sketches(counted: DataFrame) -> DataFrame:
     return counted.where(~base_failed()).select("lang", "source", values.alias("x")).groupBy("lang", "source", F.col("x.measure").alias("measure"), sketch_bin(F.col("x.v")).alias("bin")).agg(F.count("*").alias("rows"))
 
 
-def _fences(merged: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, rows, low_m and high_m of each measure) from merged sketches."""
+def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, measure, rows, q1, q2, q3) from sketches, merged by the keys."""
     by = Window.partitionBy(*keys, "measure")
-    upto = by.orderBy("bin")
-    ranked = merged.withColumns({"cum": F.sum("rows").over(upto), "total": F.sum("rows").over(by)})
-    per = ranked.groupBy(*keys, "measure").agg(
-        F.max("total").alias("total"),
-        F.min(F.when(F.col("cum") * 2 >= F.col("total"), F.col("bin"))).alias("mid"),
-        F.min(F.when(F.col("cum") * 10 >= F.col("total"), F.col("bin"))).alias("tenth"),
-    )
+    merged = sketch.groupBy(*keys, "measure", "bin").agg(F.sum("rows").alias("rows"))
+    ranked = merged.withColumns({"upto": F.sum("rows").over(by.orderBy("bin")), "total": F.sum("rows").over(by)})
+    at = [F.min(F.when(4 * F.col("upto") >= k * F.col("total"), F.col("bin"))).alias(f"q{k}") for k in (1, 2, 3)]
+    return ranked.groupBy(*keys, "measure").agg(F.max("total").alias("rows"), *at)
+
+
+def _drawn(own: DataFrame, parent: DataFrame, on: Column, prior_rows: int) -> DataFrame:
+    """Quartiles of ``own`` as if the parent's had been met in ``prior_rows`` further rows."""
+    wide = parent.select(*[F.col(c).alias(f"of_{c}") for c in parent.columns])
+    drawn = {f"q{k}": F.expr(f"(rows * q{k} + {prior_rows} * of_q{k}) div (rows + {prior_rows})") for k in (1, 2, 3)}
+    return own.join(wide, on & (F.col("measure") == F.col("of_measure"))).withColumns(drawn).select(*own.columns)
+
+
+def thresholds(sketch: DataFrame, prior_rows: int = PRIOR_ROWS) -> DataFrame:
+    """(lang, source, high_m and low_m of each measure) of each group of ``sketch``, a table that can be read again."""
+    of_lang = _drawn(_quartiles(sketch, ["lang"]), _quartiles(sketch, []), F.lit(True), prior_rows)
+    own = _drawn(_quartiles(sketch, ["lang", "source"]), of_lang, F.col("lang").eqNullSafe(F.col("of_lang")), prior_rows)
     out = []
-    for name, (_, _, _, least, both) in MEASURES.items():
+    for name in MEASURES:
         here = F.col("measure") == name
-        reach = WIDTH * F.greatest(F.col("mid") - F.col("tenth"), F.lit(least))
-        out.append(F.max(F.when(here, F.col("mid") + reach)).alias(f"high_{name}"))
-        out.append(F.max(F.when(here, F.col("mid") - reach if both else F.lit(-1))).alias(f"low_{name}"))
-    return per.groupBy(*keys).agg(F.max("total").alias("total"), *out)
-
-
-def thresholds(sketch: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
-    """Fences of each (lang, source) of ``sketch``, from the narrowest level with enough rows."""
-    fences = [f"{side}_{m}" for m in MEASURES for side in ("high", "low")]
-    by_lang = stored(sketch.groupBy("lang", "measure", "bin").agg(F.sum("rows").alias("rows")), "lang-sketches")
-    over_all = by_lang.groupBy("measure", "bin").agg(F.sum("rows").alias("rows")).withColumn("one", F.lit(1))
-    packed = lambda df, keys, name: df.select(*keys, F.col("total").alias(f"n_{name}"), F.struct(*fences).alias(name))
-    narrow = packed(_fences(sketch, ["lang", "source"]), ["lang", "source"], "narrow")
-    middle = packed(_fences(by_lang, ["lang"]), [F.col("lang").alias("of_lang")], "middle")
-    wide = packed(_fences(over_all, ["one"]).where(F.col("total") >= FEWEST), [F.col("one").alias("of_all")], "wide")
-    every = narrow.join(middle, F.col("lang").eqNullSafe(F.col("of_lang"))).withColumn("of_all", F.lit(1)).join(F.broadcast(wide), "of_all", "left")  # wide is one row
-    chosen = F.when(F.col("n_narrow") >= min_rows, F.col("narrow")).when(F.col("n_middle") >= min_rows, F.col("middle")).otherwise(F.col("wide"))
-    return every.select("lang", "source", chosen.alias("fence")).select("lang", "source", "fence.*")
-
-
-def judged(counted: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
+        out.append(F.max(F.when(here, F.col("q3") + REACH * (F.col("q3") - F.col("q2")))).alias(f"high_{name}"))
+        out.append(F.max(F.when(here, F.greatest(F.col("q1") - REACH * (F.col("q2") - F.col("q1")), F.lit(0)))).alias(f"low_{name}"))
+    return own.groupBy("lang", "source").agg(*out)
+
+
+def _beyond(name: str) -> str:
+    """SQL, for both engines: whether a row's count is too far beyond its group's thresholds."""
+    count, size, scale, unit, both = MEASURES[name]
+    due = {side: f"{side}_{name} * {size} / {scale}" for side in ("high", "low")}
+    slack = {side: f"{ERRORS} * sqrt({unit} * ({d} + {unit}))" for side, d in due.items()}
+    above = f"{count} > {due['high']} + {slack['high']}"
+    return f"({above} OR {count} < {due['low']} - {slack['low']})" if both else f"({above})"
+
+
+def judged(counted: DataFrame, prior_rows: int = PRIOR_ROWS) -> DataFrame:
     """``counted`` (a table that can be read twice) with base_failed and kept."""
-    fences = stored(thresholds(stored(sketches(counted), "sketches"), min_rows), "thresholds")
+    fences = stored(thresholds(stored(sketches(counted), "sketches"), prior_rows), "thresholds")
     fences = fences.withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
-    odd = F.lit(False)
-    for m in MEASURES:
-        odd = odd | F.coalesce(measure(m) > F.col(f"high_{m}"), F.lit(False)) | F.coalesce(measure(m) < F.col(f"low_{m}"), F.lit(False))
+    odd = F.expr(" OR ".join(f"coalesce({_beyond(m)}, false)" for m in MEASURES))
     both = counted.join(fences, F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source")), "left")
     return both.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~odd).select("doc", *COUNTS, "base_failed", "kept")
 
 
-def filtered(docs: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
+def filtered(docs: DataFrame, prior_rows: int = PRIOR_ROWS) -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns."""
     counted = stored(with_counts(docs, docs.columns), "counted")
-    return judged(counted, min_rows).where("kept").select("doc.*")
+    return judged(counted, prior_rows).where("kept").select("doc.*")
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -200,21 +208,19 @@ _TOP = {m: f"({s} * {a}) // greatest({b}, 1)" for m, (a, b, s, _, _) in MEASURES
 _BIN = "((v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0))"
 
 
-def _sql_fences(name: str, source: str, keys: str) -> str:
+def _sql_quartiles(name: str, keys: str) -> str:
     on = f"{keys}, " if keys else ""
-    cols = []
-    for m, (_, _, _, least, both) in MEASURES.items():
-        reach = f"{WIDTH} * greatest(mid - tenth, {least})"
-        cols.append(f"max(CASE WHEN measure = '{m}' THEN mid + {reach} END) AS high_{m}")
-        cols.append(f"max(CASE WHEN measure = '{m}' THEN {f'mid - {reach}' if both else '-1'} END) AS low_{m}")
-    return f"""{name}_c AS (SELECT *, sum(rows) OVER (PARTITION BY {on}measure ORDER BY bin) AS cum, sum(rows) OVER (PARTITION BY {on}measure) AS total
-  FROM (SELECT {on}measure, bin, sum(rows) AS rows FROM {source} GROUP BY ALL)),
-{name}_q AS (SELECT {on}measure, max(total) AS total, min(CASE WHEN cum * 2 >= total THEN bin END) AS mid, min(CASE WHEN cum * 10 >= total THEN bin END) AS tenth FROM {name}_c GROUP BY ALL),
-{name} AS (SELECT {on}max(total) AS total, {', '.join(cols)} FROM {name}_q {'GROUP BY ' + keys if keys else ''})"""
+    at = ", ".join(f"min(CASE WHEN 4 * upto >= {k} * total THEN bin END) AS q{k}" for k in (1, 2, 3))
+    return f"""{name} AS (SELECT {on}measure, max(total)::BIGINT AS rows, {at} FROM (SELECT *, sum(rows) OVER (PARTITION BY {on}measure ORDER BY bin) AS upto, sum(rows) OVER (PARTITION BY {on}measure) AS total
+  FROM (SELECT {on}measure, bin, sum(rows) AS rows FROM sk GROUP BY ALL)) GROUP BY ALL)"""
+
+
+def _sql_drawn(own: str, parent: str) -> str:
+    return ", ".join(f"(({own}.rows * {own}.q{k} + {PRIOR_ROWS} * {parent}.q{k}) // ({own}.rows + {PRIOR_ROWS}))::BIGINT AS q{k}" for k in (1, 2, 3))
 
 
-def _sql_chosen(side: str, m: str) -> str:
-    return f"CASE WHEN n.total >= {MIN_ROWS} THEN n.{side}_{m} WHEN l.total >= {MIN_ROWS} THEN l.{side}_{m} WHEN a.total >= {FEWEST} THEN a.{side}_{m} END"
+def _sql_pivot() -> str:
+    return ", ".join(f"max(CASE WHEN measure = '{m}' THEN {e} END) AS {side}_{m}" for m in MEASURES for side, e in (("high", f"q3 + {REACH} * (q3 - q2)"), ("low", f"greatest(q1 - {REACH} * (q2 - q1), 0)")))
 
 
 #: The same rules for DuckDB, from the texts on.
@@ -234,11 +240,13 @@ m AS (SELECT d.r, doc_id, lang, source, len(ws)::BIGINT AS n_words, coalesce(lis
 b AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed, {', '.join(f'{e} AS m_{k}' for k, e in _TOP.items())} FROM m),
 vals AS (SELECT lang, source, measure, v::BIGINT AS v FROM ({' UNION ALL '.join(f"SELECT lang, source, '{k}' AS measure, m_{k} AS v FROM b WHERE NOT base_failed" for k in MEASURES)})),
 sk AS (SELECT lang, source, measure, {_BIN} AS bin, count(*) AS rows FROM vals GROUP BY ALL),
-{_sql_fences('fn', 'sk', 'lang, source')},
-{_sql_fences('fl', 'sk', 'lang')},
-{_sql_fences('fa', 'sk', '')}
+{_sql_quartiles('qs', 'lang, source')},
+{_sql_quartiles('ql', 'lang')},
+{_sql_quartiles('qa', '')},
+dl AS (SELECT ql.lang, measure, {_sql_drawn('ql', 'qa')} FROM ql JOIN qa USING (measure)),
+ds AS (SELECT qs.lang, qs.source, qs.measure, {_sql_drawn('qs', 'dl')} FROM qs JOIN dl ON qs.lang IS NOT DISTINCT FROM dl.lang AND qs.measure = dl.measure),
+f AS (SELECT lang, source, {_sql_pivot()} FROM ds GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT ({' OR '.join(f'coalesce(m_{m} > {_sql_chosen("high", m)}, false) OR coalesce(m_{m} < {_sql_chosen("low", m)}, false)' for m in MEASURES)}) AS kept
-FROM b LEFT JOIN fn n ON b.lang IS NOT DISTINCT FROM n.lang AND b.source IS NOT DISTINCT FROM n.source
-LEFT JOIN fl l ON b.lang IS NOT DISTINCT FROM l.lang CROSS JOIN fa a
+  NOT base_failed AND NOT ({' OR '.join(f'coalesce({_beyond(m)}, false)' for m in MEASURES)}) AS kept
+FROM b LEFT JOIN f ON b.lang IS NOT DISTINCT FROM f.lang AND b.source IS NOT DISTINCT FROM f.source
 """

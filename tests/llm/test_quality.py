@@ -55,6 +55,43 @@ def test_sql_gives_the_same(spark, tmp_path):
     assert sorted(map(tuple, got.select(*names).collect())) == sorted(want.fetchall())
 
 
+def test_thresholds_follow_the_group(spark):
+    """Code has symbols and prose has none: each is judged by its own kind, and a small source by its language."""
+    prose = [(i, " ".join(f"word{(i * 7 + k * 13) % 211}" for k in range(60)), "en", "prose") for i in range(300)]
+    code = [(1000 + i, " ".join(f"word{(i + k) % 97}" + ("*" if k % 3 else "") for k in range(60 + i % 5)), "en", "code") for i in range(300)]
+    few = [(2000, code[0][1], "en", "tiny"), (2001, prose[0][1], "en", "tiny")]
+    odd = [(3000, code[0][1], "en", "prose"), (3001, " ".join(f"word{k}**********" for k in range(60)), "en", "code")]
+    docs = spark.createDataFrame(prose + code + few + odd, "doc_id long, text string, lang string, source string")
+    assert {r.doc_id for r in filtered(docs).collect()} == {r[0] for r in prose + code + few}
+
+
+def test_every_threshold_is_a_learned_one(spark):
+    """On the test tables no constant decides: a threshold is what the quartiles of its group, drawn to its language, give."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    counted = with_counts(docs, ["doc_id"]).cache()
+    got = {(r.lang, r.source): r for r in quality.thresholds(quality.sketches(counted)).collect()}
+    rows = counted.where(~quality.base_failed()).collect()
+    bin_ = lambda v: v >> max(v.bit_length() - 7, 0) << max(v.bit_length() - 7, 0)
+    quart = lambda vs: [sorted(vs)[-(-k * len(vs) // 4) - 1] for k in (1, 2, 3)]
+    drawn = lambda n, own, wide: [(n * a + quality.PRIOR_ROWS * b) // (n + quality.PRIOR_ROWS) for a, b in zip(own, wide, strict=True)]
+    for m, (top, bottom, scale, _, _) in quality.MEASURES.items():
+        value = lambda r: bin_(scale * r[top] // max(r[bottom], 1))
+        wide = quart([value(r) for r in rows])
+        for (lang, source), f in got.items():
+            in_lang, own = ([value(r) for r in rows if r.lang == lang and (s is None or r.source == s)] for s in (None, source))
+            q1, q2, q3 = drawn(len(own), quart(own), drawn(len(in_lang), quart(in_lang), wide))
+            assert (f[f"high_{m}"], f[f"low_{m}"]) == (q3 + quality.REACH * (q3 - q2), max(0, q1 - quality.REACH * (q2 - q1)))
+    counted.unpersist()
+
+
+def test_clean_documents_stay(spark):
+    """Labelled good documents that pass the base rules: at least 99 in 100 are kept, and junk goes."""
+    sf = "/root/testdata/sf0.01"
+    got = quality.op9_quality_rules(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("not base_failed").collect()
+    good, bad = ([r.kept for r in got if r.quality == q] for q in (1, 0))
+    assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.05 * len(bad)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     assert judged(with_counts(docs, ["doc_id"])).count() == 0
