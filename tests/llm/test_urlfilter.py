@@ -1,6 +1,7 @@
 import math
+import re
 
-from coppice.llm.urlfilter import BUCKETS, GRAMS, LABELLED, RULES, _FIELD_SEED, Rules, judged, scores, train
+from coppice.llm.urlfilter import BUCKETS, GRAMS, LABELLED, MOST_LABELLED, ORDINARY, RULES, THRESHOLD, UNWANTED, _FIELD_SEED, Rules, judged, scores, train
 
 MASK = (1 << 64) - 1
 
@@ -41,15 +42,40 @@ def test_every_column(spark):
         rule, verdict = plain_rule(host, path)
         assert (r.host, r.path, r.rule) == (host, path, rule)
         assert abs(r.score - plain_score(weights, host.encode(), path.encode())) < 1e-9
-        assert r.verdict == (verdict or ("block" if r.score >= 0.5 else "allow"))
+        assert r.verdict == (verdict or ("block" if r.score >= THRESHOLD else "allow"))
     assert judged(pages.where("false"), ["page_id"]).count() == 0
 
 
-def test_model_tells_spam_from_ordinary_hosts():
-    weights = train(LABELLED)
-    spam = [b"cheap-pills.example.com", b"www.casino-win.example.org", b"ads-track.example.org", b"free-bets.example.com", b"m.adult-x.example.net", b"pills-cheap.example.org"]
-    plain = [b"ththre.example.com", b"blog.tionsh.example.net", b"www.therou.example.org", b"m.thinor.example.com", b"gallery.example.org", b""]
-    assert (scores(weights, spam, [b"/en/700"] * 6) >= 0.5).all() and (scores(weights, plain, [b"/en/700"] * 6) < 0.5).all()
+def test_labelled_sites_are_none_of_the_pages(spark):
+    """No site of the pages is in the labelled table, and its pages of unwanted subjects are found all the same."""
+    names = {re.sub(r"^(www|blog|m)\.", "", u.partition("://")[2]).partition(".")[0] for u, _ in LABELLED}
+    assert not set(UNWANTED) & set(ORDINARY) and len(LABELLED) <= MOST_LABELLED
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    hit, clean = [], []
+    for r in judged(pages, ["page_id"]).select("host", "score").collect():
+        site = re.sub(r"^(www|blog|m)\.", "", r.host).partition(".")[0]
+        assert site not in names
+        (hit if re.search("pills|casino|ads|spam|bets|adult", site) else clean).append(r.score >= THRESHOLD)
+    assert sum(hit) > 0.8 * len(hit) > 50 and not any(clean)
+
+
+def test_cross_validation():
+    """Names that the model hasn't seen: ordinary ones stay, and of unwanted ones it finds what shares words with others."""
+    right, of = [0, 0], [0, 0]
+    for fold in range(10):
+        weights = train([x for i, x in enumerate(LABELLED) if i % 10 != fold])
+        for url, unwanted in LABELLED[fold::10]:
+            host, path = re.match(r"(?:https?://([^/]*)(.*))?$", url).groups(default="")
+            right[unwanted] += (scores(weights, [host.encode()], [path.encode()])[0] >= THRESHOLD) == unwanted
+            of[unwanted] += 1
+    assert right[0] >= 0.85 * of[0] and right[1] >= 0.45 * of[1]
+
+
+def test_long_urls_and_clashing_names(spark):
+    long = "https://" + "a" * 70_000 + ".example/" + "casino" * 20_000
+    pages = spark.createDataFrame([(1, long, "v", "h", 2.0), (1, long, "v", "h", 2.0)], "page_id long, url string, verdict string, host string, score double")
+    got = judged(pages, pages.columns).collect()
+    assert len(got) == 2 and got[0] == got[1] and len(got[0].host) == 70_008 and len(got[0].path) == 120_001 and got[0].page.host == "h"
 
 
 def test_rules_take_the_longest():
