@@ -1,23 +1,28 @@
 """Main text of web pages by block rules in two passes.
 
-A page is cut into blocks at block-level tags.  Pass one decides by rules: blocks
-within menus, headers, footers, sidebars, forms, notices, adverts and comments (by
-element name, role, class or id) are bad; so are blocks mostly of links.  A class,
-id or role marks its element by the words of its tokens, but not by those behind
-*with*, *has* or *no*, and a mark doesn't count on main, on what holds main, or on
-what holds most of the page's text (see ``_resolved``).  Within an article element
-that isn't bad the rest is good.  Elsewhere long blocks with enough stop words are
-good, those with few are bad, and short or middling ones are left open.  Pass two
-gives an open block the label of its nearest decided neighbours: theirs if both
-agree, else that of the nearer one, else bad; a heading right before good text is
-good.
-
-Fixed values below are lengths in characters and shares, and stop words of the four
-languages; a page in none of them is judged by length and links alone.
+A page is cut into blocks at block-level tags.  Pass one scores every block by the
+share of stop words among its words, its length and the share of its text in links;
+where it stands is one more feature: in an article, outside of the page's article, or
+in a menu, header, footer, sidebar, form, notice, advert or comment (by element name,
+role, class or id).  A class, id or role marks its element by the words of its tokens,
+but not by those behind *with*, *has* or *no*, and a mark doesn't count on main, on what
+holds main, or on what holds most of the page's text (see ``_resolved``).  A score of
+``GOOD`` or more is text, of ``BAD`` or less is not; between them, and for short blocks
+that aren't bad, the block is left open.
+
+Pass two gives an open block the label of its nearest decided neighbours in the same
+article, or outside of articles: theirs if both agree, else that of the nearer one, else
+bad; a heading right before text is text.  Blocks that are bad for where they stand say
+nothing of what is beside them.  Within an article a block is text unless both
+neighbours aren't.
+
+Fixed values below are lengths in characters, shares and weights, and stop words of the
+four languages; a page in none of them is judged by length, links and place.
 
 Defined results: null or empty html gives the empty text; a page without tags is
-one block; unclosed elements end with the page; repeated rows are treated alike; an
-empty table gives none.
+one block; unclosed elements end with the page; texts of formulas and drawings stay;
+very long pages are read whole; ties go as said above; repeated rows are treated alike;
+further columns pass through a struct, whatever their names; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -34,11 +39,14 @@ from pyspark.sql import types as T
 
 from coppice.llm.storage import mapped
 
-#: Characters of a short and of a long block, and shares of stop words and of text in links.
+#: Characters of a short and of a long block, and shares of stop words.
 SHORT, LONG = 70, 200
 STOP_LOW, STOP_HIGH = 0.20, 0.30
-MOST_LINKED = 0.35
-MOST_LINKED_ARTICLE = 0.6
+#: Scores from which a block is decided, and what features add to it.
+GOOD, BAD = 1.0, -1.0
+STOPS, LENGTH = 1.0, 1.0
+LINKS, HEADING_LINKS, SMALL_PRINT = -5.0, -2.5, -2.0
+IN_ARTICLE, OUTSIDE, FURNITURE = 2.0, -4.0, -8.0
 #: Stop words.
 STOP_WORDS = frozenset(
     "the of and to in a is that it for was on are as with be by at this from or not have but an they you which were their".split()
@@ -49,7 +57,9 @@ STOP_WORDS = frozenset(
 
 #: Element names.
 BLOCK_TAGS = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split())
-RAW_TAGS = frozenset("script style noscript template textarea iframe xmp noembed noframes svg math object canvas".split())
+RAW_TAGS = frozenset("script style noscript template textarea iframe xmp noembed noframes".split())
+#: Raw within a drawing.
+SVG_RAW = frozenset("title desc metadata".split())
 BAD_TAGS = frozenset("nav footer aside form head title button select menu dialog fieldset".split())
 GOOD_TAGS = frozenset("article main".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -67,6 +77,7 @@ OUTGROWING = frozenset("comment comments commentlist reply replies respond disqu
 
 _TAG = re.compile(r"""<!--(?:.*?-->|.*)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)""", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_MAIN = re.compile(r"""(?:^|\s)(?:role\s*=\s*["']?main\b|itemprop\s*=\s*["']?articleBody\b)""")
 _WORD_PARTS = re.compile(r"[a-z]+")
 _WORDS = re.compile(r"[^\W\d_]+")
 _SPACE = re.compile(r"\s+")
@@ -78,7 +89,7 @@ class Block:
     text: str
     linked: int
     heading: bool
-    good: bool  # within an article
+    article: int  # number of the article it is in, -1 for none
     bad: bool  # within what isn't text
 
 
@@ -157,7 +168,8 @@ def blocks(page: str) -> list[Block]:
     inside: list[int] = []  # the innermost mark of each block
     mark = -1
     open_: dict[str, int] = {}
-    depth_bad = depth_good = links = 0
+    depth_bad = links = svg = 0
+    articles, met = [-1], 0  # the articles that are open, and how many there were
     heading = head_of_article = False
 
     def close() -> None:
@@ -166,7 +178,7 @@ def blocks(page: str) -> list[Block]:
             text = _SPACE.sub(" ", unescape("".join(parts))).strip()
             if text:
                 size = len(_SPACE.sub(" ", unescape(" ".join(linked))).strip()) if linked else 0
-                out.append(Block(text, size, heading, depth_good > 0, depth_bad > 0 or (head_of_article and not heading)))
+                out.append(Block(text, size, heading, articles[-1], depth_bad > 0 or (head_of_article and not heading)))
                 inside.append(mark)
         parts, linked = [], []
 
@@ -188,7 +200,9 @@ def blocks(page: str) -> list[Block]:
         if not name:
             continue
         closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
-        if name in RAW_TAGS:
+        if name == "svg" and not attributes.endswith("/"):
+            svg = max(0, svg + (-1 if closing else 1))
+        if name in RAW_TAGS or (svg and name in SVG_RAW):
             if not closing and not attributes.rstrip().endswith("/"):
                 if lowered is None:
                     lowered = page.lower() if len(page.lower()) == n else "".join(c.lower() if c < "\x80" else c for c in page)
@@ -214,7 +228,7 @@ def blocks(page: str) -> list[Block]:
                 _, bad, _, marked = stack.pop()
                 depth_bad -= bad
                 mark = marks[mark].parent if marked else mark
-        if name == "header" and depth_good:
+        if name == "header" and len(articles) > 1:
             head_of_article = not closing
             continue
         if closing:
@@ -224,15 +238,16 @@ def blocks(page: str) -> list[Block]:
                 inner, bad, good, marked = stack.pop()
                 open_[inner] -= 1
                 depth_bad -= bad
-                depth_good -= good
+                if good:
+                    articles.pop()
                 mark = marks[mark].parent if marked else mark
                 if inner == name:
                     break
-            head_of_article = head_of_article and depth_good > 0
+            head_of_article = head_of_article and len(articles) > 1
             continue
         if name in VOID_TAGS:
             continue
-        bad, good = name in BAD_TAGS or name == "header", name in GOOD_TAGS
+        bad, good = name in BAD_TAGS or name == "header", name in GOOD_TAGS or ("main" in attributes or "articleBody" in attributes) and name in BLOCK_TAGS and bool(_MAIN.search(attributes))
         word = _mark(attributes, good) if attributes and not bad and name not in ("html", "body", "main") else None
         if (bad or word) and name not in BLOCK_TAGS:
             close()
@@ -241,61 +256,71 @@ def blocks(page: str) -> list[Block]:
             mark = len(marks) - 1
         if good and mark >= 0 and not depth_bad:
             marks[mark].article = True
-            marks[mark].main |= name == "main"
+            marks[mark].main |= name != "article"
         if bad or good or word or (name in BLOCK_TAGS and name not in HEADINGS and name not in ("p", "li", "td", "th", "tr", "dt", "dd", "option")):
             stack.append((name, bad, good, bool(word)))
             open_[name] = open_.get(name, 0) + 1
             depth_bad += bad
-            depth_good += good
+            if good:
+                articles.append(met)
+                met += 1
     close()
     return _resolved(out, inside, marks)
 
 
-def labels(found: list[Block]) -> list[bool]:
-    """Whether each block belongs to the article."""
+def scored(found: list[Block]) -> list[bool | None]:
+    """Pass one: whether each block is text; None where its score leaves it open."""
     density = []
     for b in found:
         words = [w.lower() for w in _WORDS.findall(b.text)]
         density.append(sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0)
     known = max((d for d, b in zip(density, found, strict=True) if len(b.text) >= SHORT and not b.bad), default=0.0) >= STOP_LOW / 2
-    has_article = any(b.good and not b.bad for b in found)
+    has_article = any(b.article >= 0 and not b.bad for b in found)
     out: list[bool | None] = []
     for b, stops in zip(found, density, strict=True):
-        size, links = len(b.text), b.linked / len(b.text)
-        if b.bad or (has_article and not b.good) or links > (MOST_LINKED_ARTICLE if b.good else MOST_LINKED):
-            out.append(False)
-        elif b.good:
-            out.append(True)
-        elif "©" in b.text and size < LONG:
-            out.append(False)
-        elif size < SHORT:
-            out.append(False if b.linked else None)
-        elif not known or stops >= STOP_HIGH:
-            out.append(True if size > LONG or stops >= STOP_HIGH else None)
-        else:
-            out.append(None if stops >= STOP_LOW else False)
-    decided = [i for i, x in enumerate(out) if x is not None]
-    if not decided:
-        return [not b.bad for b in found]
-    final, k = [], 0
-    for i, x in enumerate(out):
-        while k < len(decided) and decided[k] < i:
-            k += 1
-        if x is not None:
-            final.append(x)
-            continue
-        before = decided[k - 1] if k else None
-        after = decided[k] if k < len(decided) else None
-        if after is not None and found[i].heading and all(found[j].heading for j in range(i, after)) and out[after]:
-            final.append(True)
-        elif before is None or after is None:
-            final.append(bool(out[after if before is None else before]))
-        elif out[before] == out[after]:
-            final.append(bool(out[before]))
-        else:
-            near, far = (before, after) if i - before < after - i else (after, before)
-            final.append(bool(out[near]) if i - before != after - i else False)
-    return final
+        size = len(b.text)
+        score = (IN_ARTICLE if b.article >= 0 else OUTSIDE * has_article) + FURNITURE * b.bad + (HEADING_LINKS if b.heading else LINKS) * b.linked / size
+        if size < LONG and "©" in b.text:
+            score += SMALL_PRINT
+        if size >= SHORT and known:
+            score += STOPS * ((stops >= STOP_HIGH) - (stops < STOP_LOW))
+        if size > LONG:
+            score += LENGTH
+        out.append(False if score <= BAD else True if score >= GOOD and size >= SHORT else None)
+    return out
+
+
+def labels(found: list[Block]) -> list[bool]:
+    """Whether each block belongs to the article: pass one, and pass two for what it leaves open."""
+    first = scored(found)
+    out = [bool(x) for x in first]
+    groups: dict[int, list[int]] = {}
+    for i, b in enumerate(found):
+        if not b.bad:
+            groups.setdefault(b.article, []).append(i)
+    for article, own in groups.items():
+        decided = [p for p, i in enumerate(own) if first[i] is not None]
+        plain = len(own)  # the next place without a heading
+        k = len(decided) - 1
+        for p in reversed(range(len(own))):
+            i = own[p]
+            plain = plain if found[i].heading else p
+            while k >= 0 and decided[k] >= p:
+                k -= 1
+            if first[i] is not None:
+                continue
+            sides = [decided[j] for j in (k, k + 1) if 0 <= j < len(decided)]
+            near = [bool(first[own[q]]) for q in sides]
+            if article >= 0:
+                out[i] = len(near) < 2 or any(near)
+            elif len(near) < 2 or near[0] == near[1]:
+                out[i] = not near or near[0]
+            elif near[1] and plain >= sides[1]:
+                out[i] = True
+            else:
+                before, after = p - sides[0], sides[1] - p
+                out[i] = before != after and near[before > after]
+    return out
 
 
 def main_text(page: str | None) -> str:

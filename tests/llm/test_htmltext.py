@@ -1,10 +1,12 @@
 import html
 import re
+from html.parser import HTMLParser
 
 import pandas as pd
 import pytest
 
-from coppice.llm.htmltext import extracted, main_text
+from coppice.llm import htmltext as H
+from coppice.llm.htmltext import blocks, extracted, main_text, scored
 
 A = "The history of the town is long, and it is told by those who have lived in it for most of their lives. It was built on a hill by the river, as many of them were."
 B = "In the morning the market is full of people from all the villages that are on the other side of the river, and by noon they have gone home with what they bought."
@@ -61,13 +63,114 @@ def test_many_marks():
 
 def test_odd_pages(spark):
     odd = [(1, "u", None, "x"), (2, "u", "", "x"), (3, None, "just text", "x"), (4, "u", "<", "x"), (5, "u", "<p", "x"), (5, "u", "<p", "x"), (6, "u", "<script>never closed", "x"), (7, "u", "<!-- never closed", "x"), (None, "u", "<a href=\"open>x" * 2000, "x"), (8, "u", "<div>" * 20000 + A, "x"), (9, "u", "<p><p></p>" * 5, "x")]
-    pages = spark.createDataFrame(odd, "page_id long, url string, html string, text string")
+    pages = spark.createDataFrame(odd, "page_id long, url string, html string, text string")  # a column named like the result's
     got = {r.page_id: r for r in extracted(pages, ["page_id", "url"]).select("page.page_id", "text", "n_chars").collect()}
     assert [got[k].text for k in (1, 2, 3, 5, 6, 7, 8, 9)] == ["", "", "just text", "", "", "", A, ""]
     assert all(r.n_chars == len(r.text) for r in got.values())
     assert extracted(pages.where("false"), ["page_id"]).count() == 0
 
 
+class Plain(HTMLParser):
+    """Blocks of a page as (text, characters in links, heading, article, bad), for the elements of the test tables."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.out, self.text, self.linked, self.open = [], "", "", []
+        self.feed(page)
+        self.close()
+        self.end()
+
+    def end(self):
+        flat = lambda x: " ".join(x.split())
+        if flat(self.text):
+            self.out.append((flat(self.text), len(flat(self.linked)), "h1" in self.open, "article" in self.open, bool({"nav", "footer", "title", "ad", "head"} & set(self.open))))
+        self.text = self.linked = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in H.BLOCK_TAGS:
+            self.end()
+            if "p" in self.open:
+                self.open = self.open[: self.open.index("p")]
+        if tag not in H.VOID_TAGS:
+            self.open.append(dict(attrs).get("class") or tag if tag == "div" else tag)
+        if tag == "br":
+            self.text += " "
+
+    def handle_endtag(self, tag):
+        if tag in H.BLOCK_TAGS:
+            self.end()
+        names = [tag] if tag != "div" else ["div", "ad"]
+        at = max((i for i, x in enumerate(self.open) if x in names), default=None)
+        if at is not None and (tag != "b" or self.open[-1] == "b"):
+            self.open = self.open[:at]
+
+    def handle_data(self, data):
+        if "script" not in self.open and "style" not in self.open:
+            self.text += data
+            self.linked += data if "a" in self.open else ""
+
+
+def plain_text(page):
+    """The rules of both passes, each block looked at by itself and its neighbours searched one by one."""
+    found = Plain(page).out
+    share = lambda t: (lambda w: sum(x.lower() in H.STOP_WORDS for x in w) / len(w) if w else 0)(re.findall(r"[^\W\d_]+", t))
+    known = any(share(t) >= 0.1 for t, _, _, _, bad in found if not bad and len(t) >= 70)
+    some = any(art and not bad for _, _, _, art, bad in found)
+    first = []
+    for t, linked, heading, art, bad in found:
+        points = (2 if art else -4 if some else 0) - 8 * bad - (2.5 if heading else 5) * linked / len(t) - 2 * ("©" in t and len(t) < 200)
+        if len(t) >= 70 and known:
+            points += (share(t) >= 0.3) - (share(t) < 0.2)
+        points += len(t) > 200
+        first.append(False if points <= -1 else True if points >= 1 and len(t) >= 70 else None)
+    out = []
+    for i, (t, _, _, art, bad) in enumerate(found):
+        own = [j for j, b in enumerate(found) if not b[4] and b[3] == art]
+        label = first[i]
+        if label is None:
+            before, after = ([j for j in side if first[j] is not None] for side in (own[: own.index(i)][::-1], own[own.index(i) + 1 :]))
+            if not before or not after:
+                label = True if art else next((first[j] for j in before[:1] + after[:1]), True)
+            elif art or first[before[0]] == first[after[0]]:
+                label = first[before[0]] or first[after[0]]
+            elif first[after[0]] and all(found[j][2] for j in own[own.index(i) : own.index(after[0])]):
+                label = True
+            else:
+                back, on = own.index(i) - own.index(before[0]), own.index(after[0]) - own.index(i)
+                label = back != on and first[before[0] if back < on else after[0]]
+        if label and not bad:
+            out.append(t)
+    return "\n\n".join(out)
+
+
+def test_a_plain_version_agrees_and_both_passes_decide():
+    """All pages, as they are and with their articles as plain divisions."""
+    pages = pd.read_parquet("/root/testdata/sf0.01/pages.parquet").html
+    for stripped in (False, True):
+        by_score = by_neighbours = kept = 0
+        for h in pages:
+            if stripped:
+                h = h.replace("<article>", "<div>").replace("</article>", "</div>")
+            assert main_text(h) == plain_text(h)
+            found = blocks(h)
+            for b, first in zip(found, scored(found), strict=True):
+                if not b.bad:
+                    by_score, by_neighbours = by_score + (first is not None), by_neighbours + (first is None)
+            kept += len(main_text(h))
+        assert min(by_score, by_neighbours) > 300
+        whole = sum(len(main_text(h)) for h in pages) if stripped else kept
+        assert kept >= 0.9 * whole
+
+
+def test_formulas_drawings_and_long_pages():
+    assert main_text(page(f"<article><p>{A} <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p></article>")) == f"{A} x=1 holds."
+    assert main_text(page(f"<article><p>{A} <svg viewBox='0'><title>T</title><desc>D</desc><text>label</text></svg> and <canvas>c</canvas>.</p></article>")) == f"{A} label and c."
+    assert main_text(page(f"<div role='main' class='with-menu'><p>Short.</p></div><div><p>{B}</p></div>")) == "Short."
+    many = "".join(f"<h2>Part {i}</h2><p>{A}</p>" for i in range(20_000))
+    assert len(main_text(page(f"<div>{many}</div>"))) == sum(len(f"Part {i}") + len(A) + 4 for i in range(20_000)) - 2
+    assert main_text("<h2>x</h2>" * 50_000 + f"<p>{A}</p><a href=1>{B}</a>").count("x\n\n") == 50_000
+
+
 def test_pages_of_the_test_tables():
     """Articles of the synthetic pages, cut out in a plain way."""
     for h in pd.read_parquet("/root/testdata/sf0.001/pages.parquet").html:
