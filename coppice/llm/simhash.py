@@ -11,13 +11,22 @@ whose leaves are known to be one component is pruned as well), so a group of n
 near copies gives n-1 links, not n². A trie of more than ``split_rows`` rows is
 cut below its slice: pairs of its subtrees within the budget become tasks.
 
+``keep_first`` is to find copies with a few words changed: texts that share four fifths
+of their five-word shingles.  Those differ in up to 11 bits of a fingerprint of three-word
+shingles, too many for tries that hold at any size.  So it takes ``PRINTS`` fingerprints
+of a text, each of independent hashes of its words (a word weighs the root of its count,
+so frequent ones don't decide), and links texts that are within the budget in one of them.
+
 Defined results: a null or wordless text has fingerprint zero and is linked like
 any other; rows with a null doc_id are grouped, but never name a group; repeated
-rows are kept; an empty table gives an empty result.
+rows are kept; ties (a bit set in just half) are zero; very long texts are hashed whole;
+further columns are ignored or pass through, whatever their names; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -26,6 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from coppice.llm.components import components
 from coppice.llm.storage import mapped, stored
@@ -34,6 +44,10 @@ from coppice.llm.textscan import texts
 SHINGLE_WORDS = 3
 BUDGET = 3
 SEED = 42
+#: Fingerprints of a text in ``keep_first``.
+PRINTS = 4
+#: Words whose hashes a worker remembers, 32 bytes a fingerprint pair and word.
+REMEMBERED = 1 << 18
 #: Hashes whose bits are added up at once.
 CHUNK = 1 << 15
 #: Node pairs that go down together.
@@ -75,6 +89,37 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return mapped(own, scan, f"doc_id {kind.simpleString()}, fp long")
 
 
+class WordPrints:
+    """``prints`` 64-bit fingerprints of a text from its words; remembers the hashes of the words it has met."""
+
+    def __init__(self, prints: int = PRINTS, remembered: int = REMEMBERED):
+        self.seeds, self.prints = range(-(-prints // 2)), prints
+        self.remembered, self.place, self.hashes = remembered, {}, np.zeros((1 << 10, 16 * len(self.seeds)), np.uint8)
+
+    def _places(self, words: list[bytes]) -> np.ndarray:
+        place = self.place
+        if len(place) > self.remembered:
+            place.clear()
+        for w in words:
+            if w not in place:
+                if len(place) == len(self.hashes):
+                    self.hashes = np.concatenate((self.hashes, np.zeros_like(self.hashes)))
+                self.hashes[len(place)] = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w, s) for s in self.seeds]), np.uint8)
+                place[w] = len(place)
+        return np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+
+    def __call__(self, text: bytes) -> np.ndarray:
+        counts = Counter(text.lower().split())
+        weights = np.rint(16 * np.sqrt(np.fromiter(counts.values(), np.int64, len(counts))))  # whole numbers: sums are exact in any order
+        words, total = list(counts), np.zeros(64 * self.prints)
+        step = CHUNK // 8
+        for i in range(0, len(words), step):
+            places = self._places(words[i : i + step])
+            bits = np.unpackbits(self.hashes[places], axis=1)[:, : 64 * self.prints]
+            total += weights[i : i + step] @ bits
+        return np.packbits(2 * total > weights.sum()).view(">u8").astype(np.int64)
+
+
 def _labels(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
     """Least label of each component after links (a, b) are added."""
     while len(a):
@@ -186,11 +231,11 @@ def _join_tries(budget: int, skip_bits: int, hold: int = 1 << 19):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        rows = 0
+        rows, limit = 0, hold
         for b in batches:
             held.append(b)
             rows += b.num_rows
-            if rows >= hold:
+            if rows >= limit:
                 table = pa.Table.from_batches(held).combine_chunks()
                 key = [table.column(c).to_numpy() for c in ("slice", "lead", "sub")]
                 last = np.ones(table.num_rows, bool)
@@ -201,9 +246,7 @@ def _join_tries(budget: int, skip_bits: int, hold: int = 1 << 19):
                     yield from links(table.slice(0, first))
                     table = table.slice(first)
                 held, rows = table.to_batches(), table.num_rows
-                hold_more = rows >= hold
-                if hold_more:  # one group fills the buffer; it is bounded by split_rows and its pair
-                    continue
+                limit = max(hold, 2 * rows)  # one group may fill the buffer (split_rows and its pair bound it); it isn't looked at again at every batch
         if held:
             yield from links(pa.Table.from_batches(held))
 
@@ -246,34 +289,59 @@ def _subtrees(dealt: DataFrame, large: DataFrame, budget: int, width: int) -> Da
     return out
 
 
-def _tied(seen: DataFrame, budget: int, split_rows: int) -> DataFrame:
-    """``seen`` (distinct fingerprints ``fp`` and further columns, a table that can be read again) with root, the same for all linked ones."""
-    member = components(near_links(seen.select("fp"), budget, split_rows))
-    return seen.join(member.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-
-
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, budget: int = BUDGET, seed: int = SEED, split_rows: int = 1 << 18) -> DataFrame:
     """(doc_id, fp, component_id) for each row; component_id is the least doc_id reachable over links."""
     rows = stored(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
-    seen = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    tied = _tied(stored(seen, "distinct-fingerprints"), budget, split_rows)
+    seen = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
+    member = components(near_links(seen.select("fp"), budget, split_rows))
+    tied = seen.join(member.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = tied.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_fp = stored(tied.join(names, "root").select("fp", "component_id"), "groups")
     return rows.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, budget: int = BUDGET, seed: int = SEED, split_rows: int = 1 << 18) -> DataFrame:
-    """The first row of each group: that of the least doc_id, and among rows with that doc_id of the least row hash.
+def _printed(own: DataFrame, prints: int) -> DataFrame:
+    """(row, f0 ..): the fingerprints of (row, text)."""
+    schema = T.StructType([own.schema["row"], *[T.StructField(f"f{k}", T.LongType(), False) for k in range(prints)]])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = WordPrints(prints)
+        for b in batches:
+            found = np.array([of(x) for x in texts(b.column(1))], np.int64).reshape(-1, prints)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(found[:, k].copy()) for k in range(prints)]], names=schema.names)
+
+    return mapped(own, scan, schema)
+
+
+def near_prints(seen: DataFrame, prints: int = PRINTS, budget: int = BUDGET, split_rows: int = 1 << 18) -> DataFrame:
+    """(f0, root): ``seen`` holds distinct f0 ..; those within the budget in one of the fingerprints share their root, an f0.
+
+    Each fingerprint's tries give links between its own values; a value stands for the
+    least f0 it occurs with, so all links are between values of f0.
+    """
+    links = near_links(seen.select(F.col("f0").alias("fp")).distinct(), budget, split_rows)
+    for k in range(1, prints):
+        of = stored(seen.groupBy(F.col(f"f{k}").alias("fp")).agg(F.min("f0").alias("f0")), "distinct-fingerprints")
+        side = lambda c, of=of: of.select(F.col("fp").alias(c), F.col("f0").alias(f"of_{c}"))
+        between = near_links(of.select("fp"), budget, split_rows).join(side("u"), "u").join(side("v"), "v").select(F.col("of_u").alias("u"), F.col("of_v").alias("v"))
+        same = seen.select(F.col("f0").alias("u"), F.col(f"f{k}").alias("fp")).join(of, "fp").select("u", F.col("f0").alias("v"))
+        links = links.unionByName(between).unionByName(same)
+    return components(links).withColumnRenamed("node", "f0")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prints: int = PRINTS, budget: int = BUDGET, split_rows: int = 1 << 18) -> DataFrame:
+    """The first row of each group of near copies: that of the least doc_id, and among rows with that doc_id of the least row hash.
 
     Rows with a null doc_id are held against each other only: of each group one stays.
     """
     cols = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]  # maps have no hash
     # A hash skips nulls, so it is told where they are.  Both together name a row; rows with the same are copies in all columns.
     row_hash = [F.xxhash64(F.lit(k), *cols, *[F.isnull(c) for c in cols]).alias(name) for k, name in enumerate(("high", "low"))]
-    own = docs.select(F.struct(F.col(f"`{id_col}`").alias("id"), *row_hash).alias("row"), F.col(f"`{text_col}`").alias("text"))
-    named = F.col("doc_id.id").isNotNull()
-    seen = fingerprints(own, "row", "text", shingle, seed).groupBy("fp").agg(F.min(F.when(named, F.col("doc_id"))).alias("named"), F.min(F.when(~named, F.col("doc_id"))).alias("unnamed"))
-    tied = _tied(stored(seen, "distinct-fingerprints"), budget, split_rows)
+    own = docs.select(F.struct(F.col(f"`{id_col}`").alias("id"), *row_hash).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    named = F.col("row.id").isNotNull()
+    keys = [f"f{k}" for k in range(prints)]
+    seen = stored(_printed(own, prints).groupBy(*keys).agg(F.min(F.when(named, F.col("row"))).alias("named"), F.min(F.when(~named, F.col("row"))).alias("unnamed")), "distinct-prints")
+    tied = seen.join(near_prints(seen.select(*keys), prints, budget, split_rows), "f0", "left").withColumn("root", F.coalesce("root", "f0"))
     firsts = tied.groupBy("root").agg(F.min("named").alias("named"), F.min("unnamed").alias("unnamed")).select(F.explode(F.array("named", "unnamed")).alias("row")).where("row is not null").select("row.high", "row.low")
     # Rows are dealt out by their hash at any size of the other side; dropping repeated rows needs that anyway.
     kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *row_hash).join(firsts.hint("shuffle_hash"), ["high", "low"], "left_semi").dropDuplicates(["high", "low"])

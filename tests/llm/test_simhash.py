@@ -1,7 +1,10 @@
+from collections import Counter, defaultdict
+
 import numpy as np
+import pandas as pd
 import xxhash
 
-from coppice.llm.simhash import fingerprint, keep_first, near_groups, near_links, trie_forest
+from coppice.llm.simhash import BUDGET, PRINTS, WordPrints, fingerprint, keep_first, near_groups, near_links, trie_forest
 
 
 def plain_fingerprint(text):
@@ -71,11 +74,66 @@ def test_groups_over_a_table(spark):
         got = near_groups(docs, split_rows=split).select("doc_id", "component_id").collect()
         key = lambda x: (x[0] is None, x[0] or 0, x[1] or 0)
         assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
-    kept = keep_first(docs)
-    assert kept.columns == docs.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted({d for d, c in want if d is not None and d == c})
-    assert ids.count(None) == 2
+
+
+def plain_prints(text):
+    counts, out = Counter((text or "").encode().lower().split()), []
+    hashes = {w: b"".join(xxhash.xxh3_128_digest(w, s) for s in range(-(-PRINTS // 2))) for w in counts}
+    weight = {w: round(16 * n**0.5) for w, n in counts.items()}
+    for k in range(PRINTS):
+        bits = {w: int.from_bytes(h[8 * k : 8 * k + 8], "big") for w, h in hashes.items()}
+        out.append(sum(1 << b for b in range(64) if 2 * sum(weight[w] for w in counts if bits[w] >> b & 1) > sum(weight.values())))
+    return out
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Against all pairs, with tries whole and cut, and with few words remembered."""
+    rng = np.random.default_rng(1)
+    words = [f"w{i}" for i in range(400)]
+    rows, base = [], [" ".join(rng.choice(words, 150)) for _ in range(12)]
+    for i in range(150):
+        w = base[i % 12].split()
+        for _ in range(i % 9):
+            w[int(rng.integers(len(w)))] = "zz"
+        rows.append((i, " ".join(w)))
+    rows += [(200, None), (201, ""), (202, " \n"), (203, rows[0][1]), (204, rows[0][1] + " É é")]
+    prints = [plain_prints(t) for _, t in rows]
+    few = WordPrints(remembered=50)
+    assert [[int(x) for x in few((t or "").encode()).view(np.uint64)] for _, t in rows] == prints
+    least = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if least[i] != least[j] and any((a ^ b).bit_count() <= BUDGET for a, b in zip(prints[i], prints[j], strict=True)):
+                low, high = sorted((least[i], least[j]))
+                least = [low if x == high else x for x in least]
+    docs = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, f0 string, root int")
+    for split in (1 << 18, 4):
+        kept = keep_first(docs, split_rows=split)
+        assert kept.columns == docs.columns
+        assert sorted(r.doc_id for r in kept.collect()) == sorted({rows[x][0] for x in least})
+
+
+def test_near_copies_go_and_others_stay(spark):
+    """Pairs that share four fifths of their five-word shingles, counted exactly: nine in ten and more are found; texts that share little stay."""
+    docs = pd.read_parquet("/root/testdata/sf0.1/documents.parquet").drop_duplicates("text")
+    texts = {int(i): tuple(t.encode().lower().split()) for i, t in zip(docs.doc_id, docs.text, strict=True) if t and len(t.split()) >= 20}
+    shingles = {i: {w[k : k + 5] for k in range(len(w) - 4)} for i, w in texts.items()}
+    where = defaultdict(list)
+    for i, own in shingles.items():
+        for x in own:
+            where[x].append(i)
+    shared = Counter((a, b) for ids in where.values() for n, a in enumerate(ids) for b in ids[n + 1 :])
+    alike = {p: n / (len(shingles[p[0]]) + len(shingles[p[1]]) - n) for p, n in shared.items()}
+    of = WordPrints()
+    prints = {i: of(b" ".join(w)).view(np.uint64) for i, w in texts.items()}
+    near = [p for p, x in alike.items() if x >= 0.8]
+    assert len(near) > 20
+    found = [bool((np.bitwise_count(prints[a] ^ prints[b]) <= BUDGET).any()) for a, b in near]
+    assert np.mean(found) >= 0.9
+    ids, matrix = sorted(prints), np.stack([prints[i] for i in sorted(prints)])
+    for n, i in enumerate(ids):
+        for m in np.flatnonzero((np.bitwise_count(matrix[n + 1 :] ^ matrix[n]) <= BUDGET).any(axis=1)):
+            assert alike.get((i, ids[n + 1 + m]), alike.get((ids[n + 1 + m], i), 0)) > 0.3
 
 
 def test_first_row_of_each_group_where_ids_repeat(spark):
