@@ -8,11 +8,15 @@ independent.  Pre-tokens not seen before are held as ragged arrays, those of lik
 length together: every round finds each sequence's pair of lowest rank, the
 leftmost of equals, and merges it in all sequences at once, until no pair is a
 piece; the symbols that survive are counted, one for a known piece and one a byte
-for an unknown character.  Very long pre-tokens, which would need as many rounds
-as they have symbols, are merged through a heap in the same order.
+for an unknown character.  Sequences of over ``NARROW`` symbols (script without spaces,
+encoded data) lie end to end in one array: a round takes the lowest rank that is left
+and merges all its pairs in all sequences, so there are as many rounds as ranks met, not
+as symbols.  Where a merge makes a pair that comes before the rest of its rank, the
+sequence stops there for this round, which keeps the order of one merge at a time.
 
-Defined results: null counts as the empty text, which has no token; repeated rows
-are counted alike; further columns are ignored.
+Defined results: null counts as the empty text, which has no token; pairs of equal rank
+go from left to right; very long texts are counted whole; repeated rows are counted
+alike; further columns are ignored, whatever their names; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -33,8 +37,8 @@ from coppice.llm.textscan import passes, texts
 LIMIT = 4096
 MODEL = "piece_bpe_32k.model"
 SIGN = "▁"
-#: Symbols of a sequence that is merged in arrays; longer ones go through the heap.
-LONGEST = 64
+#: Symbols of the widest rows of symbols; longer sequences lie end to end.
+NARROW = 64
 #: Pre-tokens whose counts a worker remembers.
 REMEMBERED = 1 << 18
 _NONE = np.int32(1 << 30)
@@ -64,7 +68,6 @@ class MergeTable:
         key = table[:, 0] * self.width + table[:, 1]
         order = np.argsort(key)
         self.keys, self.ranks, self.products = key[order], table[order, 2].astype(np.int32), table[order, 3].astype(np.int32)
-        self.of_pair = {(a, b): (r, p) for a, b, r, p in pairs}
         self.first = np.full(0x110000, -1, np.int32)  # symbol of a character; -1: never merges
         self.cost = np.array([1 if s in pieces else len(s.encode()) for s in symbols], np.int64)
         self.alone = np.ones(0x110000, np.int64)  # tokens of a character that never merges
@@ -98,14 +101,15 @@ class MergeTable:
         code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         begins = np.cumsum(sizes) - sizes
         low = 0
-        for high in (4, 8, 12, 16, 24, 32, LONGEST):
+        for high in (4, 8, 12, 16, 24, 32, NARROW):
             some = np.flatnonzero((sizes > low) & (sizes <= high))
             for part in np.array_split(some, max(1, len(some) * high // (1 << 20))):
                 if len(part):
                     out[part] = self._merge(code, begins[part], sizes[part], high)
             low = high
-        for i in np.flatnonzero(sizes > LONGEST).tolist():
-            out[i] = self._merge_long(code[begins[i] : begins[i] + sizes[i]])
+        long = np.flatnonzero(sizes > NARROW)
+        if len(long):
+            out[long] = self._merge_flat(np.concatenate([code[b : b + n] for b, n in zip(begins[long].tolist(), sizes[long].tolist(), strict=True)]), sizes[long])
         return out
 
     def _merge(self, code: np.ndarray, begins: np.ndarray, sizes: np.ndarray, width: int) -> np.ndarray:
@@ -146,28 +150,63 @@ class MergeTable:
             rank[rows, prev], product[rows, prev] = self.look_up(symbol[rows, prev], symbol[rows, at[left]])
         return np.where(alive, self.cost[np.maximum(symbol, 0)], 0).sum(axis=1) + bytes_
 
-    def _merge_long(self, code: np.ndarray) -> int:
-        symbol = self.first[code].tolist()
-        n = len(symbol)
-        after, before, pair = list(range(1, n + 1)), list(range(-1, n - 1)), self.of_pair
-        heap = [(hit[0], i, symbol[i], symbol[i + 1], hit[1]) for i in range(n - 1) if (hit := pair.get((symbol[i], symbol[i + 1])))]
-        heapq.heapify(heap)
-        gone = bytearray(n)
-        while heap:
-            _, i, a, b, p = heapq.heappop(heap)
-            j = after[i]
-            if gone[i] or j >= n or symbol[i] != a or symbol[j] != b:
+    def _merge_flat(self, code: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        n, seq = len(code), np.repeat(np.arange(len(sizes)), sizes)
+        symbol = np.append(self.first[code], np.int32(-1))  # the last one is what lies beyond either end
+        last = np.cumsum(sizes) - 1
+        after, before = np.append(np.arange(1, n + 1), n), np.append(np.arange(-1, n - 1), n)
+        after[last], before[last - sizes + 1] = n, n
+        alive = np.ones(n + 1, bool)
+        rank, product = self.look_up(symbol, symbol[after])
+        pending: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def put(places: np.ndarray) -> None:
+            places = places[rank[places] < _NONE]
+            order = np.argsort(rank[places], kind="stable")
+            places, own = places[order], rank[places[order]]
+            cuts = np.flatnonzero(np.diff(own)) + 1
+            for part in np.split(places, cuts) if len(places) else ():
+                r = int(rank[part[0]])
+                if r not in pending:
+                    pending[r] = []
+                    heapq.heappush(ranks, r)
+                pending[r].append(part)
+
+        put(np.arange(n))
+        while ranks:
+            r = heapq.heappop(ranks)
+            met = np.unique(np.concatenate(pending.pop(r)))
+            met = met[alive[met] & (rank[met] == r)]
+            if not len(met):
                 continue
-            symbol[i], gone[j] = p, 1
-            k = after[i] = after[j]
-            if k < n:
-                before[k] = i
-                if hit := pair.get((p, symbol[k])):
-                    heapq.heappush(heap, (hit[0], i, p, symbol[k], hit[1]))
-            h = before[i]
-            if h >= 0 and (hit := pair.get((symbol[h], p))):
-                heapq.heappush(heap, (hit[0], h, symbol[h], p, hit[1]))
-        return sum(int(self.cost[s]) if s >= 0 else int(self.alone[c]) for s, c, g in zip(symbol, code.tolist(), gone, strict=True) if not g)
+            # Of pairs that overlap in a chain, the first, third, ... merge.
+            chained = np.concatenate(([False], after[met[:-1]] == met[1:]))
+            place = np.arange(len(met))
+            at = met[(place - np.maximum.accumulate(np.where(chained, 0, place))) % 2 == 0]
+            gone, new = after[at], product[at]
+            nxt, prev = after[gone], before[at]
+            beside = np.concatenate(([False], gone[:-1] == prev[1:]))  # what is left of it merges in this round too
+            left = np.where(beside, np.concatenate((new[:1], new[:-1])), symbol[prev])
+            early = np.minimum(self.look_up(left, new)[0], self.look_up(new, symbol[nxt])[0]) <= r
+            if early.any():
+                stops = np.cumsum(early) - early
+                own = seq[at]
+                first = np.searchsorted(own, own)  # places ascend, so sequences do
+                go = stops == stops[first]
+                pending[r] = [met]
+                heapq.heappush(ranks, r)
+                at, gone, new, nxt, prev, beside = (x[go] for x in (at, gone, new, nxt, prev, beside))
+            symbol[at], alive[gone], rank[gone] = new, False, _NONE
+            after[at] = nxt
+            before[nxt] = at
+            before[n] = n
+            changed = np.concatenate((at, prev[~beside & (prev < n)]))
+            rank[changed], product[changed] = self.look_up(symbol[changed], symbol[after[changed]])
+            put(changed)
+        stay = np.flatnonzero(alive[:n])
+        worth = np.where(symbol[stay] >= 0, self.cost[np.maximum(symbol[stay], 0)], self.alone[code[stay]])
+        return np.bincount(seq[stay], weights=worth, minlength=len(sizes)).astype(np.int64)
 
 
 class Counter:
