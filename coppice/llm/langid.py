@@ -3,18 +3,23 @@
 Training counts hashed byte 4-grams of letters per language over all labelled
 documents outside the held-out fold.  A document is a mixture of languages: each of
 its n-grams comes from language l with probability pi_l, then has that language's
-likelihood.  Expectation-maximisation estimates pi; the language set is chosen by
-penalised likelihood among the best one, two and three languages, each further one
-costing ``PENALTY`` times the logarithm of the number of n-grams.  The prediction is
-the language with the largest share in the chosen set, the score that share.
+likelihood.  The language set is chosen by penalised likelihood: it starts with the best
+single language and takes in, one at a time, the language by which the likelihood rises
+fastest; expectation-maximisation estimates the shares of each set until they have
+settled.  A further language costs ``PENALTY`` times the logarithm of the number of
+n-grams, and the set grows for as long as it is worth that.  (The likelihood is concave
+in the shares, so its slope towards a language bounds all that could be gained: most
+documents are settled without a second set.)  The prediction is the language with the
+largest share in the chosen set, the score that share; all shares are returned as well.
 
 Only the text is used for a prediction.  The model is one table of 64 MB at most:
 the number of hash buckets shrinks as the number of languages grows.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0, as
 is all text if no language was learned; null doc_ids are not learned from and not
-held out; null lang is not learned from; repeated rows count each time; ties go to
-the language that sorts first; empty tables give none.
+held out; null lang is not learned from; repeated rows count each time; very long texts
+are counted whole; ties go to the language that sorts first; columns kept pass through a
+struct, whatever their names; empty tables give none.
 """
 
 from __future__ import annotations
@@ -37,10 +42,8 @@ MODEL_BYTES = 64 << 20
 MOST_LANGUAGES = 4096
 SMOOTHING = 0.5
 PENALTY = 3.0
-ROUNDS = 6
-LARGEST_SET = 3
-#: A language with a smaller share after EM over all isn't tried in a set.
-LEAST_SHARE = 0.02
+#: Shares have settled when a round raises the log-likelihood by less than this.
+SETTLED = 1e-3
 
 _FOLD = np.full(256, 0x20, np.uint8)
 _FOLD[0x41:0x5B] = np.arange(0x61, 0x7B)
@@ -106,62 +109,76 @@ class Mixture:
         self.languages, self.of_bucket = languages, np.ascontiguousarray(likelihood.T)  # bucket x language
         self.bits = likelihood.shape[1].bit_length() - 1
 
-    def _em(self, p: np.ndarray, n: np.ndarray, begins: np.ndarray, row: np.ndarray, share: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-        """Shares after ``rounds`` rounds from ``share`` (row x language; 0: not in the set), and the log-likelihood."""
-        total = np.add.reduceat(n, begins)[:, None]
-        for _ in range(rounds):
-            part = p * share[row]
-            part *= (n / part.sum(axis=1))[:, None]
-            share = np.add.reduceat(part, begins, axis=0) / total
-        mixed = np.einsum("ij,ij->i", p, share[row])
-        return share, np.add.reduceat(n * np.log(mixed), begins)
-
-    def __call__(self, rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the language (-1: none) and score of each row."""
-        best, score = np.full(len(rows), -1), np.zeros(len(rows))
+    def _em(self, p: np.ndarray, n: np.ndarray, lengths: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Settled shares from ``share`` (document x language; 0: not in the set), and the log-likelihoods.
+
+        p: likelihoods (n-gram x language) and n: counts, document after document, ``lengths`` n-grams each.
+        """
+        share, found = share.copy(), np.full(len(lengths), -np.inf)
+        live = np.arange(len(lengths))
+        while len(live):
+            begins, row = np.cumsum(lengths) - lengths, np.repeat(np.arange(len(live)), lengths)
+            part = p * share[live][row]
+            mixed = part.sum(axis=1)
+            fit = np.add.reduceat(n * np.log(mixed), begins)
+            going = fit - found[live] >= SETTLED
+            found[live] = fit
+            part *= (n / mixed)[:, None]
+            new = np.add.reduceat(part, begins, axis=0)
+            share[live[going]] = (new / new.sum(axis=1, keepdims=True))[going]
+            if not going.all():
+                inside = going[row]
+                p, n, lengths, live = p[inside], n[inside], lengths[going], live[going]
+        return share, found
+
+    def __call__(self, rows: list[bytes]) -> np.ndarray:
+        """Share of each language in each row; all zero where there is none."""
+        out = np.zeros((len(rows), len(self.languages)))
         if not self.languages:
-            return best, score
+            return out
         limit = max(1 << 16, (1 << 22) // len(self.languages))
         for low, high in passes(rows, limit):
             at, bucket, n = gram_counts(rows[low:high], self.bits)
             if len(at):
                 begins = np.flatnonzero(np.diff(at, prepend=-1))
-                chosen, part = self._infer(bucket, n.astype(np.float64), begins)
-                best[low + at[begins]], score[low + at[begins]] = chosen, part
-        for i in np.flatnonzero(best >= 0).tolist():
+                out[low + at[begins]] = self._infer(bucket, n.astype(np.float64), np.diff(np.append(begins, len(n))))
+        for i in np.flatnonzero(out.any(axis=1)).tolist():
             if not has_letter(rows[i]):
-                best[i], score[i] = -1, 0
-        return best, score
+                out[i] = 0
+        return out
 
-    def _infer(self, bucket: np.ndarray, n: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _infer(self, bucket: np.ndarray, n: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         p = self.of_bucket[bucket].astype(np.float64)
-        docs, size = len(begins), len(self.languages)
-        lengths = np.diff(np.append(begins, len(n)))
-        row = np.repeat(np.arange(docs), lengths)
-        single = np.add.reduceat(np.log(p) * n[:, None], begins, axis=0)
-        best = single.argmax(axis=1)
-        top, gain, share_of = best.copy(), np.zeros(docs), np.ones(docs)
-        if size == 1:
-            return top, share_of
-        all_, _ = self._em(p, n, begins, row, np.full((docs, size), 1 / size), ROUNDS)
-        order = np.argsort(-all_, axis=1, kind="stable")
-        cost = PENALTY * np.log(1 + np.add.reduceat(n, begins))
-        for k in range(2, min(LARGEST_SET, size) + 1):
-            some = np.flatnonzero(np.take_along_axis(all_, order[:, k - 1 : k], 1)[:, 0] > LEAST_SHARE)
-            if not len(some):
+        docs, size = len(lengths), len(self.languages)
+        begins = np.cumsum(lengths) - lengths
+        logs = np.add.reduceat(np.log(p) * n[:, None], begins, axis=0)
+        best = logs.argmax(axis=1)
+        out = np.zeros((docs, size))
+        out[np.arange(docs), best] = 1
+        total = np.add.reduceat(n, begins)
+        cost, value = PENALTY * np.log(1 + total), logs.max(axis=1)
+        live = np.arange(docs)
+        while len(live):  # of each document that may still gain, p, n and lengths hold its n-grams
+            begins, row = np.cumsum(lengths) - lengths, np.repeat(np.arange(len(live)), lengths)
+            mixed = np.einsum("ij,ij->i", p, out[live][row])
+            slope = np.add.reduceat(p * (n / mixed)[:, None], begins, axis=0) - total[live][:, None]
+            slope[out[live] > 0] = -np.inf
+            may = slope.max(axis=1) > cost[live]
+            if not may.all():
+                inside = may[row]
+                p, n, lengths, live, slope = p[inside], n[inside], lengths[may], live[may], slope[may]
+            if not len(live):
                 break
-            pick = np.concatenate([np.arange(b, b + m) for b, m in zip(begins[some].tolist(), lengths[some].tolist(), strict=True)])
-            inner = np.cumsum(lengths[some]) - lengths[some]
-            start = np.zeros((len(some), size))
-            np.put_along_axis(start, order[some, :k], np.take_along_axis(all_[some], order[some, :k], 1), 1)
-            start /= start.sum(axis=1, keepdims=True)
-            share, fit = self._em(p[pick], n[pick], inner, np.repeat(np.arange(len(some)), lengths[some]), start, 2 * ROUNDS)
-            more = fit - single[some, best[some]] - (k - 1) * cost[some]
-            better = more > gain[some]
-            win = some[better]
-            gain[win], top[win] = more[better], share[better].argmax(axis=1)
-            share_of[win] = share[better].max(axis=1)
-        return top, np.minimum(share_of, 1.0)
+            start, more = out[live].copy(), slope.argmax(axis=1)
+            share_of_new = 1 / (1 + (start > 0).sum(axis=1))
+            start *= (1 - share_of_new)[:, None]
+            start[np.arange(len(live)), more] = share_of_new
+            share, fit = self._em(p, n, lengths, start)
+            better = fit - value[live] > cost[live]
+            out[live[better]], value[live[better]] = share[better], fit[better]
+            inside = better[np.repeat(np.arange(len(live)), lengths)]
+            p, n, lengths, live = p[inside], n[inside], lengths[better], live[better]
+        return out
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -196,24 +213,28 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mi
 
 
 def predicted(docs: DataFrame, model: Mixture, keep: list[str], text_col: str = "text") -> DataFrame:
-    """(doc: struct of ``keep``, lang_pred, score) of each row."""
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    """(doc: struct of ``keep``, lang_pred, score, shares: array of (lang, share), largest first) of each row."""
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # MODEL_BYTES at most
-    schema = T.StructType([own.schema["doc"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T._parse_datatype_string("lang_pred string, score double, shares array<struct<lang: string, share: double>>")
+    schema = T.StructType([own.schema["doc"], *schema.fields])
+    kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        names = [*model.languages, UNDETERMINED]
         for b in batches:
-            best, score = model(texts(b.column(1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([names[i] for i in best.tolist()], pa.string()), pa.array(score)], names=schema.names)
+            share = np.minimum(model(texts(b.column(1))), 1.0)
+            order = np.argsort(-share, axis=1, kind="stable")
+            found = [[{"lang": model.languages[k], "share": float(s[k])} for k in o.tolist() if s[k] > 0] for o, s in zip(order, share, strict=True)]
+            first = [x[0] if x else {"lang": UNDETERMINED, "share": 0.0} for x in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x["lang"] for x in first], pa.string()), pa.array([x["share"] for x in first], pa.float64()), pa.array(found, kind)], names=schema.names)
 
     return mapped(own, scan, schema)
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of all documents."""
+    """doc_id, held_out, lang_pred, score, shares of all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs.where(~held_out()))
-    got = predicted(docs, model, ["doc_id"]).select("doc.doc_id", "lang_pred", "score")
-    return got.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+    got = predicted(docs, model, ["doc_id"]).select("doc.doc_id", "lang_pred", "score", "shares")
+    return got.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "shares")
