@@ -15,8 +15,9 @@ ids, u32 offsets, u32 stride, u64 bits; i64 doc ids, u8 flags (1: no doc id),
 u32 lengths, u32 offsets, then u32 words of bits, highest bit first.
 
 Defined results: null counts as the empty text (the end id alone); rows with a
-null doc_id come first; repeated doc_ids stay side by side, in no fixed order; an
-empty table gives no blocks.  A block holds whole documents: it ends with the
+null doc_id come first; rows that share a doc_id are side by side, in the order of a
+hash of their texts; very long texts are encoded whole; further columns are ignored,
+whatever their names; an empty table gives no blocks.  A block holds whole documents: it ends with the
 document that brings it to ``BLOCK_IDS``.
 """
 
@@ -248,8 +249,10 @@ def _narrow(size: int) -> str:
 
 def _tokenized(docs: DataFrame, file: str, end_id: int, dtype: str, id_col: str, text_col: str) -> DataFrame:
     """(shard, at, doc_id, n, ids) in ascending doc_id order within and between shards."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    dealt = own.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    own = own.select("*", F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("row"))  # rows of one doc_id go by their text; the last deals out equal ones
+    order = [F.col("doc_id").asc_nulls_first(), F.col("text_hash"), F.col("row")]
+    dealt = own.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     end = np.array([end_id], "<u4").tobytes()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

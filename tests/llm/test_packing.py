@@ -22,9 +22,37 @@ def test_boundaries_are_the_best_of_all():
             assert padding(lengths, counts, got) == min(padding(lengths, counts, c) for c in every)
 
 
+def test_boundaries_of_many_lengths():
+    """The layer-by-layer search against one that tries every beginning, and long tables in good time."""
+    rng = np.random.default_rng(4)
+    for n, k in ((40, 5), (300, 7), (301, 16)):
+        lengths = np.cumsum(rng.integers(1, 2000, n)).astype(np.int64)
+        counts = rng.integers(1, 1000, n)
+        upto = np.concatenate(([0], np.cumsum(counts)))
+        best = np.concatenate(([0], lengths * upto[1:]))
+        for _ in range(1, k):
+            best = np.array([0, *[min(best[i] + lengths[j - 1] * (upto[j] - upto[i]) for i in range(j)) for j in range(1, n + 1)]])
+        got = best_boundaries(lengths, counts, k).tolist()
+        assert len(got) == k and padding(lengths, counts, got) == best[n] - (lengths * counts).sum()
+    lengths = np.arange(1, 200_001)
+    assert len(best_boundaries(lengths, np.ones(len(lengths), np.int64), 16)) == 16
+
+
+def test_places_depend_on_the_documents_alone(spark):
+    rows = [(i % 40, f"w{i % 7} " * (i % 23), i % 2, "x") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, bucket int, id string")
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    got = [sorted(map(tuple, pack_documents(docs.repartition(n), model, buckets=4, budget=64).collect())) for n in (1, 7)]
+    assert got[0] == got[1] and len(got[0]) == 300
+    clash = packed(spark.createDataFrame([(1, 5, "a", "b")], "n_tokens int, slot int, bucket string, keep string"))
+    assert clash.columns == ["n_tokens", "keep", "bucket", "batch_id", "slot"] and clash.count() == 1
+
+
 def test_batches_hold_every_row_once(spark):
     rng = np.random.default_rng(7)
-    rows = [(int(i) if i % 9 else None, int(x), "b") for i, x in enumerate(np.concatenate((rng.integers(1, 40, 400), np.full(300, 17), [5000, 70_000, 2049, 2050])))]
+    rows = [(int(i) if i % 9 else None, int(x), "b") for i, x in enumerate(np.concatenate((rng.integers(1, 40, 400), np.full(300, 17), [5000, 70_000, 2049, 2050, 3_000_000])))]
     lengths = spark.createDataFrame(rows, "doc_id long, n_tokens long, bucket_ string").repartition(5)
     got = packed(lengths, buckets=5, budget=100).collect()
     assert Counter((r.doc_id, r.n_tokens, "b") for r in got) == Counter(rows)

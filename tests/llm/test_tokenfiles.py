@@ -81,6 +81,16 @@ def test_files_of_a_table(spark, tmp_path, monkeypatch):
         total += r.n_tokens
 
 
+def test_places_depend_on_the_documents_alone(spark, tmp_path):
+    rows = [(d, f"text {k} of many", "x") for d in (None, 4, 4, 9) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    found = []
+    for n in (1, 6):
+        write_tokens(docs.repartition(n), f"file://{tmp_path}/t{n}", PATH)
+        found.append(sorted((r.start, str(r.doc_id), r.ids_crc32) for r in read_tokens(spark, f"file://{tmp_path}/t{n}").collect()))
+    assert found[0] == found[1] and len(found[0]) == len(rows)
+
+
 def test_empty_table(spark, tmp_path):
     write_tokens(spark.createDataFrame([], "doc_id long, text string"), f"file://{tmp_path}/t", PATH)
     assert read_tokens(spark, f"file://{tmp_path}/t").count() == 0
