@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coppice.llm.storage import stored
+from coppice.llm.storage import discard, stored, working_tables
 
 
 def _signature(links: DataFrame) -> tuple:
@@ -24,11 +24,13 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternates two steps.  *Large*: each neighbour above u is tied to the least of
     u's neighbourhood.  *Small*: u and its neighbours below u are tied to the least
-    of them.  Each round is written to the shared folder; it ends when a round
-    changes nothing.  A node with very many links is only ever reduced to a minimum
+    of them.  Each round is written to the shared folder, the one before it
+    deleted; it ends when a round changes nothing.  A node with very many links is only ever reduced to a minimum
     or split by skew handling of the join.  No links give no rows.
     """
-    links = stored(links.where("u <> v").select("u", "v").distinct(), "links")
+    spark = links.sparkSession
+    with working_tables(spark) as old:
+        links = stored(links.where("u <> v").select("u", "v").distinct(), "links")
     before = _signature(links)
     for _ in range(rounds):
         if not before[0]:
@@ -38,8 +40,11 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         tied = _with_least(down)
         small = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(tied.select("u", F.col("m").alias("v")))
-        links = stored(small.where("u <> v").distinct(), "links")
+        with working_tables(spark) as new:
+            links = stored(small.where("u <> v").distinct(), "links")
         after = _signature(links)
+        discard(spark, old)
+        old = new
         if after == before:
             break
         before = after

@@ -2,13 +2,16 @@
 
 A job that needs a result more than once writes it as Parquet and reads it
 again.  That cuts the lineage, survives the loss of executors and, unlike a
-local checkpoint, leaves nothing on one machine.
+local checkpoint, leaves nothing on one machine.  Tables stay as long as results may
+read them; ``working_tables`` tells which a piece of work made, for ``discard``.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,7 +22,7 @@ BATCH_BYTES = 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lower the session's limit of bytes in an Arrow batch to BATCH_BYTES; a lower one stays."""
+    """Lower the session's limit of bytes in an Arrow batch to BATCH_BYTES, for good: plans read it when they run.  A lower one stays."""
     now = str(spark.conf.get(_BATCH, "64m")).lower().rstrip("b")
     unit = {"k": 10, "m": 20, "g": 30}.get(now[-1:], 0)
     size = int(now[: -1 if unit else None]) << unit
@@ -28,9 +31,12 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; unset (as in tests), a new local one."""
+    """The folder named by ``spark.checkpoint.dir``; where it is unset, a new local one in local mode and an error elsewhere."""
     root = spark.conf.get(_SET, None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set {_SET} to a folder that the driver and all executors share")
         root = getattr(spark, "_coppice_root", None)
         if root is None:
             root = "file://" + tempfile.mkdtemp(prefix="coppice-")
@@ -45,7 +51,28 @@ def mapped(df: DataFrame, scan, schema) -> DataFrame:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    for made in getattr(spark, "_coppice_made", ()):
+        made.append(path)
+    return path
+
+
+@contextmanager
+def working_tables(spark: SparkSession) -> Iterator[list[str]]:
+    """The paths of all tables that are made within."""
+    made: list[str] = []
+    spark._coppice_made = [*getattr(spark, "_coppice_made", ()), made]
+    try:
+        yield made
+    finally:
+        spark._coppice_made = [x for x in spark._coppice_made if x is not made]
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing reads any more."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def stored(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:

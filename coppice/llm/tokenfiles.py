@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coppice.llm.storage import mapped, new_path
+from coppice.llm.storage import discard, mapped, new_path
 from coppice.llm.textscan import texts
 
 TOKENIZER = "word_bpe_49k.json"
@@ -339,8 +339,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
         total += totals[shard]
     _blocks(tokens, starts, lengths, dtype).write.option("compression", "none").parquet(f"{path}/blocks")
     if not keep_tokens:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/tokens")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        discard(spark, [f"{path}/tokens"])
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
