@@ -15,7 +15,8 @@ cut below its slice: pairs of its subtrees within the budget become tasks.
 of their five-word shingles.  Those differ in up to 11 bits of a fingerprint of three-word
 shingles, too many for tries that hold at any size.  So it takes ``PRINTS`` fingerprints
 of a text, each of independent hashes of its words (a word weighs the root of its count,
-so frequent ones don't decide), and links texts that are within the budget in one of them.
+so frequent ones don't decide) and of its distinct pairs of neighbouring words (so the
+vocabulary alone doesn't decide), and links texts within the budget in one of them.
 
 Defined results: a null or wordless text has fingerprint zero and is linked like
 any other; rows with a null doc_id are grouped, but never name a group; repeated
@@ -26,7 +27,6 @@ an empty result.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -39,14 +39,15 @@ from pyspark.sql import types as T
 
 from coppice.llm.components import components
 from coppice.llm.storage import mapped, stored
-from coppice.llm.textscan import texts
+from coppice.llm.textscan import SpanHash, mix, texts
 
 SHINGLE_WORDS = 3
 BUDGET = 3
 SEED = 42
-#: Fingerprints of a text in ``keep_first``.
-PRINTS = 4
-#: Words whose hashes a worker remembers, 32 bytes a fingerprint pair and word.
+#: Fingerprints of a text in ``keep_first``, and the weights of a word met once and of a pair of words.
+PRINTS = 8
+WORD_WEIGHT, PAIR_WEIGHT = 16, 12
+#: Words whose hashes a worker remembers, 8 bytes a fingerprint and word.
 REMEMBERED = 1 << 18
 #: Hashes whose bits are added up at once.
 CHUNK = 1 << 15
@@ -90,11 +91,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 class WordPrints:
-    """``prints`` 64-bit fingerprints of a text from its words; remembers the hashes of the words it has met."""
+    """``prints`` 64-bit fingerprints of a text from its words and pairs of words; remembers the hashes of the words it has met."""
 
     def __init__(self, prints: int = PRINTS, remembered: int = REMEMBERED):
         self.seeds, self.prints = range(-(-prints // 2)), prints
-        self.remembered, self.place, self.hashes = remembered, {}, np.zeros((1 << 10, 16 * len(self.seeds)), np.uint8)
+        self.remembered, self.place, self.hashes = remembered, {}, np.zeros((1 << 10, prints), np.uint64)
 
     def _places(self, words: list[bytes]) -> np.ndarray:
         place = self.place
@@ -104,20 +105,26 @@ class WordPrints:
             if w not in place:
                 if len(place) == len(self.hashes):
                     self.hashes = np.concatenate((self.hashes, np.zeros_like(self.hashes)))
-                self.hashes[len(place)] = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w, s) for s in self.seeds]), np.uint8)
+                self.hashes[len(place)] = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w, s) for s in self.seeds]), ">u8")[: self.prints]
                 place[w] = len(place)
         return np.fromiter(map(place.__getitem__, words), np.int64, len(words))
 
+    def _bits(self, hashes: np.ndarray) -> np.ndarray:
+        return np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(len(hashes), -1), axis=1)
+
     def __call__(self, text: bytes) -> np.ndarray:
-        counts = Counter(text.lower().split())
-        weights = np.rint(16 * np.sqrt(np.fromiter(counts.values(), np.int64, len(counts))))  # whole numbers: sums are exact in any order
-        words, total = list(counts), np.zeros(64 * self.prints)
-        step = CHUNK // 8
+        at = self._places(text.lower().split())
+        words, counts = np.unique(at, return_counts=True)
+        weights = np.rint(WORD_WEIGHT * np.sqrt(counts))  # whole numbers: sums are exact in any order
+        sums, step = np.zeros(64 * self.prints), CHUNK // 8
         for i in range(0, len(words), step):
-            places = self._places(words[i : i + step])
-            bits = np.unpackbits(self.hashes[places], axis=1)[:, : 64 * self.prints]
-            total += weights[i : i + step] @ bits
-        return np.packbits(2 * total > weights.sum()).view(">u8").astype(np.int64)
+            sums += weights[i : i + step] @ self._bits(self.hashes[words[i : i + step]])
+        pairs = np.unique(at[:-1] * len(self.hashes) + at[1:])
+        for i in range(0, len(pairs), 255):  # 255 ones fit a byte: sums stay in narrow lanes
+            one, two = np.divmod(pairs[i : i + 255], len(self.hashes))
+            bits = self._bits(mix(self.hashes[one] * np.uint64(SpanHash.BASE) + self.hashes[two]))
+            sums += PAIR_WEIGHT * bits.sum(axis=0, dtype=np.uint8).astype(np.float64)
+        return np.packbits(2 * sums > weights.sum() + PAIR_WEIGHT * len(pairs)).view(">u8").astype(np.int64)
 
 
 def _labels(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 
-from coppice.llm.simhash import BUDGET, PRINTS, WordPrints, fingerprint, keep_first, near_groups, near_links, trie_forest
+from coppice.llm.simhash import BUDGET, PAIR_WEIGHT, PRINTS, WORD_WEIGHT, WordPrints, fingerprint, keep_first, near_groups, near_links, trie_forest
 
 
 def plain_fingerprint(text):
@@ -76,13 +76,23 @@ def test_groups_over_a_table(spark):
         assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
 
 
+MASK = (1 << 64) - 1
+
+
+def plain_mix(x):
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & MASK
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & MASK
+    return x ^ x >> 31
+
+
 def plain_prints(text):
-    counts, out = Counter((text or "").encode().lower().split()), []
+    words, out = (text or "").encode().lower().split(), []
+    counts, pairs = Counter(words), set(zip(words, words[1:], strict=False))
     hashes = {w: b"".join(xxhash.xxh3_128_digest(w, s) for s in range(-(-PRINTS // 2))) for w in counts}
-    weight = {w: round(16 * n**0.5) for w, n in counts.items()}
     for k in range(PRINTS):
-        bits = {w: int.from_bytes(h[8 * k : 8 * k + 8], "big") for w, h in hashes.items()}
-        out.append(sum(1 << b for b in range(64) if 2 * sum(weight[w] for w in counts if bits[w] >> b & 1) > sum(weight.values())))
+        own = {w: int.from_bytes(h[8 * k : 8 * k + 8], "big") for w, h in hashes.items()}
+        weighed = [(own[w], round(WORD_WEIGHT * n**0.5)) for w, n in counts.items()] + [(plain_mix((own[a] * 0x9E3779B97F4A7C15 + own[b]) & MASK), PAIR_WEIGHT) for a, b in pairs]
+        out.append(sum(1 << b for b in range(64) if 2 * sum(n for h, n in weighed if h >> b & 1) > sum(n for _, n in weighed)))
     return out
 
 
@@ -93,7 +103,7 @@ def test_one_row_of_each_group_stays(spark):
     rows, base = [], [" ".join(rng.choice(words, 150)) for _ in range(12)]
     for i in range(150):
         w = base[i % 12].split()
-        for _ in range(i % 9):
+        for _ in range(i % 6):
             w[int(rng.integers(len(w)))] = "zz"
         rows.append((i, " ".join(w)))
     rows += [(200, None), (201, ""), (202, " \n"), (203, rows[0][1]), (204, rows[0][1] + " É é")]
