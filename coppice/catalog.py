@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from coppice.plans.queries import ORACLE_SQL, QUERIES
+from coppice.plans.api_queries import ORACLE_SQL, QUERIES
 
 ENTRY = "optimal_tree_depth2"
 

@@ -36,6 +36,11 @@ def care_masks(features: int, most: int) -> list[int]:
     return [sum(bit(k) for k in ks) for n in range(most + 1) for ks in combinations(range(features), n)]
 
 
+def sets_bound(features: int, most: int) -> int:
+    """How many sets of at most ``most`` features there are."""
+    return sum(comb(features, k) for k in range(most + 1))
+
+
 def cells_bound(features: int, most: int) -> int:
     """Most cells that sets of at most ``most`` literals can have."""
     return sum(comb(features, k) * 2**k for k in range(most + 1))

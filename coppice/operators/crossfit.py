@@ -54,7 +54,14 @@ class CrossFitResult:
         return intersection(self.sets, self.folds)
 
     def stable_trees(self) -> list[trees.Tree]:
-        return [trees.parse(r.tree) for r in self.intersection().orderBy("tree").limit(self.config.model_limit).collect()]
+        found = self.intersection().orderBy("tree").limit(self.config.model_limit + 1).collect()
+        if len(found) > self.config.model_limit:
+            raise ValueError(f"over model_limit={self.config.model_limit} trees in all folds: read intersection()")
+        return [trees.parse(r.tree) for r in found]
+
+    def features(self) -> DataFrame:
+        """(feature, name, fold, trees): how many of a fold's trees use each feature."""
+        return features_used(self.sets, [r.name for r in self.rules])
 
 
 def fold_patterns(df: DataFrame, tests: list, label, classes: list, fold: str = "fold") -> DataFrame:
@@ -81,9 +88,7 @@ def cross_fit(df: DataFrame, label: str, features: list[str], config: FitConfig
     patterns = kept(fold_patterns(dealt, [r.test() for r in rules], F.col(f"`{label}`"), classes), "train-patterns")
     p = search.problem(patterns, len(rules), len(classes), config, ["fold"])
     levels = search.optimum(p)
-    v = F.col("v")
-    bound = v if single_tree else F.lit(config.bound) if config.bound else v + config.bound_adder if config.bound_adder else v * (1 + (config.bound_multiplier or 0.05))
-    reach = search.budgets(p, levels, levels[0].select("fold", bound.alias("bound")))
+    reach = search.budgets(p, levels, p.scale.bound(config, single_tree))
     total = search.entries(p, reach)[0].groupBy("fold").agg(F.sum("cnt").alias("cnt")).agg(F.max("cnt")).first()[0]
     if int(total or 0) > config.model_limit:
         raise ValueError(f"{total} trees in one fold, over model_limit={config.model_limit}")
@@ -98,6 +103,13 @@ def intersection(sets: DataFrame, folds: int, key: str = "tree") -> DataFrame:
     return sets.groupBy(key).agg(F.count_distinct("fold").alias("folds")).where(F.col("folds") == folds).select(key)
 
 
+def features_used(sets: DataFrame, names: list[str]) -> DataFrame:
+    """(feature, name, fold, trees): how many trees of each fold split on each feature, from their texts."""
+    used = sets.select("fold", "tree", F.explode(F.array_distinct(F.regexp_extract_all("tree", F.lit(r"\((\d+)"), F.lit(1)))).alias("feature"))
+    counted = used.groupBy("fold", F.col("feature").cast("int").alias("feature")).agg(F.count("*").alias("trees"))
+    return counted.withColumn("name", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("feature") + 1)).select("feature", "name", "fold", "trees")
+
+
 def compare(a: DataFrame, b: DataFrame, key: str = "tree") -> DataFrame:
     """(part, n): trees in both sets, only in the first, only in the second, and the share of both in all."""
     one, two = a.select(key).distinct(), b.select(key).distinct()
@@ -108,7 +120,7 @@ def compare(a: DataFrame, b: DataFrame, key: str = "tree") -> DataFrame:
 
 def presence(sets: DataFrame, stable: DataFrame) -> DataFrame:
     """(fold, tree, present) for each fold and each tree of ``stable``."""
-    grid = sets.select("fold").distinct().join(stable.select("tree").distinct())  # folds are few
+    grid = stable.select("tree").distinct().crossJoin(F.broadcast(sets.select("fold").distinct()))  # a row for each fold
     return grid.join(sets.select("fold", "tree", F.lit(True).alias("present")), ["fold", "tree"], "left").withColumn("present", F.coalesce("present", F.lit(False)))
 
 

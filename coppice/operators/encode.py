@@ -13,6 +13,9 @@ from coppice.functions import masks
 #: Spellings of a missing value.
 NULL_TOKENS = ("", "NULL", "null", "Null", "NA", "na", "NaN")
 INTEGRAL = r"^[+-]?[0-9]+$"
+#: Values of a column up to which they are counted exactly, and up to which rules are made of them.
+WIDE, MOST_VALUES = 1_000_000, 100_000
+_PROFILE = "position int, column string, n_rows long, n_missing long, n_distinct long, base string, kind string"
 RATIONAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"
 
 
@@ -22,24 +25,36 @@ def as_text(c: str) -> Column:
     return F.when(~text.isin(*NULL_TOKENS), text)
 
 
-def profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(position, column, n_rows, n_missing, n_distinct, base, kind) of each column, from one pass.
+def profile(df: DataFrame, columns: list[str], wide: int = WIDE) -> DataFrame:
+    """(position, column, n_rows, n_missing, n_distinct, base, kind) of each column.
 
     base: integral, rational or categorical, whichever all present values fit.  kind:
     redundant with at most one value, binary with two and none missing, else the base.
+    One aggregation over the table, without a shuffle of its cells, estimates how many
+    values a column has; those of up to ``wide`` are then counted exactly (their values
+    combine before the shuffle), wider ones keep the estimate, off by some per cent.
     """
-    parts = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), as_text(c).alias("v")) for i, c in enumerate(columns)]
-    cells = df.select(F.explode(F.array(*parts)).alias("x")).select("x.*")
-    got = cells.groupBy("position", "column").agg(
-        F.count("*").alias("n_rows"),
-        F.count_if(F.col("v").isNull()).alias("n_missing"),
-        F.count_distinct("v").alias("n_distinct"),
-        F.coalesce(F.bool_and(F.col("v").rlike(INTEGRAL)), F.lit(False)).alias("ints"),
-        F.coalesce(F.bool_and(F.col("v").rlike(RATIONAL)), F.lit(False)).alias("numbers"),
-    )
-    base = F.when(F.col("ints"), "integral").when(F.col("numbers"), "rational").otherwise("categorical")
-    kind = F.when(F.col("n_distinct") <= 1, "redundant").when((F.col("n_distinct") == 2) & (F.col("n_missing") == 0), "binary").otherwise(base)
-    return got.select("position", "column", "n_rows", "n_missing", "n_distinct", base.alias("base"), kind.alias("kind"))
+    if not columns:
+        return df.sparkSession.createDataFrame([], _PROFILE)
+    aggs = []
+    for i, c in enumerate(columns):
+        v = as_text(c)
+        aggs += [F.count_if(v.isNull()).alias(f"missing_{i}"), F.approx_count_distinct(v, 0.02).alias(f"about_{i}")]
+        aggs += [F.coalesce(F.bool_and(v.rlike(kind)), F.lit(False)).alias(f"{name}_{i}") for name, kind in (("ints", INTEGRAL), ("numbers", RATIONAL))]
+    row = df.agg(F.count("*").alias("n_rows"), *aggs).first()
+    narrow = [i for i in range(len(columns)) if row[f"about_{i}"] <= wide]
+    exact: dict[int, int] = {}
+    if narrow:
+        parts = [F.struct(F.lit(i).alias("position"), as_text(columns[i]).alias("v")) for i in narrow]
+        values = df.select(F.explode(F.array(*parts)).alias("x")).select("x.*").where("v is not null").distinct()
+        exact = {r.position: r["count"] for r in values.groupBy("position").count().collect()}  # a row for each column
+    out = []
+    for i, c in enumerate(columns):
+        n = exact.get(i, 0) if i in narrow else row[f"about_{i}"]
+        base = "integral" if row[f"ints_{i}"] else "rational" if row[f"numbers_{i}"] else "categorical"
+        kind = "redundant" if n <= 1 else "binary" if n == 2 and not row[f"missing_{i}"] else base
+        out.append((i, c, row.n_rows, row[f"missing_{i}"], n, base, kind))
+    return df.sparkSession.createDataFrame(out, _PROFILE)
 
 
 def significant(value: Column, figures: int) -> Column:
@@ -88,19 +103,23 @@ def _domain(df: DataFrame, column: str, base: str, precision: int) -> DataFrame:
     return df.select(value.alias("v")).where("v is not null").distinct()
 
 
-def codex_table(df: DataFrame, columns: list[str], precision: int = 0) -> DataFrame:
+def codex_table(df: DataFrame, columns: list[str], precision: int = 0, most: int = MOST_VALUES) -> DataFrame:
     """(position, column, kind, relation, reference: text, rank) of all rules.
 
     Binary columns test for their larger value; integral ones for at least each value;
     rational ones for at least the middle of each two neighbours; categorical ones for
-    each value.
+    each value.  Neighbours are found by sorting a column's values in one task, so more
+    than ``most`` of them are an error, met before that.
     """
     out = None
     for r in sorted(profile(df, columns).collect(), key=lambda r: r.position):  # a row for each column
         if r.kind == "redundant":
             continue
         values = _domain(df, r.column, r.base, precision)
-        order = Window.orderBy("v")  # the domain of one column, bounded by the number of rules
+        n = r.n_distinct if r.kind == "binary" or not precision or r.base == "categorical" or r.n_distinct <= most else values.count()
+        if n > most:
+            raise ValueError(f"{r.column} has {n} values, over {most}: leave it out, or give a lower precision")
+        order = Window.orderBy("v")  # the values of one column, at most ``most``
         if r.kind == "binary":
             rules = values.agg(F.max("v").alias("v")).select(F.lit("==").alias("relation"), "v")
         elif r.kind == "categorical":
@@ -117,7 +136,7 @@ def codex_table(df: DataFrame, columns: list[str], precision: int = 0) -> DataFr
 
 def codex(df: DataFrame, columns: list[str], precision: int = 0, most: int = masks.MOST_FEATURES) -> list[Rule]:
     """The rules as objects; more than ``most`` is an error: give fewer columns, or a precision, or cut them yourself."""
-    rows = codex_table(df, columns, precision).limit(most + 1).collect()
+    rows = codex_table(df, columns, precision, max(most + 1, 2)).limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"over {most} rules: give fewer columns or a lower precision")
     rows.sort(key=lambda r: (r.position, r["rank"]))

@@ -73,10 +73,29 @@ class TreeModel:
         return trees.to_json(tree, self.rules, self.classes, self.stats, self.config.regularization, self.objective if tree == self.tree else None)
 
     def envelope(self) -> dict:
-        """The trees with the outcomes of the set and the fit's metadata."""
-        values = [] if self.clusters is None else [[r.objective, r.falses, r.leaves] for r in self.clusters.select("objective", "falses", "leaves").distinct().orderBy("objective", "leaves", "falses").limit(self.config.model_limit).collect()]
-        storage = [] if self.edges is None else [r.asDict() for r in self.edges.limit(self.config.model_limit).collect()]
-        return {"storage": storage, "available_metric_values": {"metric_values": values, "metric_pointers": list(range(len(values)))}, "metadata": {"regularization": self.config.regularization, "dataset_size": self.rows}, "trees": [self.json(t) for t in self.trees]}
+        """The trees with the outcomes of the set and the fit's metadata.
+
+        storage: an entry for each outcome (how many trees have it), then the splits;
+        metric_pointers: for each outcome its place in there.  More than model_limit
+        of either is an error.
+        """
+        limit = self.config.model_limit
+        values = [] if self.clusters is None else self.clusters.groupBy("objective", "falses", "leaves").agg(F.sum("trees").alias("trees")).orderBy("objective", "leaves", "falses").limit(limit + 1).collect()
+        edges = [] if self.edges is None else self.edges.limit(limit + 1).collect()
+        if max(len(values), len(edges)) > limit:
+            raise ValueError(f"over model_limit={limit} outcomes or splits: read the tables instead")
+        storage = [{"terminal": r.leaves == 1, "count": int(r.trees), "falses": r.falses, "leaves": r.leaves} for r in values] + [r.asDict() for r in edges]
+        return {"storage": storage, "available_metric_values": {"metric_values": [[r.objective, r.falses, r.leaves] for r in values], "metric_pointers": list(range(len(values)))}, "metadata": {"regularization": self.config.regularization, "dataset_size": self.rows}, "trees": [self.json(t) for t in self.trees]}
+
+    def trees_df(self, spark) -> DataFrame:
+        """(tree_id, tree: text, leaves, json) of the trees that were asked for, best first."""
+        rows = [(i, t.text(), t.leaves(), trees.canonical_json(self.json(t))) for i, t in enumerate(self.trees, 1)]
+        return spark.createDataFrame(rows, "tree_id long, tree string, leaves int, json string")
+
+    def summary(self) -> dict:
+        """What a fit comes to: objective, bound, counts, the best tree's leaves, depth and features, seconds a step."""
+        t = self.tree
+        return {"loss": self.config.loss, "regularization": self.config.regularization, "objective": self.objective, "bound": self.bound, "n_trees": self.n_trees, "n_optimal": self.n_optimal, "rows": self.rows, "classes": self.classes, "leaves": t.leaves(), "depth": t.depth(), "features": sorted(self.rules[f].name for f in t.features()), "seconds": dict(self.seconds)}
 
     def __repr__(self) -> str:
         return f"TreeModel(loss={self.config.loss}, regularization={self.config.regularization}, objective={self.objective:.6g}, n_trees={self.n_trees}, n_optimal={self.n_optimal}, rows={self.rows})\n{trees.readable(self.tree, self.rules, self.classes)}"
@@ -87,7 +106,11 @@ def binary_rules(features: list[str]) -> list[Rule]:
 
 
 def _classes(df: DataFrame, label: str, most: int = 100) -> list:
-    got = [r[0] for r in df.select(F.col(f"`{label}`")).where(F.col(f"`{label}`").isNotNull()).distinct().limit(most + 1).collect()]
+    if label not in df.columns:
+        raise ValueError(f"columns not there: {[label]}")
+    got = [r[0] for r in df.select(F.col(f"`{label}`")).distinct().limit(most + 2).collect()]
+    if None in got:
+        raise ValueError(f"rows without a label in {label}")
     if len(got) > most:
         raise ValueError(f"over {most} classes in {label}")
     if not got:
@@ -99,7 +122,7 @@ def _leaf_stats(p: search.Problem, found: list[trees.Tree]) -> dict[tuple[int, i
     need = {(care, val) for t in found for _, care, val, s in t.cells() if s.feature is None}
     wanted = p.cells.sparkSession.createDataFrame(sorted(need), "care long, val long")
     out = {}
-    for r in p.cells.join(F.broadcast(wanted), ["care", "val"]).collect():  # a row for each leaf
+    for r in p.cells.withColumn("loss", p.scale.shown("cost")).join(F.broadcast(wanted), ["care", "val"]).collect():  # a row for each leaf
         out[r.care, r.val] = {"loss": r.loss, "probabilities": [r[f"n_{k}"] / r.n_total for k in range(p.classes)], "rows": r.n_total}
     return out
 
@@ -130,20 +153,23 @@ def fit_patterns(patterns: DataFrame, rules: list[Rule], classes: list, label: s
     if not p.rows:
         raise ValueError("the table has no rows")
     levels = search.optimum(p)
-    best = float(levels[0].first().v)
-    if config.upper_bound and best > config.upper_bound + search.TOLERANCE:
+    best = search.best(p, levels)
+    if config.upper_bound and best > config.upper_bound * (1 + search.TOLERANCE):
         raise ValueError(f"the optimum {best} is above the given upper bound")
     seconds["optimum"], began = time.time() - began, time.time()
     bound = best if single_tree else config.rashomon_bound(best)
-    reach = search.budgets(p, levels, bound)
-    clusters = kept(search.root_clusters(p, search.entries(p, reach)), "clusters")
-    outcomes = clusters.agg(F.sum("trees").alias("all"), F.sum(F.when(F.col("objective") <= best + search.TOLERANCE, F.col("trees"))).alias("tied")).first()
+    reach = search.budgets(p, levels, p.scale.bound(config, single_tree))
+    found = search.entries(p, reach)
+    clusters = kept(search.root_clusters(p, found), "clusters")
+    least = levels[0].select("v").first()[0]
+    outcomes = clusters.agg(F.sum("trees").alias("all"), F.sum(F.when(p.scale.within(F.col("units"), F.lit(least)), F.col("trees"))).alias("tied")).first()
     n_trees, n_optimal = int(outcomes["all"] or 0), int(outcomes.tied or 0)
-    edges = None if single_tree else search.dag_edges(p, levels, reach)
-    if n_trees > config.model_limit:
-        raise ValueError(f"{n_trees} trees are within the bound, over model_limit={config.model_limit}: lower the bound or raise the limit")
-    found = search.entries(p, reach, trees=True)[0].select("tree", search.objective(p).alias("objective"), "leaves").orderBy("objective", "leaves", F.length("tree"), "tree")
-    texts = [r.tree for r in found.limit(1 if single_tree else n_trees if max_trees is None else max_trees).collect()]
+    edges = None if single_tree else search.dag_edges(p, levels, reach, found)
+    wanted = min(n_trees, 1 if single_tree else n_trees if max_trees is None else max_trees)
+    if wanted > config.model_limit:
+        raise ValueError(f"{n_trees} trees are within the bound and {wanted} are wanted, over model_limit={config.model_limit}: lower the bound, give max_trees or raise the limit")
+    best_first = search.entries(p, reach, trees=True, most=wanted if wanted < n_trees else None)[0].withColumn("units", search.units(p))
+    texts = [r.tree for r in best_first.orderBy("units", "leaves", F.length("tree"), "tree").limit(wanted).collect()]
     kept_trees = [trees.parse(t) for t in texts]
     seconds["trees"] = time.time() - began
     return TreeModel(config, rules, classes, label, best, bound, n_trees, n_optimal, p.rows, kept_trees, _leaf_stats(p, kept_trees), None if single_tree else clusters, edges, seconds)
@@ -157,10 +183,21 @@ def fit_rashomon(df: DataFrame, label: str, features: list[str] | None = None, c
     return fit(df, label, features, config=config, single_tree=False, max_trees=max_trees)
 
 
-def predict(model: TreeModel, df: DataFrame, kind: str = "class", tree: trees.Tree | None = None, strict_names: bool = False) -> DataFrame:
+def _checked(model: TreeModel, value: Column) -> Column:
+    """``value``; a row whose binary features hold something else than 0 and 1 is an error when it is read."""
+    if model.rules != binary_rules([r.column for r in model.rules]):
+        return value  # rules made from columns of any kind: a missing value fails them
+    wrong = F.lit(False)
+    for r in model.rules:
+        wrong = wrong | F.coalesce(~F.col(f"`{r.column}`").cast("double").isin(0.0, 1.0), F.lit(True))
+    return F.when(wrong, F.raise_error(F.lit(f"values other than 0 and 1 in {[r.column for r in model.rules]}"))).otherwise(value)
+
+
+def predict(model: TreeModel, df: DataFrame, kind: str = "class", tree: trees.Tree | None = None, strict_names: bool = False, check: bool = True) -> DataFrame:
     """``df`` with ``prediction`` (kind class) or ``prob_<k>`` for each class (kind prob); works on streams too.
 
-    strict_names: the table must have exactly the model's columns, in order.
+    strict_names: the table must have exactly the model's columns, in order.  check: for
+    models of binary features, missing and other values are an error, found as rows are read.
     """
     need = list(dict.fromkeys(r.column for r in model.rules))
     if strict_names and [c for c in df.columns if c != model.label] != need:
@@ -169,9 +206,11 @@ def predict(model: TreeModel, df: DataFrame, kind: str = "class", tree: trees.Tr
     if missing:
         raise ValueError(f"columns not there: {missing}")
     if kind == "class":
-        return df.withColumn("prediction", model.prediction(tree))
+        found = model.prediction(tree)
+        return df.withColumn("prediction", _checked(model, found) if check else found)
     if kind == "prob":
-        return df.withColumns({f"prob_{k}": c for k, c in enumerate(model.probabilities(tree))})
+        found = model.probabilities(tree)
+        return df.withColumns({f"prob_{k}": _checked(model, c) if check and not k else c for k, c in enumerate(found)})
     raise ValueError("kind: class or prob")
 
 
@@ -190,6 +229,12 @@ def predict_ensemble(model: TreeModel, df: DataFrame, found: list[trees.Tree] |
     return out.withColumn("prediction", F.when(F.col("votes") * 2 >= len(found), F.lit(model.classes[1])).otherwise(F.lit(model.classes[0])))
 
 
+def get_predictions(model: TreeModel, df: DataFrame, label: str | None = None) -> DataFrame:
+    """``df`` with its prediction and whether it is right."""
+    done = predict(model, df)
+    return done.withColumn("correct", F.col("prediction") == F.col(f"`{label or model.label}`"))
+
+
 def accuracy(model: TreeModel, df: DataFrame) -> float:
     return df.select((model.prediction() == F.col(f"`{model.label}`")).cast("double").alias("hit")).agg(F.avg("hit")).first()[0]
 

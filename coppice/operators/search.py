@@ -4,14 +4,25 @@ A cell is a conjunction of literals with its class counts.  All quantities of th
 search are sums over cells, so after the pattern table nothing reads rows again.
 Three passes: best objectives from many literals to few, budgets from few to many
 (how much a subtree may cost within the bound), entries from many to few.
+
+Objectives are whole numbers wherever they fit 62 bits: errors (or costs) and the
+penalty of a leaf are brought to one denominator, so ties are told exactly at any number
+of rows.  Log-loss, and what doesn't fit, goes by doubles with a relative tolerance.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
+from fractions import Fraction
+from math import lcm
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from coppice.config import FitConfig
 from coppice.functions import masks
@@ -19,6 +30,60 @@ from coppice.functions.losses import balanced_costs, leaf_columns, total
 from coppice.sources.work import kept
 
 TOLERANCE = 1e-9
+#: Pattern rows times feature sets up to which counting runs on the JVM by repeating rows; above it numpy counts in place.
+SPREAD_ROWS = 20_000_000
+SPREAD_MASKS = 2_000
+#: Rows that numpy counts at once.
+COUNT_ROWS = 1 << 17
+
+
+@dataclass(frozen=True)
+class Scale:
+    """How an objective is counted.
+
+    exact: in whole numbers.  costs: an error's cost for each prediction and class.  A leaf
+    costs ``leaf``, and ``per`` is what stands for an objective of 1; both for each row of the
+    table where ``by_rows``.
+    """
+
+    exact: bool
+    costs: list[list[int]] | None
+    leaf: int | float
+    per: int | float
+    by_rows: bool
+
+    def leaf_cost(self) -> Column:
+        return F.lit(self.leaf) * F.col("rows_of_key") if self.by_rows else F.lit(self.leaf)
+
+    def one(self) -> Column:
+        return F.lit(self.per) * F.col("rows_of_key") if self.by_rows else F.lit(self.per)
+
+    def shown(self, value: Column | str) -> Column:
+        """An objective as the number that options speak of."""
+        return F.round((F.col(value) if isinstance(value, str) else value) / self.one(), 12)
+
+    def within(self, value: Column, room: Column) -> Column:
+        return value <= room if self.exact else value <= room + F.lit(TOLERANCE) * F.greatest(F.lit(1.0), F.abs(room))
+
+    def part(self, whole: Column, share: float) -> Column:
+        """``share`` of a value, rounded down where values are whole."""
+        if not self.exact:
+            return whole * F.lit(float(share))
+        x = Fraction(str(share))
+        wide = (whole.cast("decimal(19,0)") * F.lit(x.numerator).cast("decimal(18,0)")).cast("decimal(38,0)")
+        down = F.lit(x.denominator).cast("decimal(18,0)")
+        return ((wide - wide % down) / down).cast("long")
+
+    def bound(self, config: FitConfig, single_tree: bool = False) -> Column:
+        """What trees may cost, from v, the optimum."""
+        v = F.col("v")
+        if single_tree:
+            return v
+        if config.bound:
+            return self.part(self.one(), config.bound)
+        if config.bound_adder:
+            return v + self.part(self.one(), config.bound_adder)
+        return v + self.part(v, config.bound_multiplier or 0.05)
 
 
 @dataclass
@@ -33,6 +98,8 @@ class Problem:
     costs: list[list[float]] | None
     config: FitConfig
     keys: list[str]
+    scale: Scale
+    class_rows: list[int]
 
     def level(self, k: int) -> DataFrame:
         return self.cells.where(F.col("k") == k)
@@ -42,36 +109,184 @@ def literal_limit(features: int, config: FitConfig) -> int:
     return features if not config.max_depth else min(features, config.max_depth - 1)
 
 
-def cell_counts(patterns: DataFrame, features: int, classes: int, depth: int, keys: list[str] = ()) -> DataFrame:
-    """(keys, care, val, k, n_0 ..): counts of every conjunction of at most ``depth`` literals that has rows."""
+def scale_of(config: FitConfig, class_rows: list[int], costs: list[list[float]] | None) -> Scale:
+    """Whole numbers where errors, costs and penalties fit them."""
+    classes, rows = len(class_rows), max(1, sum(class_rows))
+    penalty = Fraction(str(config.regularization))
+    if config.loss == "misclassification":
+        if costs is None:
+            per, by_rows = penalty.denominator, True
+            table = [[0 if i == j else per for j in range(classes)] for i in range(classes)]
+            most = rows * per
+        else:
+            exact = [[Fraction(0) if i == j else Fraction(1, classes * max(class_rows[j], 1)) if config.balance else Fraction(str(costs[i][j])) for j in range(classes)] for i in range(classes)]
+            if not config.balance:
+                exact = [[Fraction(str(x)) for x in r] for r in costs]
+            per, by_rows = lcm(penalty.denominator, *[x.denominator for r in exact for x in r]), False
+            table = [[int(x * per) for x in r] for r in exact]
+            most = max(max(map(abs, r)) for r in table) * rows
+        leaf = int(penalty * per)
+        widest = most + leaf * (rows if by_rows else 1) * 2**10
+        if max(widest, per * (rows if by_rows else 1)) < 1 << 62:
+            return Scale(True, table, leaf, per, by_rows)
+    return Scale(False, None, config.regularization, 1.0, False)
+
+
+def _spread(patterns: DataFrame, features: int, classes: int, depth: int, keys: list[str]) -> DataFrame:
     care = F.explode(F.array(*[F.lit(m).cast("long") for m in masks.care_masks(features, depth)])).alias("care")
-    spread = patterns.select(*keys, care, "bits", *[f"n_{k}" for k in range(classes)])
-    grouped = spread.groupBy(*keys, "care", F.col("bits").bitwiseAND(F.col("care")).alias("val")).agg(*[F.sum(f"n_{k}").alias(f"n_{k}") for k in range(classes)])
+    ns = [f"n_{k}" for k in range(classes)]
+    return patterns.select(*keys, care, "bits", *ns).select(*keys, "care", F.col("bits").bitwiseAND(F.col("care")).alias("val"), *ns)
+
+
+def _counted(patterns: DataFrame, features: int, classes: int, depth: int, keys: list[str]) -> DataFrame:
+    """The same counts, added up in each task: it sends a row for each cell it met, not for each row and feature set."""
+    ns = [f"n_{k}" for k in range(classes)]
+    own = patterns.select(*keys, "bits", *ns)
+    schema = T.StructType([*[own.schema[k] for k in keys], T.StructField("care", T.LongType()), T.StructField("val", T.LongType()), *[T.StructField(n, T.LongType()) for n in ns]])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, dict[tuple, np.ndarray]] = {}
+
+        def add(table: pa.Table) -> None:
+            bits = table.column("bits").to_numpy()
+            weights = [table.column(n).to_numpy().astype(np.float64) for n in ns]
+            flags = [((bits >> f) & 1).astype(np.int32) for f in range(features)]
+            names = list(zip(*[table.column(k).to_pylist() for k in keys], strict=True)) if keys else [()] * len(bits)
+            for name in set(names):
+                inside = slice(None) if len(set(names)) == 1 else np.array([x == name for x in names])
+                own_weights, own_flags, cells = [w[inside] for w in weights], [f[inside] for f in flags], sums.setdefault(name, {})
+
+                def walk(chosen: tuple, code: np.ndarray) -> None:
+                    n = np.stack([np.bincount(code, w, 1 << len(chosen)) for w in own_weights]).astype(np.int64)
+                    cells[chosen] = cells[chosen] + n if chosen in cells else n
+                    if len(chosen) < depth:
+                        for f in range(chosen[-1] + 1 if chosen else 0, features):
+                            walk((*chosen, f), code * 2 + own_flags[f])
+
+                walk((), np.zeros(len(own_weights[0]), np.int32))
+
+        held, rows = [], 0
+        for b in batches:
+            held.append(b)
+            rows += b.num_rows
+            if rows >= COUNT_ROWS:
+                add(pa.Table.from_batches(held))
+                held, rows = [], 0
+        if rows:
+            add(pa.Table.from_batches(held))
+        for name, cells in sums.items():
+            care, val, counts = [], [], []
+            for chosen, n in cells.items():
+                met = np.flatnonzero(n.any(axis=0))
+                value = np.zeros(len(met), np.int64)
+                for place, f in enumerate(reversed(chosen)):
+                    value |= ((met >> place) & 1) << f
+                care.append(np.full(len(met), sum(1 << f for f in chosen), np.int64))
+                val.append(value)
+                counts.append(n[:, met])
+            counts = np.concatenate(counts, axis=1)
+            arrays = [pa.array([x] * counts.shape[1], own_type) for x, own_type in zip(name, [pa_types[k] for k in keys], strict=True)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.concatenate(care)), pa.array(np.concatenate(val)), *[pa.array(x) for x in counts]], names=schema.names)
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    pa_types = {k: to_arrow_type(own.schema[k].dataType) for k in keys}
+    return own.mapInArrow(scan, schema)
+
+
+def cell_counts(patterns: DataFrame, features: int, classes: int, depth: int, keys: list[str] = (), rows: int | None = None) -> DataFrame:
+    """(keys, care, val, k, n_0 ..): counts of every conjunction of at most ``depth`` literals that has rows.
+
+    rows: how many patterns there are, if known: with many, or with many sets of features,
+    tasks add up cells themselves instead of repeating each pattern for each set.
+    """
+    sets = masks.sets_bound(features, depth)
+    by_task = sets > SPREAD_MASKS or (rows is not None and rows * sets > SPREAD_ROWS)
+    met = (_counted if by_task else _spread)(patterns, features, classes, depth, list(keys))
+    grouped = met.groupBy(*keys, "care", "val").agg(*[F.sum(f"n_{k}").alias(f"n_{k}") for k in range(classes)])
     return grouped.withColumn("k", masks.literals(F.col("care"))).where(total(classes) > 0)
 
 
+def _leaf(classes: int, config: FitConfig, costs: list[list[float]] | None, scale: Scale) -> dict[str, Column]:
+    """prediction, falses, cost and leaf_objective of a cell made a leaf; the highest class of those that cost least."""
+    if not scale.exact:
+        leaf = leaf_columns(classes, config.loss, costs, 1.0)
+        return {"prediction": leaf["prediction"], "falses": leaf["falses"], "cost": leaf["loss"], "leaf_objective": F.round(leaf["loss"] + scale.leaf_cost(), 12)}
+    worth = []
+    for prices in scale.costs:
+        cost = F.lit(0).cast("long")
+        for j, price in enumerate(prices):
+            if price:
+                cost = cost + F.lit(price).cast("long") * F.col(f"n_{j}")
+        worth.append(cost)
+    top = F.least(*worth) if classes > 1 else worth[0]
+    prediction, right = F.lit(0), F.lit(0).cast("long")
+    for k in range(classes):
+        prediction = F.when(worth[k] == top, F.lit(k)).otherwise(prediction)
+        right = F.when(worth[k] == top, F.col(f"n_{k}")).otherwise(right)
+    return {"prediction": prediction.cast("int"), "falses": (total(classes) - right).cast("long"), "cost": top, "leaf_objective": top + scale.leaf_cost()}
+
+
+def _finished(counts: DataFrame, classes: int, config: FitConfig, costs: list[list[float]] | None, scale: Scale) -> DataFrame:
+    """Cells with their leaf columns for a config; they hold counts, so another config needs no new cells."""
+    return counts.withColumns(_leaf(classes, config, costs, scale))
+
+
+def depth_needed(sizes: list, classes: int, config: FitConfig, scale: Scale) -> int | None:
+    """The most splits on a path that a tree within the bound can have, or None for no limit.
+
+    A path of k splits has k + 1 leaves at least, and no tree costs less than rows of equal
+    patterns do that aren't told apart; no bound is above that of the single leaf.
+    """
+    if not scale.leaf:
+        return None
+    most = 0
+    for r in sizes:
+        n = [int(r[f"n_{k}"] or 0) for k in range(classes)]
+        rows = max(1, sum(n))
+        leaf, per = (x * (rows if scale.by_rows else 1) for x in (scale.leaf, scale.per))
+        alone = float(r.alone or 0) + leaf
+        bound = max(alone, config.bound * per, alone + config.bound_adder * per, alone * (1 + (config.bound_multiplier or 0.05)))
+        most = max(most, int((bound * (1 + 1e-9) - float(r.least or 0)) / leaf) - 1 if leaf else 0)
+    return most
+
+
 def problem(patterns: DataFrame, features: int, classes: int, config: FitConfig, keys: list[str] = (), class_rows: list[int] | None = None) -> Problem:
     """Cells and leaf columns.  With keys, ``class_rows`` still belongs to the whole table and unit costs to each key's rows."""
     if features > masks.MOST_FEATURES:
         raise ValueError(f"over {masks.MOST_FEATURES} features")
-    depth = literal_limit(features, config)
-    if masks.cells_bound(features, depth) > config.max_cells:
-        raise ValueError(f"{features} features at {depth} splits have up to {masks.cells_bound(features, depth)} cells: give a max_depth, or raise max_cells")
-    class_rows = class_rows or [int(x or 0) for x in patterns.agg(*[F.sum(f"n_{k}") for k in range(classes)]).first()]
+    ns = [F.sum(f"n_{k}").alias(f"n_{k}") for k in range(classes)]
+    if class_rows is None:
+        class_rows = [int(x or 0) for x in patterns.agg(*ns).first()]
     rows = sum(class_rows)
     costs = [list(r) for r in config.costs] if config.costs else balanced_costs(class_rows) if config.balance else None
     if costs is not None and len(costs) != classes:
         raise ValueError(f"costs for {len(costs)} classes, the label has {classes}")
-    cells = cell_counts(patterns, features, classes, depth, list(keys))
+    scale = scale_of(config, class_rows, costs)
+    keys = list(keys)
+    # One row a key: what all of it costs as one leaf, and with each pattern its own leaf.
+    own = patterns.withColumn("rows_of_key", total(classes)).withColumns(_leaf(classes, config, costs, scale))
+    least = own.groupBy(*keys).agg(*ns, F.sum("cost").alias("least"), F.count("*").alias("patterns"))
+    sizes = least.withColumn("rows_of_key", total(classes)).withColumns({"alone": _leaf(classes, config, costs, scale)["cost"]}).collect()
+    depth, needed = literal_limit(features, config), depth_needed(sizes, classes, config, scale)
+    depth = depth if needed is None else max(0, min(depth, needed))
+    if masks.cells_bound(features, depth) > config.max_cells:
+        raise ValueError(f"{features} features at {depth} splits have up to {masks.cells_bound(features, depth)} cells: give a max_depth or a larger regularization, or raise max_cells")
+    cells = cell_counts(patterns, features, classes, depth, keys, sum(r.patterns for r in sizes))
     if keys:
-        cells = cells.join(cells.where("k = 0").select(*keys, total(classes).alias("rows_of_key")), list(keys))
+        sized = patterns.sparkSession.createDataFrame([(*[r[k] for k in keys], sum(int(r[f"n_{k}"]) for k in range(classes))) for r in sizes], T.StructType([*[patterns.schema[k] for k in keys], T.StructField("rows_of_key", T.LongType())]))
+        cells = cells.join(F.broadcast(sized), keys)  # a row for each key, as the driver just met them
     else:
         cells = cells.withColumn("rows_of_key", F.lit(rows).cast("long"))
-    leaf = leaf_columns(classes, config.loss, costs, 1.0)
-    if config.loss == "misclassification" and costs is None:
-        leaf["loss"] = F.round(leaf["falses"] / F.col("rows_of_key"), 12)
-    cells = cells.withColumn("n_total", total(classes)).withColumns(leaf).withColumn("leaf_objective", F.col("loss") + F.lit(config.regularization))
-    return Problem(kept(cells, "cells"), features, classes, depth, rows, costs, config, list(keys))
+    cells = kept(cells.withColumn("n_total", total(classes)), "cells")
+    return Problem(_finished(cells, classes, config, costs, scale), features, classes, depth, rows, costs, config, keys, scale, class_rows)
+
+
+def retuned(p: Problem, config: FitConfig) -> Problem:
+    """The problem under another penalty or bound, on the cells that are there; its trees mustn't need deeper ones."""
+    scale = scale_of(config, p.class_rows, p.costs)
+    counts = p.cells.drop("prediction", "falses", "cost", "leaf_objective")
+    return replace(p, cells=_finished(counts, p.classes, config, p.costs, scale), config=config, scale=scale)
 
 
 def split_pairs(p: Problem, above: DataFrame, below: DataFrame, left: list[Column], right: list[Column], carry: list[str]) -> DataFrame:
@@ -96,34 +311,48 @@ def _supported(p: Problem, pairs: DataFrame) -> DataFrame:
     return pairs.where(enough("n_l") & enough("n_r"))
 
 
+def _both(*columns: str) -> list[list[Column]]:
+    """What to take from the left and from the right side, with ``_l`` and ``_r`` behind its name."""
+    return [[F.col(c).alias(f"{'n' if c == 'n_total' else 'leaf' if c == 'leaf_objective' else c}_{s}") for c in columns] for s in "lr"]
+
+
+def _tidy(p: Problem, value: Column) -> Column:
+    return value if p.scale.exact else F.round(value, 12)
+
+
 def optimum(p: Problem) -> list[DataFrame]:
     """For each number of literals, the cells with v, the best objective of a tree there."""
     levels = {p.depth: p.level(p.depth).withColumn("v", F.col("leaf_objective"))}
     for k in reversed(range(p.depth)):
         own = p.level(k)
-        pairs = split_pairs(p, own, levels[k + 1], [F.col("v").alias("v_l"), F.col("n_total").alias("n_l"), F.col("leaf_objective").alias("leaf_l")], [F.col("v").alias("v_r"), F.col("n_total").alias("n_r"), F.col("leaf_objective").alias("leaf_r")], ["rows_of_key"])
-        pairs = _supported(p, pairs)
+        pairs = _supported(p, split_pairs(p, own, levels[k + 1], *_both("v", "n_total", "leaf_objective"), ["rows_of_key"]))
         value = F.col("v_l") + F.col("v_r")
         if p.config.rule_list:
             value = F.least(F.col("leaf_l") + F.col("v_r"), F.col("v_l") + F.col("leaf_r"))
         best = pairs.groupBy(*p.keys, "care", "val").agg(F.min(value).alias("split_v"))
-        levels[k] = kept(own.join(best, [*p.keys, "care", "val"], "left").withColumn("v", F.round(F.least("leaf_objective", F.coalesce("split_v", "leaf_objective")), 12)).drop("split_v"), "best")
+        done = own.join(best, [*p.keys, "care", "val"], "left").withColumn("v", _tidy(p, F.least("leaf_objective", F.coalesce("split_v", "leaf_objective")))).drop("split_v")
+        levels[k] = kept(done, "best") if k else kept(done, "best").coalesce(1)  # a row for each key
     return [levels[k] for k in range(p.depth + 1)]
 
 
+def best(p: Problem, levels: list[DataFrame]) -> float:
+    """The optimum of a table without keys, as options speak of it."""
+    return float(levels[0].select(p.scale.shown("v")).first()[0])
+
+
 def best_splits(p: Problem, level: DataFrame, below: DataFrame) -> DataFrame:
     """(keys, care, val, feature, objective) of every split of a level's cells."""
-    pairs = split_pairs(p, level, below, [F.col("v").alias("v_l"), F.col("n_total").alias("n_l")], [F.col("v").alias("v_r"), F.col("n_total").alias("n_r")], ["rows_of_key"])
-    return _supported(p, pairs).select(*p.keys, "care", "val", "feature", F.round(F.col("v_l") + F.col("v_r"), 12).alias("objective"))
+    pairs = _supported(p, split_pairs(p, level, below, *_both("v", "n_total"), ["rows_of_key"]))
+    return pairs.select(*p.keys, "care", "val", "feature", p.scale.shown(F.col("v_l") + F.col("v_r")).alias("objective"))
 
 
-def budgets(p: Problem, levels: list[DataFrame], bounds: DataFrame | float) -> list[DataFrame]:
-    """The cells a tree within the bound can reach, with ``room``, the most its subtree there may cost."""
-    top = levels[0].join(bounds, p.keys) if p.keys else levels[0].withColumn("bound", F.lit(float(bounds)))
-    out = [top.withColumnRenamed("bound", "room").where(F.col("v") <= F.col("room") + TOLERANCE)]
+def budgets(p: Problem, levels: list[DataFrame], bound: Column) -> list[DataFrame]:
+    """The cells a tree within the bound can reach, with ``room``, the most its subtree there may cost.  bound: over columns of the first level."""
+    top = levels[0].withColumn("room", bound)
+    out = [top.where(p.scale.within(F.col("v"), F.col("room")))]
     for k in range(p.depth):
-        pairs = split_pairs(p, out[k], levels[k + 1], [F.col("v").alias("v_l"), F.col("n_total").alias("n_l")], [F.col("v").alias("v_r"), F.col("n_total").alias("n_r")], ["rows_of_key", "room"])
-        pairs = _supported(p, pairs).where(F.col("v_l") + F.col("v_r") <= F.col("room") + TOLERANCE)
+        pairs = _supported(p, split_pairs(p, out[k], levels[k + 1], *_both("v", "n_total"), ["rows_of_key", "room"]))
+        pairs = pairs.where(p.scale.within(F.col("v_l") + F.col("v_r"), F.col("room")))
         left = pairs.select(*p.keys, F.col("child_care").alias("care"), F.col("val"), (F.col("room") - F.col("v_r")).alias("room"))
         right = pairs.select(*p.keys, F.col("child_care").alias("care"), F.col("child_true").alias("val"), (F.col("room") - F.col("v_l")).alias("room"))
         room = left.unionByName(right).groupBy(*p.keys, "care", "val").agg(F.max("room").alias("room"))
@@ -131,7 +360,7 @@ def budgets(p: Problem, levels: list[DataFrame], bounds: DataFrame | float) -> l
     return out
 
 
-_SUMS = ("loss", "falses", "tp", "tn", "leaves")
+_SUMS = ("cost", "falses", "tp", "tn", "leaves")
 
 
 def _leaf_entries(p: Problem, cells: DataFrame, trees: bool) -> DataFrame:
@@ -139,16 +368,25 @@ def _leaf_entries(p: Problem, cells: DataFrame, trees: bool) -> DataFrame:
         tp, tn = F.when(F.col("prediction") == 1, F.col("n_1")).otherwise(F.lit(0)), F.when(F.col("prediction") == 0, F.col("n_0")).otherwise(F.lit(0))
     else:
         tp, tn = F.col("n_total") - F.col("falses"), F.lit(0)
-    out = cells.where(F.col("leaf_objective") <= F.col("room") + TOLERANCE)
-    return out.select(*p.keys, "care", "val", F.lit(-1).alias("feature"), F.col("prediction").alias("leaf"), "loss", "falses", tp.cast("long").alias("tp"), tn.cast("long").alias("tn"), F.lit(1).alias("leaves"), F.lit(1).cast("decimal(38,0)").alias("cnt"), *([F.col("prediction").cast("string").alias("tree")] if trees else []))
+    out = cells.where(p.scale.within(F.col("leaf_objective"), F.col("room")))
+    return out.select(*p.keys, "care", "val", "rows_of_key", F.lit(-1).alias("feature"), F.col("prediction").alias("leaf"), "cost", "falses", tp.cast("long").alias("tp"), tn.cast("long").alias("tn"), F.lit(1).alias("leaves"), F.lit(1).cast("decimal(38,0)").alias("cnt"), *([F.col("prediction").cast("string").alias("tree")] if trees else []))
 
 
-def entries(p: Problem, reach: list[DataFrame], trees: bool = False) -> list[DataFrame]:
+def _first(p: Problem, found: DataFrame, most: int | None) -> DataFrame:
+    """A cell's best ``most`` + 1 trees (a leaf may be barred beside its like) and its leaf; what a whole tree among the best needs of a cell is among them."""
+    if most is None:
+        return found
+    order = Window.partitionBy(*p.keys, "care", "val").orderBy(units(p), "leaves", F.length("tree"), "tree")
+    return found.withColumn("nth", F.row_number().over(order)).where((F.col("nth") <= most + 1) | (F.col("feature") < 0)).drop("nth")
+
+
+def entries(p: Problem, reach: list[DataFrame], trees: bool = False, most: int | None = None) -> list[DataFrame]:
     """For each level, the subtrees within each cell's room.
 
-    Without trees they are counted in clusters of equal (feature, leaf, loss, falses, tp,
+    Without trees they are counted in clusters of equal (feature, leaf, cost, falses, tp,
     tn, leaves); with trees each has its text: a class for a leaf, else (feature true false).
     Leaves and splits stay apart, so a split into two leaves of one class is told exactly.
+    most: with trees, how many of the best are wanted; cells then keep no more than those need.
     """
     out = {p.depth: _leaf_entries(p, reach[p.depth], trees)}
     for k in reversed(range(p.depth)):
@@ -161,9 +399,8 @@ def entries(p: Problem, reach: list[DataFrame], trees: bool = False) -> list[Dat
             sides = [[*side, F.col("n").alias(f"n_{s}")] for side, s in zip(sides, "lr", strict=True)]
         pairs = _supported(p, split_pairs(p, reach[k], below, *sides, ["room", "rows_of_key"]))
         pairs = pairs.withColumns({c: F.col(f"{c}_l") + F.col(f"{c}_r") for c in _SUMS})
-        uniform = p.costs is None and p.config.loss == "misclassification"  # then the loss follows from the errors, without sums of rounded parts
-        pairs = pairs.withColumn("loss", F.round(F.col("falses") / F.col("rows_of_key") if uniform else F.col("loss"), 12))
-        pairs = pairs.where(F.col("loss") + F.lit(p.config.regularization) * F.col("leaves") <= F.col("room") + TOLERANCE)
+        pairs = pairs.withColumn("cost", _tidy(p, F.col("cost")))
+        pairs = pairs.where(p.scale.within(F.col("cost") + p.scale.leaf_cost() * F.col("leaves"), F.col("room")))
         if p.config.ignore_trivial:
             pairs = pairs.where(~F.coalesce(F.col("leaf_l") == F.col("leaf_r"), F.lit(False)))
         if p.config.rule_list:
@@ -171,46 +408,79 @@ def entries(p: Problem, reach: list[DataFrame], trees: bool = False) -> list[Dat
         none = F.lit(None).cast("int").alias("leaf")
         if trees:
             text = F.concat(F.lit("("), F.col("feature").cast("string"), F.lit(" "), F.col("tree_r"), F.lit(" "), F.col("tree_l"), F.lit(")"))
-            splits = pairs.select(*p.keys, "care", "val", "feature", none, *_SUMS, F.lit(1).cast("decimal(38,0)").alias("cnt"), text.alias("tree"))
+            splits = pairs.select(*p.keys, "care", "val", "rows_of_key", "feature", none, *_SUMS, F.lit(1).cast("decimal(38,0)").alias("cnt"), text.alias("tree"))
         else:
-            splits = pairs.groupBy(*p.keys, "care", "val", "feature", *_SUMS).agg(F.sum(F.col("cnt_l") * F.col("cnt_r")).cast("decimal(38,0)").alias("cnt")).select(*p.keys, "care", "val", "feature", none, *_SUMS, "cnt")
-        own = _leaf_entries(p, reach[k], trees).unionByName(splits)
+            splits = pairs.groupBy(*p.keys, "care", "val", "rows_of_key", "feature", *_SUMS).agg(F.sum(F.col("cnt_l") * F.col("cnt_r")).cast("decimal(38,0)").alias("cnt")).select(*p.keys, "care", "val", "rows_of_key", "feature", none, *_SUMS, "cnt")
+        own = _first(p, _leaf_entries(p, reach[k], trees).unionByName(splits), most)
         out[k] = kept(own, "entries") if k else own  # what a level above reads twice is stored
     return [out[k] for k in range(p.depth + 1)]
 
 
+def units(p: Problem) -> Column:
+    """The objective of an entry, as it is counted."""
+    return _tidy(p, F.col("cost") + p.scale.leaf_cost() * F.col("leaves"))
+
+
 def objective(p: Problem) -> Column:
-    return F.round(F.col("loss") + F.lit(p.config.regularization) * F.col("leaves"), 12)
+    return p.scale.shown(F.col("cost") + p.scale.leaf_cost() * F.col("leaves"))
 
 
 def root_clusters(p: Problem, found: list[DataFrame]) -> DataFrame:
-    """(keys, objective, loss, falses, tp, tn, leaves, trees): how many trees share each outcome."""
-    return found[0].groupBy(*p.keys, *_SUMS).agg(F.sum("cnt").cast("decimal(38,0)").alias("trees")).select(*p.keys, objective(p).alias("objective"), *_SUMS, "trees")
+    """(keys, objective, units, loss, falses, tp, tn, leaves, trees): how many trees share each outcome."""
+    own = found[0].groupBy(*p.keys, "rows_of_key", *_SUMS).agg(F.sum("cnt").cast("decimal(38,0)").alias("trees"))
+    return own.select(*p.keys, objective(p).alias("objective"), units(p).alias("units"), p.scale.shown("cost").alias("loss"), *_SUMS[1:], "trees")
+
 
+def dag_edges(p: Problem, levels: list[DataFrame], reach: list[DataFrame], found: list[DataFrame]) -> DataFrame:
+    """(keys, care, val, feature, child_care, false_val, true_val): the splits that trees within the bound have.
 
-def dag_edges(p: Problem, levels: list[DataFrame], reach: list[DataFrame]) -> DataFrame:
-    """(keys, care, val, feature, left_care, left_val, right_val): the splits that trees within the bound can use."""
-    out = None
+    found: the entries, so support, trivial splits and rule lists count as they do there.
+    A subtree's split is in a tree if the cheapest subtree with it fits what the cheapest
+    rest of the tree leaves; in a rule list the other side of a split is a leaf.
+    """
+    out, room = None, reach[0].select(*p.keys, "care", "val", "rows_of_key", "room")
+    sibling = "leaf" if p.config.rule_list else "v"
     for k in range(p.depth):
-        pairs = split_pairs(p, reach[k], levels[k + 1], [F.col("v").alias("v_l")], [F.col("v").alias("v_r")], ["room"]).where(F.col("v_l") + F.col("v_r") <= F.col("room") + TOLERANCE)
+        least = found[k].where("feature >= 0").groupBy(*p.keys, "care", "val", "feature").agg(F.min(units(p)).alias("least"), F.first("rows_of_key").alias("rows"))
+        used = least.join(room, [*p.keys, "care", "val"]).where(p.scale.within(F.col("least"), F.col("room")))
+        pairs = split_pairs(p, room, levels[k + 1], *_both("v", "leaf_objective"), ["room"]).join(used.select(*p.keys, "care", "val", "feature"), [*p.keys, "care", "val", "feature"])
         edges = pairs.select(*p.keys, "care", "val", "feature", "child_care", F.col("val").alias("false_val"), F.col("child_true").alias("true_val"))
         out = edges if out is None else out.unionByName(edges)
+        sides = [pairs.select(*p.keys, F.col("child_care").alias("care"), F.col(at).alias("val"), (F.col("room") - F.col(f"{sibling}_{other}")).alias("room")) for at, other in (("val", "r"), ("child_true", "l"))]
+        below = sides[0].unionByName(sides[1]).groupBy(*p.keys, "care", "val").agg(F.max("room").alias("room"))
+        room = kept(levels[k + 1].select(*p.keys, "care", "val", "rows_of_key").join(below, [*p.keys, "care", "val"]), "edge-room")
+    if out is None:
+        none = reach[0].where("false")
+        return none.select(*p.keys, "care", "val", F.lit(0).alias("feature"), F.col("care").alias("child_care"), F.col("val").alias("false_val"), F.col("val").alias("true_val"))
     return out
 
 
 def greedy(p: Problem) -> str:
-    """The tree that takes the split with the largest fall of loss at each step, as text; a baseline, not the optimum."""
+    """The tree that takes the split with the largest fall of loss at each step, as text; a baseline, not the optimum.  One job a level."""
     from coppice.operators.trees import Tree
 
-    def grow(care: int, val: int, k: int) -> Tree:
-        here = p.level(k).where((F.col("care") == care) & (F.col("val") == val)).first()
-        if k < p.depth:
-            below = p.level(k + 1).withColumn("v", F.col("loss"))
-            pairs = split_pairs(p, p.level(k).where((F.col("care") == care) & (F.col("val") == val)), below, [F.col("v").alias("v_l"), F.col("n_total").alias("n_l")], [F.col("v").alias("v_r"), F.col("n_total").alias("n_r")], ["rows_of_key"])
-            best = _supported(p, pairs).select("feature", F.round(F.col("v_l") + F.col("v_r"), 12).alias("loss")).orderBy("loss", "feature").first()
-            if best and here.loss - best.loss > p.config.regularization:
-                b = 1 << best.feature
-                return Tree(best.feature, grow(care | b, val | b, k + 1), grow(care | b, val, k + 1), None)
-        return Tree(None, None, None, here.prediction)
-
-    return grow(0, 0, 0).text()
+    spark = p.cells.sparkSession
+    split: dict[tuple[int, int], int] = {}
+    leaves: dict[tuple[int, int], int] = {}
+    front = [(0, 0)]
+    for k in range(p.depth + 1):
+        if not front:
+            break
+        own = p.level(k).join(F.broadcast(spark.createDataFrame(front, "care long, val long")), ["care", "val"])  # 2^k cells at most
+        leaves.update({(r.care, r.val): r.prediction for r in own.select("care", "val", "prediction").collect()})
+        if k == p.depth:
+            break
+        pairs = _supported(p, split_pairs(p, own.withColumn("own_cost", F.col("cost")), p.level(k + 1), *_both("cost", "n_total"), ["rows_of_key", "own_cost"]))
+        fall = F.col("own_cost") - F.col("cost_l") - F.col("cost_r")
+        best_of = pairs.groupBy("care", "val").agg(F.min(F.struct((-_tidy(p, fall)).alias("loss"), "feature", "rows_of_key")).alias("x"))
+        taken = best_of.where(-F.col("x.loss") > (F.lit(p.scale.leaf) * F.col("x.rows_of_key") if p.scale.by_rows else F.lit(p.scale.leaf))).select("care", "val", "x.feature").collect()
+        split.update({(r.care, r.val): r.feature for r in taken})
+        front = [(r.care | 1 << r.feature, r.val | side << r.feature) for r in taken for side in (0, 1)]
+
+    def grow(care: int, val: int) -> Tree:
+        f = split.get((care, val))
+        if f is None:
+            return Tree(None, None, None, leaves[care, val])
+        return Tree(f, grow(care | 1 << f, val | 1 << f), grow(care | 1 << f, val), None)
+
+    return grow(0, 0).text()

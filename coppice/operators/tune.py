@@ -45,12 +45,15 @@ def auto_tune(df: DataFrame, label: str, features: list[str], target: int = 1, m
     low, high = search_range or RANGES[parameter, config.loss]
     tried, best = [], None
     converged = False
+    setting = lambda x: config.with_(bound=0.0, bound_adder=0.0, **{parameter: x})
+    # The cells of the setting that allows the deepest trees serve all others.
+    whole = search.problem(patterns, len(rules), len(classes), setting(high if parameter == "bound_multiplier" else low))
     for _ in range(max_steps):
         value = (low + high) / 2
-        trial = config.with_(bound=0.0, bound_adder=0.0, **{parameter: value})
-        p = search.problem(patterns, len(rules), len(classes), trial)
+        trial = setting(value)
+        p = search.retuned(whole, trial)
         levels = search.optimum(p)
-        reach = search.budgets(p, levels, trial.rashomon_bound(float(levels[0].first().v)))
+        reach = search.budgets(p, levels, p.scale.bound(trial))
         n = int(search.root_clusters(p, search.entries(p, reach)).agg(F.sum("trees")).first()[0] or 0)
         tried.append((value, n))
         miss = max(target - n, n - most, 0)
@@ -66,7 +69,7 @@ def auto_tune(df: DataFrame, label: str, features: list[str], target: int = 1, m
         if high - low <= LEAST_WIDTH:
             break
     _, value, n, trial = best
-    model = fit_patterns(patterns, rules, classes, label, trial.with_(model_limit=max(trial.model_limit, n)), single_tree=False, max_trees=most)
+    model = fit_patterns(patterns, rules, classes, label, trial.with_(model_limit=max(trial.model_limit, n)), single_tree=False, max_trees=most, p=search.retuned(whole, trial))
     return TuneResult(model, value, n, len(tried), converged, tried)
 
 

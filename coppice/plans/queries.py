@@ -46,7 +46,7 @@ def solved(spark, sf, config: FitConfig = CONFIG) -> tuple[search.Problem, list[
 
 def near(spark, sf, trees_: bool = False) -> tuple[search.Problem, list[DataFrame]]:
     p, levels = solved(spark, sf)
-    return p, search.entries(p, search.budgets(p, levels, BOUND), trees_)
+    return p, search.entries(p, search.budgets(p, levels, p.scale.bound(CONFIG)), trees_)
 
 
 def model(spark, sf, single: bool = True) -> TreeModel:
@@ -251,7 +251,7 @@ def cell_counts_cube(spark, sf):
 @query(f"{_C2}, {_LEAF} SELECT care, val, prediction, falses::BIGINT AS falses, round(leaf_objective, 9) AS objective FROM cell")
 def cell_leaf_objective(spark, sf):
     p = search.problem(patterns(spark, sf), P, 2, CONFIG)
-    return p.cells.select("care", "val", "prediction", "falses", F.round("leaf_objective", 9).alias("objective"))
+    return p.cells.select("care", "val", "prediction", "falses", F.round(p.scale.shown("leaf_objective"), 9).alias("objective"))
 
 
 @query(f"{_SOLVED} SELECT feature, round(objective, 9) AS objective FROM s0")
@@ -263,26 +263,27 @@ def best_split(spark, sf):
 @query(f"{_C2}, {_LEAF}, s AS (SELECT feature, round(l.loss + r.loss, 9) AS loss FROM f JOIN cell l ON l.care = 1 << feature AND l.val = 0 JOIN cell r ON r.care = 1 << feature AND r.val = 1 << feature) SELECT * FROM s ORDER BY loss, feature LIMIT 1")
 def greedy_split(spark, sf):
     p = search.problem(kept(patterns(spark, sf), "patterns"), P, 2, CONFIG.with_(max_depth=2))
-    pairs = search.split_pairs(p, p.level(0), p.level(1), [F.col("loss").alias("l")], [F.col("loss").alias("r")], [])
-    return pairs.select("feature", F.round(F.col("l") + F.col("r"), 9).alias("loss")).orderBy("loss", "feature").limit(1)
+    pairs = search.split_pairs(p, p.level(0), p.level(1), [F.col("cost").alias("l")], [F.col("cost").alias("r")], ["rows_of_key"])
+    return pairs.select("feature", F.round(p.scale.shown(F.col("l") + F.col("r")), 9).alias("loss")).orderBy("loss", "feature").limit(1)
 
 
 @query(f"{_SOLVED} SELECT round(v, 9) AS objective FROM v0")
 def optimal_objective(spark, sf):
-    return solved(spark, sf)[1][0].select(F.round("v", 9).alias("objective"))
+    p, levels = solved(spark, sf)
+    return levels[0].select(F.round(p.scale.shown("v"), 9).alias("objective"))
 
 
 @query(f"{_NEAR} SELECT tree, leaves, objective FROM t WHERE objective <= (SELECT min(objective) FROM t) + 1e-9")
 def optimal_trees(spark, sf):
     p, levels = solved(spark, sf)
-    tied = search.budgets(p, levels, float(levels[0].first().v))
+    tied = search.budgets(p, levels, F.col("v"))
     return search.entries(p, tied, trees=True)[0].select("tree", "leaves", F.round(search.objective(p), 9).alias("objective"))
 
 
 @query(f"{_BEST_TREE} SELECT tree, leaves, falses::BIGINT AS falses, objective FROM best")
 def optimal_tree_depth2(spark, sf):
     p, levels = solved(spark, sf)
-    tied = search.budgets(p, levels, float(levels[0].first().v))
+    tied = search.budgets(p, levels, F.col("v"))
     best = search.entries(p, tied, trees=True)[0].select("tree", "leaves", "falses", F.round(search.objective(p), 9).alias("objective"))
     return best.orderBy("objective", "leaves", F.length("tree"), "tree").limit(1)
 
@@ -346,14 +347,22 @@ for _m, _t in (("f1", 0.2), ("bacc", 0.12), ("auc", 0.12)):
 @query(f"""{_NEAR}, k AS (SELECT tree, feature, leaf FROM t) SELECT CASE WHEN leaf IS NULL THEN feature ELSE -(leaf + 1) END AS root, count(*)::BIGINT AS trees FROM k GROUP BY ALL""")
 def rashomon_trie(spark, sf):
     _, found = near(spark, sf, True)
-    paths = trees.level_paths(spark, [trees.parse(r.tree) for r in found[0].select("tree").limit(CONFIG.model_limit).collect()])
+    paths = trees.level_paths(spark, [trees.parse(r.tree) for r in found[0].select("tree").collect()])  # a handful of trees
     return paths.groupBy(F.element_at(F.element_at("path", 1), 1).alias("root")).agg(F.count("*").alias("trees"))
 
 
-@query()
+#: Splits of trees in t: the root's, and those of its children.
+_DAG = f"""{_NEAR}, r AS (SELECT DISTINCT f.feature, l.feature AS fl, r.feature AS fr, l.leaf AS ll, r.leaf AS lr, l.falses + r.falses AS falses, l.leaves + r.leaves AS leaves
+  FROM f JOIN e1 l ON l.care = 1 << f.feature AND l.val = 0 JOIN e1 r ON r.care = 1 << f.feature AND r.val = 1 << f.feature WHERE l.leaf IS NULL OR r.leaf IS NULL OR l.leaf <> r.leaf),
+u AS (SELECT r.* FROM r, one WHERE falses / n + {LAMBDA} * leaves <= {BOUND} + 1e-9),
+d AS (SELECT 0::BIGINT AS care, 0::BIGINT AS val, feature FROM u UNION SELECT (1 << feature)::BIGINT, 0, fl FROM u WHERE fl >= 0 UNION SELECT (1 << feature)::BIGINT, (1 << feature)::BIGINT, fr FROM u WHERE fr >= 0)"""
+
+
+@query(f"{_DAG} SELECT care, val, feature, (care + (1 << feature))::BIGINT AS child_care, val AS false_val, (val + (1 << feature))::BIGINT AS true_val FROM d")
 def rashomon_dag(spark, sf):
     p, levels = solved(spark, sf)
-    return search.dag_edges(p, levels, search.budgets(p, levels, BOUND))
+    reach = search.budgets(p, levels, p.scale.bound(CONFIG))
+    return search.dag_edges(p, levels, reach, search.entries(p, reach))
 
 
 # ---- applying trees ----------------------------------------------------------------
@@ -465,7 +474,7 @@ sets AS (SELECT a.fold, tree, objective FROM a JOIN best USING (fold) WHERE obje
 def _sets(spark, sf) -> DataFrame:
     p = search.problem(_train(spark, sf), P, 2, _CF, ["fold"])
     levels = search.optimum(p)
-    reach = search.budgets(p, levels, levels[0].select("fold", (F.col("v") * 1.6).alias("bound")))
+    reach = search.budgets(p, levels, p.scale.bound(_CF))
     return kept(search.entries(p, reach, trees=True)[0].select("fold", "tree", search.objective(p).alias("objective")), "sets")
 
 
@@ -529,7 +538,7 @@ def cv_grid(spark, sf):
     train, parts = _train(spark, sf), None
     for x in _GRID:
         p = search.problem(train, P, 2, _CF.with_(regularization=x), ["fold"])
-        own = search.optimum(p)[0].select("fold", F.lit(x).alias("regularization"), F.col("v").alias("loss"))
+        own = search.optimum(p)[0].select("fold", F.lit(x).alias("regularization"), p.scale.shown("v").alias("loss"))
         parts = own if parts is None else parts.unionByName(own)
     return cv_losses(parts).withColumn("cv_loss", F.round("cv_loss", 9))
 
