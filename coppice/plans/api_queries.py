@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from coppice.config import FitConfig
+from coppice.functions import analysis
 from coppice.operators import crossfit, encode, search
 from coppice.operators.fit import accuracy, fit_patterns, fit_rashomon, fit_tree
 from coppice.operators.tune import auto_tune
@@ -161,3 +162,30 @@ def encoder_rows(spark, sf):
     df = task.lineitem(spark, sf)
     rules = encode.codex(df, ["l_tax", "l_linestatus", "l_returnflag"])
     return encode.binarize(df, rules, ["l_orderkey", "l_linenumber"])
+
+
+# ---- measures of sets and features -------------------------------------------------
+
+_CARE = 6
+_SPREAD = ((0.0, 2.0), (3.0, 0.5))
+
+
+@query(f"""WITH {SQL_PATTERNS}, one AS (SELECT sum(n_0 + n_1) AS n FROM pat), s AS (SELECT bits & {_CARE} AS val, sum(n_0)::BIGINT AS n_0, sum(n_1)::BIGINT AS n_1, sum(least(n_0, n_1)) AS least_ FROM pat GROUP BY ALL), x AS (SELECT s.*, (n_0 + n_1) / n AS support, n FROM s, one)
+SELECT val, n_0, n_1, round(support, 9) AS support, round((n_0 + n_1) / n, 9) AS potential, round(least_ / n, 9) AS min_loss, round(least(n_0, n_1) / n, 9) AS max_loss,
+  round(support * ((CASE WHEN n_0 > 0 THEN n_0 * (ln(n_0) - ln(support)) ELSE 0 END) + (CASE WHEN n_1 > 0 THEN n_1 * (ln(n_1) - ln(support)) ELSE 0 END)), 3) AS information FROM x""")
+def set_measures(spark, sf):
+    own = kept(patterns(spark, sf), "patterns")
+    rows = own.agg(F.sum(F.col("n_0") + F.col("n_1"))).first()[0]
+    got = analysis.set_measures(own, _CARE, 2, rows)
+    return got.select("val", "n_0", "n_1", *[F.round(c, 9).alias(c) for c in ("support", "potential", "min_loss", "max_loss")], F.round("information", 3).alias("information"))
+
+
+@query(f"""WITH {SQL_PATTERNS}, f AS (SELECT unnest(range({P}))::INT AS i), d AS (SELECT a.i AS i, c.i AS j, sum(CASE WHEN (bits >> a.i) & 1 <> (bits >> c.i) & 1 THEN 3.0 * n_0 + 1.5 * n_1 ELSE 0 END) AS differ, sum(3.0 * n_0 + 1.5 * n_1) AS whole FROM pat, f a, f c WHERE a.i < c.i GROUP BY ALL)
+SELECT i, j, round(least(differ, whole - differ), 6)::DOUBLE AS distance FROM d""")
+def feature_distance_costs(spark, sf):
+    return analysis.feature_distance(patterns(spark, sf), P, 2, _SPREAD).withColumn("distance", F.round("distance", 6))
+
+
+@query(f"WITH {SQL_PATTERNS} SELECT bits, CASE WHEN 2.0 * n_1 < 3.0 * n_0 + 0.5 * n_1 THEN 2.0 * n_1 ELSE 3.0 * n_0 + 0.5 * n_1 END::DOUBLE AS least FROM pat")
+def equivalent_points_costs(spark, sf):
+    return patterns(spark, sf).select("bits", analysis.equivalent_points(2, _SPREAD).alias("least"))
