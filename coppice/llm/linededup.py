@@ -6,19 +6,23 @@ least hash in it (the last of equals) is its fingerprint.  Windows depend on the
 text alone, so every repeated run of ``min_words`` words or more has the same
 fingerprints wherever it stands.
 
-Fingerprints found once in the corpus can't lie in repeated windows; they drop
-out.  The others are joined back to their positions, and each match is extended
-both ways by hashes: of the windows that begin at each line, and of the shortest
-runs that end at each line.  A run that also stands at an earlier position (lower
-doc_id, then lower line) is deleted, its first occurrence stays.  Together this is
-exact: a line goes if and only if it lies in a run of ``min_words`` words or more
-that occurred earlier.  No pairs of documents are formed: a passage in n documents
-costs n rows, reduced to its first position before the join.
+Fingerprints found once in the corpus can't lie in repeated windows; they drop out.
+The positions of each other fingerprint are joined with its first one (lower doc_id, then
+lower line), and each match is extended both ways, line by line, through the lines of all
+windows that have this fingerprint.  The run it grows to is deleted if it has
+``min_words`` words; its first occurrence stays, and runs that overlap are one.
+
+A window that isn't within its match with the first position may still equal one at a
+position between: these windows alone are compared by their hashes, each with its first
+occurrence.  Together this is exact: a line goes if and only if it lies in a run of
+``min_words`` words or more that occurred earlier.  No pairs of documents are formed: a
+passage in n documents costs n rows a fingerprint, joined with one.
 
 Defined results: lines without words match nothing and stay; null text stays
 null; null doc_ids come last and count as one position; rows that share doc_id
 and text are treated alike, so a run at the same line of both is not a repeat; a
-document may lose all its lines and is then empty; an empty table gives none.
+document may lose all its lines and is then empty; very long texts are taken whole;
+further columns pass through, whatever their names; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -125,37 +129,103 @@ def _fingerprints(lines: DataFrame, min_words: int) -> DataFrame:
     return mapped(lines.select("doc_id", "text_hash", "hashes", "words"), scan, f"{_KEY}, fingerprint long, n long")
 
 
-def _extended(candidates: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, text_hash, w1, w2, begin, end): the runs, by places of lines, that hold a repeated fingerprint."""
+def _windows(words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of the windows that begin at each line, and of the shortest runs of enough words that end at each."""
+    n = len(words)
+    ends = window_ends(words, min_words)
+    upto = np.concatenate(([0], np.cumsum(words, dtype=np.int64)))
+    back = np.searchsorted(upto, upto[1:] - min_words, "right") - 1
+    first, last = np.flatnonzero(ends <= n), np.flatnonzero(back >= 0)
+    both = np.unique(np.concatenate((first * (n + 1) + ends[first], back[last] * (n + 1) + last + 1)))
+    return both // (n + 1), both % (n + 1)
+
+
+_POSITION = "fingerprint long, at long, anchor int, starts int, hashes binary, words binary, places binary"
+
+
+def _positions(candidates: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, text_hash, fingerprint, at: its line, and the lines of all windows that have it) for each place of a repeated fingerprint.
+
+    anchor: the fingerprint among these lines; starts: how many of them windows begin at.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
-            for i, (h, w, places, repeated) in enumerate(zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True)):
-                hashes, words = np.frombuffer(h, np.uint64).reshape(-1, 2), np.frombuffer(w, "<i4")
-                places = np.frombuffer(places, "<i4").astype(np.int64)
-                ends = window_ends(words, min_words)
-                chosen = winnowed(hashes[:, 0], ends)
+            row, out = [], [[] for _ in range(7)]
+            for i, (h, w, p, repeated) in enumerate(zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True)):
+                hashes, words, places = np.frombuffer(h, np.uint64).reshape(-1, 2), np.frombuffer(w, "<i4"), np.frombuffer(p, "<i4")
+                chosen = winnowed(hashes[:, 0], window_ends(words, min_words))
+                begin, end = _windows(words, min_words)
+                far = np.zeros(len(words), np.int64)
+                np.maximum.at(far, begin, end)
                 known = np.isin(hashes[:, 0], np.array(repeated, np.int64).view(np.uint64))
-                matched = (chosen >= 0) & known[np.maximum(chosen, 0)]
-                begin = np.flatnonzero(matched)
-                end = ends[begin]
-                # Backwards: the latest line from which enough words lead up to each line.
-                upto = np.concatenate(([0], np.cumsum(words, dtype=np.int64)))
-                back = np.searchsorted(upto, upto[1:] - min_words, "right") - 1
-                last = np.flatnonzero((back >= 0) & matched[np.maximum(back, 0)])
-                begin, end = np.concatenate((begin, back[last])), np.concatenate((end, last + 1))
-                both = np.unique(begin * (len(words) + 1) + end)
-                begin, end = both // (len(words) + 1), both % (len(words) + 1)
-                w1, w2 = _RunHash(hashes).of(begin, end)
-                for k, x in enumerate((np.full(len(begin), i), w1, w2, places[begin], places[end - 1] + 1)):
-                    out[k].append(x)
-            if out[0]:
-                row, *values = (np.concatenate(x) for x in out)
+                starts = np.flatnonzero((chosen >= 0) & known[np.maximum(chosen, 0)])
+                if not len(starts):
+                    continue
+                # Windows that share a fingerprint begin at lines side by side.
+                first = np.flatnonzero(np.diff(chosen[starts], prepend=-1))
+                low, count = starts[first], np.diff(np.append(first, len(starts)))
+                high, anchor = np.maximum.reduceat(far[starts], first), chosen[starts][first]
+                row += [i] * len(first)
+                out[0].append(hashes[anchor, 0].view(np.int64))
+                out[1].append(places[anchor].astype(np.int64))
+                out[2].append((anchor - low).astype(np.int32))
+                out[3].append(count.astype(np.int32))
+                for x, y in zip(low.tolist(), high.tolist(), strict=True):
+                    out[4].append(hashes[x:y].tobytes())
+                    out[5].append(words[x:y].tobytes())
+                    out[6].append(places[x:y].tobytes())
+            if row:
                 at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *map(pa.array, values)], names=["doc_id", "text_hash", "w1", "w2", "begin", "end"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *[pa.array(np.concatenate(x)) for x in out[:4]], *[pa.array(x, pa.binary()) for x in out[4:]]], names=names)
+
+    names = ["doc_id", "text_hash", "fingerprint", "at", "anchor", "starts", "hashes", "words", "places"]
+    return mapped(candidates, scan, f"{_KEY}, {_POSITION}")
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> int:
+    """How many lines are the same from the beginning on."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero((a[:n] != b[:n]).any(axis=1))
+    return int(differ[0]) if len(differ) else n
+
+
+def _extended(joined: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, text_hash, begin, end, w1, w2): the run each position shares with the first one, w1 and w2 null, and hashes of its windows that aren't within."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, out, whole = [], [[], [], [], []], []
+            for i, (anchor, starts, h, w, p, first_anchor, first_h) in enumerate(zip(*(b.column(k).to_pylist() for k in range(2, 9)), strict=True)):
+                own, words, places = np.frombuffer(h, np.uint64).reshape(-1, 2), np.frombuffer(w, "<i4"), np.frombuffer(p, "<i4").astype(np.int64)
+                first = np.frombuffer(first_h, np.uint64).reshape(-1, 2)
+                low = anchor - _alike(own[: anchor + 1][::-1], first[: first_anchor + 1][::-1]) + 1
+                high = anchor + _alike(own[anchor:], first[first_anchor:])
+                if high > low and words[low:high].sum() >= min_words:
+                    row.append(i)
+                    whole.append(True)
+                    for k, x in enumerate((places[low], places[high - 1] + 1, 0, 0)):
+                        out[k].append(np.array([x], np.int64))
+                begin, end = _windows(words, min_words)
+                rest = (begin < starts) & ((begin < low) | (end > high))
+                if rest.any():
+                    begin, end = begin[rest], end[rest]
+                    row += [i] * len(begin)
+                    whole += [False] * len(begin)
+                    for k, x in enumerate((places[begin], places[end - 1] + 1, *_RunHash(own).of(begin, end))):
+                        out[k].append(x)
+            if row:
+                at, none = pa.array(row), np.array(whole)
+                values = [np.concatenate(x) for x in out]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(values[0]), pa.array(values[1]), pa.array(values[2], mask=none), pa.array(values[3], mask=none)], names=["doc_id", "text_hash", "begin", "end", "w1", "w2"])
+
+    columns = ["doc_id", "text_hash", "anchor", "starts", "hashes", "words", "places", "first_anchor", "first_hashes"]
+    return mapped(joined.select(*columns), scan, f"{_KEY}, begin long, end long, w1 long, w2 long")
+
 
-    return mapped(candidates, scan, f"{_KEY}, w1 long, w2 long, begin long, end long")
+def _place(line: str) -> Column:
+    """Where a line stands in the corpus, as one number."""
+    return (F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).cast("decimal(19,0)") * F.lit(10**9).cast("decimal(10,0)") + F.col(line)).cast("decimal(38,0)")
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -169,11 +239,18 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     flagged = flagged.withColumnsRenamed({"doc_id": "of_doc", "text_hash": "of_text"})
     same = F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_hash") == F.col("of_text"))
     candidates = lines.join(flagged, same).select("doc_id", "text_hash", "hashes", "words", "places", "repeated")
-    place = (F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).cast("decimal(19,0)") * F.lit(10**9).cast("decimal(10,0)") + F.col("begin")).cast("decimal(38,0)")
-    runs = stored(_extended(candidates, min_words).withColumn("place", place), "runs")
-    first = stored(runs.groupBy("w1", "w2").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").drop("last"), "first-places")
-    later = runs.join(first, ["w1", "w2"]).where("place > first")
-    return later.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("begin", "end")).alias("runs"))
+    positions = stored(_positions(candidates, min_words).withColumn("place", _place("at")), "positions")
+    first = positions.groupBy("fingerprint").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").select("fingerprint", "first")
+    # One row holds each first position; rows that share doc_id and text, or doc_id and line, give one of them.
+    lines_of = positions.select(F.col("fingerprint").alias("of"), F.col("place").alias("first"), F.col("text_hash").alias("first_text"), F.col("anchor").alias("first_anchor"), F.col("hashes").alias("first_hashes"))
+    firsts = stored(lines_of.join(first.withColumnRenamed("fingerprint", "of"), ["of", "first"]).groupBy("of", "first").agg(F.min(F.struct("first_text", "first_anchor", "first_hashes")).alias("x")).select("of", "first", "x.first_anchor", "x.first_hashes"), "first-positions")
+    joined = positions.join(firsts, F.col("fingerprint") == F.col("of")).where("place > first")
+    runs = stored(_extended(joined, min_words).withColumn("place", _place("begin")), "runs")
+    rest = runs.where("w1 is not null")
+    earlier = stored(rest.groupBy("w1", "w2").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").drop("last"), "first-places")
+    later = rest.join(earlier, ["w1", "w2"]).where("place > first")
+    both = runs.where("w1 is null").select("doc_id", "text_hash", "begin", "end").unionByName(later.select("doc_id", "text_hash", "begin", "end"))
+    return both.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("begin", "end")).alias("runs"))
 
 
 def _without(text: bytes, runs: list[dict]) -> tuple[bytes, int, int]:
