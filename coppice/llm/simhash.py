@@ -220,11 +220,11 @@ def _middle(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.nd
     return lo
 
 
-def _join_tries(budget: int, skip_bits: int, hold: int = 1 << 19):
+def _join_tries(budget: int, skip_bits: int, slices: int, hold: int = 1 << 19):
     """Arrow function over partitions sorted by (slice, lead, sub, turned): whole groups at a time."""
 
     def links(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        fp, turned = (table.column(c).combine_chunks().to_numpy() for c in ("fp", "turned"))
+        fp, turned, slice_ = (table.column(c).combine_chunks().to_numpy() for c in ("fp", "turned", "slice"))
         cut = np.zeros(len(fp), bool)
         for c in ("slice", "lead", "sub"):
             x = table.column(c).combine_chunks().to_numpy()
@@ -234,7 +234,7 @@ def _join_tries(budget: int, skip_bits: int, hold: int = 1 << 19):
         order = np.lexsort((keys, group))
         member, root = trie_forest(keys[order], group[order], budget, skip_bits)
         if len(member):
-            yield pa.RecordBatch.from_arrays([pa.array(fp[order][root]), pa.array(fp[order][member])], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(slice_[order][member] // slices), pa.array(fp[order][root]), pa.array(fp[order][member])], names=["series", "u", "v"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -261,12 +261,12 @@ def _join_tries(budget: int, skip_bits: int, hold: int = 1 << 19):
 
 
 def near_links(fps: DataFrame, budget: int = BUDGET, split_rows: int = 1 << 18) -> DataFrame:
-    """(u, v): links of a spanning forest over distinct fingerprints ``fp`` (long)."""
+    """(series, u, v): links of a spanning forest over each series' distinct fingerprints; (series: int, fp: long)."""
     slices = budget + 1
     width = 64 // slices
     turn = lambda c, k: c if k == 0 else F.shiftleft(c, width * k).bitwiseOR(F.shiftrightunsigned(c, 64 - width * k))
     dealt = (
-        fps.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("slice"), turn(F.col("fp"), k).alias("turned")) for k in range(slices)])).alias("x"))
+        fps.select("fp", F.explode(F.array(*[F.struct((F.col("series") * slices + k).alias("slice"), turn(F.col("fp"), k).alias("turned")) for k in range(slices)])).alias("x"))
         .select("fp", "x.slice", "x.turned")
         .withColumn("lead", F.shiftrightunsigned("turned", 64 - width))
     )
@@ -277,7 +277,7 @@ def near_links(fps: DataFrame, budget: int = BUDGET, split_rows: int = 1 << 18)
     else:
         spread = _subtrees(dealt, large, budget, width)
     ordered = spread.select("slice", "lead", "sub", "turned", "fp").repartition("slice", "lead", "sub").sortWithinPartitions("slice", "lead", "sub", "turned")
-    return mapped(ordered, _join_tries(budget, width), "u long, v long")
+    return mapped(ordered, _join_tries(budget, width, slices), "series int, u long, v long")
 
 
 def _subtrees(dealt: DataFrame, large: DataFrame, budget: int, width: int) -> DataFrame:
@@ -300,7 +300,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, fp, component_id) for each row; component_id is the least doc_id reachable over links."""
     rows = stored(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
     seen = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    member = components(near_links(seen.select("fp"), budget, split_rows))
+    member = components(near_links(seen.select(F.lit(0).alias("series"), "fp"), budget, split_rows).select("u", "v"))
     tied = seen.join(member.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = tied.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_fp = stored(tied.join(names, "root").select("fp", "component_id"), "groups")
@@ -326,13 +326,14 @@ def near_prints(seen: DataFrame, prints: int = PRINTS, budget: int = BUDGET, spl
     Each fingerprint's tries give links between its own values; a value stands for the
     least f0 it occurs with, so all links are between values of f0.
     """
-    links = near_links(seen.select(F.col("f0").alias("fp")).distinct(), budget, split_rows)
-    for k in range(1, prints):
-        of = stored(seen.groupBy(F.col(f"f{k}").alias("fp")).agg(F.min("f0").alias("f0")), "distinct-fingerprints")
-        side = lambda c, of=of: of.select(F.col("fp").alias(c), F.col("f0").alias(f"of_{c}"))
-        between = near_links(of.select("fp"), budget, split_rows).join(side("u"), "u").join(side("v"), "v").select(F.col("of_u").alias("u"), F.col("of_v").alias("v"))
-        same = seen.select(F.col("f0").alias("u"), F.col(f"f{k}").alias("fp")).join(of, "fp").select("u", F.col("f0").alias("v"))
-        links = links.unionByName(between).unionByName(same)
+    values = F.explode(F.array(*[F.struct(F.lit(k).alias("series"), F.col(f"f{k}").alias("fp")) for k in range(prints)])).alias("x")
+    long = seen.select("f0", values).select("f0", "x.series", "x.fp")
+    of = stored(long.groupBy("series", "fp").agg(F.min("f0").alias("least")), "distinct-fingerprints")
+    side = lambda c: of.select("series", F.col("fp").alias(c), F.col("least").alias(f"of_{c}"))
+    found = stored(near_links(of.select("series", "fp"), budget, split_rows), "print-links")
+    between = found.join(side("u"), ["series", "u"]).join(side("v"), ["series", "v"]).select(F.col("of_u").alias("u"), F.col("of_v").alias("v"))
+    same = long.join(of, ["series", "fp"]).where("f0 <> least").select(F.col("f0").alias("u"), F.col("least").alias("v"))
+    links = between.unionByName(same)
     return components(links).withColumnRenamed("node", "f0")
 
 

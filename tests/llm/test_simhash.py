@@ -161,4 +161,4 @@ def test_first_row_of_each_group_where_ids_repeat(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert near_groups(docs).count() == 0
-    assert near_links(spark.createDataFrame([], "fp long")).count() == 0
+    assert near_links(spark.createDataFrame([], "series int, fp long")).count() == 0
