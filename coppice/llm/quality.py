@@ -12,9 +12,11 @@ A group's quartiles are drawn towards those of its language by ``PRIOR_ROWS`` ro
 the language's likewise towards those of all rows, so that small groups lean on large
 ones by degrees and verdicts don't change at a certain size.
 
-A short document's rate varies by chance: it is rejected where its count is more than
-``ERRORS`` standard errors above what the threshold gives for its own length (counts as
-those of a Poisson process; a repeat in 8-word windows comes in units of 16 words).
+A document's rate varies by chance: it is rejected where the rate is more than ``ERRORS``
+standard errors above the threshold (counts as those of a Poisson process; a repeat in
+8-word windows comes in units of 16 words).  The error is that of its own length, but of
+no more than the group's median length, which the sketches give as well: a group of short
+documents can't tell smaller rates apart, so a long one isn't held to them.
 
 Base rules come first and rejected rows don't enter the sketches: fewer than 20
 words, or over 30 % of the words in repeated 8-word windows.
@@ -56,6 +58,8 @@ MEASURES = {
     "word_length": ("word_chars", "n_words", 1_000, 1, True),
 }
 
+SIZES = tuple(dict.fromkeys(size for _, size, _, _, _ in MEASURES.values()))
+
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _UPPER = np.zeros(256, bool)
@@ -141,7 +145,7 @@ def sketch_bin(value: Column) -> Column:
 
 def sketches(counted: DataFrame) -> DataFrame:
     """(lang, source, measure, bin, rows) of rows that pass the base rules; counts combine before the shuffle."""
-    values = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), measure(m).alias("v")) for m in MEASURES]))
+    values = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), measure(m).alias("v")) for m in MEASURES], *[F.struct(F.lit(c).alias("measure"), F.col(c).alias("v")) for c in SIZES]))
     return counted.where(~base_failed()).select("lang", "source", values.alias("x")).groupBy("lang", "source", F.col("x.measure").alias("measure"), sketch_bin(F.col("x.v")).alias("bin")).agg(F.count("*").alias("rows"))
 
 
@@ -162,7 +166,7 @@ def _drawn(own: DataFrame, parent: DataFrame, on: Column, prior_rows: int) -> Da
 
 
 def thresholds(sketch: DataFrame, prior_rows: int = PRIOR_ROWS) -> DataFrame:
-    """(lang, source, high_m and low_m of each measure) of each group of ``sketch``, a table that can be read again."""
+    """(lang, source, high_m and low_m of each measure, typical_c of each size) of each group of ``sketch``, a table that can be read again."""
     of_lang = _drawn(_quartiles(sketch, ["lang"]), _quartiles(sketch, []), F.lit(True), prior_rows)
     own = _drawn(_quartiles(sketch, ["lang", "source"]), of_lang, F.col("lang").eqNullSafe(F.col("of_lang")), prior_rows)
     out = []
@@ -170,16 +174,18 @@ def thresholds(sketch: DataFrame, prior_rows: int = PRIOR_ROWS) -> DataFrame:
         here = F.col("measure") == name
         out.append(F.max(F.when(here, F.col("q3") + REACH * (F.col("q3") - F.col("q2")))).alias(f"high_{name}"))
         out.append(F.max(F.when(here, F.greatest(F.col("q1") - REACH * (F.col("q2") - F.col("q1")), F.lit(0)))).alias(f"low_{name}"))
+    out += [F.max(F.when(F.col("measure") == c, F.col("q2"))).alias(f"typical_{c}") for c in SIZES]
     return own.groupBy("lang", "source").agg(*out)
 
 
 def _beyond(name: str) -> str:
     """SQL, for both engines: whether a row's count is too far beyond its group's thresholds."""
     count, size, scale, unit, both = MEASURES[name]
-    due = {side: f"{side}_{name} * {size} / {scale}" for side in ("high", "low")}
+    seen = f"greatest(least({size}, typical_{size}), 1)"
+    due = {side: f"{side}_{name} * {seen} / {scale}" for side in ("high", "low")}
     slack = {side: f"{ERRORS} * sqrt({unit} * ({d} + {unit}))" for side, d in due.items()}
-    above = f"{count} > {due['high']} + {slack['high']}"
-    return f"({above} OR {count} < {due['low']} - {slack['low']})" if both else f"({above})"
+    above = f"{count} * {seen} > ({due['high']} + {slack['high']}) * {size}"
+    return f"({above} OR {count} * {seen} < ({due['low']} - {slack['low']}) * {size})" if both else f"({above})"
 
 
 def judged(counted: DataFrame, prior_rows: int = PRIOR_ROWS) -> DataFrame:
@@ -220,7 +226,8 @@ def _sql_drawn(own: str, parent: str) -> str:
 
 
 def _sql_pivot() -> str:
-    return ", ".join(f"max(CASE WHEN measure = '{m}' THEN {e} END) AS {side}_{m}" for m in MEASURES for side, e in (("high", f"q3 + {REACH} * (q3 - q2)"), ("low", f"greatest(q1 - {REACH} * (q2 - q1), 0)")))
+    sizes = ", ".join(f"max(CASE WHEN measure = '{c}' THEN q2 END) AS typical_{c}" for c in SIZES)
+    return sizes + ", " + ", ".join(f"max(CASE WHEN measure = '{m}' THEN {e} END) AS {side}_{m}" for m in MEASURES for side, e in (("high", f"q3 + {REACH} * (q3 - q2)"), ("low", f"greatest(q1 - {REACH} * (q2 - q1), 0)")))
 
 
 #: The same rules for DuckDB, from the texts on.
@@ -238,7 +245,7 @@ m AS (SELECT d.r, doc_id, lang, source, len(ws)::BIGINT AS n_words, coalesce(lis
   len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1]))::BIGINT AS n_echoes
   FROM d JOIN w USING (r) LEFT JOIN rep USING (r) LEFT JOIN lc USING (r)),
 b AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed, {', '.join(f'{e} AS m_{k}' for k, e in _TOP.items())} FROM m),
-vals AS (SELECT lang, source, measure, v::BIGINT AS v FROM ({' UNION ALL '.join(f"SELECT lang, source, '{k}' AS measure, m_{k} AS v FROM b WHERE NOT base_failed" for k in MEASURES)})),
+vals AS (SELECT lang, source, measure, v::BIGINT AS v FROM ({' UNION ALL '.join(f"SELECT lang, source, '{k}' AS measure, m_{k} AS v FROM b WHERE NOT base_failed" for k in MEASURES)} UNION ALL {' UNION ALL '.join(f"SELECT lang, source, '{c}', {c} FROM b WHERE NOT base_failed" for c in SIZES)})),
 sk AS (SELECT lang, source, measure, {_BIN} AS bin, count(*) AS rows FROM vals GROUP BY ALL),
 {_sql_quartiles('qs', 'lang, source')},
 {_sql_quartiles('ql', 'lang')},

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -57,9 +58,11 @@ def test_sql_gives_the_same(spark, tmp_path):
 
 def test_thresholds_follow_the_group(spark):
     """Code has symbols and prose has none: each is judged by its own kind, and a small source by its language."""
+    rng = random.Random(1)
     prose = [(i, " ".join(f"word{(i * 7 + k * 13) % 211}" for k in range(60)), "en", "prose") for i in range(300)]
     code = [(1000 + i, " ".join(f"word{(i + k) % 97}" + ("*" if k % 3 else "") for k in range(60 + i % 5)), "en", "code") for i in range(300)]
     few = [(2000, code[0][1], "en", "tiny"), (2001, prose[0][1], "en", "tiny")]
+    few += [(2002, " ".join([prose[0][1]] + [f"word{rng.randrange(211)}" for _ in range(3000)]) + " 5% of $3 * 7 & 8 | 9", "en", "prose")]  # a long text isn't held to rates that short ones can't show
     odd = [(3000, code[0][1], "en", "prose"), (3001, " ".join(f"word{k}**********" for k in range(60)), "en", "code")]
     docs = spark.createDataFrame(prose + code + few + odd, "doc_id long, text string, lang string, source string")
     assert {r.doc_id for r in filtered(docs).collect()} == {r[0] for r in prose + code + few}
