@@ -14,8 +14,8 @@ cut below its slice: pairs of its subtrees within the budget become tasks.
 ``keep_first`` is to find copies with a few words changed: texts that share four fifths
 of their five-word shingles.  Those differ in up to 11 bits of a fingerprint of three-word
 shingles, too many for tries that hold at any size.  So it takes ``PRINTS`` fingerprints
-of a text, each of independent hashes of its words (a word weighs the root of its count,
-so frequent ones don't decide) and of its distinct pairs of neighbouring words (so the
+of a text, each of independent hashes of its words (a word weighs the logarithm of its
+count, so frequent ones don't decide) and of its distinct pairs of neighbouring words (so the
 vocabulary alone doesn't decide), and links texts within the budget in one of them.
 
 Defined results: a null or wordless text has fingerprint zero and is linked like
@@ -115,7 +115,7 @@ class WordPrints:
     def __call__(self, text: bytes) -> np.ndarray:
         at = self._places(text.lower().split())
         words, counts = np.unique(at, return_counts=True)
-        weights = np.rint(WORD_WEIGHT * np.sqrt(counts))  # whole numbers: sums are exact in any order
+        weights = np.rint(WORD_WEIGHT * (1 + np.log(counts)))  # whole numbers: sums are exact in any order
         sums, step = np.zeros(64 * self.prints), CHUNK // 8
         for i in range(0, len(words), step):
             sums += weights[i : i + step] @ self._bits(self.hashes[words[i : i + step]])

@@ -1,3 +1,4 @@
+import math
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -91,7 +92,7 @@ def plain_prints(text):
     hashes = {w: b"".join(xxhash.xxh3_128_digest(w, s) for s in range(-(-PRINTS // 2))) for w in counts}
     for k in range(PRINTS):
         own = {w: int.from_bytes(h[8 * k : 8 * k + 8], "big") for w, h in hashes.items()}
-        weighed = [(own[w], round(WORD_WEIGHT * n**0.5)) for w, n in counts.items()] + [(plain_mix((own[a] * 0x9E3779B97F4A7C15 + own[b]) & MASK), PAIR_WEIGHT) for a, b in pairs]
+        weighed = [(own[w], round(WORD_WEIGHT * (1 + math.log(n)))) for w, n in counts.items()] + [(plain_mix((own[a] * 0x9E3779B97F4A7C15 + own[b]) & MASK), PAIR_WEIGHT) for a, b in pairs]
         out.append(sum(1 << b for b in range(64) if 2 * sum(n for h, n in weighed if h >> b & 1) > sum(n for _, n in weighed)))
     return out
 
