@@ -18,13 +18,16 @@ against all documents; the hits of several blocks are merged per document.
 
 Defined results: null or wordless documents have no words and no hits; null or
 wordless items have no window; an item id that occurs twice is one id, a null
-item id is left out of ids and their number; repeated rows give repeated results;
-no items, or no documents, give clean results or none.
+item id is left out of ids and their number; repeated rows give repeated results; very
+long texts are searched whole; at just one word in SHARE a document is contaminated;
+further columns pass through, whatever their names; no items, or no documents, give
+clean results or none.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -220,17 +223,24 @@ def _pattern_blocks(benchmark: DataFrame, item_col: str, text_col: str, window:
 _FOUND = "n_words long, hit binary, items array<string>"
 
 
+#: The tables of the block that a worker searched last; it keeps them from task to task.
+_COMPILED: dict = {}
+
+
 def _searched(docs: DataFrame, ids: dict[bytes, list[str]], keep: list[str], text_col: str) -> DataFrame:
     """(doc: struct of ``keep``, n_words, hit: word indices, items) of each row for one block of patterns."""
     spark = docs.sparkSession
     inside = text_col in keep and docs.schema[text_col].dataType == T.StringType()  # then the text travels once
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), *([] if inside else [F.col(text_col).cast("string").alias("text")]))
-    sent = spark.sparkContext.broadcast(ids)  # at most block_bytes of patterns
+    sent = spark.sparkContext.broadcast((uuid.uuid4().hex, ids))  # at most block_bytes of patterns
     schema = T.StructType([own.schema["doc"], *T._parse_datatype_string(_FOUND).fields])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = sent.value
-        classes = compile_patterns(list(ids))
+        name, ids = sent.value
+        if name not in _COMPILED:
+            _COMPILED.clear()
+            _COMPILED[name] = compile_patterns(list(ids))
+        classes = _COMPILED[name]
         for b in batches:
             count, hit, items = hits(texts(column_of(b, text_col, own=None if inside else 1)), classes, ids)
             packed = pa.array([h.astype("<u4").tobytes() for h in hit], pa.binary())
