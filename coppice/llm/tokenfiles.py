@@ -250,8 +250,8 @@ def _narrow(size: int) -> str:
 def _tokenized(docs: DataFrame, file: str, end_id: int, dtype: str, id_col: str, text_col: str) -> DataFrame:
     """(shard, at, doc_id, n, ids) in ascending doc_id order within and between shards."""
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    own = own.select("*", F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("row"))  # rows of one doc_id go by their text; the last deals out equal ones
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text_hash"), F.col("row")]
+    own = own.select("*", F.xxhash64("text").alias("text_hash"))  # rows of one doc_id, or of none, go by their text
+    order = [F.col("doc_id").asc_nulls_first(), F.col("text_hash")]
     dealt = own.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     end = np.array([end_id], "<u4").tobytes()
 
@@ -276,8 +276,8 @@ def _id_counts(tokens: DataFrame, vocab: int, dtype: str) -> np.ndarray:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(vocab, np.int64)
         for b in batches:
-            for x in b.column(0).to_pylist():
-                sums += np.bincount(np.frombuffer(x, dtype), minlength=vocab)
+            for i in range(0, b.num_rows, 1000):
+                sums += np.bincount(np.frombuffer(b"".join(b.column(0).slice(i, 1000).to_pylist()), dtype), minlength=vocab)
         met = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(sums[met])], names=["id", "n"])
 
