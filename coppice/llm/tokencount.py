@@ -40,7 +40,7 @@ SIGN = "▁"
 #: Symbols of the widest rows of symbols; longer sequences lie end to end.
 NARROW = 64
 #: Pre-tokens whose counts a worker remembers.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 20
 _NONE = np.int32(1 << 30)
 
 
