@@ -40,3 +40,21 @@ def simulated(spark, rows: int, seed: int) -> DataFrame:
     df = df.withColumn("pi", 1 / (1 + F.exp(-index))).withColumn("a", (F.rand(seed + 9) < F.col("pi")).cast("int"))
     base = 120 + 3 * (F.col("x1") + F.col("x2") + F.col("x3") + F.col("x4"))
     return df.withColumns({"mu0": base, "mu1": base + 6}).withColumn("y", F.when(F.col("a") == 1, F.col("mu1")).otherwise(F.col("mu0")) + 6 * F.randn(seed + 10))
+
+
+def cross_fitted(df: DataFrame, keys: list[str], y: str, a: str, folds: list[Column]) -> DataFrame:
+    """(repeat, estimate, std_error, n) for each way of dealing folds: nuisances of a row come from the other folds' rows of its cell.
+
+    Rows whose cell has no treated or no control row in the other folds have no estimate;
+    n counts the others.
+    """
+    many = df.select("*", F.posexplode(F.array(*folds)).alias("repeat", "fold"))
+    treated = F.col(a).cast("double")
+    per = many.groupBy("repeat", "fold", *keys).agg(F.count("*").alias("n"), F.sum(treated).alias("n1"), F.sum(treated * F.col(y)).alias("y1"), F.sum((1 - treated) * F.col(y)).alias("y0"))
+    sums = ("n", "n1", "y1", "y0")
+    whole = per.groupBy("repeat", *keys).agg(*[F.sum(c).alias(f"{c}_all") for c in sums])
+    rest = per.join(whole, ["repeat", *keys]).withColumns({c: F.col(f"{c}_all") - F.col(c) for c in sums})
+    share = lambda top, bottom: F.when(bottom > 0, top / bottom)
+    fitted = rest.select("repeat", "fold", *keys, share(F.col("n1"), F.col("n")).alias("pi"), share(F.col("y1"), F.col("n1")).alias("mu1"), share(F.col("y0"), F.col("n") - F.col("n1")).alias("mu0"))
+    value = many.join(fitted, ["repeat", "fold", *keys]).where("pi > 0 and pi < 1").withColumn("influence", influence(y, a, "pi", "mu1", "mu0"))
+    return value.groupBy("repeat").agg(F.avg("influence").alias("estimate"), (F.stddev_samp("influence") / F.sqrt(F.count("influence"))).alias("std_error"), F.count("influence").alias("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from coppice.config import FitConfig
 from coppice.functions import analysis
-from coppice.operators import crossfit, encode, search
+from coppice.operators import causal, crossfit, encode, search
 from coppice.operators.fit import accuracy, fit_patterns, fit_rashomon, fit_tree
 from coppice.operators.tune import auto_tune
 from coppice.plans import task
@@ -189,3 +189,17 @@ def feature_distance_costs(spark, sf):
 @query(f"WITH {SQL_PATTERNS} SELECT bits, CASE WHEN 2.0 * n_1 < 3.0 * n_0 + 0.5 * n_1 THEN 2.0 * n_1 ELSE 3.0 * n_0 + 0.5 * n_1 END::DOUBLE AS least FROM pat")
 def equivalent_points_costs(spark, sf):
     return patterns(spark, sf).select("bits", analysis.equivalent_points(2, _SPREAD).alias("least"))
+
+
+# ---- doubly robust estimates, cross-fitted ----------------------------------------
+
+
+@query("""WITH s AS (SELECT l_extendedprice / 1000 AS y, (l_quantity >= 25)::INT AS a, l_returnflag AS g, l_orderkey, l_linenumber FROM lineitem),
+m AS (SELECT s.*, r AS repeat, (l_orderkey + r * l_linenumber) % 3 AS fold FROM s, (SELECT unnest(range(2))::INT AS r)),
+t AS (SELECT o.repeat, o.fold, x.g, avg(x.a) AS pi, avg(x.y) FILTER (x.a = 1) AS mu1, avg(x.y) FILTER (x.a = 0) AS mu0 FROM (SELECT DISTINCT repeat, fold FROM m) o JOIN m x ON x.repeat = o.repeat AND x.fold <> o.fold GROUP BY ALL),
+i AS (SELECT m.repeat, (a * y - (a - pi) * mu1) / pi - ((1 - a) * y - ((1 - a) - (1 - pi)) * mu0) / (1 - pi) AS v FROM m JOIN t USING (repeat, fold, g))
+SELECT repeat, round(avg(v), 6) AS estimate, round(stddev_samp(v) / sqrt(count(*)), 6) AS std_error, count(*) AS n FROM i GROUP BY repeat""")
+def dr_cross_fitted(spark, sf):
+    df = task.lineitem(spark, sf).select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") / 1000).alias("y"), (F.col("l_quantity") >= 25).cast("int").alias("a"), F.col("l_returnflag").alias("g"))
+    got = causal.cross_fitted(df, ["g"], "y", "a", [(F.col("l_orderkey") + k * F.col("l_linenumber")) % 3 for k in range(2)])
+    return got.select("repeat", F.round("estimate", 6).alias("estimate"), F.round("std_error", 6).alias("std_error"), "n")

@@ -105,3 +105,25 @@ def test_simulated_effect_is_found(spark):
     df = causal.simulated(spark, 4000, 3).withColumn("influence", causal.influence("y", "a", "pi", "mu1", "mu0"))
     row = causal.dr_estimate(df).first()
     assert abs(row.estimate - 6) < 4 * row.std_error
+
+
+def test_what_a_fit_writes(spark, model, tmp_path):
+    docs = [model.json(t) for t in model.trees]
+    tables.write_trees(spark, docs, f"file://{tmp_path}/trees")
+    assert [json.loads(r.value) for r in spark.read.text(f"file://{tmp_path}/trees").collect()] == json.loads(json.dumps(docs))
+    tables.write_table(model.clusters, f"file://{tmp_path}/clusters")
+    assert sorted(map(tuple, spark.read.parquet(f"file://{tmp_path}/clusters").collect())) == sorted(map(tuple, model.clusters.collect()))
+    nested = trees.trie(model.trees)
+    tables.write_nested_trie(spark, nested, f"file://{tmp_path}/trie")
+    assert json.loads(spark.read.text(f"file://{tmp_path}/trie", wholetext=True).first().value) == nested
+    assert model.summary()["leaves"] == model.tree.leaves() and model.summary()["features"]
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from coppice.sources.work import work_root
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        work_root(session)
