@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from coppice.llm import decontam, htmltext, langid, linededup, packing, quality, simhash, tokencount, tokenfiles, urlfilter
+from coppice.llm import decontam, htmltext, infill, langid, linededup, packing, quality, simhash, tokencount, tokenfiles, urlfilter
 
 QUERIES = {
     "op1_token_files": tokenfiles.op1_token_files,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_token_counts": tokencount.op8_token_counts,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+    "op12_fill_in_middle": infill.op12_fill_in_middle,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -23,4 +24,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": linededup.OP3_SQL,
     "op4_benchmark_decontamination": decontam.OP4_SQL,
     "op9_quality_rules": quality.OP9_SQL,
+    "op12_fill_in_middle": infill.OP12_SQL,
 }
