@@ -1 +1 @@
-"""Operators of a training-data pipeline over text: ten operators and their queries."""
+"""Operators of a training-data pipeline over text: thirteen operators and their queries."""
