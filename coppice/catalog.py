@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from coppice.plans.api_queries import ORACLE_SQL, QUERIES
+from coppice.plans import api_queries  # noqa: F401  registers its queries
+from coppice.plans.tree_queries import ORACLE_SQL, QUERIES
 
 ENTRY = "optimal_tree_depth2"
 

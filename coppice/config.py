@@ -6,6 +6,7 @@ from dataclasses import dataclass, replace
 
 LOSSES = ("misclassification", "log_loss")
 METRICS = ("f1", "bacc", "auc")
+SEARCHES = ("auto", "cube", "levels")
 
 
 @dataclass(frozen=True)
@@ -19,6 +20,10 @@ class FitConfig:
     are near-optimal; none of them: a multiplier of 0.05.  costs: cost of predicting
     row for column, in order of the classes.  balance: errors weigh as if classes were
     equally frequent.  precision: significant figures kept in numeric domains.
+    upper_bound: an objective known to be reached; what costs more isn't searched.
+    search: cube makes all cells, levels only those that trees within the bound can reach,
+    auto takes the cube where it fits max_cells.  time_limit: seconds after which the search
+    by levels ends with what it has; 0 for none.
     """
 
     loss: str = "misclassification"
@@ -37,6 +42,8 @@ class FitConfig:
     upper_bound: float = 0.0
     prob_clip: tuple[float, float] | None = None
     max_cells: int = 4_000_000
+    search: str = "auto"
+    time_limit: float = 0.0
 
     def __post_init__(self):
         if self.loss not in LOSSES:
@@ -51,7 +58,11 @@ class FitConfig:
             raise ValueError("give costs or balance, not both")
         if self.loss == "log_loss" and (self.costs is not None or self.balance):
             raise ValueError("costs apply to misclassification")
-        if min(self.max_depth, self.min_support, self.model_limit) < 0:
+        if self.search not in SEARCHES:
+            raise ValueError(f"search: one of {SEARCHES}, not {self.search!r}")
+        if self.search == "cube" and self.time_limit:
+            raise ValueError("time_limit: the search by levels has one, the cube hasn't")
+        if min(self.max_depth, self.min_support, self.model_limit, self.time_limit) < 0:
             raise ValueError("limits: not below zero")
 
     def with_(self, **changes) -> FitConfig:
@@ -69,9 +80,9 @@ class FitConfig:
 OPTIONS = {
     "loss_function": "loss", "regularization": "regularization", "rashomon_bound": "bound", "rashomon_bound_multiplier": "bound_multiplier", "rashomon_bound_adder": "bound_adder",
     "rashomon_ignore_trivial_extensions": "ignore_trivial", "model_limit": "model_limit", "depth_budget": "max_depth", "minimum_captured_points": "min_support", "balance": "balance",
-    "precision_limit": "precision", "rule_list": "rule_list", "upperbound": "upper_bound",
+    "precision_limit": "precision", "rule_list": "rule_list", "upperbound": "upper_bound", "time_limit": "time_limit",
 }
-WITHOUT_EFFECT = frozenset("look_ahead similar_support cancellation feature_exchange continuous_feature_exchange feature_transform worker_limit stack_limit uncertainty_tolerance time_limit verbose diagnostics rashomon".split())
+WITHOUT_EFFECT = frozenset("look_ahead similar_support cancellation feature_exchange continuous_feature_exchange feature_transform worker_limit stack_limit uncertainty_tolerance verbose diagnostics rashomon".split())
 
 
 def from_options(options: dict) -> FitConfig:

@@ -129,3 +129,70 @@ def cf_metrics(sets: DataFrame, folds: int) -> DataFrame:
     sizes = sets.groupBy("fold").agg(F.count("*").alias("trees")).agg(F.avg("trees").alias("average_trees"))
     common = intersection(sets, folds).agg(F.count("*").alias("intersecting"))
     return sizes.crossJoin(common).select(F.lit(folds).alias("total_folds"), "average_trees", "intersecting", (F.col("intersecting") / F.col("average_trees")).alias("stability"))  # one row each
+
+
+def tune_intersecting(train: DataFrame, features: int, classes: int, config: FitConfig, folds: int, parameter: str, values: list[float]) -> DataFrame:
+    """(value, intersecting): how many trees are near-optimal in all folds, for each value of a parameter; one search for all.
+
+    train: patterns of each fold's complement, (fold, bits, n_0 ..).  Penalties are a further key of the
+    cells.  Multipliers need no search of their own: a tree is in all sets from the largest of what it
+    costs above a fold's optimum.
+    """
+    table = train.sparkSession.createDataFrame([(float(x),) for x in values], "value double")
+    if parameter == "bound_multiplier":
+        widest = config.with_(bound=0.0, bound_adder=0.0, bound_multiplier=max(values))
+        p = search.problem(train, features, classes, widest, ["fold"])
+        levels = search.optimum(p)
+        found = search.entries(p, search.budgets(p, levels, p.scale.bound(widest)), trees=True)[0]
+        above = found.join(levels[0].select("fold", "v"), "fold").select("tree", "fold", (search.units(p) / F.col("v") - 1).alias("above"))
+        needed = kept(above.groupBy("tree").agg(F.max("above").alias("needed"), F.count("*").alias("folds")).where(F.col("folds") == folds), "needed")
+        return table.join(needed, F.col("needed") <= F.col("value") + search.TOLERANCE, "left").groupBy("value").agg(F.count("tree").alias("intersecting"))
+    if parameter != "regularization":
+        raise ValueError("parameter: bound_multiplier or regularization")
+    least = config.with_(regularization=min(values))
+    p = search.over_settings(search.problem(train, features, classes, least, ["fold"]), values)
+    levels = search.optimum(p)
+    found = search.entries(p, search.budgets(p, levels, p.scale.bound(least)), trees=True)[0]
+    common = found.groupBy("setting", "tree").agg(F.count("*").alias("folds")).where(F.col("folds") == folds)
+    counted = common.groupBy("setting").agg(F.count("*").alias("n"))
+    numbered = train.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(values)], "setting int, value double")
+    return numbered.join(counted, "setting", "left").select("value", F.coalesce("n", F.lit(0).cast("long")).alias("intersecting"))
+
+
+@dataclass
+class TunedCrossFit:
+    """value: the least one met at which folds share enough trees; tried: all (value, trees shared)."""
+
+    fit: CrossFitResult
+    value: float
+    intersecting: int
+    converged: bool
+    tried: list[tuple[float, int]]
+
+
+def auto_tune_intersecting(df: DataFrame, label: str, features: list[str], target: int = 1, parameter: str = "regularization", config: FitConfig = FitConfig(), folds: int = 5, search_range: tuple[float, float] | None = None, settings: int = 8, rounds: int = 3, seed: int = 0) -> TunedCrossFit:
+    """Cross-fit at the least penalty, or bound, at which ``target`` trees are near-optimal in all folds.
+
+    A larger penalty makes for simpler trees, a larger bound for more of them; either way folds share more.  Each
+    round tries ``settings`` values of a range in one search and goes on between the last that fails and the first that does.
+    """
+    from coppice.operators.tune import RANGES
+
+    check_binary(df, features)
+    rules, classes = binary_rules(features), _classes(df, label)
+    dealt = stratified_folds(df, label, [F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns])], folds)
+    train = kept(fold_patterns(dealt, [r.test() for r in rules], F.col(f"`{label}`"), classes), "train-patterns")
+    low, high = search_range or RANGES[parameter, config.loss]
+    tried: dict[float, int] = {}
+    for _ in range(rounds):
+        values = [round(low + (high - low) * i / (settings - 1), 9) for i in range(settings)]
+        rows = tune_intersecting(train, len(rules), len(classes), config, folds, parameter, values).collect()  # a row a value
+        tried.update({r.value: r.intersecting for r in rows})
+        good = [v for v in values if tried[v] >= target]
+        if not good or good[0] == values[0]:
+            break
+        low, high = values[values.index(good[0]) - 1], good[0]
+    enough = [v for v, n in tried.items() if n >= target]
+    value = min(enough) if enough else max(tried, key=lambda v: (tried[v], -v))
+    chosen = {"bound": 0.0, "bound_adder": 0.0, "bound_multiplier": value} if parameter == "bound_multiplier" else {"regularization": value}
+    return TunedCrossFit(cross_fit(df, label, features, config.with_(**chosen), folds, seed=seed), value, tried[value], bool(enough), sorted(tried.items()))

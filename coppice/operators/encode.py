@@ -15,6 +15,8 @@ NULL_TOKENS = ("", "NULL", "null", "Null", "NA", "na", "NaN")
 INTEGRAL = r"^[+-]?[0-9]+$"
 #: Values of a column up to which they are counted exactly, and up to which rules are made of them.
 WIDE, MOST_VALUES = 1_000_000, 100_000
+#: Rules that a table is encoded by, unless more are asked for: each is an expression of the plan.
+MOST_RULES = 1_000
 _PROFILE = "position int, column string, n_rows long, n_missing long, n_distinct long, base string, kind string"
 RATIONAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"
 
@@ -134,7 +136,7 @@ def codex_table(df: DataFrame, columns: list[str], precision: int = 0, most: int
     return out if out is not None else df.sparkSession.createDataFrame([], "position int, column string, kind string, relation string, reference string, rank int")
 
 
-def codex(df: DataFrame, columns: list[str], precision: int = 0, most: int = masks.MOST_FEATURES) -> list[Rule]:
+def codex(df: DataFrame, columns: list[str], precision: int = 0, most: int = MOST_RULES) -> list[Rule]:
     """The rules as objects; more than ``most`` is an error: give fewer columns, or a precision, or cut them yourself."""
     rows = codex_table(df, columns, precision, max(most + 1, 2)).limit(most + 1).collect()
     if len(rows) > most:

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coppice.config import FitConfig
-from coppice.functions import metrics
-from coppice.operators import search, trees
+from coppice.functions import masks, metrics
+from coppice.operators import levelwise, ranking, search, trees
 from coppice.operators.encode import Rule, codex, pattern_table
 from coppice.sources.tables import check_binary
 from coppice.sources.work import kept
@@ -18,7 +18,13 @@ from coppice.sources.work import kept
 
 @dataclass
 class TreeModel:
-    """A fit.  n_trees counts all trees within the bound, n_optimal those that tie for the optimum; ``trees`` holds the texts that were asked for."""
+    """A fit.  n_trees counts all trees within the bound, n_optimal those that tie for the optimum; ``trees`` holds the texts that were asked for.
+
+    levels: for the search by levels, a row a level with what it made and cut and the bounds
+    it reached.  trace: its splits one by one, where asked for.  lower: what the optimum
+    costs at least; below the objective only where time ran out before it was proved.  cells:
+    counts of the conjunctions that were made.  space: what ``ranked`` reads.
+    """
 
     config: FitConfig
     rules: list[Rule]
@@ -34,6 +40,23 @@ class TreeModel:
     clusters: DataFrame | None = None
     edges: DataFrame | None = None
     seconds: dict[str, float] = field(default_factory=dict)
+    lower: float | None = None
+    finished: bool = True
+    levels: DataFrame | None = None
+    trace: DataFrame | None = None
+    cells: DataFrame | None = None
+    space: tuple[search.Problem, list[DataFrame]] | None = None
+
+    def ranked(self, first: int, last: int) -> DataFrame:
+        """(rank, tree, objective, leaves) of the trees ranked first to last, from 0, best first; nothing else of the set is made."""
+        if self.space is None:
+            raise ValueError("ranks are those of a fit of the near-optimal set")
+        return ranking.trees_between(*self.space, first, last)
+
+    @property
+    def gap(self) -> float:
+        """What the optimum may be below the objective; above 0 only where time ran out."""
+        return self.objective - (self.objective if self.lower is None else self.lower)
 
     @property
     def tree(self) -> trees.Tree:
@@ -120,14 +143,15 @@ def _classes(df: DataFrame, label: str, most: int = 100) -> list:
 
 def _leaf_stats(p: search.Problem, found: list[trees.Tree]) -> dict[tuple[int, int], dict]:
     need = {(care, val) for t in found for _, care, val, s in t.cells() if s.feature is None}
-    wanted = p.cells.sparkSession.createDataFrame(sorted(need), "care long, val long")
+    mask = masks.sql_type(p.features)
+    wanted = p.cells.sparkSession.createDataFrame([tuple(masks.stored_form(x, p.features) for x in cell) for cell in sorted(need)], f"care {mask}, val {mask}")
     out = {}
     for r in p.cells.withColumn("loss", p.scale.shown("cost")).join(F.broadcast(wanted), ["care", "val"]).collect():  # a row for each leaf
-        out[r.care, r.val] = {"loss": r.loss, "probabilities": [r[f"n_{k}"] / r.n_total for k in range(p.classes)], "rows": r.n_total}
+        out[masks.number(r.care), masks.number(r.val)] = {"loss": r.loss, "probabilities": [r[f"n_{k}"] / r.n_total for k in range(p.classes)], "rows": r.n_total}
     return out
 
 
-def fit(df: DataFrame, label: str, features: list[str] | None = None, rules: list[Rule] | None = None, config: FitConfig = FitConfig(), single_tree: bool = True, max_trees: int | None = None) -> TreeModel:
+def fit(df: DataFrame, label: str, features: list[str] | None = None, rules: list[Rule] | None = None, config: FitConfig = FitConfig(), single_tree: bool = True, max_trees: int | None = None, trace: bool = False) -> TreeModel:
     """Fit over binary ``features``, over given ``rules``, or (neither) over rules made from all other columns.
 
     single_tree: only the optimum, with one tree kept.  Otherwise the whole near-optimal
@@ -144,18 +168,32 @@ def fit(df: DataFrame, label: str, features: list[str] | None = None, rules: lis
     classes = _classes(df, label)
     patterns = kept(pattern_table(df, [r.test() for r in rules], F.col(f"`{label}`"), classes), "patterns")
     seconds["patterns"] = time.time() - began
-    return fit_patterns(patterns, rules, classes, label, config, single_tree, max_trees, seconds)
+    return fit_patterns(patterns, rules, classes, label, config, single_tree, max_trees, seconds, trace=trace)
+
+
+def by_levels(config: FitConfig, features: int) -> bool:
+    """Whether cells are made level by level: where asked for, and where the cube can't be made but something limits the depth."""
+    if config.search != "auto":
+        return config.search == "levels"
+    if config.time_limit or masks.wide(features):
+        return True
+    return masks.cells_bound(features, search.literal_limit(features, config)) > config.max_cells and bool(config.regularization or config.max_depth)
 
 
-def fit_patterns(patterns: DataFrame, rules: list[Rule], classes: list, label: str, config: FitConfig, single_tree: bool = True, max_trees: int | None = None, seconds: dict | None = None, p: search.Problem | None = None) -> TreeModel:
+def fit_patterns(patterns: DataFrame, rules: list[Rule], classes: list, label: str, config: FitConfig, single_tree: bool = True, max_trees: int | None = None, seconds: dict | None = None, p: search.Problem | None = None, trace: bool = False) -> TreeModel:
+    """trace: keep the splits that the search by levels met."""
     seconds, began = seconds if seconds is not None else {}, time.time()
+    grown = None
+    if p is None and by_levels(config, len(rules)):
+        grown = levelwise.grow(patterns, len(rules), len(classes), config, not single_tree, trace, config.time_limit)
+        p = grown.problem
     p = p or search.problem(patterns, len(rules), len(classes), config)
     if not p.rows:
         raise ValueError("the table has no rows")
-    levels = search.optimum(p)
+    levels = grown.values if grown else search.optimum(p)
     best = search.best(p, levels)
     if config.upper_bound and best > config.upper_bound * (1 + search.TOLERANCE):
-        raise ValueError(f"the optimum {best} is above the given upper bound")
+        raise ValueError(f"the optimum is above the given upper bound of {config.upper_bound}")
     seconds["optimum"], began = time.time() - began, time.time()
     bound = best if single_tree else config.rashomon_bound(best)
     reach = search.budgets(p, levels, p.scale.bound(config, single_tree))
@@ -172,7 +210,7 @@ def fit_patterns(patterns: DataFrame, rules: list[Rule], classes: list, label: s
     texts = [r.tree for r in best_first.orderBy("units", "leaves", F.length("tree"), "tree").limit(wanted).collect()]
     kept_trees = [trees.parse(t) for t in texts]
     seconds["trees"] = time.time() - began
-    return TreeModel(config, rules, classes, label, best, bound, n_trees, n_optimal, p.rows, kept_trees, _leaf_stats(p, kept_trees), None if single_tree else clusters, edges, seconds)
+    return TreeModel(config, rules, classes, label, best, bound, n_trees, n_optimal, p.rows, kept_trees, _leaf_stats(p, kept_trees), None if single_tree else clusters, edges, seconds, *((grown.lower, grown.finished, grown.levels, grown.trace) if grown else (best, True, None, None)), cells=p.cells, space=None if single_tree else (p, found))
 
 
 def fit_tree(df: DataFrame, label: str, features: list[str] | None = None, config: FitConfig = FitConfig()) -> TreeModel:

@@ -51,9 +51,11 @@ class Scale:
     leaf: int | float
     per: int | float
     by_rows: bool
+    settings: tuple | None = None  # what a leaf costs under each of several penalties, by the key ``setting``
 
     def leaf_cost(self) -> Column:
-        return F.lit(self.leaf) * F.col("rows_of_key") if self.by_rows else F.lit(self.leaf)
+        leaf = F.element_at(F.array(*[F.lit(x) for x in self.settings]), F.col("setting") + 1) if self.settings else F.lit(self.leaf)
+        return leaf * F.col("rows_of_key") if self.by_rows else leaf
 
     def one(self) -> Column:
         return F.lit(self.per) * F.col("rows_of_key") if self.by_rows else F.lit(self.per)
@@ -253,8 +255,8 @@ def depth_needed(sizes: list, classes: int, config: FitConfig, scale: Scale) ->
 
 def problem(patterns: DataFrame, features: int, classes: int, config: FitConfig, keys: list[str] = (), class_rows: list[int] | None = None) -> Problem:
     """Cells and leaf columns.  With keys, ``class_rows`` still belongs to the whole table and unit costs to each key's rows."""
-    if features > masks.MOST_FEATURES:
-        raise ValueError(f"over {masks.MOST_FEATURES} features")
+    if masks.wide(features):
+        raise ValueError(f"over {masks.MOST_FEATURES} features: the search by levels takes them (levelwise.grow), not the cube")
     ns = [F.sum(f"n_{k}").alias(f"n_{k}") for k in range(classes)]
     if class_rows is None:
         class_rows = [int(x or 0) for x in patterns.agg(*ns).first()]
@@ -289,15 +291,30 @@ def retuned(p: Problem, config: FitConfig) -> Problem:
     return replace(p, cells=_finished(counts, p.classes, config, p.costs, scale), config=config, scale=scale)
 
 
+def over_settings(p: Problem, penalties: list[float]) -> Problem:
+    """The problem under each of several penalties at once: ``setting``, the place of the penalty, is a further key of its cells."""
+    exact = [Fraction(str(x)) for x in penalties]
+    digits = 0
+    while any((x * 10**digits).denominator != 1 for x in exact):
+        digits += 1
+    scale = scale_of(p.config.with_(regularization=float(Fraction(1, 10**digits))), p.class_rows, p.costs)
+    own = [int(x * scale.per) for x in exact] if scale.exact else [float(x) for x in penalties]
+    scale = replace(scale, leaf=min(own), settings=tuple(own))
+    counts = p.cells.drop("prediction", "falses", "cost", "leaf_objective")
+    counts = counts.withColumn("setting", F.explode(F.sequence(F.lit(0), F.lit(len(penalties) - 1))))
+    return replace(p, cells=_finished(counts, p.classes, p.config, p.costs, scale), keys=[*p.keys, "setting"], scale=scale)
+
+
 def split_pairs(p: Problem, above: DataFrame, below: DataFrame, left: list[Column], right: list[Column], carry: list[str]) -> DataFrame:
     """Each cell of ``above`` with each feature it leaves free and the rows of ``below`` on both sides.
 
     left and right: columns of ``below`` to take from the side where the feature fails and
     where it holds.  A side without rows has no cell, so the split isn't there.
     """
-    free = F.filter(F.array(*[F.lit(k) for k in range(p.features)]), lambda k: ~masks.is_set(F.col("care"), k)) if p.features else F.array().cast("array<int>")
-    spread = above.select(*p.keys, "care", "val", *carry, F.explode(free).alias("feature")).withColumn("bit", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("feature")))
-    spread = spread.withColumns({"child_care": F.col("care") + F.col("bit"), "child_true": F.col("val") + F.col("bit")})
+    wide = masks.wide(p.features)
+    free = F.filter(F.sequence(F.lit(0), F.lit(p.features - 1)), lambda k: ~masks.is_set(F.col("care"), k, wide)) if p.features else F.array().cast("array<int>")
+    spread = above.select(*p.keys, "care", "val", *carry, F.explode(free).alias("feature"))
+    spread = spread.withColumns({"child_care": masks.plus(F.col("care"), F.col("feature"), wide), "child_true": masks.plus(F.col("val"), F.col("feature"), wide)})
     lo = below.select(*p.keys, F.col("care").alias("child_care"), F.col("val"), *left)
     hi = below.select(*p.keys, F.col("care").alias("child_care"), F.col("val").alias("child_true"), *right)
     return spread.join(lo, [*p.keys, "child_care", "val"]).join(hi, [*p.keys, "child_care", "child_true"])
@@ -372,12 +389,12 @@ def _leaf_entries(p: Problem, cells: DataFrame, trees: bool) -> DataFrame:
     return out.select(*p.keys, "care", "val", "rows_of_key", F.lit(-1).alias("feature"), F.col("prediction").alias("leaf"), "cost", "falses", tp.cast("long").alias("tp"), tn.cast("long").alias("tn"), F.lit(1).alias("leaves"), F.lit(1).cast("decimal(38,0)").alias("cnt"), *([F.col("prediction").cast("string").alias("tree")] if trees else []))
 
 
-def _first(p: Problem, found: DataFrame, most: int | None) -> DataFrame:
-    """A cell's best ``most`` + 1 trees (a leaf may be barred beside its like) and its leaf; what a whole tree among the best needs of a cell is among them."""
+def _first(p: Problem, splits: DataFrame, most: int | None) -> DataFrame:
+    """A cell's best ``most`` + 1 splits (a leaf may be barred beside its like); what a whole tree among the best needs of a cell is among them and its leaf."""
     if most is None:
-        return found
+        return splits
     order = Window.partitionBy(*p.keys, "care", "val").orderBy(units(p), "leaves", F.length("tree"), "tree")
-    return found.withColumn("nth", F.row_number().over(order)).where((F.col("nth") <= most + 1) | (F.col("feature") < 0)).drop("nth")
+    return splits.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most + 1).drop("nth")  # Spark cuts to so many in each task, before the shuffle
 
 
 def entries(p: Problem, reach: list[DataFrame], trees: bool = False, most: int | None = None) -> list[DataFrame]:
@@ -411,7 +428,7 @@ def entries(p: Problem, reach: list[DataFrame], trees: bool = False, most: int |
             splits = pairs.select(*p.keys, "care", "val", "rows_of_key", "feature", none, *_SUMS, F.lit(1).cast("decimal(38,0)").alias("cnt"), text.alias("tree"))
         else:
             splits = pairs.groupBy(*p.keys, "care", "val", "rows_of_key", "feature", *_SUMS).agg(F.sum(F.col("cnt_l") * F.col("cnt_r")).cast("decimal(38,0)").alias("cnt")).select(*p.keys, "care", "val", "rows_of_key", "feature", none, *_SUMS, "cnt")
-        own = _first(p, _leaf_entries(p, reach[k], trees).unionByName(splits), most)
+        own = _leaf_entries(p, reach[k], trees).unionByName(_first(p, splits, most))
         out[k] = kept(own, "entries") if k else own  # what a level above reads twice is stored
     return [out[k] for k in range(p.depth + 1)]
 
@@ -460,22 +477,25 @@ def greedy(p: Problem) -> str:
     from coppice.operators.trees import Tree
 
     spark = p.cells.sparkSession
+    mask = masks.sql_type(p.features)
     split: dict[tuple[int, int], int] = {}
     leaves: dict[tuple[int, int], int] = {}
     front = [(0, 0)]
     for k in range(p.depth + 1):
         if not front:
             break
-        own = p.level(k).join(F.broadcast(spark.createDataFrame(front, "care long, val long")), ["care", "val"])  # 2^k cells at most
-        leaves.update({(r.care, r.val): r.prediction for r in own.select("care", "val", "prediction").collect()})
+        asked = [tuple(masks.stored_form(x, p.features) for x in cell) for cell in front]
+        own = p.level(k).join(F.broadcast(spark.createDataFrame(asked, f"care {mask}, val {mask}")), ["care", "val"])  # 2^k cells at most
+        leaves.update({(masks.number(r.care), masks.number(r.val)): r.prediction for r in own.select("care", "val", "prediction").collect()})
         if k == p.depth:
             break
         pairs = _supported(p, split_pairs(p, own.withColumn("own_cost", F.col("cost")), p.level(k + 1), *_both("cost", "n_total"), ["rows_of_key", "own_cost"]))
         fall = F.col("own_cost") - F.col("cost_l") - F.col("cost_r")
         best_of = pairs.groupBy("care", "val").agg(F.min(F.struct((-_tidy(p, fall)).alias("loss"), "feature", "rows_of_key")).alias("x"))
         taken = best_of.where(-F.col("x.loss") > (F.lit(p.scale.leaf) * F.col("x.rows_of_key") if p.scale.by_rows else F.lit(p.scale.leaf))).select("care", "val", "x.feature").collect()
-        split.update({(r.care, r.val): r.feature for r in taken})
-        front = [(r.care | 1 << r.feature, r.val | side << r.feature) for r in taken for side in (0, 1)]
+        taken = [(masks.number(r.care), masks.number(r.val), r.feature) for r in taken]
+        split.update({(care, val): f for care, val, f in taken})
+        front = [(care | 1 << f, val | side << f) for care, val, f in taken for side in (0, 1)]
 
     def grow(care: int, val: int) -> Tree:
         f = split.get((care, val))

@@ -49,10 +49,6 @@ def near(spark, sf, trees_: bool = False) -> tuple[search.Problem, list[DataFram
     return p, search.entries(p, search.budgets(p, levels, p.scale.bound(CONFIG)), trees_)
 
 
-def model(spark, sf, single: bool = True) -> TreeModel:
-    return fit_patterns(kept(patterns(spark, sf), "patterns"), RULES, [0, 1], "y", CONFIG, single_tree=single)
-
-
 # ---- SQL shared by several queries ----------------------------------------------
 
 _C2 = f"WITH {SQL_PATTERNS}, {sql_cells(2)}, one AS (SELECT sum(n_0 + n_1) AS n FROM pat), f AS (SELECT unnest(range({P}))::INT AS feature)"
@@ -344,13 +340,6 @@ for _m, _t in (("f1", 0.2), ("bacc", 0.12), ("auc", 0.12)):
     _covered(_m, _t)
 
 
-@query(f"""{_NEAR}, k AS (SELECT tree, feature, leaf FROM t) SELECT CASE WHEN leaf IS NULL THEN feature ELSE -(leaf + 1) END AS root, count(*)::BIGINT AS trees FROM k GROUP BY ALL""")
-def rashomon_trie(spark, sf):
-    _, found = near(spark, sf, True)
-    paths = trees.level_paths(spark, [trees.parse(r.tree) for r in found[0].select("tree").collect()])  # a handful of trees
-    return paths.groupBy(F.element_at(F.element_at("path", 1), 1).alias("root")).agg(F.count("*").alias("trees"))
-
-
 #: Splits of trees in t: the root's, and those of its children.
 _DAG = f"""{_NEAR}, r AS (SELECT DISTINCT f.feature, l.feature AS fl, r.feature AS fr, l.leaf AS ll, r.leaf AS lr, l.falses + r.falses AS falses, l.leaves + r.leaves AS leaves
   FROM f JOIN e1 l ON l.care = 1 << f.feature AND l.val = 0 JOIN e1 r ON r.care = 1 << f.feature AND r.val = 1 << f.feature WHERE l.leaf IS NULL OR r.leaf IS NULL OR l.leaf <> r.leaf),
@@ -411,34 +400,6 @@ def accuracy(spark, sf):
     return df.agg(F.round(F.avg((F.col("prediction") == F.col("y")).cast("double")), 9).alias("accuracy"))
 
 
-@query("SELECT * FROM (VALUES (1, 'price_high==1 AND discount==1', '1'), (2, 'price_high==1 AND NOT discount==1', '1'), (3, 'NOT price_high==1 AND price_mid==1', '1'), (4, 'NOT price_high==1 AND NOT price_mid==1', '0')) AS r(rule_id, condition, prediction)")
-def tree_rules(spark, sf):
-    rows = [(i, c, str(p)) for i, c, p in trees.rules_of(trees.parse("(2 (3 1 1) (1 1 0))"), RULES, [0, 1])]
-    return spark.createDataFrame(rows, "rule_id int, condition string, prediction string")
-
-
-def _two(spark):
-    return trees.nodes_df(spark, [trees.parse("(2 (3 1 1) (1 1 0))"), trees.parse("(0 1 0)")], RULES, [0, 1])
-
-
-_NODES_SQL = """n AS (SELECT * FROM (VALUES (1, 1, NULL, 0, 'decision'), (1, 2, 1, 1, 'decision'), (1, 3, 1, 1, 'decision'), (1, 4, 2, 2, 'leaf'), (1, 5, 2, 2, 'leaf'), (1, 6, 3, 2, 'leaf'), (1, 7, 3, 2, 'leaf'), (2, 1, NULL, 0, 'decision'), (2, 2, 1, 1, 'leaf'), (2, 3, 1, 1, 'leaf')) AS v(tree_id, id, parent_id, depth, type))"""
-
-
-@query(f"WITH {_NODES_SQL} SELECT tree_id::BIGINT AS tree_id, id::BIGINT AS id, coalesce(parent_id, 0)::BIGINT AS parent_id, depth, type FROM n")
-def tree_nodes(spark, sf):
-    return _two(spark).select("tree_id", "id", F.coalesce("parent_id", F.lit(0)).alias("parent_id"), "depth", "type")
-
-
-@query(f"WITH {_NODES_SQL}, x AS (SELECT *, row_number() OVER (PARTITION BY tree_id, depth ORDER BY id) - (count(*) OVER (PARTITION BY tree_id, depth) + 1) / 2 AS x, -2.0 * depth AS y FROM n) SELECT a.tree_id::BIGINT AS tree_id, a.id::BIGINT AS \"from\", b.id::BIGINT AS \"to\", a.x::DOUBLE AS x_from, a.y::DOUBLE AS y_from, b.x::DOUBLE AS x_to, b.y::DOUBLE AS y_to FROM x a JOIN x b ON a.tree_id = b.tree_id AND b.parent_id = a.id")
-def tree_edges_layout(spark, sf):
-    return trees.layout(_two(spark)).select("tree_id", "from", "to", "x_from", "y_from", "x_to", "y_to")
-
-
-@query(f"WITH {_NODES_SQL} SELECT tree_id::BIGINT AS tree_id, count(*) AS n_nodes, count(*) FILTER (type = 'decision') AS n_decisions, count(*) FILTER (type = 'leaf') AS n_leaves, max(depth) AS max_depth FROM n GROUP BY tree_id")
-def tree_summary(spark, sf):
-    return trees.tree_summary(_two(spark))
-
-
 @query(f"{_NEAR} SELECT leaves, count(*)::BIGINT AS trees FROM t GROUP BY leaves")
 def tree_leaf_counts(spark, sf):
     _, found = near(spark, sf, True)
@@ -471,6 +432,15 @@ best AS (SELECT fold, min(objective) AS o FROM (SELECT fold, objective FROM a UN
 sets AS (SELECT a.fold, tree, objective FROM a JOIN best USING (fold) WHERE objective <= o * 1.6 + 1e-9)"""
 
 
+#: Every tree of two levels of splits, with its loss on each fold's complement.
+_CF_EVERY = f"""{_TRAIN.replace(sql_cells(1, keys='fold'), sql_cells(2, keys='fold'))}, cell AS (SELECT c.*, CASE WHEN n_1 >= n_0 THEN 1 ELSE 0 END AS prediction, least(n_0, n_1) / n AS loss FROM c JOIN nf USING (fold)),
+e1 AS (SELECT fold, care, val, prediction AS leaf, loss, 1 AS leaves, prediction::VARCHAR AS tree FROM cell WHERE k = 1
+  UNION ALL SELECT a.fold, a.care, a.val, NULL, l.loss + r.loss, 2, '(' || feature || ' ' || r.prediction || ' ' || l.prediction || ')' FROM cell a, f JOIN cell l ON l.fold = a.fold AND l.care = a.care + (1 << feature) AND l.val = a.val JOIN cell r ON r.fold = a.fold AND r.care = a.care + (1 << feature) AND r.val = a.val + (1 << feature)
+  WHERE a.k = 1 AND a.care & (1 << feature) = 0 AND l.prediction <> r.prediction),
+every AS (SELECT fold, loss, 1 AS leaves, prediction::VARCHAR AS tree FROM cell WHERE k = 0
+  UNION ALL SELECT l.fold, l.loss + r.loss, l.leaves + r.leaves, '(' || f.feature || ' ' || r.tree || ' ' || l.tree || ')' FROM f JOIN e1 l ON l.care = 1 << f.feature AND l.val = 0 JOIN e1 r ON r.fold = l.fold AND r.care = 1 << f.feature AND r.val = 1 << f.feature WHERE l.leaf IS NULL OR r.leaf IS NULL OR l.leaf <> r.leaf)"""
+
+
 def _sets(spark, sf) -> DataFrame:
     p = search.problem(_train(spark, sf), P, 2, _CF, ["fold"])
     levels = search.optimum(p)
