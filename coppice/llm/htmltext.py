@@ -1,20 +1,21 @@
 """Main text of web pages by block rules in two passes.
 
-A page is cut into blocks at block-level tags.  Pass one scores every block by the
-share of stop words among its words, its length and the share of its text in links;
-where it stands is one more feature: in an article, outside of the page's article, or
-in a menu, header, footer, sidebar, form, notice, advert or comment (by element name,
-role, class or id).  A class, id or role marks its element by the words of its tokens,
+A page is cut into blocks at block-level tags.  Blocks in a menu, header, footer, sidebar, form,
+notice, advert or comment (by element name, role, class or id) go, and say nothing of what is
+beside them.  A class, id or role marks its element by the words of its tokens,
 but not by those behind *with*, *has* or *no*, and a mark doesn't count on main, on what
-holds main, or on what holds most of the page's text (see ``_resolved``).  A score of
-``GOOD`` or more is text, of ``BAD`` or less is not; between them, and for short blocks
-that aren't bad, the block is left open.
+holds main, or on what holds most of the page's text (see ``_resolved``).
+
+Pass one scores every other block by the share of stop words among its words, its length and the
+share of its text in links; small print and a short block that begins like a call to share,
+subscribe or the like lose points.  Where a block stands is no part of it.  A score of ``GOOD`` or more is text if the
+block isn't short, of ``BAD`` or less is not; all others are left open.
 
 Pass two gives an open block the label of its nearest decided neighbours in the same
-article, or outside of articles: theirs if both agree, else that of the nearer one, else
-bad; a heading right before text is text.  Blocks that are bad for where they stand say
-nothing of what is beside them.  Within an article a block is text unless both
-neighbours aren't.
+article, or outside of articles: theirs if both agree; else text within an article and before
+it the label of the nearer one, bad at the same distance; a heading right before text is text.  With one neighbour it
+is that one's.  Where nothing of an article, or of a page without one, was decided to be text, its best open block is.
+What stands outside of a page's article isn't part of it.
 
 Fixed values below are lengths in characters, shares and weights, and stop words of the
 four languages; a page in none of them is judged by length, links and place.
@@ -43,10 +44,9 @@ from coppice.llm.storage import mapped
 SHORT, LONG = 70, 200
 STOP_LOW, STOP_HIGH = 0.20, 0.30
 #: Scores from which a block is decided, and what features add to it.
-GOOD, BAD = 1.0, -1.0
+GOOD, BAD = 1.0, -1.5
 STOPS, LENGTH = 1.0, 1.0
-LINKS, HEADING_LINKS, SMALL_PRINT = -5.0, -2.5, -2.0
-IN_ARTICLE, OUTSIDE, FURNITURE = 2.0, -4.0, -8.0
+LINKS, HEADING_LINKS, SMALL_PRINT, CALL = -3.0, -1.5, -2.0, -2.0
 #: Stop words.
 STOP_WORDS = frozenset(
     "the of and to in a is that it for was on are as with be by at this from or not have but an they you which were their".split()
@@ -69,6 +69,16 @@ BAD_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navigation navbar menu menubar breadcrumb breadcrumbs header masthead footer sidebar side aside widget related recommended recommendations share sharing social comment comments commentlist reply replies respond disqus cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login search pagination pager toolbar toc complementary contentinfo".split()
 )
 
+#: Bad words that are also subjects, and the words beside which they are still bad.
+SUBJECT_WORDS = frozenset("social notice share sharing side promotion promo banner consent comment reply".split())
+LAYOUT_WORDS = frozenset("links link bar box icon icons button buttons media list block section area wrapper wrap container content col column panel pane left right top bottom main site page post posts article articles form text message btn group".split())
+
+#: How short calls to share, follow or subscribe, and labels of adverts, begin.
+CALLS = re.compile(
+    r"(?:share (?:on|this|via|with)\b|tweet(?: this)?\b|(?:please )?subscribe (?:to|now|here|for)\b|subscribe$|sign up (?:for|to|now)\b|follow us\b|like us\b|print this\b|email this\b|advertisement$|advertising$|sponsored(?: content| by\b|$)|read more$|leave a comment|related (?:articles|posts|stories)"
+    r"|teilen (?:auf|via)\b|jetzt abonnieren|newsletter (?:abonnieren|bestellen)|folgen sie uns|anzeige$|werbung$|mehr lesen$|partager (?:sur|cet|par)\b|abonnez[- ]vous|suivez[- ]nous|publicité$|lire la suite$|compartir en\b|suscríbe(?:te|nse)\b|síguenos|publicidad$|leer más$)", re.I
+)
+
 #: Words that turn what follows in a token into a feature of the layout, and, on an article, into its subject.
 MODIFIERS = frozenset("has with without no not hide show".split())
 SUBJECTS = frozenset("tag category cat topic".split())
@@ -114,6 +124,8 @@ def _mark(attributes: str, article: bool) -> tuple[bool, bool] | None:
                 continue
             own = next((i for i, w in enumerate(words) if w in MODIFIERS), len(words))
             bad = BAD_WORDS.intersection(words[:own])
+            if bad <= SUBJECT_WORDS and not (BAD_WORDS | LAYOUT_WORDS).issuperset(words[:own]):
+                continue  # a section on social history or side effects
             found = found or bool(bad)
             whole = whole or (bool(bad) and BAD_WORDS.issuperset(words))
             outgrowing = outgrowing or not OUTGROWING.isdisjoint(bad)
@@ -275,18 +287,25 @@ def scored(found: list[Block]) -> list[bool | None]:
         words = [w.lower() for w in _WORDS.findall(b.text)]
         density.append(sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0)
     known = max((d for d, b in zip(density, found, strict=True) if len(b.text) >= SHORT and not b.bad), default=0.0) >= STOP_LOW / 2
-    has_article = any(b.article >= 0 and not b.bad for b in found)
     out: list[bool | None] = []
-    for b, stops in zip(found, density, strict=True):
+    best: dict[int, tuple] = {}
+    for i, (b, stops) in enumerate(zip(found, density, strict=True)):
         size = len(b.text)
-        score = (IN_ARTICLE if b.article >= 0 else OUTSIDE * has_article) + FURNITURE * b.bad + (HEADING_LINKS if b.heading else LINKS) * b.linked / size
+        score = (HEADING_LINKS if b.heading else LINKS) * b.linked / size
         if size < LONG and "©" in b.text:
             score += SMALL_PRINT
+        if size < SHORT and CALLS.match(b.text.rstrip(".!:… ")):
+            score += CALL
         if size >= SHORT and known:
             score += STOPS * ((stops >= STOP_HIGH) - (stops < STOP_LOW))
         if size > LONG:
             score += LENGTH
-        out.append(False if score <= BAD else True if score >= GOOD and size >= SHORT else None)
+        out.append(False if b.bad or score <= BAD else True if score >= GOOD and size >= SHORT else None)
+        if out[i] is not False:
+            best[b.article] = max(best.get(b.article, (False,)), (bool(out[i]), score, size, -i))
+    for decided, *_, at in best.values():
+        if not decided:
+            out[-at] = True
     return out
 
 
@@ -298,7 +317,12 @@ def labels(found: list[Block]) -> list[bool]:
     for i, b in enumerate(found):
         if not b.bad:
             groups.setdefault(b.article, []).append(i)
+    has_article = any(a >= 0 for a in groups)
     for article, own in groups.items():
+        if has_article and article < 0:
+            for i in own:
+                out[i] = False
+            continue
         decided = [p for p, i in enumerate(own) if first[i] is not None]
         plain = len(own)  # the next place without a heading
         k = len(decided) - 1
@@ -311,11 +335,9 @@ def labels(found: list[Block]) -> list[bool]:
                 continue
             sides = [decided[j] for j in (k, k + 1) if 0 <= j < len(decided)]
             near = [bool(first[own[q]]) for q in sides]
-            if article >= 0:
-                out[i] = len(near) < 2 or any(near)
-            elif len(near) < 2 or near[0] == near[1]:
+            if len(near) < 2 or near[0] == near[1]:
                 out[i] = not near or near[0]
-            elif near[1] and plain >= sides[1]:
+            elif article >= 0 or (near[1] and plain >= sides[1]):
                 out[i] = True
             else:
                 before, after = p - sides[0], sides[1] - p

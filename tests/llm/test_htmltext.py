@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 
 from coppice.llm import htmltext as H
-from coppice.llm.htmltext import blocks, extracted, main_text, scored
+from coppice.llm.htmltext import blocks, extracted, main_text
 
 A = "The history of the town is long, and it is told by those who have lived in it for most of their lives. It was built on a hill by the river, as many of them were."
 B = "In the morning the market is full of people from all the villages that are on the other side of the river, and by noon they have gone home with what they bought."
@@ -57,6 +57,10 @@ def test_marks_leave_the_article(body, want):
     assert main_text(page(body)) == "\n\n".join(want)
 
 
+def test_subjects_in_class_names():
+    assert main_text(page(f"<article><p>{A}</p><div class='social-history'><p>{B}</p></div><div class='social-links'><p>{B}</p></div><div class='share'>{B}</div></article>")) == f"{A}\n\n{B}"
+
+
 def test_many_marks():
     assert main_text("<div class='x-menu'>" * 20000 + A) == A
 
@@ -110,56 +114,97 @@ class Plain(HTMLParser):
             self.linked += data if "a" in self.open else ""
 
 
-def plain_text(page):
+def plain_labels(found):
     """The rules of both passes, each block looked at by itself and its neighbours searched one by one."""
-    found = Plain(page).out
     share = lambda t: (lambda w: sum(x.lower() in H.STOP_WORDS for x in w) / len(w) if w else 0)(re.findall(r"[^\W\d_]+", t))
     known = any(share(t) >= 0.1 for t, _, _, _, bad in found if not bad and len(t) >= 70)
     some = any(art and not bad for _, _, _, art, bad in found)
-    first = []
-    for t, linked, heading, art, bad in found:
-        points = (2 if art else -4 if some else 0) - 8 * bad - (2.5 if heading else 5) * linked / len(t) - 2 * ("©" in t and len(t) < 200)
+    points = []
+    for t, linked, heading, _, bad in found:
+        n = (H.HEADING_LINKS if heading else H.LINKS) * linked / len(t) - 2 * ("©" in t and len(t) < 200)
         if len(t) >= 70 and known:
-            points += (share(t) >= 0.3) - (share(t) < 0.2)
-        points += len(t) > 200
-        first.append(False if points <= -1 else True if points >= 1 and len(t) >= 70 else None)
+            n += H.STOPS * ((share(t) >= 0.3) - (share(t) < 0.2))
+        points.append(-9 if bad else n + H.LENGTH * (len(t) > 200))
+    first = [False if n <= -1.5 else True if n >= 1 and len(b[0]) >= 70 else None for n, b in zip(points, found, strict=True)]
+    for inside in (False, True):
+        own = [i for i, b in enumerate(found) if b[3] == inside]
+        left = [i for i in own if first[i] is None]
+        if left and not any(first[i] for i in own):
+            first[max(left, key=lambda i: (points[i], len(found[i][0]), -i))] = True
     out = []
-    for i, (t, _, _, art, bad) in enumerate(found):
+    for i, (_, _, _, art, bad) in enumerate(found):
         own = [j for j, b in enumerate(found) if not b[4] and b[3] == art]
         label = first[i]
         if label is None:
             before, after = ([j for j in side if first[j] is not None] for side in (own[: own.index(i)][::-1], own[own.index(i) + 1 :]))
             if not before or not after:
-                label = True if art else next((first[j] for j in before[:1] + after[:1]), True)
-            elif art or first[before[0]] == first[after[0]]:
-                label = first[before[0]] or first[after[0]]
-            elif first[after[0]] and all(found[j][2] for j in own[own.index(i) : own.index(after[0])]):
+                label = next((first[j] for j in before[:1] + after[:1]), True)
+            elif first[before[0]] == first[after[0]]:
+                label = first[before[0]]
+            elif art or (first[after[0]] and all(found[j][2] for j in own[own.index(i) : own.index(after[0])])):
                 label = True
             else:
                 back, on = own.index(i) - own.index(before[0]), own.index(after[0]) - own.index(i)
                 label = back != on and first[before[0] if back < on else after[0]]
-        if label and not bad:
-            out.append(t)
-    return "\n\n".join(out)
-
-
-def test_a_plain_version_agrees_and_both_passes_decide():
-    """All pages, as they are and with their articles as plain divisions."""
-    pages = pd.read_parquet("/root/testdata/sf0.01/pages.parquet").html
-    for stripped in (False, True):
-        by_score = by_neighbours = kept = 0
-        for h in pages:
-            if stripped:
-                h = h.replace("<article>", "<div>").replace("</article>", "</div>")
-            assert main_text(h) == plain_text(h)
-            found = blocks(h)
-            for b, first in zip(found, scored(found), strict=True):
-                if not b.bad:
-                    by_score, by_neighbours = by_score + (first is not None), by_neighbours + (first is None)
-            kept += len(main_text(h))
-        assert min(by_score, by_neighbours) > 300
-        whole = sum(len(main_text(h)) for h in pages) if stripped else kept
-        assert kept >= 0.9 * whole
+        out.append(bool(label) and not bad and (art or not some))
+    return out
+
+
+def plain_text(page):
+    found = Plain(page).out
+    return "\n\n".join(b[0] for b, good in zip(found, plain_labels(found), strict=True) if good)
+
+
+def without_article(h):
+    return h.replace("<article>", "<div>").replace("</article>", "</div>")
+
+
+def without_marks(h):
+    """No element says what it is: menu, advert, article and footer are plain divisions."""
+    return re.sub(r"</(?:nav|footer|article)>", "</div>", re.sub(r"<(?:nav|footer|article|div class=.ad.)>", "<div>", h))
+
+
+@pytest.fixture(scope="module")
+def pages():
+    return list(pd.read_parquet("/root/testdata/sf0.01/pages.parquet").html)
+
+
+def test_a_plain_version_agrees(pages):
+    """All pages, as they are, with their articles as plain divisions, and without any mark."""
+    for h in pages:
+        for own in (h, without_article(h), without_marks(h)):
+            assert main_text(own) == plain_text(own)
+
+
+def test_pages_without_marks(pages):
+    """The article's tag isn't needed; without any mark hardly a character is lost, and nothing of menus is kept."""
+    whole = [main_text(h) for h in pages]
+    assert [main_text(without_article(h)) for h in pages] == whole
+    bare = [main_text(without_marks(h)).split("\n\n") for h in pages]
+    right = sum(len(x) for own, w in zip(bare, whole, strict=True) for x in own if x in w.split("\n\n"))
+    assert right >= 0.97 * sum(len(x) for w in whole for x in w.split("\n\n"))
+    assert all(any(own) for own in bare) and sum(x not in w.split("\n\n") for own, w in zip(bare, whole, strict=True) for x in own) <= 0.02 * sum(map(len, bare))
+
+
+@pytest.mark.parametrize("weight", ["STOPS", "LENGTH", "LINKS"])
+def test_each_feature_flips_labels(pages, weight, monkeypatch):
+    """Without marks, on which the features then depend, each of them decides labels."""
+    before = [H.labels(blocks(without_marks(h))) for h in pages]
+    monkeypatch.setattr(H, weight, 0.0)
+    if weight == "LINKS":
+        monkeypatch.setattr(H, "HEADING_LINKS", 0.0)
+    after = [H.labels(blocks(without_marks(h))) for h in pages]
+    assert sum(x != y for a, b in zip(before, after, strict=True) for x, y in zip(a, b, strict=True)) > 50
+
+
+def test_neighbours_decide_both_ways():
+    link = "<p><a href=1>More of this sort</a></p>"
+    assert main_text(page(f"<article><p>{A}</p><p>In between.</p><p>{B}</p>{link}<p>Left over.</p>{link}</article>")) == f"{A}\n\nIn between.\n\n{B}"
+    assert main_text(page(f"<article><p>{A}</p><p>Share on Facebook</p><p>Subscribe to our newsletter!</p><p>ADVERTISEMENT</p><p>{B}</p></article>")) == f"{A}\n\n{B}"
+    assert main_text(page(f"<article><p>{A}</p><p>Shared land was common.</p><p>{B}</p></article>")) == f"{A}\n\nShared land was common.\n\n{B}"
+    prose = f"{A} {B}"
+    assert main_text(page(f"<article><p>{A}</p><p><a href=1>{prose}</a></p><p>{B}</p></article>")) == f"{A}\n\n{prose}\n\n{B}"
+    assert main_text(page(f"<article><p>Tiny.</p></article><p>{A}</p>")) == "Tiny."
 
 
 def test_formulas_drawings_and_long_pages():
