@@ -27,6 +27,12 @@ def as_text(c: str) -> Column:
     return F.when(~text.isin(*NULL_TOKENS), text)
 
 
+def as_number(c: str) -> Column:
+    """A cell as a number; what is none is null, NaN too.  Floats go by their text, as 0.1 is another number there."""
+    number = F.when(F.typeof(F.col(f"`{c}`")) == "float", as_text(c).try_cast("double")).otherwise(F.col(f"`{c}`").try_cast("double"))  # Spark settles the type before it runs
+    return F.when(~F.isnan(number), number)
+
+
 def profile(df: DataFrame, columns: list[str], wide: int = WIDE) -> DataFrame:
     """(position, column, n_rows, n_missing, n_distinct, base, kind) of each column.
 
@@ -83,11 +89,9 @@ class Rule:
 
     def test(self) -> Column:
         if self.relation == ">=":
-            value = F.try_cast(as_text(self.column), "double") if hasattr(F, "try_cast") else as_text(self.column).try_cast("double")
-            return F.coalesce(value >= F.lit(float(self.reference)), F.lit(False))
-        number = self.kind == "numeric_binary"
-        if number:
-            return F.coalesce(as_text(self.column).try_cast("double") == F.lit(float(self.reference)), F.lit(False))
+            return F.coalesce(as_number(self.column) >= F.lit(float(self.reference)), F.lit(False))
+        if self.kind == "numeric_binary":
+            return F.coalesce(as_number(self.column) == F.lit(float(self.reference)), F.lit(False))
         return F.coalesce(as_text(self.column) == F.lit(self.reference), F.lit(False))
 
     def to_dict(self) -> dict:

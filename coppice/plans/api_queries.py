@@ -65,6 +65,18 @@ UNION ALL SELECT '(' || feature || ' ' || r.prediction || ' ' || l.prediction ||
     return f"{_ONE}, cell AS (SELECT c.*, n_0 + n_1 AS n_total, {prediction} AS prediction, {loss} AS loss FROM c, one), a AS ({trees} WHERE {where}), w AS ({trees}), o AS (SELECT min(objective) AS best FROM w)"
 
 
+def _sql_two(loss: str, prediction: str, penalty: float, trivial: bool = False, support: int = 0) -> str:
+    """CTE ``a``: (tree, objective) of all trees of up to two splits on a path."""
+    ok = f" AND least(l.n_total, n - l.n_total) > {support} AND least(r.n_total, n - r.n_total) > {support}" if support else ""
+    below = "JOIN {0} l ON l.care = {1} + (1 << feature) AND l.val = {2} JOIN {0} r ON r.care = l.care AND r.val = {2} + (1 << feature)"
+    return f"""{_ONE.replace(sql_cells(1), sql_cells(2))}, cell AS (SELECT c.*, n_0 + n_1 AS n_total, {prediction} AS prediction, {loss} AS loss FROM c, one),
+e AS (SELECT care, val, n_total, prediction AS leaf, loss, 1 AS leaves, prediction::VARCHAR AS tree FROM cell WHERE k = 1
+  UNION ALL SELECT a.care, a.val, a.n_total, NULL, l.loss + r.loss, 2, '(' || feature || ' ' || r.prediction || ' ' || l.prediction || ')' FROM one, cell a, f {below.format('cell', 'a.care', 'a.val')} WHERE a.k = 1 AND a.care & (1 << feature) = 0{'' if trivial else ' AND l.prediction <> r.prediction'}{ok}),
+a AS (SELECT prediction::VARCHAR AS tree, loss + {penalty} AS objective FROM cell WHERE k = 0
+  UNION ALL SELECT '(' || feature || ' ' || r.tree || ' ' || l.tree || ')', l.loss + r.loss + {penalty} * (l.leaves + r.leaves) FROM one, f {below.format('e', '0', '0')} WHERE {'true' if trivial else '(l.leaf IS NULL OR r.leaf IS NULL OR l.leaf <> r.leaf)'}{ok}),
+o AS (SELECT min(objective) AS best FROM a)"""
+
+
 def _fitted(spark, sf, config: FitConfig):
     m = fit_rashomon(task.binary(spark, sf), "y", NAMES, config)
     rows = [(t.text(), len(m.trees), m.n_optimal) for t in m.trees]
@@ -72,32 +84,32 @@ def _fitted(spark, sf, config: FitConfig):
 
 
 def _sql_fitted(multiplier: float) -> str:
-    return f" SELECT tree, count(*) OVER () AS n_trees, (SELECT count(*) FROM a WHERE objective <= best * (1 + 1e-12)) AS n_optimal, round(best, 6) AS objective FROM a, o WHERE objective <= best * (1 + {multiplier}) * (1 + 1e-12)"
+    return f" SELECT tree, count(*) OVER () AS n_trees, (SELECT count(*) FROM a WHERE objective <= best * (1 + 1e-12)) AS n_optimal, round(best, 6)::DOUBLE AS objective FROM a, o WHERE objective <= best * (1 + {multiplier}) * (1 + 1e-12)"
 
 
 _MAJORITY = "CASE WHEN n_1 >= n_0 THEN 1 ELSE 0 END"
 _H = " + ".join(f"-greatest(1e-12, least(1 - 1e-12, n_{k} / (n_0 + n_1))) * ln(greatest(1e-12, least(1 - 1e-12, n_{k} / (n_0 + n_1))))" for k in (0, 1))
 
 
-@query(_sql_one(f"(n_0 + n_1) * ({_H})", _MAJORITY, 20.0) + _sql_fitted(0.4))
+@query(_sql_two(f"(n_0 + n_1) * ({_H})", _MAJORITY, 20.0) + _sql_fitted(1.5))
 def api_log_loss(spark, sf):
-    return _fitted(spark, sf, FitConfig(loss="log_loss", regularization=20.0, max_depth=2, bound_multiplier=0.4))
+    return _fitted(spark, sf, FitConfig(loss="log_loss", regularization=20.0, max_depth=3, bound_multiplier=1.5))
 
 
-@query(_sql_one("least(0.00003 * n_1, 0.00001 * n_0)", "CASE WHEN 1 * n_0 <= 3 * n_1 THEN 1 ELSE 0 END", 0.01) + _sql_fitted(0.6))
+@query(_sql_two("least(0.00003 * n_1, 0.00001 * n_0)", "CASE WHEN 1 * n_0 <= 3 * n_1 THEN 1 ELSE 0 END", 0.01) + _sql_fitted(1.2))
 def api_costs(spark, sf):
-    return _fitted(spark, sf, FitConfig(regularization=0.01, max_depth=2, bound_multiplier=0.6, costs=((0.0, 0.00003), (0.00001, 0.0))))
+    return _fitted(spark, sf, FitConfig(regularization=0.01, max_depth=3, bound_multiplier=1.2, costs=((0.0, 0.00003), (0.00001, 0.0))))
 
 
-@query(_sql_one("least(n_1 / (2 * all_1), n_0 / (2 * all_0))", "CASE WHEN n_0 * all_1 <= n_1 * all_0 THEN 1 ELSE 0 END", 0.01) + _sql_fitted(0.6))
+@query(_sql_two("least(n_1 / (2 * all_1), n_0 / (2 * all_0))", "CASE WHEN n_0 * all_1 <= n_1 * all_0 THEN 1 ELSE 0 END", 0.01) + _sql_fitted(1.2))
 def api_balance(spark, sf):
-    return _fitted(spark, sf, FitConfig(regularization=0.01, max_depth=2, bound_multiplier=0.6, balance=True))
+    return _fitted(spark, sf, FitConfig(regularization=0.01, max_depth=3, bound_multiplier=1.2, balance=True))
 
 
-@query(_sql_one("least(n_0, n_1) / n", _MAJORITY, 0.005, "least(l.n_total, n - l.n_total) > 20000") + _sql_fitted(0.9))
+@query(_sql_two("least(n_0, n_1) / n", _MAJORITY, 0.005, True, 2000) + _sql_fitted(0.9))
 def api_min_support_trivial(spark, sf):
-    """Splits of one class on both sides are allowed, and both sides keep, and leave, over 20 000 rows."""
-    return _fitted(spark, sf, FitConfig(regularization=0.005, max_depth=2, bound_multiplier=0.9, min_support=20_000, ignore_trivial=False))
+    """Splits of one class on both sides are allowed, and both sides keep, and leave, over 2 000 rows."""
+    return _fitted(spark, sf, FitConfig(regularization=0.005, max_depth=3, bound_multiplier=0.9, min_support=2_000, ignore_trivial=False))
 
 
 _THREE = "CASE WHEN l_extendedprice * (1 - l_discount) >= 60000 THEN 2 WHEN l_extendedprice * (1 - l_discount) >= 30000 THEN 1 ELSE 0 END"
@@ -118,15 +130,19 @@ def api_three_classes(spark, sf):
 # ---- deeper trees ------------------------------------------------------------------
 
 
-def _sql_level(k: int) -> str:
-    return f"""s{k} AS (SELECT a.care, a.val, min(l.v + r.v) AS v FROM cell a, f JOIN v{k + 1} l ON l.care = a.care + (1 << feature) AND l.val = a.val JOIN v{k + 1} r ON r.care = l.care AND r.val = a.val + (1 << feature) WHERE a.k = {k} AND a.care & (1 << feature) = 0 GROUP BY ALL),
-v{k} AS (SELECT a.care, a.val, least(a.leaf_objective, coalesce(s.v, a.leaf_objective)) AS v FROM cell a LEFT JOIN s{k} s ON s.care = a.care AND s.val = a.val WHERE a.k = {k})"""
+def _sql_deep() -> str:
+    """CTE ``e0``: (falses, leaves) of all trees of up to three splits on a path."""
+    cells = f"WITH {SQL_PATTERNS}, {sql_cells(3)}, one AS (SELECT sum(n_0 + n_1) AS n FROM pat), f AS (SELECT unnest(range({P}))::INT AS feature), {_LEAF}, e3 AS (SELECT care, val, prediction AS leaf, falses, 1 AS leaves FROM cell WHERE k = 3)"
+    for k in (2, 1, 0):
+        cells += f""", e{k} AS (SELECT care, val, prediction AS leaf, falses, 1 AS leaves FROM cell WHERE k = {k} UNION ALL SELECT a.care, a.val, NULL, l.falses + r.falses, l.leaves + r.leaves FROM cell a, f JOIN e{k + 1} l ON l.care = a.care + (1 << feature) AND l.val = a.val JOIN e{k + 1} r ON r.care = l.care AND r.val = a.val + (1 << feature)
+  WHERE a.k = {k} AND a.care & (1 << feature) = 0 AND (l.leaf IS NULL OR r.leaf IS NULL OR l.leaf <> r.leaf))"""
+    return cells
 
 
-@query(f"WITH {SQL_PATTERNS}, {sql_cells(3)}, one AS (SELECT sum(n_0 + n_1) AS n FROM pat), f AS (SELECT unnest(range({P}))::INT AS feature), {_LEAF}, v3 AS (SELECT care, val, leaf_objective AS v FROM cell WHERE k = 3), {_sql_level(2)}, {_sql_level(1)}, {_sql_level(0)} SELECT round(v, 9) AS objective FROM v0")
+@query(f"{_sql_deep()} SELECT falses::BIGINT AS falses, leaves, round(falses / n + {LAMBDA} * leaves, 9) AS objective, count(*) AS trees FROM e0, one WHERE falses / n + {LAMBDA} * leaves <= 0.14 + 1e-9 GROUP BY ALL")
 def api_depth_three(spark, sf):
-    m = fit_patterns(kept(patterns(spark, sf), "patterns"), RULES, [0, 1], "y", CONFIG.with_(max_depth=4))
-    return spark.createDataFrame([(round(m.objective, 9),)], "objective double")
+    m = fit_patterns(kept(patterns(spark, sf), "patterns"), RULES, [0, 1], "y", CONFIG.with_(max_depth=4, bound=0.14), single_tree=False, max_trees=1)
+    return m.clusters.groupBy("falses", "leaves", F.round("objective", 9).alias("objective")).agg(F.sum("trees").cast("long").alias("trees"))
 
 
 @query(f"""{_C2}, {_LEAF}, {_E1}, e0 AS (SELECT prediction::VARCHAR AS tree, falses, 1 AS leaves FROM cell WHERE k = 0 UNION ALL SELECT '(' || f.feature || ' ' || r.tree || ' ' || l.tree || ')', l.falses + r.falses, l.leaves + r.leaves

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from coppice.config import FitConfig
-from coppice.functions import masks, metrics
-from coppice.functions.losses import balanced_costs, best_class, entropy_loss, total
+from coppice.functions import analysis, masks, metrics
+from coppice.functions.losses import balanced_costs, best_class, entropy_loss, total, uniform_costs
 from coppice.operators import causal, crossfit, encode, search, trees
 from coppice.operators.fit import TreeModel, binary_rules, covered, fit_patterns, predict, predict_ensemble
 from coppice.plans import task
 from coppice.plans.task import NAMES, P, SQL_PATTERNS, SQL_ROWS, TESTS, sql_cells
+from coppice.sources.tables import check_binary
 from coppice.sources.work import kept
 
 QUERIES: dict[str, Callable] = {}
@@ -123,16 +124,19 @@ def precision_round(spark, sf):
 
 @query(f"WITH {SQL_ROWS} SELECT count(*) FILTER ({' OR '.join(f'({t}) IS NULL' for t in TESTS.values())}) AS bad_features, count(*) FILTER (y IS NULL) AS bad_labels, count(*) AS rows FROM b")
 def binary_check(spark, sf):
+    df = task.binary(spark, sf)
+    check_binary(df, NAMES, "y")  # raises where one of the counts isn't zero
     bad = F.lit(False)
     for n in NAMES:
         bad = bad | F.coalesce(~F.col(n).isin(0, 1), F.lit(True))
-    return task.binary(spark, sf).agg(F.count_if(bad).alias("bad_features"), F.count_if(F.coalesce(~F.col("y").isin(0, 1), F.lit(True))).alias("bad_labels"), F.count("*").alias("rows"))
+    return df.agg(F.count_if(bad).alias("bad_features"), F.count_if(F.coalesce(~F.col("y").isin(0, 1), F.lit(True))).alias("bad_labels"), F.count("*").alias("rows"))
 
 
-@query("SELECT abs(reference - 30) AS distance, reference FROM (SELECT (v + lag(v) OVER (ORDER BY v)) / 2 AS reference FROM (SELECT DISTINCT l_quantity AS v FROM lineitem)) WHERE reference IS NOT NULL ORDER BY distance, reference LIMIT 1")
+@query("WITH m AS (SELECT (v + lag(v) OVER (ORDER BY v)) / 2 AS reference FROM (SELECT DISTINCT l_quantity AS v FROM lineitem)), w AS (SELECT unnest([0, 7, 24.6, 30, 1000])::DOUBLE AS value), r AS (SELECT reference, row_number() OVER (ORDER BY reference)::INT - 1 AS index FROM m WHERE reference IS NOT NULL) SELECT value, index, reference FROM (SELECT *, row_number() OVER (PARTITION BY value ORDER BY abs(reference - value), index) AS nth FROM r, w) WHERE nth = 1")
 def find_encoding(spark, sf):
-    rules = encode.codex_table(task.lineitem(spark, sf), ["l_quantity"]).select(F.col("reference").cast("double").alias("reference"))
-    return rules.select(F.abs(F.col("reference") - 30).alias("distance"), "reference").orderBy("distance", "reference").limit(1)
+    rules = encode.codex(task.lineitem(spark, sf), ["l_quantity"])
+    near_to = [(float(v), encode.find_rule(rules, "l_quantity", v)) for v in (0, 7, 24.6, 30, 1000)]
+    return spark.createDataFrame([(v, r.index, float(r.reference)) for v, r in near_to], "value double, index int, reference double")
 
 
 # ---- aggregation -----------------------------------------------------------------
@@ -198,17 +202,15 @@ def feature_information(spark, sf):
     side = F.explode(F.array(*[F.lit(k) for k in range(P)])).alias("feature")
     s = patterns(spark, sf).select("bits", "n_0", "n_1", side).groupBy("feature", masks.is_set(F.col("bits"), F.col("feature")).alias("side")).agg(F.sum("n_0").alias("n_0"), F.sum("n_1").alias("n_1"))
     s = s.withColumn("support", total(2) / F.sum(total(2)).over(Window.partitionBy("feature")))  # two rows a feature
-    part = lambda c: F.when(F.col(c) > 0, F.col(c) * (F.log(c) - F.log("support"))).otherwise(0.0)
-    return s.groupBy("feature").agg(F.round(F.sum(F.col("support") * (part("n_0") + part("n_1"))), 3).alias("information"))
+    return s.groupBy("feature").agg(F.round(F.sum(analysis.information(2, F.col("support"))), 3).alias("information"))
 
 
 @query(f"""WITH {SQL_PATTERNS}, f AS (SELECT unnest(range({P}))::INT AS i), n AS (SELECT sum(n_0 + n_1) AS n FROM pat), d AS (SELECT a.i AS i, c.i AS j, sum(CASE WHEN (bits >> a.i) & 1 <> (bits >> c.i) & 1 THEN n_0 + n_1 ELSE 0 END) AS differ, sum(n_0 + n_1) AS all_ FROM pat, f a, f c WHERE a.i < c.i GROUP BY ALL)
 SELECT i, j, round(least(differ, all_ - differ) / n, 9) AS distance FROM d, n""")
 def feature_distance(spark, sf):
-    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(P) for j in range(i + 1, P)])).alias("x")
-    d = patterns(spark, sf).select("bits", total(2).alias("n"), pairs).select("bits", "n", "x.i", "x.j")
-    sums = d.groupBy("i", "j").agg(F.sum(F.when(masks.is_set(F.col("bits"), F.col("i")) != masks.is_set(F.col("bits"), F.col("j")), F.col("n")).otherwise(0)).alias("differ"), F.sum("n").alias("all"))
-    return sums.select("i", "j", F.round(F.least("differ", F.col("all") - F.col("differ")) / F.col("all"), 9).alias("distance"))
+    own = kept(patterns(spark, sf), "patterns")
+    rows = own.agg(F.sum(total(2))).first()[0]
+    return analysis.feature_distance(own, P, 2, uniform_costs(2, rows)).withColumn("distance", F.round("distance", 9))
 
 
 @query(f"{_C2}, {_LEAF} SELECT care, val, tp::BIGINT AS tp, tn::BIGINT AS tn FROM cell")
@@ -256,11 +258,18 @@ def best_split(spark, sf):
     return search.best_splits(p, levels[0], levels[1]).select("feature", F.round("objective", 9).alias("objective"))
 
 
-@query(f"{_C2}, {_LEAF}, s AS (SELECT feature, round(l.loss + r.loss, 9) AS loss FROM f JOIN cell l ON l.care = 1 << feature AND l.val = 0 JOIN cell r ON r.care = 1 << feature AND r.val = 1 << feature) SELECT * FROM s ORDER BY loss, feature LIMIT 1")
+GREEDY = 0.0001
+#: The best split of each cell with fewer than two literals, where it saves more than a leaf costs.
+_GREEDY = f"""{_C2}, {_LEAF}, g AS (SELECT a.care, a.val, feature, l.prediction AS pl, r.prediction AS pr, row_number() OVER (PARTITION BY a.care, a.val ORDER BY l.falses + r.falses, feature) AS nth, a.falses - l.falses - r.falses AS fall
+  FROM cell a, f JOIN cell l ON l.care = a.care + (1 << feature) AND l.val = a.val JOIN cell r ON r.care = a.care + (1 << feature) AND r.val = a.val + (1 << feature) WHERE a.k < 2 AND a.care & (1 << feature) = 0),
+s AS (SELECT g.* FROM g, one WHERE nth = 1 AND fall > {GREEDY} * n), root AS (SELECT cell.prediction, s.feature FROM cell LEFT JOIN s USING (care, val) WHERE k = 0),
+side AS (SELECT c.val > 0 AS up, CASE WHEN s.feature IS NULL THEN c.prediction::VARCHAR ELSE '(' || s.feature || ' ' || s.pr || ' ' || s.pl || ')' END AS tree FROM root JOIN cell c ON c.care = 1 << root.feature LEFT JOIN s ON s.care = c.care AND s.val = c.val)"""
+
+
+@query(f"{_GREEDY} SELECT CASE WHEN feature IS NULL THEN prediction::VARCHAR ELSE '(' || feature || ' ' || (SELECT tree FROM side WHERE up) || ' ' || (SELECT tree FROM side WHERE NOT up) || ')' END AS tree FROM root")
 def greedy_split(spark, sf):
-    p = search.problem(kept(patterns(spark, sf), "patterns"), P, 2, CONFIG.with_(max_depth=2))
-    pairs = search.split_pairs(p, p.level(0), p.level(1), [F.col("cost").alias("l")], [F.col("cost").alias("r")], ["rows_of_key"])
-    return pairs.select("feature", F.round(p.scale.shown(F.col("l") + F.col("r")), 9).alias("loss")).orderBy("loss", "feature").limit(1)
+    p = search.problem(kept(patterns(spark, sf), "patterns"), P, 2, CONFIG.with_(regularization=GREEDY))
+    return spark.createDataFrame([(search.greedy(p),)], "tree string")
 
 
 @query(f"{_SOLVED} SELECT round(v, 9) AS objective FROM v0")
@@ -363,10 +372,13 @@ _FIXED_CELL = "CASE WHEN l_extendedprice >= 79194 THEN CASE WHEN l_discount >= 0
 
 def _fixed(spark, sf, text: str = "(2 (3 1 1) (1 1 0))") -> TreeModel:
     t = trees.parse(text)
-    cells = kept(search.cell_counts(patterns(spark, sf), P, 2, 2), "cells")
-    need = {(care, val) for _, care, val, s in t.cells() if s.feature is None}
-    rows = cells.join(F.broadcast(spark.createDataFrame(sorted(need), "care long, val long")), ["care", "val"]).collect()  # a row for each leaf
-    stats = {(r.care, r.val): {"loss": 0.0, "probabilities": [r.n_0 / (r.n_0 + r.n_1), r.n_1 / (r.n_0 + r.n_1)], "rows": r.n_0 + r.n_1} for r in rows}
+    need = sorted({(care, val) for _, care, val, s in t.cells() if s.feature is None})
+    inside = [F.col("bits").bitwiseAND(F.lit(care).cast("long")) == val for care, val in need]
+    row = patterns(spark, sf).agg(*[F.sum(F.when(x, F.col(f"n_{k}")).otherwise(0)).alias(f"n{i}_{k}") for i, x in enumerate(inside) for k in (0, 1)]).first()  # the leaves of one tree
+    stats = {}
+    for i, cell in enumerate(need):
+        n = [row[f"n{i}_{k}"] for k in (0, 1)]
+        stats[cell] = {"loss": 0.0, "probabilities": [x / max(1, sum(n)) for x in n], "rows": sum(n)}
     return TreeModel(CONFIG, RULES, [0, 1], "y", 0.0, 0.0, 1, 1, 0, [t], stats)
 
 

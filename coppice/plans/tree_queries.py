@@ -9,7 +9,7 @@ from coppice.operators import levelwise, search, treerows, trees, votes
 from coppice.operators.crossfit import tune_intersecting
 from coppice.operators.fit import TreeModel, fit, fit_patterns
 from coppice.plans import task, wide
-from coppice.plans.queries import _CF_EVERY, _NEAR, CONFIG, LAMBDA, ORACLE_SQL, QUERIES, RULES, _train, near, patterns, query
+from coppice.plans.queries import _CF_EVERY, _NEAR, BOUND, CONFIG, LAMBDA, ORACLE_SQL, QUERIES, RULES, _train, near, patterns, query
 from coppice.plans.task import P, SQL_PATTERNS
 from coppice.sources.work import kept
 
@@ -95,17 +95,16 @@ def rashomon_ranked(spark, sf):
 
 # ---- the search by levels -------------------------------------------------------------
 
-_GROW = CONFIG.with_(regularization=0.001)
-_UNITS = round(1 / _GROW.regularization)
-#: What costs are, in units of a row's error times _UNITS; least: of rows of equal patterns; each level's splits with bounds and rooms, as the search by levels finds them for trees of three levels of nodes.
+_UNITS = round(1 / LAMBDA)
+#: What costs are, in units of a row's error times _UNITS; least: of rows of equal patterns; each level's splits with bounds and rooms, as the search by levels finds them for near-optimal trees of three levels of nodes.
 _GROWN = f"""WITH {SQL_PATTERNS}, one AS (SELECT sum(n_0 + n_1)::BIGINT AS n FROM pat), f AS (SELECT unnest(range({P}))::INT AS feature),
 cl AS (SELECT m AS care, bits & m AS val, bit_count(m)::INT AS k, sum(n_0)::BIGINT AS n_0, sum(n_1)::BIGINT AS n_1, {_UNITS} * sum(least(n_0, n_1))::BIGINT AS eq FROM pat, (SELECT unnest(range({1 << P}))::BIGINT AS m) WHERE bit_count(m) <= 2 GROUP BY ALL),
 cell AS (SELECT care, val, k, {_UNITS} * least(n_0, n_1) + n AS leaf, eq + 2 * n AS split_low, CASE WHEN k < 2 THEN least({_UNITS} * least(n_0, n_1) + n, eq + 2 * n) ELSE {_UNITS} * least(n_0, n_1) + n END AS low FROM cl, one),
-root AS (SELECT * FROM cell WHERE k = 0),
-s1 AS (SELECT f.feature, l.low + r.low AS low, l.low AS low_l, r.low AS low_r, l.leaf AS leaf_l, r.leaf AS leaf_r, root.leaf AS room, CASE WHEN l.low + r.low > root.leaf THEN 'bound' END AS cut
-  FROM root, f JOIN cell l ON l.care = 1 << f.feature AND l.val = 0 JOIN cell r ON r.care = 1 << f.feature AND r.val = 1 << f.feature WHERE root.split_low <= root.leaf),
-top AS (SELECT any_value(root.leaf) AS leaf, least(any_value(root.leaf), coalesce(min(s1.low), any_value(root.leaf))) AS lo, least(any_value(root.leaf), coalesce(min(leaf_l + leaf_r), any_value(root.leaf))) AS hi FROM root LEFT JOIN s1 ON cut IS NULL),
-k1 AS (SELECT c.*, least(c.leaf, top.hi - o) AS room FROM (SELECT (1 << feature)::BIGINT AS care, 0::BIGINT AS val, low_r AS o, low FROM s1 WHERE cut IS NULL UNION ALL SELECT (1 << feature)::BIGINT, (1 << feature)::BIGINT, low_l, low FROM s1 WHERE cut IS NULL) x, top JOIN cell c ON c.care = x.care AND c.val = x.val WHERE x.low <= top.hi AND c.low <= top.hi - o),
+root AS (SELECT cell.*, {round(_UNITS * BOUND)} * n AS lim FROM cell, one WHERE k = 0),
+s1 AS (SELECT f.feature, l.low + r.low AS low, l.low AS low_l, r.low AS low_r, l.leaf AS leaf_l, r.leaf AS leaf_r, lim AS room, CASE WHEN l.low + r.low > lim THEN 'bound' END AS cut
+  FROM root, f JOIN cell l ON l.care = 1 << f.feature AND l.val = 0 JOIN cell r ON r.care = 1 << f.feature AND r.val = 1 << f.feature WHERE root.split_low <= lim),
+top AS (SELECT any_value(lim) AS lim, any_value(root.leaf) AS leaf, least(any_value(root.leaf), coalesce(min(s1.low), any_value(root.leaf))) AS lo, least(any_value(root.leaf), coalesce(min(leaf_l + leaf_r), any_value(root.leaf))) AS hi FROM root LEFT JOIN s1 ON cut IS NULL),
+k1 AS (SELECT c.*, lim - o AS room FROM (SELECT (1 << feature)::BIGINT AS care, 0::BIGINT AS val, low_r AS o, low FROM s1 WHERE cut IS NULL UNION ALL SELECT (1 << feature)::BIGINT, (1 << feature)::BIGINT, low_l, low FROM s1 WHERE cut IS NULL) x, top JOIN cell c ON c.care = x.care AND c.val = x.val WHERE x.low <= lim AND c.low <= lim - o),
 s2 AS (SELECT k1.care, k1.val, f.feature, l.leaf + r.leaf AS low, k1.room, CASE WHEN l.leaf + r.leaf > k1.room THEN 'bound' END AS cut FROM k1, f JOIN cell l ON l.care = k1.care + (1 << f.feature) AND l.val = k1.val JOIN cell r ON r.care = k1.care + (1 << f.feature) AND r.val = k1.val + (1 << f.feature)
   WHERE k1.care & (1 << f.feature) = 0 AND k1.split_low <= k1.room),
 k2 AS (SELECT care + (1 << feature) AS care, val FROM s2 WHERE cut IS NULL UNION SELECT care + (1 << feature), val + (1 << feature) FROM s2 WHERE cut IS NULL),
@@ -114,18 +113,18 @@ best AS (SELECT least(any_value(top.leaf), coalesce(min(l.v + r.v), any_value(to
 
 
 @query(f"""{_GROWN}, lv AS (SELECT 0 AS level, 1 AS cells, 0 AS splits, 0 AS cut, least(low, leaf) AS lower, leaf AS upper FROM root
-  UNION ALL SELECT 1, (SELECT count(*) FROM k1), (SELECT count(*) FROM s1), (SELECT count(*) FROM s1 WHERE cut IS NOT NULL), lo, hi FROM top
-  UNION ALL SELECT 2, (SELECT count(*) FROM k2), (SELECT count(*) FROM s2), (SELECT count(*) FROM s2 WHERE cut IS NOT NULL), v, v FROM best)
+  UNION ALL SELECT 1, (SELECT count(*) FROM k1), (SELECT count(*) FROM s1), (SELECT count(*) FROM s1 WHERE cut IS NOT NULL), CASE WHEN last THEN v ELSE lo END, CASE WHEN last THEN v ELSE hi END FROM top, best, (SELECT count(*) = 0 AS last FROM k1 WHERE split_low <= room)
+  UNION ALL SELECT 2, (SELECT count(*) FROM k2), (SELECT count(*) FROM s2), (SELECT count(*) FROM s2 WHERE cut IS NOT NULL), v, v FROM best WHERE EXISTS (FROM k1 WHERE split_low <= room))
 SELECT level, cells::BIGINT AS cells, splits::BIGINT AS splits, cut::BIGINT AS cut, round(lower / ({_UNITS} * n), 9) AS lower, round(upper / ({_UNITS} * n), 9) AS upper FROM lv, one""")
 def search_levels(spark, sf):
-    grown = levelwise.grow(kept(patterns(spark, sf), "patterns"), P, 2, _GROW)
+    grown = levelwise.grow(kept(patterns(spark, sf), "patterns"), P, 2, CONFIG, near=True)
     return grown.levels.withColumns({x: F.round(x, 9) for x in ("lower", "upper")})
 
 
 @query(f"""{_GROWN} SELECT 0 AS level, '' AS cell, feature, round(low / ({_UNITS} * n), 9) AS low, round(room / ({_UNITS} * n), 9) AS room, coalesce(cut, '') AS cut FROM s1, one
   UNION ALL SELECT 1, (2 * round(log2(care))::INT + (val > 0)::INT)::VARCHAR, feature, round(low / ({_UNITS} * n), 9), round(room / ({_UNITS} * n), 9), coalesce(cut, '') FROM s2, one""")
 def search_trace(spark, sf):
-    grown = levelwise.grow(kept(patterns(spark, sf), "patterns"), P, 2, _GROW, trace=True)
+    grown = levelwise.grow(kept(patterns(spark, sf), "patterns"), P, 2, CONFIG, near=True, trace=True)
     return grown.trace.select("level", F.array_join(F.col("cell").cast("array<string>"), " ").alias("cell"), "feature", F.round("low", 9).alias("low"), F.round("room", 9).alias("room"), F.coalesce("cut", F.lit("")).alias("cut"))
 
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from coppice.operators.encode import binarize, boundaries, codex, find_rule, profile, significant
+from coppice.operators.encode import Rule, binarize, boundaries, codex, find_rule, profile, significant
 
 COLUMNS = {
     "ints": (["1", "2", "3", "2"], "integral", [(">=", 1.0), (">=", 2.0), (">=", 3.0)]),
@@ -49,3 +49,14 @@ def test_options_by_name():
     assert from_options({"regularization": 0.2, "depth_budget": 3, "loss_function": "logloss", "worker_limit": 4}) == FitConfig(regularization=0.2, max_depth=3, loss="log_loss")
     with pytest.raises(ValueError, match="nope"):
         from_options({"nope": 1})
+
+
+def test_numbers_of_columns_of_all_types(spark):
+    """Rules take numbers from columns of any type as from their text; NaN and what is no number fail them."""
+    rows = [(0, 0, 0.1, 0.1, False, "0", 1), (1, 1, 0.2, 0.2, True, "1", 2), (2, 1, float("nan"), 0.2, True, " 1 ", 3), (3, None, None, None, None, "NaN", None)]
+    df = spark.createDataFrame(rows, "id int, i int, d double, f float, b boolean, s string, w long")
+    rule = lambda c, rel, ref: Rule(0, 0, c, "numeric_binary" if rel == "==" else "rational", rel, ref).test().alias("x")
+    got = lambda *a: [r.x for r in df.orderBy("id").select(rule(*a)).collect()]
+    assert got("i", "==", "1") == got("s", "==", "1") == got("b", "==", "1") == [False, True, True, False]
+    assert got("d", "==", "0.2") == [False, True, False, False] and got("f", "==", "0.2") == [False, True, True, False]
+    assert got("d", ">=", "0.15") == [False, True, False, False] and got("s", ">=", "0") == [True, True, True, False] and got("w", ">=", "2") == [False, True, True, False]
