@@ -23,7 +23,8 @@ class TreeModel:
     levels: for the search by levels, a row a level with what it made and cut and the bounds
     it reached.  trace: its splits one by one, where asked for.  lower: what the optimum
     costs at least; below the objective only where time ran out before it was proved.  cells:
-    counts of the conjunctions that were made.  space: what ``ranked`` reads.
+    counts of the conjunctions that were made.  space: what ``ranked`` reads.  training: the
+    table of the fit, where it was to be kept.
     """
 
     config: FitConfig
@@ -46,6 +47,25 @@ class TreeModel:
     trace: DataFrame | None = None
     cells: DataFrame | None = None
     space: tuple[search.Problem, list[DataFrame]] | None = None
+    training: DataFrame | None = None
+    _known: dict = field(default_factory=dict, repr=False, compare=False)
+
+    def _training(self) -> DataFrame:
+        if self.training is None:
+            raise ValueError("the fit didn't keep its table: give keep_training=True")
+        return self.training
+
+    def training_predictions(self) -> DataFrame:
+        """The table of the fit with ``prediction`` and ``prob_<k>``, worked out when it is read."""
+        if "predictions" not in self._known:
+            self._known["predictions"] = predict(self, predict(self, self._training()), "prob", check=False)
+        return self._known["predictions"]
+
+    def training_accuracy(self) -> float:
+        """The share of right predictions on the table of the fit, counted once."""
+        if "accuracy" not in self._known:
+            self._known["accuracy"] = accuracy(self, self._training())
+        return self._known["accuracy"]
 
     def ranked(self, first: int, last: int) -> DataFrame:
         """(rank, tree, objective, leaves) of the trees ranked first to last, from 0, best first; nothing else of the set is made."""
@@ -151,7 +171,7 @@ def _leaf_stats(p: search.Problem, found: list[trees.Tree]) -> dict[tuple[int, i
     return out
 
 
-def fit(df: DataFrame, label: str, features: list[str] | None = None, rules: list[Rule] | None = None, config: FitConfig = FitConfig(), single_tree: bool = True, max_trees: int | None = None, trace: bool = False) -> TreeModel:
+def fit(df: DataFrame, label: str, features: list[str] | None = None, rules: list[Rule] | None = None, config: FitConfig = FitConfig(), single_tree: bool = True, max_trees: int | None = None, trace: bool = False, keep_training: bool = False) -> TreeModel:
     """Fit over binary ``features``, over given ``rules``, or (neither) over rules made from all other columns.
 
     single_tree: only the optimum, with one tree kept.  Otherwise the whole near-optimal
@@ -168,7 +188,9 @@ def fit(df: DataFrame, label: str, features: list[str] | None = None, rules: lis
     classes = _classes(df, label)
     patterns = kept(pattern_table(df, [r.test() for r in rules], F.col(f"`{label}`"), classes), "patterns")
     seconds["patterns"] = time.time() - began
-    return fit_patterns(patterns, rules, classes, label, config, single_tree, max_trees, seconds, trace=trace)
+    model = fit_patterns(patterns, rules, classes, label, config, single_tree, max_trees, seconds, trace=trace)
+    model.training = df if keep_training else None
+    return model
 
 
 def by_levels(config: FitConfig, features: int) -> bool:
@@ -221,6 +243,15 @@ def fit_rashomon(df: DataFrame, label: str, features: list[str] | None = None, c
     return fit(df, label, features, config=config, single_tree=False, max_trees=max_trees)
 
 
+def example_fit(spark) -> TreeModel:
+    """A fit to begin with: whether two of three features are equal, on 25 rows of each kind."""
+    from itertools import product
+
+    rows = [(*x, int(x[0] == x[1])) for x in product((0, 1), repeat=3) for _ in range(25)]
+    df = spark.createDataFrame(rows, ["feature_1", "feature_2", "feature_3", "y"])
+    return fit(df, "y", ["feature_1", "feature_2", "feature_3"], config=FitConfig(regularization=0.01), keep_training=True)
+
+
 def _checked(model: TreeModel, value: Column) -> Column:
     """``value``; a row whose binary features hold something else than 0 and 1 is an error when it is read."""
     if model.rules != binary_rules([r.column for r in model.rules]):

@@ -163,6 +163,23 @@ def readable(tree: Tree, rules: list, classes: list, indent: int = 0) -> str:
     return f"{pad}if {name}\n{readable(tree.true, rules, classes, indent + 1)}\n{pad}else\n{readable(tree.false, rules, classes, indent + 1)}"
 
 
+def pretty(doc: dict) -> str:
+    """A tree's JSON over several lines."""
+    return json.dumps(doc, indent=2, ensure_ascii=False)
+
+
+def graph_text(tree: Tree, rules: list, classes: list) -> str:
+    """The tree as a directed graph in DOT, nodes numbered as in a heap."""
+    quoted = lambda x: json.dumps(str(x), ensure_ascii=False)
+    lines = ["digraph tree {"]
+    for node, _, _, t in tree.cells():
+        label, shape = (f"predict {classes[t.prediction]}", "ellipse") if t.feature is None else (rules[t.feature].name, "box")
+        lines.append(f"  n{node} [label={quoted(label)}, shape={shape}];")
+        if node > 1:
+            lines.append(f'  n{node // 2} -> n{node} [label="{"true" if node % 2 else "false"}"];')
+    return "\n".join([*lines, "}"])
+
+
 def rules_of(tree: Tree, rules: list, classes: list) -> list[tuple[int, str, object]]:
     """(number, condition, class) of each leaf, from the true side on."""
     out: list = []

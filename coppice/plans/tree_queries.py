@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coppice.operators import levelwise, search, treerows, trees, votes
+from coppice.config import FitConfig
+from coppice.operators import encode, levelwise, search, treerows, trees, votes
 from coppice.operators.crossfit import tune_intersecting
 from coppice.operators.fit import TreeModel, fit, fit_patterns
 from coppice.plans import task, wide
+from coppice.plans.api_queries import _sql_two
 from coppice.plans.queries import _CF_EVERY, _NEAR, BOUND, CONFIG, LAMBDA, ORACLE_SQL, QUERIES, RULES, _train, near, patterns, query
 from coppice.plans.task import P, SQL_PATTERNS
 from coppice.sources.work import kept
@@ -190,3 +192,26 @@ def auto_tune_intersecting(spark, sf):
 g AS (SELECT unnest([0.05, 0.1, 0.2, 0.4])::DOUBLE AS value) SELECT value, count(tree)::BIGINT AS intersecting FROM g LEFT JOIN e ON needed <= value + 1e-9 GROUP BY value""")
 def auto_tune_bound(spark, sf):
     return tune_intersecting(_train(spark, sf), P, 2, CONFIG.with_(bound=0.0), 3, "bound_multiplier", [0.05, 0.1, 0.2, 0.4])
+
+
+# ---- the documents' quality label ----------------------------------------------------------
+
+#: Conditions on the documents; the same text serves both engines.
+_DOCUMENT_TESTS = ["n_chars >= 200", "n_chars >= 1000", "n_chars >= 5000", "lang = 'en'", "lang = 'de'", "lang = 'fr'", "source = 'src0'", "source = 'src1'"]
+_DOCUMENTS = f"""b AS (SELECT ({' + '.join(f'CASE WHEN {t} THEN {1 << k} ELSE 0 END' for k, t in enumerate(_DOCUMENT_TESTS))})::BIGINT AS bits, quality AS y FROM documents JOIN labels USING (doc_id)),
+pat AS (SELECT bits, count(*) FILTER (y = 0) AS n_0, count(*) FILTER (y = 1) AS n_1 FROM b GROUP BY bits)"""
+
+
+_QUALITY = FitConfig(regularization=0.01, max_depth=3, bound_multiplier=0.1, balance=True)
+_QUALITY_SQL = _sql_two("least(n_1 / (2 * all_1), n_0 / (2 * all_0))", "CASE WHEN n_0 * all_1 <= n_1 * all_0 THEN 1 ELSE 0 END", 0.01).replace(SQL_PATTERNS, _DOCUMENTS)
+
+
+@query(f"{_QUALITY_SQL} SELECT tree, round(objective, 6)::DOUBLE AS objective FROM a, o WHERE objective <= best * 1.1 * (1 + 1e-12)")
+def quality_label_set(spark, sf):
+    """The near-optimal set of trees that tell good documents from bad ones by length, language and source, errors of both kinds weighing the same."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.select("doc_id", "n_chars", "lang", "source").join(labels.select("doc_id", "quality"), "doc_id")
+    own = kept(encode.pattern_table(rows, [F.expr(t) for t in _DOCUMENT_TESTS], F.col("quality"), [0, 1]), "patterns")
+    p = search.problem(own, P, 2, _QUALITY)
+    reach = search.budgets(p, search.optimum(p), p.scale.bound(_QUALITY))
+    return search.entries(p, reach, trees=True)[0].select("tree", F.round(search.objective(p), 6).alias("objective"))

@@ -44,6 +44,12 @@ def write_nested_trie(spark: SparkSession, trie: dict, path: str) -> None:
     spark.createDataFrame([(json.dumps(trie, sort_keys=True),)], "value string").coalesce(1).write.text(path)
 
 
+def write_covered(covered: dict[str, DataFrame], path: str) -> None:
+    """Covered sets by metric, as Parquet in a folder for each."""
+    for metric, df in covered.items():
+        df.write.mode("overwrite").parquet(f"{path}/metric={metric}")
+
+
 def check_binary(df: DataFrame, features: list[str], label: str | None = None) -> None:
     """Raise ValueError unless the features (and the label) hold 0 and 1 only; one aggregation over the table."""
     missing = [c for c in [*features, *([label] if label else [])] if c not in df.columns]

@@ -127,3 +127,23 @@ def test_no_local_folder_on_a_cluster():
     session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         work_root(session)
+
+
+def test_example_keeps_its_table_and_prints(spark, tmp_path):
+    import json
+
+    from coppice.operators import trees
+    from coppice.operators.fit import example_fit, fit_tree
+    from coppice.sources.tables import write_covered
+
+    model = example_fit(spark)
+    assert model.tree.leaves() == 4 and model.training_accuracy() == 1.0 and model.training_accuracy() is model._known["accuracy"]
+    done = model.training_predictions()
+    assert done.where("prediction <> y or abs(prob_1 - y) > 1e-12").count() == 0 and model.training_predictions() is done
+    assert json.loads(trees.pretty(model.json())) == model.json() and trees.pretty(model.json()).count("\n") > 20
+    text = trees.graph_text(model.tree, model.rules, model.classes)
+    assert text.startswith("digraph tree {") and text.count("->") == 6 and text.count("shape=ellipse") == 4 and 'n1 [label="feature_' in text
+    with pytest.raises(ValueError, match="keep_training"):
+        fit_tree(model.training, "y", ["feature_1"]).training_accuracy()
+    write_covered({"f1": spark.range(3), "auc": spark.range(2)}, f"{tmp_path}/covered")
+    assert {(r.metric, r.id) for r in spark.read.parquet(f"{tmp_path}/covered").collect()} == {("f1", 0), ("f1", 1), ("f1", 2), ("auc", 0), ("auc", 1)}
