@@ -64,12 +64,11 @@ def is_set(mask: Column, k: Column | int, wide: bool = False) -> Column:
     return F.call_function("shiftright", mask, k).bitwiseAND(F.lit(1)) == 1
 
 
-def plus(mask: Column, k: Column, wide: bool = False) -> Column:
-    """``mask`` with bit k, which it doesn't have."""
-    one = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at)
+def plus(mask: str, k: str, wide: bool = False) -> Column:
+    """Column ``mask`` with the bit that column ``k`` names, which it doesn't have."""
     if not wide:
-        return mask + one(k)
-    return F.transform(mask, lambda w, i: F.when(i == (k / WORD).cast("int"), w + one(k % WORD)).otherwise(w))
+        return F.expr(f"{mask} + shiftleft(1L, {k})")
+    return F.expr(f"transform({mask}, (w, i) -> if(i = cast({k} / {WORD} AS int), w + shiftleft(1L, {k} % {WORD}), w))")
 
 
 def literals(care: Column, wide: bool = False) -> Column:

@@ -135,9 +135,9 @@ def scale_of(config: FitConfig, class_rows: list[int], costs: list[list[float]]
 
 
 def _spread(patterns: DataFrame, features: int, classes: int, depth: int, keys: list[str]) -> DataFrame:
-    care = F.explode(F.array(*[F.lit(m).cast("long") for m in masks.care_masks(features, depth)])).alias("care")
+    sets = ", ".join(f"{m}L" for m in masks.care_masks(features, depth))  # as text: a call to the JVM for each of them takes longer than the query
     ns = [f"n_{k}" for k in range(classes)]
-    return patterns.select(*keys, care, "bits", *ns).select(*keys, "care", F.col("bits").bitwiseAND(F.col("care")).alias("val"), *ns)
+    return patterns.selectExpr(*keys, f"explode(array({sets})) AS care", "bits", *ns).selectExpr(*keys, "care", "bits & care AS val", *ns)
 
 
 def _counted(patterns: DataFrame, features: int, classes: int, depth: int, keys: list[str]) -> DataFrame:
@@ -214,19 +214,11 @@ def _leaf(classes: int, config: FitConfig, costs: list[list[float]] | None, scal
     if not scale.exact:
         leaf = leaf_columns(classes, config.loss, costs, 1.0)
         return {"prediction": leaf["prediction"], "falses": leaf["falses"], "cost": leaf["loss"], "leaf_objective": F.round(leaf["loss"] + scale.leaf_cost(), 12)}
-    worth = []
-    for prices in scale.costs:
-        cost = F.lit(0).cast("long")
-        for j, price in enumerate(prices):
-            if price:
-                cost = cost + F.lit(price).cast("long") * F.col(f"n_{j}")
-        worth.append(cost)
-    top = F.least(*worth) if classes > 1 else worth[0]
-    prediction, right = F.lit(0), F.lit(0).cast("long")
-    for k in range(classes):
-        prediction = F.when(worth[k] == top, F.lit(k)).otherwise(prediction)
-        right = F.when(worth[k] == top, F.col(f"n_{k}")).otherwise(right)
-    return {"prediction": prediction.cast("int"), "falses": (total(classes) - right).cast("long"), "cost": top, "leaf_objective": top + scale.leaf_cost()}
+    worth = [" + ".join([f"{price}L * n_{j}" for j, price in enumerate(prices) if price]) or "0L" for prices in scale.costs]
+    top = f"least({', '.join(worth)})" if classes > 1 else worth[0]
+    chosen = lambda values: "CASE " + " ".join(f"WHEN {worth[k]} = {top} THEN {values[k]}" for k in reversed(range(classes))) + " END"
+    right = chosen([f"n_{k}" for k in range(classes)])
+    return {"prediction": F.expr(chosen(list(range(classes)))).cast("int"), "falses": F.expr(f"cast({' + '.join(f'n_{k}' for k in range(classes))} - {right} AS bigint)"), "cost": F.expr(top), "leaf_objective": F.expr(top) + scale.leaf_cost()}
 
 
 def _finished(counts: DataFrame, classes: int, config: FitConfig, costs: list[list[float]] | None, scale: Scale) -> DataFrame:
@@ -312,11 +304,16 @@ def split_pairs(p: Problem, above: DataFrame, below: DataFrame, left: list[Colum
     where it holds.  A side without rows has no cell, so the split isn't there.
     """
     wide = masks.wide(p.features)
-    free = F.filter(F.sequence(F.lit(0), F.lit(p.features - 1)), lambda k: ~masks.is_set(F.col("care"), k, wide)) if p.features else F.array().cast("array<int>")
-    spread = above.select(*p.keys, "care", "val", *carry, F.explode(free).alias("feature"))
-    spread = spread.withColumns({"child_care": masks.plus(F.col("care"), F.col("feature"), wide), "child_true": masks.plus(F.col("val"), F.col("feature"), wide)})
-    lo = below.select(*p.keys, F.col("care").alias("child_care"), F.col("val"), *left)
-    hi = below.select(*p.keys, F.col("care").alias("child_care"), F.col("val").alias("child_true"), *right)
+    if not p.features:
+        free = "cast(array() AS array<int>)"
+    elif wide:
+        free = f"filter(sequence(0, {p.features - 1}), k -> shiftright(care[cast(k / {masks.WORD} AS int)], k % {masks.WORD}) & 1L = 0)"
+    else:
+        free = f"filter(sequence(0, {p.features - 1}), k -> shiftright(care, k) & 1L = 0)"
+    spread = above.select(*p.keys, "care", "val", *carry, F.expr(f"explode({free}) AS feature"))
+    spread = spread.withColumns({"child_care": masks.plus("care", "feature", wide), "child_true": masks.plus("val", "feature", wide)})
+    lo = below.select(*p.keys, F.expr("care AS child_care"), "val", *left)
+    hi = below.select(*p.keys, F.expr("care AS child_care"), F.expr("val AS child_true"), *right)
     return spread.join(lo, [*p.keys, "child_care", "val"]).join(hi, [*p.keys, "child_care", "child_true"])
 
 
@@ -330,7 +327,7 @@ def _supported(p: Problem, pairs: DataFrame) -> DataFrame:
 
 def _both(*columns: str) -> list[list[Column]]:
     """What to take from the left and from the right side, with ``_l`` and ``_r`` behind its name."""
-    return [[F.col(c).alias(f"{'n' if c == 'n_total' else 'leaf' if c == 'leaf_objective' else c}_{s}") for c in columns] for s in "lr"]
+    return [[F.expr(f"{c} AS {'n' if c == 'n_total' else 'leaf' if c == 'leaf_objective' else c}_{s}") for c in columns] for s in "lr"]
 
 
 def _tidy(p: Problem, value: Column) -> Column:
@@ -370,9 +367,8 @@ def budgets(p: Problem, levels: list[DataFrame], bound: Column) -> list[DataFram
     for k in range(p.depth):
         pairs = _supported(p, split_pairs(p, out[k], levels[k + 1], *_both("v", "n_total"), ["rows_of_key", "room"]))
         pairs = pairs.where(p.scale.within(F.col("v_l") + F.col("v_r"), F.col("room")))
-        left = pairs.select(*p.keys, F.col("child_care").alias("care"), F.col("val"), (F.col("room") - F.col("v_r")).alias("room"))
-        right = pairs.select(*p.keys, F.col("child_care").alias("care"), F.col("child_true").alias("val"), (F.col("room") - F.col("v_l")).alias("room"))
-        room = left.unionByName(right).groupBy(*p.keys, "care", "val").agg(F.max("room").alias("room"))
+        both = "explode(array(struct(child_care AS care, val, room - v_r AS room), struct(child_care AS care, child_true AS val, room - v_l AS room))) AS x"
+        room = pairs.selectExpr(*p.keys, both).select(*p.keys, "x.*").groupBy(*p.keys, "care", "val").agg(F.max("room").alias("room"))
         out.append(kept(levels[k + 1].join(room, [*p.keys, "care", "val"]), "room"))
     return out
 
@@ -381,12 +377,9 @@ _SUMS = ("cost", "falses", "tp", "tn", "leaves")
 
 
 def _leaf_entries(p: Problem, cells: DataFrame, trees: bool) -> DataFrame:
-    if p.classes == 2:
-        tp, tn = F.when(F.col("prediction") == 1, F.col("n_1")).otherwise(F.lit(0)), F.when(F.col("prediction") == 0, F.col("n_0")).otherwise(F.lit(0))
-    else:
-        tp, tn = F.col("n_total") - F.col("falses"), F.lit(0)
+    tp, tn = ("if(prediction = 1, n_1, 0)", "if(prediction = 0, n_0, 0)") if p.classes == 2 else ("n_total - falses", "0")
     out = cells.where(p.scale.within(F.col("leaf_objective"), F.col("room")))
-    return out.select(*p.keys, "care", "val", "rows_of_key", F.lit(-1).alias("feature"), F.col("prediction").alias("leaf"), "cost", "falses", tp.cast("long").alias("tp"), tn.cast("long").alias("tn"), F.lit(1).alias("leaves"), F.lit(1).cast("decimal(38,0)").alias("cnt"), *([F.col("prediction").cast("string").alias("tree")] if trees else []))
+    return out.selectExpr(*p.keys, "care", "val", "rows_of_key", "-1 AS feature", "prediction AS leaf", "cost", "falses", f"cast({tp} AS bigint) AS tp", f"cast({tn} AS bigint) AS tn", "1 AS leaves", "cast(1 AS decimal(38,0)) AS cnt", *(["cast(prediction AS string) AS tree"] if trees else []))
 
 
 def _first(p: Problem, splits: DataFrame, most: int | None) -> DataFrame:
@@ -410,12 +403,12 @@ def entries(p: Problem, reach: list[DataFrame], trees: bool = False, most: int |
         below = out[k + 1]
         if not trees:  # the children's own feature doesn't matter above
             below = below.groupBy(*p.keys, "care", "val", "leaf", *_SUMS).agg(F.sum("cnt").cast("decimal(38,0)").alias("cnt"))
-        sides = [[F.col(c).alias(f"{c}_{s}") for c in ("leaf", *_SUMS, "cnt", *(["tree"] if trees else []))] for s in "lr"]
+        sides = [[F.expr(f"{c} AS {c}_{s}") for c in ("leaf", *_SUMS, "cnt", *(["tree"] if trees else []))] for s in "lr"]
         if p.config.min_support:
             below = below.join(p.cells.select(*p.keys, "care", "val", F.col("n_total").alias("n")), [*p.keys, "care", "val"])
             sides = [[*side, F.col("n").alias(f"n_{s}")] for side, s in zip(sides, "lr", strict=True)]
         pairs = _supported(p, split_pairs(p, reach[k], below, *sides, ["room", "rows_of_key"]))
-        pairs = pairs.withColumns({c: F.col(f"{c}_l") + F.col(f"{c}_r") for c in _SUMS})
+        pairs = pairs.withColumns({c: F.expr(f"{c}_l + {c}_r") for c in _SUMS})
         pairs = pairs.withColumn("cost", _tidy(p, F.col("cost")))
         pairs = pairs.where(p.scale.within(F.col("cost") + p.scale.leaf_cost() * F.col("leaves"), F.col("room")))
         if p.config.ignore_trivial:
@@ -424,7 +417,7 @@ def entries(p: Problem, reach: list[DataFrame], trees: bool = False, most: int |
             pairs = pairs.where(F.col("leaf_l").isNotNull() | F.col("leaf_r").isNotNull())
         none = F.lit(None).cast("int").alias("leaf")
         if trees:
-            text = F.concat(F.lit("("), F.col("feature").cast("string"), F.lit(" "), F.col("tree_r"), F.lit(" "), F.col("tree_l"), F.lit(")"))
+            text = F.expr("concat('(', feature, ' ', tree_r, ' ', tree_l, ')')")
             splits = pairs.select(*p.keys, "care", "val", "rows_of_key", "feature", none, *_SUMS, F.lit(1).cast("decimal(38,0)").alias("cnt"), text.alias("tree"))
         else:
             splits = pairs.groupBy(*p.keys, "care", "val", "rows_of_key", "feature", *_SUMS).agg(F.sum(F.col("cnt_l") * F.col("cnt_r")).cast("decimal(38,0)").alias("cnt")).select(*p.keys, "care", "val", "rows_of_key", "feature", none, *_SUMS, "cnt")

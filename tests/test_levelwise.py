@@ -95,13 +95,8 @@ def test_masks_of_both_widths(spark):
     for p in (5, 62, 63, 130):
         rng = random.Random(p)
         marks = sorted(rng.sample(range(p), 3))
-        row = spark.range(1).select(
-            masks.pack([F.lit(k in marks) for k in range(p)]).alias("packed"),
-            masks.of_bits(F.array(*[F.lit(k) for k in marks]), p).alias("made"),
-            masks.plus(masks.of_bits(F.array(*[F.lit(k) for k in marks[:2]]), p), F.lit(marks[2]), masks.wide(p)).alias("more"),
-            masks.literals(masks.of_bits(F.array(*[F.lit(k) for k in marks]), p), masks.wide(p)).alias("n"),
-            F.array(*[masks.is_set(masks.of_bits(F.array(*[F.lit(k) for k in marks]), p), k, masks.wide(p)) for k in range(p)]).alias("set"),
-        ).first()
+        own = spark.range(1).select(masks.of_bits(F.array(*[F.lit(k) for k in marks]), p).alias("made"), masks.of_bits(F.array(*[F.lit(k) for k in marks[:2]]), p).alias("two"), F.lit(marks[2]).alias("third"))
+        row = own.select("made", masks.pack([F.lit(k in marks) for k in range(p)]).alias("packed"), masks.plus("two", "third", masks.wide(p)).alias("more"), masks.literals(F.col("made"), masks.wide(p)).alias("n"), F.transform(F.sequence(F.lit(0), F.lit(p - 1)), lambda k: masks.is_set(F.col("made"), k, masks.wide(p))).alias("set")).first()
         value = sum(1 << k for k in marks)
         assert {masks.number(x) for x in (row.packed, row.made, row.more)} == {value} and row.n == 3 and [k for k in range(p) if row.set[k]] == marks
         assert masks.number(masks.stored_form(value, p)) == value
