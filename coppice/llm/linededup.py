@@ -19,7 +19,7 @@ occurrence.  Together this is exact: a line goes if and only if it lies in a run
 passage in n documents costs n rows a fingerprint, joined with one.
 
 Defined results: lines without words match nothing and stay; null text stays
-null; null doc_ids come last and count as one position; rows that share doc_id
+null; ids are whole numbers, and an id of text that is none is an error; null doc_ids come last and count as one position; rows that share doc_id
 and text are treated alike, so a run at the same line of both is not a repeat; a
 document may lose all its lines and is then empty; very long texts are taken whole;
 further columns pass through, whatever their names; an empty table gives none.

@@ -5,8 +5,9 @@ lines.  Their rates are sketched per (lang, source): a number of rows for each b
 bins as wide as 1/64 of their value, so sketches merge by adding and a quantile is off
 by 1/64 of itself at most.  The threshold of a measure is the group's upper quartile
 and ``REACH`` times its distance from the median above it (for ``word_length`` also as
-far below the lower quartile); nothing of it is fixed.  Up to a quarter of a group can
-be junk without moving it.
+far below the lower quartile).  Up to a quarter of a group can be junk without moving it.
+Where over three quarters of a group have none of what is counted its threshold is 0, and the
+allowance below, ``ERRORS`` standard errors at the document's length, is what decides.
 
 A group's quartiles are drawn towards those of its language by ``PRIOR_ROWS`` rows, and
 the language's likewise towards those of all rows, so that small groups lean on large

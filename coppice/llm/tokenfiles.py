@@ -16,7 +16,7 @@ u32 lengths, u32 offsets, then u32 words of bits, highest bit first.
 
 Defined results: null counts as the empty text (the end id alone); rows with a
 null doc_id come first; rows that share a doc_id are side by side, in the order of a
-hash of their texts; very long texts are encoded whole; further columns are ignored,
+hash of their texts; ids are whole numbers, and an id of text that is none is an error; very long texts are encoded whole; further columns are ignored,
 whatever their names; an empty table gives no blocks.  A block holds whole documents: it ends with the
 document that brings it to ``BLOCK_IDS``.
 """

@@ -29,6 +29,15 @@ def test_ids_are_the_librarys():
         assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
 
 
+def test_a_very_long_text():
+    """Two megabytes in one document, with and without spaces."""
+    rng = random.Random(5)
+    long = " ".join(rng.choice(VOCAB) + str(rng.randrange(999)) for _ in range(250_000))
+    rows = [long, "a", "".join(rng.choice("abcé东") for _ in range(20_000))]
+    want = [x.ids for x in Tokenizer.from_file(PATH).encode_batch(rows, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in Encoder(PATH)([r.encode() for r in rows])] == want
+
+
 def huffman_cost(counts):
     heap = [int(c) for c in counts if c]
     heapq.heapify(heap)
