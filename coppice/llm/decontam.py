@@ -12,9 +12,10 @@ shift zero the hash of the last block picks a bucket of patterns, whose first
 bytes and then whole bytes are compared directly.  Many stretches of the text are
 searched side by side, one numpy step moving each to its next position.
 
-The items are a bounded query set: their patterns are cut into blocks of at most
-``block_bytes``, each block's tables are sent to the executors and searched
-against all documents; the hits of several blocks are merged per document.
+The items are a bounded query set.  A pattern is two places in one text of all items, not a
+copy, so that a block of ``block_bytes`` holds the patterns of an eighth of that in item texts, 50 MB;
+a block's tables are sent to the executors and searched against all documents in one pass; the hits of
+several blocks are merged per document.
 
 Defined results: null or wordless documents have no words and no hits; null or
 wordless items have no window; an item id that occurs twice is one id, a null
@@ -26,7 +27,6 @@ clean results or none.
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,35 +38,76 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coppice.llm.storage import mapped, stored
-from coppice.llm.textscan import LOWER_WORD, column_of, joined, passes, runs, texts
+from coppice.llm.textscan import LOWER_WORD, SpanHash, column_of, joined, passes, runs, texts
 
 WINDOW = 13
 SHARE = 20  # contaminated from one hit word in so many
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 400 << 20
+#: Bytes that a byte of an item takes in a block: itself, and a window's places, items and table entries for each word.
+BYTE_COST = 8
 STRETCH = 2048
-HASH_BITS = 18
+LEAST_BITS, MOST_BITS = 16, 22
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def clean_words(text: bytes) -> list[bytes]:
-    buf = np.frombuffer(text.lower(), np.uint8)
-    if not len(buf):
-        return []
-    begin, end = runs(LOWER_WORD[buf])
-    low = text.lower()
-    return [low[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-
-
-def item_patterns(items: list[tuple], window: int = WINDOW) -> dict[bytes, list[str]]:
-    """Pattern -> ids (as text) of items that hold it."""
-    out: dict[bytes, set] = {}
-    for item_id, text in items:
-        words = clean_words((text or "").encode())
-        for i in range(max(1, len(words) - window + 1) if words else 0):
-            own = out.setdefault(b" " + b" ".join(words[i : i + window]) + b" ", set())
-            if item_id is not None:
-                own.add(str(item_id))
-    return {p: sorted(ids) for p, ids in out.items()}
+@dataclass
+class Windows:
+    """The different windows of items, as stretches of one text."""
+
+    text: bytes
+    begin: np.ndarray
+    end: np.ndarray
+    words: np.ndarray  # how many words each has
+    first: np.ndarray  # where the items of a window begin in ``items``; one more entry
+    items: np.ndarray  # places in ``names``
+    names: list[str]
+
+    def __len__(self) -> int:
+        return len(self.begin)
+
+    def __getitem__(self, k: int) -> bytes:
+        if not 0 <= k < len(self.begin):
+            raise IndexError(k)
+        return self.text[self.begin[k] : self.end[k]]
+
+    def ids(self, k: int) -> list[str]:
+        return [self.names[i] for i in self.items[self.first[k] : self.first[k + 1]].tolist()]
+
+
+def item_patterns(items: list[tuple], window: int = WINDOW) -> Windows:
+    """The windows of items (id, text), equal ones once, each with the ids (as text) of the items that hold it."""
+    ids = [None if i is None else str(i) for i, _ in items]
+    names = sorted({i for i in ids if i is not None})
+    place = {n: k for k, n in enumerate(names)}
+    rows = [(t or "").encode() for _, t in items]
+    text, base = [], 0
+    parts: list[list[np.ndarray]] = [[] for _ in range(5)]
+    for low, high in passes(rows):
+        buf, n, starts, firsts = normalised(rows[low:high])
+        begin, end = runs((buf[:n] != 0x20) & (buf[:n] != 0x0A))
+        words = np.diff(firsts)
+        many = np.where(words > 0, np.maximum(1, words - window + 1), 0)
+        row = np.repeat(np.arange(high - low), many)
+        at = firsts[:-1][row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+        size = np.minimum(words[row], window)
+        b, e = begin[at] - 1, end[at + size - 1] + 1
+        own = np.array([-1 if i is None else place[i] for i in ids[low:high]], np.int32)
+        for part, x in zip(parts, (b + base, e + base, size, own[row], SpanHash(buf).of(b, e)), strict=True):
+            part.append(x)
+        text.append(buf[:n].tobytes())
+        base += n
+    whole = b"".join(text)
+    begin, end, size, own, key = (np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(parts, (np.int64, np.int64, np.int64, np.int32, np.uint64), strict=True))
+    order = np.lexsort((begin, key))
+    new = np.ones(len(order), bool)  # whether a window differs from the one before it in this order
+    for k in (np.flatnonzero(key[order[1:]] == key[order[:-1]]) + 1).tolist():
+        a, b = order[k - 1], order[k]
+        new[k] = whole[begin[a] : end[a]] != whole[begin[b] : end[b]]
+    of = np.cumsum(new) - 1
+    kept = order[new]
+    pairs = np.unique(np.stack([of, own[order]])[:, own[order] >= 0], axis=1) if len(of) else np.zeros((2, 0), np.int64)
+    first = np.searchsorted(pairs[0], np.arange(len(kept) + 1))
+    return Windows(whole, begin[kept], end[kept], size[kept].astype(np.int32), first, pairs[1].astype(np.int32), names)
 
 
 @dataclass
@@ -75,15 +116,17 @@ class PatternClass:
 
     m: int
     block: int
+    bits: int
     shift: np.ndarray
-    patterns: list[bytes]
+    patterns: Windows | list[bytes]
+    of: np.ndarray  # which patterns are in the class
     bucket: np.ndarray  # hash of the last block -> first place in members; one more entry
     members: np.ndarray
     heads: np.ndarray  # first bytes of each pattern, as one number
 
 
-def _block_hash(values: np.ndarray) -> np.ndarray:
-    return ((values * _SPREAD) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+def _block_hash(values: np.ndarray, bits: int) -> np.ndarray:
+    return ((values * _SPREAD) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _blocks(buf: np.ndarray, width: int) -> np.ndarray:
@@ -92,31 +135,37 @@ def _blocks(buf: np.ndarray, width: int) -> np.ndarray:
     return wide if width == 8 else wide & np.uint64((1 << 8 * width) - 1)
 
 
-def compile_class(patterns: list[bytes]) -> PatternClass:
-    m = min(map(len, patterns))
+def compile_class(patterns: Windows | list[bytes], of: np.ndarray, raw: np.ndarray, begin: np.ndarray, m: int) -> PatternClass:
+    """Tables for the patterns ``of``, which begin at ``begin`` in ``raw`` and are m bytes or more."""
     width = min(8, m)
-    heads = np.frombuffer(b"".join(p[:m] for p in patterns), np.uint8).reshape(-1, m)
-    shift = np.full(1 << HASH_BITS, m - width + 1, np.int64)
-    values = np.zeros(len(patterns), np.uint64)
-    head = None
+    bits = min(MOST_BITS, max(LEAST_BITS, (len(of) * (m - width + 1)).bit_length() + 1))
+    shift = np.full(1 << bits, m - width + 1, np.int64)
+    wide = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+    mask = np.uint64((1 << 8 * width) - 1) if width < 8 else np.uint64(0xFFFFFFFFFFFFFFFF)
+    head = wide[begin] & mask
     for at in range(m - width + 1):
-        raw = np.zeros((len(patterns), 8), np.uint8)
-        raw[:, :width] = heads[:, at : at + width]
-        values = raw.view("<u8").ravel()
-        if head is None:
-            head = values.copy()
-        np.minimum.at(shift, _block_hash(values), m - width - at)
-    key = _block_hash(values)
+        values = wide[begin + at] & mask
+        np.minimum.at(shift, _block_hash(values, bits), m - width - at)
+    key = _block_hash(values, bits)
     members = np.argsort(key, kind="stable")
-    bucket = np.searchsorted(key[members], np.arange((1 << HASH_BITS) + 1))
-    return PatternClass(m, width, shift, patterns, bucket, members, head)
+    bucket = np.searchsorted(key[members], np.arange((1 << bits) + 1))
+    return PatternClass(m, width, bits, shift, patterns, of, bucket.astype(np.int32), members.astype(np.int32), head)
 
 
-def compile_patterns(patterns: list[bytes]) -> list[PatternClass]:
-    classes: dict[int, list[bytes]] = {}
-    for p in patterns:
-        classes.setdefault(min(6, len(p).bit_length()), []).append(p)
-    return [compile_class(ps) for _, ps in sorted(classes.items())]
+def compile_patterns(patterns: Windows | list[bytes]) -> list[PatternClass]:
+    """A class for each length in powers of two."""
+    if isinstance(patterns, Windows):
+        text, begin, size = patterns.text, patterns.begin, patterns.end - patterns.begin
+    else:
+        text, size = b"".join(patterns), np.array([len(p) for p in patterns], np.int64)
+        begin = np.cumsum(size) - size
+    raw = np.frombuffer(text + bytes(8), np.uint8)
+    step = np.minimum(6, np.ceil(np.log2(size + 1)).astype(np.int64)) if len(size) else size  # bits of the length
+    out = []
+    for k in np.unique(step):
+        of = np.flatnonzero(step == k)
+        out.append(compile_class(patterns, of.astype(np.int32), raw, begin[of], int(size[of].min())))
+    return out
 
 
 def search(buf: np.ndarray, n: int, raw: bytes, c: PatternClass) -> list[tuple[int, int]]:
@@ -130,7 +179,7 @@ def search(buf: np.ndarray, n: int, raw: bytes, c: PatternClass) -> list[tuple[i
     stop = np.minimum(at + STRETCH, last + 1)
     found = []
     while len(at):
-        step = c.shift[_block_hash(value[at + tail])]
+        step = c.shift[_block_hash(value[at + tail], c.bits)]
         zero = step == 0
         if zero.any():
             found.append(at[zero])
@@ -141,14 +190,14 @@ def search(buf: np.ndarray, n: int, raw: bytes, c: PatternClass) -> list[tuple[i
     if not found:
         return []
     at = np.concatenate(found)
-    key = _block_hash(value[at + tail])
+    key = _block_hash(value[at + tail], c.bits)
     count = c.bucket[key + 1] - c.bucket[key]
     place = np.repeat(at, count)
     nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     which = c.members[np.repeat(c.bucket[key], count) + nth]
     same = value[place] == c.heads[which]
     out = []
-    for p, k in zip(place[same].tolist(), which[same].tolist(), strict=True):
+    for p, k in zip(place[same].tolist(), c.of[which[same]].tolist(), strict=True):
         if raw.startswith(c.patterns[k], p):
             out.append((p, k))
     return out
@@ -178,7 +227,7 @@ def normalised(rows: list[bytes]) -> tuple[np.ndarray, int, np.ndarray, np.ndarr
     return out, n, starts, firsts
 
 
-def hits(rows: list[bytes], classes: list[PatternClass], ids: dict[bytes, list[str]]) -> tuple[np.ndarray, list[np.ndarray], list[set[str]]]:
+def hits(rows: list[bytes], classes: list[PatternClass], windows: Windows) -> tuple[np.ndarray, list[np.ndarray], list[set[str]]]:
     """Number of words, hit words (their indices, ascending) and ids of items found, of each row."""
     count = np.zeros(len(rows), np.int64)
     hit: list[np.ndarray] = [np.zeros(0, np.int64)] * len(rows)
@@ -192,11 +241,10 @@ def hits(rows: list[bytes], classes: list[PatternClass], ids: dict[bytes, list[s
             for p, k in search(buf, n, raw, c):
                 if edge is None:
                     edge = np.zeros(len(starts) + 1, np.int64)
-                pattern = c.patterns[k]
                 w = int(np.searchsorted(starts, p + 1))
                 edge[w] += 1
-                edge[w + pattern.count(b" ") - 1] -= 1
-                items[low + int(np.searchsorted(firsts, w, "right")) - 1].update(ids[pattern])
+                edge[w + int(windows.words[k])] -= 1
+                items[low + int(np.searchsorted(firsts, w, "right")) - 1].update(windows.ids(k))
         if edge is not None:
             words = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
             rows_of = np.searchsorted(firsts, words, "right") - 1
@@ -205,12 +253,12 @@ def hits(rows: list[bytes], classes: list[PatternClass], ids: dict[bytes, list[s
     return count, hit, items
 
 
-def _pattern_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> Iterator[dict[bytes, list[str]]]:
+def _pattern_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> Iterator[Windows]:
     """Patterns of the items, in blocks; the items stream through the driver, one block held at a time."""
     held: list[tuple] = []
     size = 0
     for r in benchmark.select(F.col(item_col), F.col(text_col).cast("string")).toLocalIterator():
-        cost = window * len(r[1] or "")
+        cost = BYTE_COST * len((r[1] or "").encode())
         if held and size + cost > block_bytes:
             yield item_patterns(held, window)
             held, size = [], 0
@@ -227,22 +275,22 @@ _FOUND = "n_words long, hit binary, items array<string>"
 _COMPILED: dict = {}
 
 
-def _searched(docs: DataFrame, ids: dict[bytes, list[str]], keep: list[str], text_col: str) -> DataFrame:
+def _searched(docs: DataFrame, windows: Windows, keep: list[str], text_col: str) -> DataFrame:
     """(doc: struct of ``keep``, n_words, hit: word indices, items) of each row for one block of patterns."""
     spark = docs.sparkSession
     inside = text_col in keep and docs.schema[text_col].dataType == T.StringType()  # then the text travels once
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), *([] if inside else [F.col(text_col).cast("string").alias("text")]))
-    sent = spark.sparkContext.broadcast((uuid.uuid4().hex, ids))  # at most block_bytes of patterns
+    sent = spark.sparkContext.broadcast((uuid.uuid4().hex, windows))  # a block of patterns
     schema = T.StructType([own.schema["doc"], *T._parse_datatype_string(_FOUND).fields])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, ids = sent.value
+        name, windows = sent.value
         if name not in _COMPILED:
             _COMPILED.clear()
-            _COMPILED[name] = compile_patterns(list(ids))
+            _COMPILED[name] = compile_patterns(windows)
         classes = _COMPILED[name]
         for b in batches:
-            count, hit, items = hits(texts(column_of(b, text_col, own=None if inside else 1)), classes, ids)
+            count, hit, items = hits(texts(column_of(b, text_col, own=None if inside else 1)), classes, windows)
             packed = pa.array([h.astype("<u4").tobytes() for h in hit], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count), packed, pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=schema.names)
 
@@ -266,7 +314,7 @@ def _merged(parts: list[DataFrame]) -> DataFrame:
 def found(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc, n_words, n_hit, n_items, items, contaminated) of each row of ``docs``."""
     blocks = _pattern_blocks(benchmark, item_col, item_text_col, window, block_bytes)
-    first, second = next(blocks, {}), next(blocks, None)
+    first, second = next(blocks, None) or item_patterns([], window), next(blocks, None)
     if second is None:
         got = _searched(docs, first, keep, text_col)
     else:
@@ -274,11 +322,11 @@ def found(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str
         flat = numbered.select("row", F.col(f"own.`{text_col}`").alias("text"))
         whole = stored(_searched(flat, first, ["row"], "text").select("doc.row", "n_words", "hit", "items"), "hits")
         parts = [whole.where("size(items) > 0 or length(hit) > 0").select("row", "hit", "items")]
-        ids = second
-        while ids is not None:
-            block = _searched(flat, ids, ["row"], "text").where("size(items) > 0 or length(hit) > 0")
+        more = second
+        while more is not None:
+            block = _searched(flat, more, ["row"], "text").where("size(items) > 0 or length(hit) > 0")
             parts.append(stored(block.select("doc.row", "hit", "items"), "hits"))
-            ids = next(blocks, None)
+            more = next(blocks, None)
         doc = numbered.select("row", F.struct(*[F.col(f"own.`{c}`") for c in keep]).alias("doc"))
         got = doc.join(whole.select("row", "n_words"), "row").join(_merged(parts), "row", "left").withColumns({"hit": F.coalesce("hit", F.lit(b"")), "items": F.coalesce("items", F.array().cast("array<string>"))})
     n_hit = F.length("hit").cast("long") / F.lit(4)

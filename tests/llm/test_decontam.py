@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from coppice.llm.decontam import clean, compile_patterns, found, hits, item_patterns
+from coppice.llm.decontam import BYTE_COST, clean, compile_patterns, found, hits, item_patterns
 
 
 def words_of(text):
@@ -62,3 +62,26 @@ def test_empty_tables(spark):
     assert [tuple(r) for r in found(docs, none, ["doc_id"]).select("doc.doc_id", "n_words", "n_hit", "contaminated").collect()] == [(1, 2, 0, False)]
     assert clean(docs.where("false"), none).count() == 0
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_equal_windows_are_one_and_name_all_items():
+    text = " ".join(f"w{i % 17}" for i in range(60))
+    windows = item_patterns([(1, text), (2, "x " + text.upper()), (None, text), (3, "w0 w1"), (2, text), (4, None)])
+    assert len(windows) == 17 + 1 + 1 and len({windows[k] for k in range(len(windows))}) == len(windows)
+    assert sorted({tuple(windows.ids(k)) for k in range(len(windows))}) == [("1", "2"), ("2",), ("3",)]
+    assert all(windows[k].count(b" ") - 1 == windows.words[k] and windows[k][:1] == windows[k][-1:] == b" " for k in range(len(windows)))
+
+
+def test_a_large_benchmark_in_one_block():
+    """Over a million windows: tables stay within their cost a byte, and each planted passage is found."""
+    rng = random.Random(8)
+    vocab = [f"{a}{b}" for a in "ba ce di fo gu ha ke li mo nu pa re si tu vo".split() for b in "ran set tin lod mup sek vil dor gal pin".split()]
+    items = [(i, " ".join(rng.choices(vocab, k=60))) for i in range(22_000)]
+    windows = item_patterns(items)
+    size = sum(len(t) for _, t in items)
+    held = len(windows.text) + sum(x.nbytes for x in (windows.begin, windows.end, windows.words, windows.first, windows.items))
+    assert len(windows) > 1_000_000 and held < BYTE_COST * size
+    picked = rng.sample(items, 40)
+    docs = [" ".join(rng.choices(vocab, k=200)) + " " + " ".join(t.split()[20:35]).upper() for _, t in picked] + [" ".join(rng.choices(vocab, k=5000))]
+    count, hit, got = hits([d.encode() for d in docs], compile_patterns(windows), windows)
+    assert [sorted(x) for x in got] == [[str(i)] for i, _ in picked] + [[]] and [len(h) for h in hit] == [15] * 40 + [0]
