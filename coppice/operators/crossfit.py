@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coppice.config import FitConfig
-from coppice.operators import search, trees
+from coppice.operators import levelwise, search, trees
 from coppice.operators.encode import pattern_table
-from coppice.operators.fit import TreeModel, _classes, binary_rules, fit_patterns
+from coppice.operators.fit import TreeModel, _classes, binary_rules, by_levels, fit_patterns
 from coppice.sources.tables import check_binary
 from coppice.sources.work import kept
 
@@ -79,6 +79,25 @@ def fold_patterns(df: DataFrame, tests: list, label, classes: list, fold: str =
     return out.where(keep > 0)
 
 
+def _within_limit(trees, config: FitConfig) -> None:
+    if int(trees or 0) > config.model_limit:
+        raise ValueError(f"{trees} trees in one fold, over model_limit={config.model_limit}")
+
+
+def _sets_by_levels(patterns: DataFrame, features: int, classes: int, config: FitConfig, folds: int, single_tree: bool) -> DataFrame:
+    """(fold, tree, objective, leaves) where the cube can't be made: a search by levels for each fold, one after the other."""
+    out = None
+    for k in range(1, folds + 1):
+        own = kept(patterns.where(F.col("fold") == k).drop("fold"), "fold-patterns")
+        grown = levelwise.grow(own, features, classes, config, near=not single_tree, seconds=config.time_limit)
+        p = grown.problem
+        reach = search.budgets(p, grown.values, p.scale.bound(config, single_tree))
+        _within_limit(search.entries(p, reach)[0].agg(F.sum("cnt")).first()[0], config)
+        one = search.entries(p, reach, trees=True)[0].select(F.lit(k).alias("fold"), "tree", search.objective(p).alias("objective"), "leaves")
+        out = one if out is None else out.unionByName(one)
+    return kept(out, "fold-trees")
+
+
 def cross_fit(df: DataFrame, label: str, features: list[str], config: FitConfig = FitConfig(), folds: int = 5, order: list | None = None, seed: int = 0, single_tree: bool = False) -> CrossFitResult:
     """Fit the near-optimal set (or the tied optima) on each fold's complement; order: what ranks rows for dealing folds."""
     check_binary(df, features)
@@ -86,13 +105,14 @@ def cross_fit(df: DataFrame, label: str, features: list[str], config: FitConfig
     order = order or [F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns])]
     dealt = stratified_folds(df, label, order, folds)
     patterns = kept(fold_patterns(dealt, [r.test() for r in rules], F.col(f"`{label}`"), classes), "train-patterns")
-    p = search.problem(patterns, len(rules), len(classes), config, ["fold"])
-    levels = search.optimum(p)
-    reach = search.budgets(p, levels, p.scale.bound(config, single_tree))
-    total = search.entries(p, reach)[0].groupBy("fold").agg(F.sum("cnt").alias("cnt")).agg(F.max("cnt")).first()[0]
-    if int(total or 0) > config.model_limit:
-        raise ValueError(f"{total} trees in one fold, over model_limit={config.model_limit}")
-    sets = kept(search.entries(p, reach, trees=True)[0].select("fold", "tree", search.objective(p).alias("objective"), "leaves"), "fold-trees")
+    if by_levels(config, len(rules)):
+        sets = _sets_by_levels(patterns, len(rules), len(classes), config, folds, single_tree)
+    else:
+        p = search.problem(patterns, len(rules), len(classes), config, ["fold"])
+        levels = search.optimum(p)
+        reach = search.budgets(p, levels, p.scale.bound(config, single_tree))
+        _within_limit(search.entries(p, reach)[0].groupBy("fold").agg(F.sum("cnt").alias("cnt")).agg(F.max("cnt")).first()[0], config)
+        sets = kept(search.entries(p, reach, trees=True)[0].select("fold", "tree", search.objective(p).alias("objective"), "leaves"), "fold-trees")
 
     whole = kept(pattern_table(dealt, [r.test() for r in rules], F.col(f"`{label}`"), classes), "patterns")
     return CrossFitResult(folds, config, rules, classes, label, sets, fit_patterns(whole, rules, classes, label, config))

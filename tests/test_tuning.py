@@ -50,6 +50,13 @@ def test_tuned_cross_fit(spark):
         crossfit.tune_intersecting(kept(pattern_table(df, [F.col("a") == 1], F.col("y"), [0, 1]), "x"), 1, 2, FitConfig(), 1, "max_depth", [1])
 
 
+def test_folds_by_levels_are_those_of_the_cube(spark):
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows_of(35, 90, 3))], ["a", "b", "c", "y", "i"])
+    cfg = FitConfig(regularization=0.02, max_depth=3, bound_multiplier=0.2)
+    sets = [{(r.fold, r.tree, round(r.objective, 9)) for r in crossfit.cross_fit(df, "y", ["a", "b", "c"], cfg.with_(search=s), 2, ["i"]).sets.collect()} for s in ("cube", "levels")]
+    assert sets[0] == sets[1] and {f for f, _, _ in sets[0]} == {1, 2}
+
+
 def test_options_and_checks(spark):
     df = spark.createDataFrame([(0, 0), (0, 0), (0, 1), (1, 1)] * 10, ["a", "y"])
     model = fit_tree(df, "y", ["a"], FitConfig(regularization=0.01, prob_clip=(0.1, 0.9)))
