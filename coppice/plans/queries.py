@@ -12,7 +12,7 @@ from coppice.config import FitConfig
 from coppice.functions import analysis, masks, metrics
 from coppice.functions.losses import balanced_costs, best_class, entropy_loss, total, uniform_costs
 from coppice.operators import causal, crossfit, encode, search, trees
-from coppice.operators.fit import TreeModel, binary_rules, covered, fit_patterns, predict, predict_ensemble
+from coppice.operators.fit import TreeModel, binary_rules, covered, predict, predict_ensemble
 from coppice.plans import task
 from coppice.plans.task import NAMES, P, SQL_PATTERNS, SQL_ROWS, TESTS, sql_cells
 from coppice.sources.tables import check_binary

@@ -9,7 +9,7 @@ from coppice.config import FitConfig
 from coppice.operators import encode, levelwise, search, treerows, trees, votes
 from coppice.operators.crossfit import tune_intersecting
 from coppice.operators.fit import TreeModel, fit, fit_patterns
-from coppice.plans import task, wide
+from coppice.plans import wide
 from coppice.plans.api_queries import _sql_two
 from coppice.plans.queries import _CF_EVERY, _NEAR, BOUND, CONFIG, LAMBDA, ORACLE_SQL, QUERIES, RULES, _train, near, patterns, query
 from coppice.plans.task import P, SQL_PATTERNS
