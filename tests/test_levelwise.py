@@ -118,12 +118,13 @@ def test_time_limit_states_the_gap(spark):
     patterns = kept(pattern_table(df, [F.col(n) == 1 for n in names], F.col("y"), [0, 1]), "patterns")
     began = time.time()
     found = levelwise.grow(patterns, 40, 2, cfg, seconds=8)
-    assert not found.finished and found.lower < found.upper and time.time() - began < 40
+    assert not found.finished and found.lower < found.upper and time.time() - began < 120
     assert not spark.sparkContext.statusTracker().getActiveJobsIds()
     p = found.problem
     assert abs(search.best(p, found.values) - found.upper) < 1e-9
     model = fit_tree(df, "y", names, cfg.with_(time_limit=6.0))
-    assert not model.finished and model.gap > 0 and model.tree.depth() >= 1
+    log = model.levels.orderBy("level").collect()  # how far it came depends on the machine
+    assert not model.finished and model.gap > 0 and abs(log[-1].upper - model.objective) < 1e-9 and model.tree.depth() <= log[-1].level
     with pytest.raises(levelwise.OutOfTime, match="between"):
         fit_rashomon(df, "y", names, cfg.with_(time_limit=6.0, bound_multiplier=0.1), max_trees=1)
     assert spark.range(10).count() == 10  # later jobs aren't cancelled
