@@ -111,10 +111,10 @@ def test_ranks_go_through_the_whole_set(spark, case):
     assert {(r["rank"], r.tree) for r in some} == {(r["rank"], r.tree) for r in got[2:5]}
 
 
-def test_ranks_of_a_set_too_large_to_make(spark):
+def test_ranks_of_a_set_over_the_limit(spark):
     data = rows_of(5, 150, 4)
     model = fit_rashomon(spark.createDataFrame(data, [*"abcd", "y"]), "y", list("abcd"), FitConfig(regularization=0.001, bound=0.9), max_trees=1)
-    assert model.n_trees > 10**5
+    assert model.n_trees > model.config.model_limit  # more than a fit would make
     middle = model.n_trees // 2
     got = [model.ranked(x, x + 3).orderBy("rank").collect() for x in (0, middle)]
     assert all(len({r.tree for r in own}) == 4 for own in got)
