@@ -147,3 +147,13 @@ def test_example_keeps_its_table_and_prints(spark, tmp_path):
         fit_tree(model.training, "y", ["feature_1"]).training_accuracy()
     write_covered({"f1": spark.range(3), "auc": spark.range(2)}, f"{tmp_path}/covered")
     assert {(r.metric, r.id) for r in spark.read.parquet(f"{tmp_path}/covered").collect()} == {("f1", 0), ("f1", 1), ("f1", 2), ("auc", 0), ("auc", 1)}
+
+
+def test_covered_set_by_auc_of_many_rows(spark):
+    from coppice.operators.fit import covered
+
+    clusters = spark.createDataFrame([(90_000, 400_000, 2), (9_000_000_000, 40_000_000_000, 2), (0, 0, 1)], "tp long, tn long, leaves int")
+    few = covered(clusters.where("tp < 1000000"), 100_000, 500_000, 0.005, "auc", 0.2).collect()  # the product of the class sizes is no int
+    assert [(r.tp, r.metric) for r in few] == [(90_000, 0.85)]
+    many = covered(clusters.where("tp > 1000000"), 10_000_000_000, 50_000_000_000, 0.005, "auc", 0.2).collect()  # nor a long
+    assert [(r.tp, r.metric) for r in many] == [(9_000_000_000, 0.85)]
