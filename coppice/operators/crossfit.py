@@ -104,7 +104,7 @@ def cross_fit(df: DataFrame, label: str, features: list[str], config: FitConfig
     rules, classes = binary_rules(features), _classes(df, label)
     order = order or [F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns])]
     dealt = stratified_folds(df, label, order, folds)
-    patterns = kept(fold_patterns(dealt, [r.test() for r in rules], F.col(f"`{label}`"), classes), "train-patterns")
+    patterns = kept(fold_patterns(dealt, rules, F.col(f"`{label}`"), classes), "train-patterns")
     if by_levels(config, len(rules)):
         sets = _sets_by_levels(patterns, len(rules), len(classes), config, folds, single_tree)
     else:
@@ -114,7 +114,7 @@ def cross_fit(df: DataFrame, label: str, features: list[str], config: FitConfig
         _within_limit(search.entries(p, reach)[0].groupBy("fold").agg(F.sum("cnt").alias("cnt")).agg(F.max("cnt")).first()[0], config)
         sets = kept(search.entries(p, reach, trees=True)[0].select("fold", "tree", search.objective(p).alias("objective"), "leaves"), "fold-trees")
 
-    whole = kept(pattern_table(dealt, [r.test() for r in rules], F.col(f"`{label}`"), classes), "patterns")
+    whole = kept(pattern_table(dealt, rules, F.col(f"`{label}`"), classes), "patterns")
     return CrossFitResult(folds, config, rules, classes, label, sets, fit_patterns(whole, rules, classes, label, config))
 
 
@@ -201,7 +201,7 @@ def auto_tune_intersecting(df: DataFrame, label: str, features: list[str], targe
     check_binary(df, features)
     rules, classes = binary_rules(features), _classes(df, label)
     dealt = stratified_folds(df, label, [F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns])], folds)
-    train = kept(fold_patterns(dealt, [r.test() for r in rules], F.col(f"`{label}`"), classes), "train-patterns")
+    train = kept(fold_patterns(dealt, rules, F.col(f"`{label}`"), classes), "train-patterns")
     low, high = search_range or RANGES[parameter, config.loss]
     tried: dict[float, int] = {}
     for _ in range(rounds):

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from dataclasses import asdict, dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from coppice.functions import masks
@@ -17,14 +22,19 @@ INTEGRAL = r"^[+-]?[0-9]+$"
 WIDE, MOST_VALUES = 1_000_000, 100_000
 #: Rules that a table is encoded by, unless more are asked for: each is an expression of the plan.
 MOST_RULES = 1_000
+#: Rules up to which each is an expression over a row; more are told together from their columns' values, as Java runs so long a method uncompiled.
+FEW_RULES = 16
 _PROFILE = "position int, column string, n_rows long, n_missing long, n_distinct long, base string, kind string"
 RATIONAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"
 
 
+def _present(text: Column) -> Column:
+    return F.when(~text.isin(*NULL_TOKENS), text)
+
+
 def as_text(c: str) -> Column:
     """A cell as text; spellings of a missing value are null."""
-    text = F.col(f"`{c}`").cast("string")
-    return F.when(~text.isin(*NULL_TOKENS), text)
+    return _present(F.col(f"`{c}`").cast("string"))
 
 
 def as_number(c: str) -> Column:
@@ -33,35 +43,70 @@ def as_number(c: str) -> Column:
     return F.when(~F.isnan(number), number)
 
 
+def _type(df: DataFrame, c: str) -> T.DataType:
+    return df.select(F.col(f"`{c}`")).schema[0].dataType
+
+
+def _stored(df: DataFrame, c: str) -> Column:
+    """A cell as it is stored, where that is a number or text; else as text."""
+    return F.col(f"`{c}`") if isinstance(_type(df, c), (T.NumericType, T.StringType)) else as_text(c)
+
+
+def _counted(df: DataFrame, columns: dict[int, str]) -> DataFrame:
+    """(position, text, n) of each stored value of the columns; those of one type are counted together."""
+    by_type = defaultdict(list)
+    for i, c in columns.items():
+        kind = _type(df, c)
+        by_type[kind if isinstance(kind, T.NumericType) else T.StringType()].append((i, c))
+    out = None
+    for kind, own in by_type.items():
+        v = lambda c: F.col(f"`{c}`") if isinstance(kind, T.NumericType) else F.col(f"`{c}`").cast("string")  # noqa: B023, E731
+        floating = isinstance(kind, (T.FloatType, T.DoubleType))
+        # Grouping takes both zeros of a floating number for one, texts do not.
+        zero = lambda c: F.when(v(c) == 0, v(c).cast("string")) if floating else F.lit(None).cast("string")  # noqa: B023, E731
+        cells = F.explode(F.array(*[F.struct(F.lit(i).alias("position"), v(c).alias("v"), zero(c).alias("zero")) for i, c in own])).alias("x")
+        one = df.select(cells).groupBy("x.position", "x.v", "x.zero").agg(F.count("*").alias("n"))
+        one = one.select("position", _present(F.coalesce("zero", F.col("v").cast("string"))).alias("text"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def profile(df: DataFrame, columns: list[str], wide: int = WIDE) -> DataFrame:
     """(position, column, n_rows, n_missing, n_distinct, base, kind) of each column.
 
     base: integral, rational or categorical, whichever all present values fit.  kind:
     redundant with at most one value, binary with two and none missing, else the base.
     One aggregation over the table, without a shuffle of its cells, estimates how many
-    values a column has; those of up to ``wide`` are then counted exactly (their values
-    combine before the shuffle), wider ones keep the estimate, off by some per cent.
+    values a column has; those of up to ``wide`` are then counted exactly: equal values combine
+    before the shuffle, as they are stored, and only different ones are read as text.  Wider
+    columns are read as text row by row and keep the estimate, off by some per cent.
     """
     if not columns:
         return df.sparkSession.createDataFrame([], _PROFILE)
-    aggs = []
-    for i, c in enumerate(columns):
-        v = as_text(c)
-        aggs += [F.count_if(v.isNull()).alias(f"missing_{i}"), F.approx_count_distinct(v, 0.02).alias(f"about_{i}")]
-        aggs += [F.coalesce(F.bool_and(v.rlike(kind)), F.lit(False)).alias(f"{name}_{i}") for name, kind in (("ints", INTEGRAL), ("numbers", RATIONAL))]
-    row = df.agg(F.count("*").alias("n_rows"), *aggs).first()
+    kinds = {"ints": INTEGRAL, "numbers": RATIONAL}
+    row = df.agg(F.count("*").alias("n_rows"), *[F.approx_count_distinct(_stored(df, c), 0.02).alias(f"about_{i}") for i, c in enumerate(columns)]).first()
     narrow = [i for i in range(len(columns)) if row[f"about_{i}"] <= wide]
-    exact: dict[int, int] = {}
+    found: dict[int, dict] = {}
     if narrow:
-        parts = [F.struct(F.lit(i).alias("position"), as_text(columns[i]).alias("v")) for i in narrow]
-        values = df.select(F.explode(F.array(*parts)).alias("x")).select("x.*").where("v is not null").distinct()
-        exact = {r.position: r["count"] for r in values.groupBy("position").count().collect()}  # a row for each column
+        fits = [F.coalesce(F.bool_and(F.col("text").rlike(kind)), F.lit(False)).alias(name) for name, kind in kinds.items()]
+        texts = _counted(df, {i: columns[i] for i in narrow}).groupBy("position", "text").agg(F.sum("n").alias("n"))  # stored values may share a text
+        got = texts.groupBy("position").agg(F.coalesce(F.sum(F.when(F.col("text").isNull(), F.col("n"))), F.lit(0)).alias("missing"), F.count("text").alias("values"), *fits)
+        found = {r.position: r.asDict() for r in got.collect()}  # a row for each column
+    if len(narrow) < len(columns):
+        aggs = []
+        for i in set(range(len(columns))) - set(narrow):
+            v = as_text(columns[i])
+            aggs += [F.count_if(v.isNull()).alias(f"missing_{i}"), F.approx_count_distinct(v, 0.02).alias(f"values_{i}")]
+            aggs += [F.coalesce(F.bool_and(v.rlike(kind)), F.lit(False)).alias(f"{name}_{i}") for name, kind in kinds.items()]
+        own = df.agg(*aggs).first()
+        found |= {i: {x: own[f"{x}_{i}"] for x in ("missing", "values", *kinds)} for i in set(range(len(columns))) - set(narrow)}
     out = []
     for i, c in enumerate(columns):
-        n = exact.get(i, 0) if i in narrow else row[f"about_{i}"]
-        base = "integral" if row[f"ints_{i}"] else "rational" if row[f"numbers_{i}"] else "categorical"
-        kind = "redundant" if n <= 1 else "binary" if n == 2 and not row[f"missing_{i}"] else base
-        out.append((i, c, row.n_rows, row[f"missing_{i}"], n, base, kind))
+        x = found.get(i, {"missing": 0, "values": 0, "ints": False, "numbers": False})  # a table without rows
+        n = x["values"]
+        base = "integral" if x["ints"] else "rational" if x["numbers"] else "categorical"
+        kind = "redundant" if n <= 1 else "binary" if n == 2 and not x["missing"] else base
+        out.append((i, c, row.n_rows, x["missing"], n, base, kind))
     return df.sparkSession.createDataFrame(out, _PROFILE)
 
 
@@ -100,10 +145,9 @@ class Rule:
 
 def _domain(df: DataFrame, column: str, base: str, precision: int) -> DataFrame:
     """(v: text or double) the distinct present values."""
-    text = as_text(column)
     if base == "categorical":
-        return df.select(text.alias("v")).where("v is not null").distinct()
-    value = text.try_cast("double")
+        return df.select(as_text(column).alias("v")).where("v is not null").distinct()
+    value = as_number(column)
     if precision:
         value = significant(value, precision)
     return df.select(value.alias("v")).where("v is not null").distinct()
@@ -171,12 +215,62 @@ def binarize(df: DataFrame, rules: list[Rule], keep: list[str] = ()) -> DataFram
     return df.select(*keep, *[r.test().cast("int").alias(f"f{r.index}") for r in rules])
 
 
-def pattern_table(df: DataFrame, tests: list[Column], label: Column, classes: list, keys: list[str] = ()) -> DataFrame:
+def _sources(rules: list[Rule]) -> list[tuple[Column, bool, list[tuple[object, list[int], list[int]]]]]:
+    """What rules read: a column as number or text, whether it is a number, and its references in order with the rules that start to hold there and those that hold there alone."""
+    own: dict[tuple, dict] = {}
+    for k, r in enumerate(rules):
+        number = r.relation == ">=" or r.kind == "numeric_binary"
+        at = own.setdefault((r.column, number), {}).setdefault(float(r.reference) if number else r.reference, ([], []))
+        at[0 if r.relation == ">=" else 1].append(k)
+    return [(as_number(c) if number else as_text(c), number, [(ref, *ks) for ref, ks in sorted(refs.items())]) for (c, number), refs in own.items()]
+
+
+def _placed(rules: list[Rule]) -> Column:
+    """The bits of many rules: each column's value is looked up among its references, and what holds there is a mask known beforehand."""
+    features = len(rules)
+    sources = _sources(rules)
+    tables = []  # per source: references, masks where the value is the n-th reference, masks where it is past n references and none of them
+    for _, number, refs in sources:
+        at, past, held = [0], [0], 0
+        for _, since, alone in refs:
+            held += sum(masks.bit(k) for k in since)
+            at.append(held + sum(masks.bit(k) for k in alone))
+            past.append(held)
+        stored = lambda xs: np.array([[x >> (masks.WORD * i) & (masks.bit(masks.WORD) - 1) for i in range(masks.words(features))] for x in xs], np.int64)
+        names = [ref for ref, *_ in refs]
+        tables.append((number, np.array(names) if number else pa.array(names, pa.string()), stored(at), stored(past)))
+    width = masks.words(features)
+
+    def bits(*values: pa.Array) -> pa.Array:
+        out = np.zeros((len(values[0]), width), np.int64)
+        for v, (number, refs, at, past) in zip(values, tables, strict=True):
+            if number:
+                x = v.to_numpy(zero_copy_only=False)  # null: NaN, past all references
+                n = np.where(np.isnan(x), 0, np.searchsorted(refs, x, side="right"))
+                out |= np.where((refs[n - 1] == x)[:, None], at[n], past[n])
+            else:
+                out |= at[pc.fill_null(pc.index_in(v, value_set=refs), -1).to_numpy(zero_copy_only=False) + 1]
+        if not masks.wide(features):
+            return pa.array(out[:, 0])
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(out) * width + 1, width, dtype=np.int32)), pa.array(out.ravel()))
+
+    return F.arrow_udf(bits, masks.sql_type(features))(*[v.cast("double") if number else v.cast("string") for v, number, _ in sources])
+
+
+def bits_of(tests: list[Column] | list[Rule]) -> Column:
+    """Which tests hold, as a mask."""
+    if len(tests) > FEW_RULES and all(isinstance(t, Rule) for t in tests):
+        return _placed(tests)
+    return masks.pack([t.test() if isinstance(t, Rule) else t for t in tests])
+
+
+def pattern_table(df: DataFrame, tests: list[Column] | list[Rule], label: Column, classes: list, keys: list[str] = ()) -> DataFrame:
     """(keys, bits, n_0 .. n_k-1): the rows of each distinct pattern by class.  The one step that reads all rows.
 
-    Counts combine before the shuffle, which moves a row for each pattern and task.
+    Counts combine before the shuffle, which moves a row for each pattern and task.  Many
+    rules are best given as such: they are told by their columns' values, not one by one.
     """
-    rows = df.select(*keys, masks.pack(list(tests)).alias("bits"), label.alias("_label"))
+    rows = df.select(*keys, bits_of(list(tests)).alias("bits"), label.alias("_label"))
     per = [F.count_if(F.col("_label") == F.lit(c)).alias(f"n_{k}") for k, c in enumerate(classes)]
     return rows.groupBy(*keys, "bits").agg(*per)
 

@@ -186,7 +186,7 @@ def fit(df: DataFrame, label: str, features: list[str] | None = None, rules: lis
         else:
             rules = codex(df, [c for c in df.columns if c != label], config.precision)
     classes = _classes(df, label)
-    patterns = kept(pattern_table(df, [r.test() for r in rules], F.col(f"`{label}`"), classes), "patterns")
+    patterns = kept(pattern_table(df, rules, F.col(f"`{label}`"), classes), "patterns")
     seconds["patterns"] = time.time() - began
     model = fit_patterns(patterns, rules, classes, label, config, single_tree, max_trees, seconds, trace=trace)
     model.training = df if keep_training else None

@@ -41,7 +41,7 @@ def auto_tune(df: DataFrame, label: str, features: list[str], target: int = 1, m
         raise ValueError("1 <= target <= most")
     check_binary(df, features)
     rules, classes = binary_rules(features), _classes(df, label)
-    patterns = kept(pattern_table(df, [r.test() for r in rules], F.col(f"`{label}`"), classes), "patterns")
+    patterns = kept(pattern_table(df, rules, F.col(f"`{label}`"), classes), "patterns")
     low, high = search_range or RANGES[parameter, config.loss]
     tried, best = [], None
     converged = False

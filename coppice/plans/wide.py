@@ -26,7 +26,7 @@ def rules(df: DataFrame) -> list[encode.Rule]:
 
 
 def patterns(df: DataFrame, own: list[encode.Rule]) -> DataFrame:
-    return encode.pattern_table(df, [r.test() for r in own], F.col("y"), [0, 1])
+    return encode.pattern_table(df, own, F.col("y"), [0, 1])
 
 
 def _midpoints(column: str, place: int) -> str:
