@@ -2,8 +2,8 @@
 
 A pattern of a table's rows ends in one leaf of each tree.  So the leaves of all trees are
 put together first, equal ones once with how many trees have them; each different pattern adds up the leaves it
-ends in; rows get the sums of their pattern.  The work is that of the patterns, however many
-rows there are, and the plan is the same for three trees and for ten thousand.
+ends in; rows get the sums of their pattern.  Patterns are those of the rules that the leaves have,
+and up to ``MOST_SENT`` of them go to all tasks, so that rows stay where they are.  The plan is the same for three trees and for ten thousand.
 """
 
 from __future__ import annotations
@@ -17,10 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coppice.functions import masks
+from coppice.operators.encode import bits_of
 from coppice.operators.treerows import leaf_cells
+from coppice.sources.work import kept
 
 #: Different leaves of a set, which all tasks get; more are an error.
 MOST_LEAVES = 1_000_000
+#: Patterns with their votes that all tasks get, some 80 bytes each; with more, rows are dealt out by pattern.
+MOST_SENT = 500_000
 
 
 def _table(leaves: DataFrame, most: int) -> list[tuple]:
@@ -43,7 +47,11 @@ def _table(leaves: DataFrame, most: int) -> list[tuple]:
 
 def pattern_votes(patterns: DataFrame, features: int, leaves: DataFrame, most: int = MOST_LEAVES) -> DataFrame:
     """(bits, votes, share): what the leaves (cell, votes, share) that a pattern ends in come to."""
-    table = patterns.sparkSession.sparkContext.broadcast(_table(leaves, most))
+    return _scored(patterns, features, _table(leaves, most))
+
+
+def _scored(patterns: DataFrame, features: int, leaves: list[tuple]) -> DataFrame:
+    table = patterns.sparkSession.sparkContext.broadcast(leaves)
     kind = masks.sql_type(features)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +92,13 @@ def predict_set(model, df: DataFrame, trees: DataFrame, cells: DataFrame, most:
         share = clip(share) / (clip(share) + clip(1 - share))
     leaves = leaf_cells(trees, p).join(cells.select("care", "val", "n_0", "n_1"), ["care", "val"], "left")
     leaves = leaves.groupBy("cell").agg(F.sum(F.col("trees") * F.col("leaf")).alias("votes"), F.sum(F.col("trees") * F.coalesce(share, F.col("leaf").cast("double"))).alias("share"))
-    own = df.select(F.struct("*").alias("row"), masks.pack(model.tests()).alias("bits"))
-    scored = pattern_votes(own.select("bits").distinct(), p, leaves, most)
+    table = _table(leaves, most)
+    used = sorted({f for features, *_ in table for f in features})
+    place = {f: i for i, f in enumerate(used)}
+    table = [(tuple(place[f] for f in features), *rest) for features, *rest in table]
+    bits = bits_of([model.rules[f] for f in used]).alias("_bits")
+    scored = kept(_scored(df.select(bits.alias("bits")).distinct(), len(used), table), "votes").withColumnRenamed("bits", "_bits")
+    own = df.select(F.struct("*").alias("row"), bits)
     vote = F.when(F.col("votes") * 2 >= n, F.lit(model.classes[1])).otherwise(F.lit(model.classes[0]))
-    return own.join(scored, "bits").select("row.*", (F.col("share") / n).alias("prob_1"), "votes", vote.alias("prediction"))
+    sent = scored.count() <= MOST_SENT
+    return own.join(F.broadcast(scored) if sent else scored, "_bits").select("row.*", (F.col("share") / n).alias("prob_1"), "votes", vote.alias("prediction"))

@@ -85,6 +85,25 @@ def test_votes_of_a_set(spark):
         votes.predict_set(model, df, rows.limit(0), model.cells)
 
 
+def test_rows_stay_where_they_are_for_votes(spark, monkeypatch):
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows_of(21, 40, 4))], ["a", "b", "c", "d", "y", "bits"])
+    model = fit_rashomon(df, "y", ["a", "b", "c", "d"], FitConfig(regularization=0.01, bound_multiplier=0.6, max_depth=4))
+    rows = spark.createDataFrame([("(2 (3 1 0) 0)",), ("(3 1 0)",), ("1",)], "tree string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the patterns were too large for Spark to send of itself
+    try:
+        got = votes.predict_set(model, df, rows, model.cells)
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        want = {(i, r[2] * r[3] + r[3] + 1) for i, r in enumerate(rows_of(21, 40, 4))}
+        assert {(r.bits, r.votes) for r in got.collect()} == want
+        monkeypatch.setattr(votes, "MOST_SENT", 0)  # more patterns than are sent: dealt out, none left out
+        assert {(r.bits, r.votes) for r in votes.predict_set(model, df, rows, model.cells).collect()} == want
+        alone = votes.predict_set(model, df, rows.where("tree = '1'"), model.cells)  # no rule at all
+        assert [r.votes for r in alone.collect()] == [1] * 40
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_votes_with_many_features(spark):
     rng = random.Random(2)
     wide = [tuple(rng.randrange(2) for _ in range(75)) for _ in range(50)]
